@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontamination, line_dedup, mixing, sharding
+from millrace.llm import decontamination, line_dedup, mixing, quality_rules, sharding
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mix": lambda s, d: mixing.op1_mix(table(s, d, "documents")),
         "op3_decontamination": lambda s, d: decontamination.op3_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op4_quality_rules": lambda s, d: quality_rules.op4_quality_rules(table(s, d, "documents")),
         "op6_line_dedup": lambda s, d: line_dedup.op6_line_dedup(table(s, d, "documents")),
         "op10_sharding": lambda s, d: sharding.op10_sharding(table(s, d, "documents")),
     }

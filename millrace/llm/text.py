@@ -91,26 +91,33 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(word & last) + 1
 
 
-def words(column: pa.Array) -> Words:
-    """Hashes of the lower-cased (A-Z only) words of a string column without nulls."""
+def words(column: pa.Array, lower: bool = True) -> Words:
+    """Hashes of the words of a string column without nulls, lower-cased (A-Z only) or as they are."""
     raw, offsets = utf8(column)
     starts, ends = word_bounds(raw, offsets)
     with np.errstate(over="ignore"):
-        terms = BYTE_VALUE[LOWERED[raw]] * _power(ROOT, len(raw))
+        terms = BYTE_VALUE[LOWERED[raw] if lower else raw] * _power(ROOT, len(raw))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
         h = (sums[ends] - sums[starts]) * _power(ROOT_INVERSE, len(raw) + 1)[starts]
         h = mix(h + (ends - starts).astype(np.uint64))
     return Words(h, np.searchsorted(starts, offsets))
 
 
+def windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of ``width`` consecutive words."""
+    n = max(0, len(hashes) - width + 1)
+    rolled = np.zeros(n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width if n else 0):
+            rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + hashes[k : n + k])
+    return rolled
+
+
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """For each text its sorted distinct shingle hashes; a text of fewer words, but not none, is one shingle."""
     w = words(column)
-    n = len(w.hashes)
+    rolled = windows(w.hashes, width)
     with np.errstate(over="ignore"):
-        rolled = np.zeros(max(0, n - width + 1), dtype=np.uint64)
-        for k in range(width):
-            rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + w.hashes[k : n - width + 1 + k]) if n >= width else rolled
         for t in range(len(column)):
             a, b = int(w.begins[t]), int(w.begins[t + 1])
             if b - a >= width:
