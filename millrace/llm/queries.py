@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontamination, line_dedup, mixing, quality_rules, sharding
+from millrace.llm import decontamination, line_dedup, mixing, ngram_join, quality_rules, sharding
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_mix": lambda s, d: mixing.op1_mix(table(s, d, "documents")),
+        "op2_ngram_join": lambda s, d: ngram_join.op2_ngram_join(table(s, d, "documents")),
         "op3_decontamination": lambda s, d: decontamination.op3_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
         "op4_quality_rules": lambda s, d: quality_rules.op4_quality_rules(table(s, d, "documents")),
         "op6_line_dedup": lambda s, d: line_dedup.op6_line_dedup(table(s, d, "documents")),
@@ -23,4 +24,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": mixing.OP1_SQL, "op3_decontamination": decontamination.OP3_SQL, "op6_line_dedup": line_dedup.OP6_SQL}
+    return {"op1_mix": mixing.OP1_SQL, "op2_ngram_join": ngram_join.OP2_SQL, "op3_decontamination": decontamination.OP3_SQL, "op6_line_dedup": line_dedup.OP6_SQL}
