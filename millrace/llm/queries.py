@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontamination, license_scan, line_dedup, mixing, ngram_join, pii, quality_rules, sharding, url_filter
+from millrace.llm import decontamination, license_scan, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, url_filter
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op4_quality_rules": lambda s, d: quality_rules.op4_quality_rules(table(s, d, "documents")),
         "op5_pii": lambda s, d: pii.op5_pii(table(s, d, "documents")),
         "op6_line_dedup": lambda s, d: line_dedup.op6_line_dedup(table(s, d, "documents")),
+        "op7_quality_classifier": lambda s, d: quality_classifier.op7_quality_classifier(table(s, d, "documents")),
         "op8_license_scan": lambda s, d: license_scan.op8_license_scan(table(s, d, "documents")),
         "op9_url_filter": lambda s, d: url_filter.op9_url_filter(table(s, d, "pages")),
         "op10_sharding": lambda s, d: sharding.op10_sharding(table(s, d, "documents")),
