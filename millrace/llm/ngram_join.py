@@ -46,7 +46,7 @@ NEED = 80
 SLICE = 5
 #: Sets in one prefix tree.
 TREE_SETS = 256
-LEADER_ROUNDS = 6
+LEADER_ROUNDS = 4
 
 
 def class_key(shingles: np.ndarray) -> int:
@@ -151,6 +151,11 @@ def shared_head(a: np.ndarray, b: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else k
 
 
+def leaves(sets: list[tuple]) -> list[tuple]:
+    """Sets in the order of their prefix tree's leaves."""
+    return sorted(sets, key=lambda s: s[2].tobytes())
+
+
 def tree_join(probe: np.ndarray, n_probe: int, sets: list[tuple[int, int, np.ndarray]], step: int = 64) -> list[int]:
     """Keys of the ordered ``sets`` (key, full size, tokens) that link with the probe.
 
@@ -159,9 +164,8 @@ def tree_join(probe: np.ndarray, n_probe: int, sets: list[tuple[int, int, np.nda
     """
     found: list[int] = []
     ranked = np.sort(probe)
-    ordered = sorted(sets, key=lambda s: s[2].tobytes())
     path, hits = np.zeros(0, np.int64), [0]  # hits[d]: overlap of the first d tokens of the path
-    for key, n, tokens in ordered:
+    for key, n, tokens in leaves(sets):
         depth = min(shared_head(path, tokens), len(hits) - 1)
         del hits[depth + 1 :]
         need = required_overlap(n_probe, n)
@@ -181,7 +185,6 @@ def tree_join(probe: np.ndarray, n_probe: int, sets: list[tuple[int, int, np.nda
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): the pairs (hub a, partner b) that link."""
-    pairs = cut(pairs)
     chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TREE_SETS).cast("int").alias("chunks"))
     dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
     hubs = chunks.join(sets, chunks["a"] == sets["cls"]).select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), "n", "tokens")
@@ -217,50 +220,119 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return grouped.mapInArrow(compare, "a long, b long")
 
 
-def _similar_size(a: str, b: str):
-    return (F.col(a) * NEED <= F.col(b) * 100) & (F.col(b) * NEED <= F.col(a) * 100)
+def _may_link():
+    """By the sizes na, nb and the largest overlaps ma, mb."""
+    return F.least("ma", "mb") >= _required("na", "nb")
+
+
+def block_links(hot: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """(a, b): links between the components of sets that lists of more than ``TREE_SETS`` rows connect.
+
+    Such a group is dealt to blocks of about ``TREE_SETS`` sets, and every pair of blocks is one small comparison of
+    the sets of one with the prefix tree of the other, so neither pairs nor the group come together anywhere.
+    """
+    to_first = hot.join(hot.groupBy("token").agg(F.min("cls").alias("a")), "token").select("a", F.col("cls").alias("b"))
+    groups = components(to_first.distinct()).select(F.col("id").alias("cls"), F.col("component").alias("grp"))
+    blocks = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / TREE_SETS).cast("int").alias("blocks"))
+    dealt = cut(groups.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")))
+    members = dealt.join(sets, "cls").join(comps, "cls")
+    copies = members.select("grp", "block", "cls", "n", "comp", "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    n = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = copies.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "n", "comp", "tokens")
+    grouped = keyed.repartition(n, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links() -> Iterator[tuple[int, int]]:
+            key, rows = None, []
+            for batch in batches:
+                grp, i, j, block, cls, size, comp = (batch.column(k).to_pylist() for k in range(7))
+                tokens = batch.column(7)
+                values, at = tokens.values.to_numpy(), tokens.offsets.to_numpy()
+                for k in range(batch.num_rows):
+                    if (grp[k], i[k], j[k]) != key:
+                        yield from compare_blocks(rows, key)
+                        key, rows = (grp[k], i[k], j[k]), []
+                    rows.append((cls[k], size[k], values[at[k] : at[k + 1]].copy(), comp[k], block[k]))
+            yield from compare_blocks(rows, key)
+
+        yield from _batched(links(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return grouped.mapInArrow(compare, "a long, b long")
+
+
+def compare_blocks(rows: list[tuple], key: tuple | None) -> Iterator[tuple[int, int]]:
+    """Links across components between the blocks i and j of the key (group, i, j); rows: id, size, tokens, component, block."""
+    if not rows:
+        return
+    tree = leaves([r for r in rows if r[4] == key[2]])
+    for probe in rows:
+        if probe[4] == key[1]:
+            most = len(probe[2])
+            others = [r[:3] for r in tree if r[3] != probe[3] and (key[1] != key[2] or r[0] < probe[0]) and min(most, len(r[2])) >= required_overlap(probe[1], r[1])]
+            if others:
+                yield from ((probe[0], x) for x in tree_join(probe[2], probe[1], others))
+
+
+def _after_prefix(n: str):
+    return F.ceil(F.col(n) * NEED / 100) - 1
+
+
+def _required(a: str, b: str):
+    return F.ceil((F.col(a) + F.col(b)) * NEED / (100 + NEED))
 
 
 def linked_classes(sets: DataFrame) -> DataFrame:
     """(cls, component) of the classes that link with another, from ordered sets."""
     prefix = F.floor(F.col("n") * (100 - NEED) / 100) + 1 - F.col("alone")
-    postings = cut(sets.select("cls", "n", F.explode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("token")))
+    # most: the overlap that a set can have at all
+    postings = sets.select("cls", "n", F.size("tokens").alias("most"), F.explode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("token"))
     comps = cut(sets.select("cls", F.col("cls").alias("comp")))
-    done = None
-    before = -1
+    done, before = None, None
     for turn in range(LEADER_ROUNDS + 1):
-        rows = postings.join(comps, "cls")
-        mixed = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-        rows = cut(rows.join(mixed, "token"))
+        # Lists within one component are done for good, and so is a set in a list where even the smallest set asks for too much.
+        rows = cut(postings.join(comps, "cls"))
+        mixed = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("least_n")).where("x <> y").select("token", "least_n")
+        rows = cut(rows.join(mixed, "token").where(_required("n", "least_n") <= F.col("most")).drop("least_n"))
+        postings = rows.drop("comp")
         # A pair across components has a member outside the list's main component.
         parts = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
-        main = parts.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("rows")).select("token", F.col("main.comp").alias("main"), (F.col("rows") * (F.col("rows") - F.col("main.size"))).alias("open"), "rows")
-        main = cut(main)
+        main = parts.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("rows"))
+        main = cut(main.select("token", F.col("main.comp").alias("main"), (F.col("rows") * (F.col("rows") - F.col("main.size"))).alias("open"), "rows"))
         left = main.agg(F.sum("open").alias("open"), F.sum("rows").alias("rows")).first()
         if not left["rows"]:
             break
-        last = left["open"] <= 4 * left["rows"] or left["open"] == before or turn == LEADER_ROUNDS
+        last = turn == LEADER_ROUNDS or left["open"] <= 4 * left["rows"] or (before is not None and 2 * left["open"] > before)
         before = left["open"]
+        links = None
         if last:
-            outside = rows.join(main.select("token", "main"), "token").where("comp <> main").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "main")
-            pairs = outside.join(rows.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")), "token")
+            # A pair that shares a long list is compared in blocks; all lists of any other pair are short.
+            long_lists = cut(main.where(F.col("rows") > TREE_SETS).select("token"))
+            if long_lists.limit(1).count():
+                links = cut(block_links(cut(rows.join(long_lists, "token").select("token", "cls")), sets, comps))
+                rows = rows.join(long_lists, "token", "left_anti")
+            outside = rows.join(main.select("token", "main"), "token").where("comp <> main").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"), "main")
+            pairs = outside.join(rows.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb")), "token")
             # Two members outside the main component meet twice; once is enough.
             pairs = pairs.where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
+            # Main components differ from list to list, so the pair's order is fixed only now.
+            pairs = pairs.where(_may_link()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
+            # Of the set whose prefix ends first, all shared prefix shingles are counted here; the rest of it adds at most what follows.
+            pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") + F.greatest(_after_prefix("na"), _after_prefix("nb")) >= _required("na", "nb")).select("a", "b")
         else:
-            leader = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))).alias("l")).select("token", "l.a", "l.na", "l.ca")
-            pairs = rows.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).join(leader, "token").where("ca <> cb")
-        pairs = pairs.where(_similar_size("na", "nb")).select("a", "b").distinct()
+            leader = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"))).alias("l")).select("token", "l.a", "l.na", "l.ma", "l.ca")
+            pairs = rows.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb")).join(leader, "token").where("ca <> cb")
+            pairs = pairs.where(_may_link()).select("a", "b").distinct()
         if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+            seen = done.union(done.select("b", "a")).toDF("a", "b")
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         done = pairs if done is None else done.union(pairs)
-        links = verified(pairs, sets)
+        links = verified(pairs, sets) if links is None else verified(pairs, sets).union(links)
         to = comps.select(F.col("cls").alias("a"), F.col("comp").alias("ca"))
         over = comps.select(F.col("cls").alias("b"), F.col("comp").alias("cb"))
-        between = cut(links.join(to, "a").join(over, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct())
-        if between.limit(1).count():
-            joined = components(between)
-            comps = cut(comps.join(joined, comps["comp"] == joined["id"], "left").select("cls", F.coalesce("component", "comp").alias("comp")))
+        between = links.join(to, "a").join(over, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        joined = components(between)
+        comps = cut(comps.join(joined, comps["comp"] == joined["id"], "left").select("cls", F.coalesce("component", "comp").alias("comp")))
         if last:
             break
     return comps.withColumnRenamed("comp", "component")
