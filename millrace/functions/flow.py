@@ -167,9 +167,13 @@ def array_stats(xs: Column) -> Column:
 def hex_bigrams(packet: Column, skip: int = 24, most: int = 127) -> Column:
     """Overlapping two-byte tokens of a packet after its header, without trailing zeros; none for an all-zero rest."""
     body = F.regexp_replace(F.lower(F.hex(F.substring(packet.cast("binary"), skip + 1, 1 << 30))), "(00)+$", "")
-    n = F.floor(F.length(body) / 2).cast("int")
-    tokens = F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.substring(body, 2 * i + 1, F.lit(4)))
-    return F.slice(F.when(n >= 2, tokens).otherwise(F.array().cast("array<string>")), 1, most)
+
+    def tokens(h: Column) -> Column:
+        n = F.floor(F.length(h) / 2).cast("int")
+        return F.when(n >= 2, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.substring(h, 2 * i + 1, F.lit(4)))).otherwise(F.array().cast("array<string>"))
+
+    # The body is made once, as the only element of an array, and cut to what the tokens need.
+    return F.transform(F.array(F.substring(body, 1, 2 * (most + 1))), tokens)[0]
 
 
 def padded(xs: Column, length: int, fill) -> Column:

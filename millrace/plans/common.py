@@ -21,7 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One packet for each event, between the user's address and one server; some event types go up, the others down."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")  # times without zone are UTC
-    e = table(spark, sf_dir, "events")
+    return packets_of(table(spark, sf_dir, "events"))
+
+
+def packets_of(e: DataFrame) -> DataFrame:
     client = F.concat(F.lit("10.0."), F.floor(F.col("user_id") / 250).cast("string"), F.lit("."), (F.col("user_id") % 250).cast("string"))
     up = F.col("event_type").isin("view", "click", "signup")
     port = (F.lit(1000) + F.col("user_id") % 7).cast("int")

@@ -1 +1,58 @@
-QUERIES = {}
+"""Queries that fit and score models on the ``embeddings`` table; without SQL, the tests hold them against plain versions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millrace.operators import models as mo
+from millrace.operators import sampling as sa
+from millrace.plans.common import table
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", "embedding", F.col("label").cast("string").alias("label"))
+
+
+def _split(spark, d):
+    e = sa.stratified_split(mo.with_features(_vectors(spark, d), None, "embedding"), "label", "vec_id")
+    return e.where("split = 'train'"), e.where("split = 'test'")
+
+
+def knn_score(spark, d):
+    e = _vectors(spark, d)
+    return mo.knn_score(e, e.where("label = '0'")).select("vec_id", F.round("score", 6).alias("score"))
+
+
+def mahalanobis_score(spark, d):
+    e = _vectors(spark, d)
+    return mo.mahalanobis(e, e.where("label = '0'")).select("vec_id", F.round("score", 6).alias("score"))
+
+
+def pca_scores(spark, d):
+    e = _vectors(spark, d)
+    return mo.pca_scores(e, e.where("label = '0'"), 8).select("vec_id", F.transform("components", lambda x: F.round(x, 6)).alias("components"))
+
+
+def rf_report(spark, d):
+    train, test = _split(spark, d)
+    return mo.evaluate(mo.fit(train, "rf", numTrees=20, maxDepth=8), test)
+
+
+def logreg_report(spark, d):
+    train, test = _split(spark, d)
+    return mo.evaluate(mo.fit(train, "logreg", maxIter=20), test)
+
+
+def kshot_report(spark, d):
+    """A logistic head on k rows of each class, on one fixed test set."""
+    train, test = _split(spark, d)
+    return mo.evaluate(mo.fit(sa.k_shot(train, "label", "vec_id", 5), "logreg", maxIter=20), test, "union")
+
+
+def transfer_matrix(spark, d):
+    train, test = _split(spark, d)
+    halves = {n: (train.where(f"vec_id % 2 = {i}"), test.where(f"vec_id % 2 = {i}")) for i, n in enumerate(("even", "odd"))}
+    return mo.transfer_matrix(halves, "logreg", maxIter=10)
+
+
+QUERIES = {f.__name__: (f, None) for f in (knn_score, mahalanobis_score, pca_scores, rf_report, logreg_report, kshot_report, transfer_matrix)}

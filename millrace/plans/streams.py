@@ -1 +1,50 @@
-QUERIES = {}
+"""Queries that run a stream over the ``events`` file to its end and return what it has written."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from millrace.plans.common import IDLE, SECOND, packets_of, packets_sql, sessions_sql
+from millrace.streaming import flows as st
+
+
+def _stream(spark, d) -> DataFrame:
+    """The packets of ``events`` as a file stream."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    plain = spark.read.parquet(f"{d}/events.parquet")
+
+    stream = spark.readStream.schema(plain.schema).option("pathGlobFilter", "events.parquet").parquet(d)  # a file stream watches a folder
+    return packets_of(stream).withColumn("ts", F.timestamp_micros("ts_us"))
+
+
+def _ran(spark, df: DataFrame, mode: str) -> DataFrame:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
+    path = f"{base}/streams/{uuid.uuid4().hex}"
+    q = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
+
+
+def stream_labels(spark, d):
+    p = _stream(spark, d).select("frame_no", "src_ip", "src_port", "dst_ip", "dst_port", "proto", (F.col("ts_us") / 1e6).alias("t_start"), (F.col("ts_us") / 1e6).alias("t_end"))
+    rules = [{"label": "web", "t_start": 0.0, "t_end": 4e9, "dst_ports": [443], "protos": [6], "directional": True}]
+    return _ran(spark, st.labeled_stream(p, rules), "append").select("frame_no", "label", "n_rule_matches")
+
+
+def stream_sessions(spark, d):
+    """Sessions that the watermark has closed by the end of the stream."""
+    out = _ran(spark, st.idle_flows(_stream(spark, d), f"{IDLE[1]} seconds", "0 seconds"), "append")
+    return out.select("key", F.unix_micros("start").alias("start_us"), "n_pkts", "n_bytes")
+
+
+_CLOSED = f"""WITH {packets_sql()}, {sessions_sql(IDLE[1])}, g AS (
+  SELECT any_value(client) || ':' || any_value(cport) || '|192.168.10.50:443|6' AS key, min(ts_us) AS start_us, max(ts_us) AS e, count(*) AS n_pkts, CAST(sum(wire_len) AS BIGINT) AS n_bytes FROM s GROUP BY user_id, session)
+SELECT key, start_us, n_pkts, n_bytes FROM g WHERE e + {IDLE[1] * SECOND} <= (SELECT (max(ts_us) // 1000) * 1000 FROM pk)"""
+QUERIES = {
+    "stream_labels": (stream_labels, "SELECT event_id AS frame_no, CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'web' ELSE 'BENIGN' END AS label, CAST(CASE WHEN event_type IN ('view', 'click', 'signup') THEN 1 ELSE 0 END AS BIGINT) AS n_rule_matches FROM events"),
+    "stream_sessions": (stream_sessions, _CLOSED),
+}
