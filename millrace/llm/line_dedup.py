@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ascii_lower, unique_name
+from millrace.llm.common import ascii_lower, bounded, cut, unique_name
 
 #: Characters stripped at both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -42,13 +42,14 @@ def frequent_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int,
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text``; the columns of ``docs`` stay as they are."""
-    frequent = frequent_lines(docs, id_col, text_col, min_chars, min_docs)
+    # Small next to the texts, and read by a join of its own, so Spark can split a line that stands in every document.
+    frequent = bounded(cut(frequent_lines(docs, id_col, text_col, min_chars, min_docs)))
     hashes = F.array_distinct(F.filter(F.transform(F.split(text_col, "\n"), lambda x: line_hash(x, min_chars)), lambda h: h.isNotNull()))
     lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(hashes).alias("line_hash"))
     hits = lines.join(frequent, "line_hash").where(F.col("id") != F.col("keeper"))
     drop, key = unique_name(docs, "drop_hashes"), unique_name(docs, "drop_id")
-    drops = hits.groupBy(F.col("id").alias(key)).agg(F.collect_set("line_hash").alias(drop))
-    joined = docs.join(drops, F.col(id_col) == F.col(key), "left").drop(key)
+    drops = cut(hits.groupBy(F.col("id").alias(key)).agg(F.collect_set("line_hash").alias(drop)))
+    joined = docs.join(bounded(drops, 200_000), F.col(id_col) == F.col(key), "left").drop(key)
     parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     kept = F.when(F.col(drop).isNull(), parts).otherwise(F.filter(parts, lambda x: ~F.coalesce(F.array_contains(F.col(drop), line_hash(x, min_chars)), F.lit(False))))
     names = [unique_name(docs, n) for n in ("n_lines", "n_dropped", "kept_text")]
