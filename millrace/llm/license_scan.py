@@ -22,7 +22,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, written
 
 WIDTH = 5
 CONTAINED = 80
@@ -58,14 +58,15 @@ def template_shingles(words: list[str]) -> list[str]:
     return sorted({" ".join(words[i : i + k]) for i in range(len(words) - k + 1)})
 
 
-def anchors(words: list[str]) -> list[str]:
-    """Words, long ones first, such that fewer than 80 % of the shingles are without any of them."""
-    left, chosen = [s.split() for s in template_shingles(words)], []
-    enough = -(-CONTAINED * len(left) // 100)
-    while len(left) >= enough:
-        word = max({w for s in left for w in s}, key=lambda w: (len(w) > 3, sum(w in s for s in left) * len(w), w))
+def anchors(templates: list[list[str]]) -> list[str]:
+    """A few words, long ones first as they are rare, such that fewer than 80 % of each template's shingles are without any."""
+    left = [[s.split() for s in template_shingles(w)] for w in templates]
+    enough = [-(-CONTAINED * len(t) // 100) for t in left]
+    chosen: list[str] = []
+    while open_ones := [t for t, n in zip(left, enough, strict=True) if len(t) >= n]:
+        word = max({w for t in open_ones for s in t for w in s}, key=lambda w: (len(w) > 6, sum(any(w in s for s in t) for t in open_ones), len(w), w))
         chosen.append(word)
-        left = [s for s in left if word not in s]
+        left = [[s for s in t if word not in s] for t in left]
     return chosen
 
 
@@ -79,29 +80,38 @@ def shingle_array(words: Column, width: int) -> Column:
 
 
 def bands(shingles: Column) -> Column:
-    """For each band the hash of its MinHash values."""
+    """For each band the hash of its MinHash values, which are computed once, as the only element of an array."""
     rows = F.transform(F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)), lambda k: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, k))))
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[F.element_at(rows, b * ROWS + r + 1) for r in range(ROWS)]))
+
+    def banded(r: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[F.element_at(r, b * ROWS + i + 1) for i in range(ROWS)]))
+
+    return F.transform(F.array(rows), banded)[0]
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, template, word, containment): each template that a document holds, the first word of its first window, and the share of shingles found."""
     spark = docs.sparkSession
     words = {name: w for name, text in templates.items() if (w := template_words(text))}
-    marks = sorted({a for w in words.values() for a in anchors(w)})
-    any_mark = F.lit(False)
-    for a in marks:
-        any_mark = any_mark | F.contains(F.lower(F.col("text")), F.lit(a))
-    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(F.col("doc_id").isNotNull() & any_mark)
-    slim = slim.select("doc_id", word_array(F.col("text")).alias("words"))
+    marks = anchors(list(words.values()))
+
+    def marked(low: Column) -> Column:
+        hit = F.lit(False)
+        for a in marks:
+            hit = hit | F.contains(low, F.lit(a))
+        return hit
+
+    # The text is lowered once, as the only element of an array; what is left is a small part of the corpus, read once for each length.
+    some = F.exists(F.array(F.lower(F.col("text"))), marked)
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(F.col("doc_id").isNotNull() & F.coalesce(some, F.lit(False)))
+    slim = written(slim.select("doc_id", word_array(F.col("text")).alias("words")))
     found = None
     for length in sorted({len(w) for w in words.values()}):
         mine = [(name, template_shingles(w)) for name, w in words.items() if len(w) == length]
-        own_marks = sorted({a for n, _ in mine for a in anchors(words[n])})
         width, stride = min(WIDTH, length), max(1, length // 8)
         table = spark.createDataFrame(mine, "template string, wanted array<string>")
         table = table.select("template", "wanted", F.explode(bands(F.col("wanted"))).alias("band"))
-        near = F.array_distinct(F.flatten(F.transform(F.filter(F.transform("words", lambda w, i: F.when(w.isin(own_marks), i)), lambda i: i.isNotNull()), lambda i: F.filter(F.transform(F.sequence(F.floor((i - length - stride) / stride), F.floor(i / stride)), lambda s: (s * stride + 1).cast("int")), lambda s: s >= 1))))
+        near = F.array_distinct(F.flatten(F.transform(F.filter(F.transform("words", lambda w, i: F.when(w.isin(marks), i)), lambda i: i.isNotNull()), lambda i: F.filter(F.transform(F.sequence(F.floor((i - length - stride) / stride), F.floor(i / stride)), lambda s: (s * stride + 1).cast("int")), lambda s: s >= 1))))
         window = F.transform(near, lambda s: F.struct(s.alias("word"), F.slice("words", s, length).alias("body"), F.slice("words", F.greatest(s - stride, F.lit(1)), length + 2 * stride).alias("around")))
         rows = slim.select("doc_id", F.explode(window).alias("w")).select("doc_id", "w.word", shingle_array(F.col("w.body"), width).alias("body"), shingle_array(F.col("w.around"), width).alias("around"))
         banded = rows.where(F.size("body") > 0).select("doc_id", "word", "around", F.explode(bands(F.col("body"))).alias("band"))
