@@ -348,7 +348,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comps = linked_classes(sets)
     with_comp = members.join(comps, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     with_comp = cut(with_comp)
-    smallest = with_comp.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Written first, so that the join reads both sides from shuffles and Spark can split a component of very many documents.
+    smallest = cut(with_comp.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id")))
     out = with_comp.join(smallest, "component", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "cls")
 
