@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,6 +60,17 @@ def unique_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def every(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever signs their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``mapInArrow``, which takes dots in names for fields: such columns come in under other names and go out under those of ``schema``."""
+    names = [unique_name(df, f"column_{i}") if set(c) & set(".`") else c for i, c in enumerate(df.columns)]
+    return df.toDF(*names).mapInArrow(function, schema)
+
+
 def sql_rows(ddl: str) -> str:
     """Squeeze a multi-line schema string."""
     return " ".join(ddl.split())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, unique_name, written
+from millrace.llm.common import every, map_arrow, unique_name, written
 
 WINDOW = 10
 BLOCK_WINDOWS = 500_000
@@ -137,8 +137,8 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
         docs_columns = list(docs.columns)
         if schema is None:
-            schema = docs.select(*[F.col(c) for c in docs.columns], F.lit(0).cast("long").alias(n_words), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))).alias(spans_col), F.array(F.lit("")).alias(items_col)).schema
-        out = out.mapInArrow(scan, schema) if first else written(out).mapInArrow(scan, schema)
+            schema = docs.select(*every(docs), F.lit(0).cast("long").alias(n_words), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))).alias(spans_col), F.array(F.lit("")).alias(items_col)).schema
+        out = map_arrow(out if first else written(out), scan, schema)
         first = False
     return out
 
@@ -150,7 +150,7 @@ def n_hit(spans: str = "hit_spans"):
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark window occurs, with the columns of ``docs``."""
     marked = mark_contamination(docs, benchmark)
-    return marked.where(F.size(unique_name(docs, "hit_spans")) == 0).select(*docs.columns)
+    return marked.where(F.size(unique_name(docs, "hit_spans")) == 0).select(*every(docs))
 
 
 def op3_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded, cut, unique_name
+from millrace.llm.common import bounded, cut, every, unique_name
 
 DRAW_RATE = 16
 #: Terms of the distribution that are kept: above them lies less than 1e-12 for a rate of 16.
@@ -78,8 +78,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
     count = F.aggregate(F.transform(F.sequence(F.lit(1), F.col(draws)), draw), F.lit(0), lambda a, x: a + x)
     copy, key = unique_name(docs, "copy"), unique_name(docs, "shuffle_key")
-    counted = joined.select(*[F.col(c) for c in docs.columns], count.alias(copy)).where(F.col(copy) > 0)
-    copies = counted.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copy))).alias(copy))
+    counted = joined.select(*every(docs), count.alias(copy)).where(F.col(copy) > 0)
+    copies = counted.select(*every(docs), F.explode(F.sequence(F.lit(1), F.col(copy))).alias(copy))
     order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), F.coalesce(ident.cast("string"), F.lit("~")), F.col(copy).cast("string"))), 1, 15), 16, 10).cast("long")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return copies.withColumn(key, order).repartition(n, key).sortWithinPartitions(key)

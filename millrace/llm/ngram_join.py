@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import text as tx
-from millrace.llm.common import bounded, cut, written
+from millrace.llm.common import bounded, cut, every, unique_name, written
 from millrace.llm.components import components
 
 WIDTH = 5
@@ -355,10 +355,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that link (over any way) to one of a smaller id; repeated rows keep one."""
-    comps = jaccard_components(docs, id_col, text_col)
-    gone = comps.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the documents that link (over any way) to one of a smaller id.
+
+    Of rows that share an id one stays: the one whose text has the smallest hash. Rows with a null id all stay.
+    """
+    comps = jaccard_components(docs, id_col, text_col).where("doc_id IS NOT NULL")
+    ids = comps.groupBy(F.col("doc_id").alias(id_col)).agg(F.max(F.col("component_id") < F.col("doc_id")).alias("linked"), F.count(F.lit(1)).alias("rows"))
+    ids = cut(ids.where("linked OR rows > 1"))
+    kept = docs.join(ids.where("linked").select(id_col), id_col, "left_anti").select(*every(docs))
+    again = ids.where("NOT linked").select(id_col)
+    if not again.limit(1).count():
+        return kept
+    row = unique_name(docs, "row")
+    one = kept.join(again, id_col, "left_semi").groupBy(id_col).agg(F.min_by(F.struct(*every(docs)), F.xxhash64(text_col)).alias(row))
+    return kept.join(again, id_col, "left_anti").select(*every(docs)).union(one.select(f"{row}.*"))
 
 
 def op2_ngram_join(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import quality_rules as qr
 from millrace.llm import text as tx
-from millrace.llm.common import unique_name
+from millrace.llm.common import map_arrow, unique_name
 
 #: Documents in the sample that the scorer is fitted to, about.
 FIT_ROWS = 10_000
@@ -162,7 +162,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(q), pa.array(q >= keep_from)], names=[*columns, quality, kept])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in columns], F.lit(0.0).alias(quality), F.lit(True).alias(kept)).schema
-    return docs.mapInArrow(score, schema)
+    return map_arrow(docs, score, schema)
 
 
 def op7_quality_classifier(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import text as tx
-from millrace.llm.common import bounded, cut, unique_name, written
+from millrace.llm.common import bounded, cut, map_arrow, unique_name, written
 
 SYMBOLS = b"#*$%&|<>"
 #: Length guard of the divergence rules.
@@ -125,7 +125,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[s
             new = [pa.array(m[k], pa.int64()) for k in COUNTS] + [lists(m[k].astype(np.int32)) for k in HISTOGRAMS]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*columns, *names.values()])
 
-    return docs.mapInArrow(measure, schema), names
+    return map_arrow(docs, measure, schema), names
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:

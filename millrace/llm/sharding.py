@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, unique_name, written
+from millrace.llm.common import cut, every, unique_name, written
 
 BITS = 5
 
@@ -88,7 +88,7 @@ def global_row_numbers(ordered: DataFrame, name: str, keep=written) -> tuple[Dat
     starts = spark.createDataFrame(list(before.items()), f"`{part}` long, `{start}` long")
     numbered = fixed.withColumn(part, F.shiftright(mark, 33)).join(F.broadcast(starts), part)
     place = F.col(start) + F.col(mark).bitwiseAND((1 << 33) - 1)
-    return numbered.select(*[c for c in ordered.columns], place.alias(name)), total
+    return numbered.select(*every(ordered), place.alias(name)), total
 
 
 def hilbert_shards(docs: DataFrame, dims: Mapping[str, Column], n_shards: int = 16, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", tie: Column | None = None, keep=written) -> DataFrame:

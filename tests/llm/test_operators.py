@@ -493,3 +493,21 @@ def test_pipeline_stages_decide(spark, docs):
     for r in out:
         sizes[r.shard] += 1
     assert max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_one_row_stays_of_each_id_and_group(spark, odd):
+    rows = [*ODD, (30, rng_text(3, 60), "en", "s", 1), (30, rng_text(4, 60), "en", "s", 2), (31, rng_text(3, 60), "en", "s", 3), (31, None, "en", "s", 4)]
+    left = ngram_join.first_of_each(spark.createDataFrame(rows, DOCS))
+    assert left.columns == odd.columns
+    ids = [r[0] for r in left.collect()]
+    assert len(ids) == len(set(ids))
+    assert set(ids) == {None, 1, 2, 3, 4, 5, 7, 9, 20, 30}  # 6, 8 and 31 link to 5, 7 and 30; the lines of 20 to 25 are alike
+    assert left.where("doc_id = 5").first()["text"] == "same words here now twice"
+
+
+def test_column_names_with_dots_pass_through(spark, odd):
+    wide = odd.selectExpr("*", "doc_id AS `a.b`", "'x' AS copy", "1 AS n_words", "2 AS shard")
+    bench = spark.createDataFrame([("i", "same words here now twice")], "item_id string, text string")
+    for out in (mixing.mix_sources(wide), decontamination.mark_contamination(wide, bench), decontamination.decontaminate(wide, bench), ngram_join.first_of_each(wide), quality_rules.keep_good(wide), quality_classifier.score_quality(wide, np.zeros(quality_classifier.N_FEATURES + 1)), sharding.hilbert_shards(wide, sharding.document_dims())):
+        assert out.columns[: len(wide.columns)] == wide.columns
+        out.write.format("noop").mode("overwrite").save()
