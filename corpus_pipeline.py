@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shared_folder, table
+from millrace.llm.common import every, shared_folder, table
 from millrace.llm.decontamination import decontaminate
 from millrace.llm.mixing import mix_sources
 from millrace.llm.ngram_join import first_of_each
@@ -39,13 +39,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stand as often as their source's weight says; copies share their id."""
-    return mix_sources(docs).select(*docs.columns)
+    return mix_sources(docs).select(*every(docs))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in 16 shards along the Hilbert curve of language, source and size."""
     out = hilbert_shards(docs, document_dims(size=F.octet_length(F.coalesce("text", F.lit("")))))
-    return out.select(*docs.columns, "curve_index", "shard", "slot")
+    return out.select(*every(docs), "curve_index", "shard", "slot")
 
 
 STAGES: list[tuple[str, Stage]] = [
