@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import corpus_tables, flows, labels, models, stats, streams
+from millrace.plans import adapters, corpus_tables, flows, labels, models, stats, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (flows, labels, stats, corpus_tables, models, streams)
+MODULES = (flows, adapters, labels, stats, corpus_tables, models, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

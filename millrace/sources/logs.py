@@ -34,7 +34,7 @@ def read_hash_tsv(spark: SparkSession, path: str) -> DataFrame:
     heads = lines.where(F.startswith("value", F.lit("#fields"))).groupBy("_file").agg(F.first(F.slice(F.split("value", "\t"), 2, 100_000)).alias("_names"))
     names = sorted({n for r in heads.select("_names").distinct().collect() for n in r[0]})  # one row for each kind of header
     rows = lines.where(~F.startswith("value", F.lit("#")) & (F.length("value") > 0)).withColumn("_cells", F.split("value", "\t"))
-    joined = rows.join(F.broadcast(heads), "_file")
+    joined = rows.join(heads, "_file")  # a header for each file, so Spark sizes this join
     cells = F.map_from_arrays("_names", F.slice(F.concat("_cells", F.array_repeat(F.lit(None).cast("string"), 1000)), F.lit(1), F.size("_names")))
     named = joined.select(cells.alias("_m"))
     return named.select(*[F.when(~F.try_element_at("_m", F.lit(n)).isin("-", "(empty)"), F.try_element_at("_m", F.lit(n))).alias(n) for n in names])
