@@ -57,12 +57,31 @@ def _stages(spark, d):
     return p.select(F.concat(F.lit("d"), day).alias("capture"), stage.alias("stage"), client.alias("src_ip"), F.lit("192.168.10.50").alias("dst_ip"), (F.col("frame_no") % 15).cast("int").alias("dst_port"), F.lit(6).alias("proto"), (F.col("ts_us") / 1e6).alias("t"), F.lit(1).alias("src_port"), F.col("frame_no"))
 
 
+def _every_stage(spark, d):
+    """All events as stage events; only views are benign, so that some sources of the full table are exclusive."""
+    stage = F.when(F.col("event_type") == "error", "recon").when(F.col("event_type") == "click", "probe").when(F.col("event_type") != "view", "exfil").otherwise("BENIGN")
+    client = F.when(F.col("src_port") == 443, F.col("dst_ip")).otherwise(F.col("src_ip"))
+    day = (F.floor(F.col("ts_us") / (86_400 * SECOND)) % 4).cast("string")
+    return packets(spark, d).select(F.concat(F.lit("d"), day).alias("capture"), stage.alias("stage"), client.alias("src_ip"), F.lit("192.168.10.50").alias("dst_ip"), (F.col("frame_no") % 15).cast("int").alias("dst_port"), F.lit(6).alias("proto"), (F.col("ts_us") / 1e6).alias("t"))
+
+
+def exclusive_sources_all(spark, d):
+    return lb.exclusive_endpoints(_every_stage(spark, d))
+
+
+def derive_rules_all(spark, d):
+    out = lb.derive_rules(_every_stage(spark, d), gap=86_400.0, pad=30.0)
+    return out.select("capture", "stage", "window_no", "t_start", "t_end", F.array_join("attackers", ",").alias("attackers"), F.array_join(F.col("dst_ports").cast("array<string>"), ",").alias("dst_ports"), "n_rows")
+
+
 def exclusive_sources(spark, d):
+    """Every 40th frame, as its SQL fixes it; ``exclusive_sources_all`` reads all."""
     e = _stages(spark, d).where("frame_no % 40 = 0")
     return lb.exclusive_endpoints(e)
 
 
 def derive_rules(spark, d):
+    """Every 40th frame, as its SQL fixes it; ``derive_rules_all`` reads all."""
     e = _stages(spark, d).where("frame_no % 40 = 0")
     out = lb.derive_rules(e, gap=86_400.0, pad=30.0)
     return out.select("capture", "stage", "window_no", "t_start", "t_end", F.array_join("attackers", ",").alias("attackers"), F.array_join(F.col("dst_ports").cast("array<string>"), ",").alias("dst_ports"), "n_rows")
@@ -147,6 +166,9 @@ _ST = f"""{packets_sql()}, st AS (
   SELECT 'd' || ((ts_us // {86_400 * SECOND}) % 4) AS capture, CASE WHEN event_type = 'error' THEN 'recon' WHEN event_type = 'signup' AND user_id % 3 = 0 THEN 'exfil' ELSE 'BENIGN' END AS stage,
     client AS src_ip, frame_no % 15 AS dst_port, ts_us / 1e6 AS t, frame_no FROM pk)"""
 _SOLE = "few AS (SELECT * FROM st WHERE frame_no % 40 = 0), sole AS (SELECT DISTINCT capture, src_ip FROM few WHERE stage <> 'BENIGN' EXCEPT SELECT capture, src_ip FROM few WHERE stage = 'BENIGN')"
+_ALL = f"""{packets_sql()}, every AS (
+  SELECT 'd' || ((ts_us // {86_400 * SECOND}) % 4) AS capture, CASE event_type WHEN 'error' THEN 'recon' WHEN 'click' THEN 'probe' WHEN 'view' THEN 'BENIGN' ELSE 'exfil' END AS stage, client AS src_ip, frame_no % 15 AS dst_port, ts_us / 1e6 AS t FROM pk
+), sole AS (SELECT DISTINCT capture, src_ip FROM every WHERE stage <> 'BENIGN' EXCEPT SELECT capture, src_ip FROM every WHERE stage = 'BENIGN')"""
 
 QUERIES = {
     "rule_label": (rule_label, f"WITH {_L} SELECT row_id, label, binary_label, label_confidence, n_rule_matches FROM lab"),
@@ -160,6 +182,12 @@ SELECT row_id, CASE WHEN h.row_id IS NULL THEN label ELSE 'bought' END AS label,
     "derive_rules": (derive_rules, f"""WITH {_ST}, {_SOLE}, a AS (SELECT few.* FROM few JOIN sole USING (capture, src_ip) WHERE stage <> 'BENIGN'
 ), g AS (SELECT *, CASE WHEN t - lag(t) OVER w > 86400.0 THEN 1 ELSE 0 END AS new FROM a WINDOW w AS (PARTITION BY capture, stage ORDER BY t)
 ), r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY capture, stage ORDER BY t) AS BIGINT) AS window_no FROM g)
+SELECT capture, stage, window_no, min(t) - 30.0 AS t_start, max(t) + 30.0 AS t_end, array_to_string(list_sort(list(DISTINCT src_ip)), ',') AS attackers,
+  CASE WHEN count(DISTINCT dst_port) <= 12 THEN array_to_string(list_sort(list(DISTINCT dst_port)), ',') ELSE '' END AS dst_ports, count(*) AS n_rows FROM r GROUP BY capture, stage, window_no"""),
+    "exclusive_sources_all": (exclusive_sources_all, f"WITH {_ALL} SELECT * FROM sole"),
+    "derive_rules_all": (derive_rules_all, f"""WITH {_ALL}, a AS (SELECT every.* FROM every JOIN sole USING (capture, src_ip) WHERE stage <> 'BENIGN'
+), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY capture, stage ORDER BY t) > 86400.0 THEN 1 ELSE 0 END AS new FROM a
+), r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY capture, stage ORDER BY t) AS BIGINT) AS window_no FROM g)
 SELECT capture, stage, window_no, min(t) - 30.0 AS t_start, max(t) + 30.0 AS t_end, array_to_string(list_sort(list(DISTINCT src_ip)), ',') AS attackers,
   CASE WHEN count(DISTINCT dst_port) <= 12 THEN array_to_string(list_sort(list(DISTINCT dst_port)), ',') ELSE '' END AS dst_ports, count(*) AS n_rows FROM r GROUP BY capture, stage, window_no"""),
     "fidelity": (fidelity, f"""WITH {_ST}, p AS (SELECT stage AS t, CASE WHEN frame_no % 5 = 0 THEN 'BENIGN' WHEN frame_no % 7 = 0 THEN 'exfil' ELSE stage END AS p FROM st

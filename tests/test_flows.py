@@ -229,3 +229,17 @@ def test_stateful_stream_splits_like_the_batch(spark, tmp_path):
     got = sorted((r.t_start_us // US - base, r.n_pkts) for r in spark.table("made").collect())
     want = sorted((f.t_start_us // US - base, f.n_pkts) for f in se.assemble(p, 120 * US, 80 * US).collect())
     assert [x for x in want if x in got] == got and len(got) >= len(want) - 1  # the last flow may still be open
+
+
+def test_exclusive_sources_read_every_frame(spark):
+    """A benign row in any frame, not only in every 40th, ends a source's exclusiveness."""
+    from millrace.plans import labels
+
+    d = "/root/testdata/sf0.001"
+    seen: dict = {}
+    for e in spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).alias("day")).collect():
+        seen.setdefault((f"d{e.day % 4}", f"10.0.{e.user_id // 250}.{e.user_id % 250}"), []).append(e.event_type)
+    sole = {k: v for k, v in seen.items() if "view" not in v}
+    assert sole and {tuple(r) for r in labels.exclusive_sources_all(spark, d).collect()} == set(sole)
+    rules = labels.derive_rules_all(spark, d).collect()
+    assert sum(r.n_rows for r in rules) == sum(len(v) for v in sole.values())
