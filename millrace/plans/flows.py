@@ -24,7 +24,15 @@ def flow_assembly_idle_active(spark, d):
 
 
 def flow_packet_sequence(spark, d):
-    f = flows(spark, d, MID, sequence=8)
+    return _sequence(spark, d, 8)
+
+
+def flow_packet_sequence_full(spark, d):
+    return _sequence(spark, d, 32)
+
+
+def _sequence(spark, d, n):
+    f = flows(spark, d, MID, sequence=n)
     return f.select("row_id", F.array_join(F.col("dirs").cast("array<string>"), ",").alias("dirs"), F.array_join(F.col("sizes").cast("array<string>"), ",").alias("sizes"), F.array_max("times").alias("last_time"))
 
 
@@ -172,6 +180,10 @@ QUERIES = {
   SELECT *, row_number() OVER w AS rn, first_value(ts_us) OVER w AS t0 FROM f_p WINDOW w AS (PARTITION BY user_id, session, segment ORDER BY frame_no)
 ) SELECT row_id, string_agg(CASE WHEN fwd THEN '0' ELSE '1' END, ',' ORDER BY frame_no) AS dirs, string_agg(CAST(wire_len AS VARCHAR), ',' ORDER BY frame_no) AS sizes, max(round((ts_us - t0) / 1e6, 6)) AS last_time
 FROM q JOIN f USING (user_id, session, segment) WHERE rn <= 8 GROUP BY row_id"""),
+    "flow_packet_sequence_full": (flow_packet_sequence_full, f"""WITH {_PK}, {sessions_sql(MID)}, {flows_sql()}, q AS (
+  SELECT *, row_number() OVER w AS rn, first_value(ts_us) OVER w AS t0 FROM f_p WINDOW w AS (PARTITION BY user_id, session, segment ORDER BY frame_no)
+) SELECT row_id, string_agg(CASE WHEN fwd THEN '0' ELSE '1' END, ',' ORDER BY frame_no) AS dirs, string_agg(CAST(wire_len AS VARCHAR), ',' ORDER BY frame_no) AS sizes, max(round((ts_us - t0) / 1e6, 6)) AS last_time
+FROM q JOIN f USING (user_id, session, segment) WHERE rn <= 32 GROUP BY row_id"""),
     "flag_counters": (flag_counters, f"WITH {_PK}, {sessions_sql(MID)}, {flows_sql(more=_FLAG_SQL)} SELECT row_id, " + ", ".join(f"{x}_{y}" for x in ("syn", "fin", "rst", "psh", "ack", "urg", "ece", "cwr") for y in ("fwd", "bwd")) + " FROM f"),
     "spec_aggregation": (spec_aggregation, f"""WITH RECURSIVE e AS (SELECT *, CASE WHEN up THEN client ELSE '192.168.10.50' END AS src_ip, CASE WHEN up THEN '192.168.10.50' ELSE client END AS dst_ip FROM pk), {_PK}, x AS (
   SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY src_ip, dst_ip ORDER BY frame_no) > {IDLE[1] * SECOND} THEN 1 ELSE 0 END AS new FROM e

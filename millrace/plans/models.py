@@ -35,24 +35,24 @@ def pca_scores(spark, d):
 
 def rf_report(spark, d):
     train, test = _split(spark, d)
-    return mo.evaluate(mo.fit(train, "rf", numTrees=20, maxDepth=8), test)
+    return mo.evaluate(mo.fit(train, "rf"), test)
 
 
 def logreg_report(spark, d):
     train, test = _split(spark, d)
-    return mo.evaluate(mo.fit(train, "logreg", maxIter=20), test)
+    return mo.evaluate(mo.fit(train, "logreg"), test)
 
 
 def kshot_report(spark, d):
     """A logistic head on k rows of each class, on one fixed test set."""
     train, test = _split(spark, d)
-    return mo.evaluate(mo.fit(sa.k_shot(train, "label", "vec_id", 5), "logreg", maxIter=20), test, "union")
+    return mo.evaluate(mo.fit(sa.k_shot(train, "label", "vec_id", 5), "logreg"), test, "union")
 
 
 def transfer_matrix(spark, d):
     train, test = _split(spark, d)
     halves = {n: (train.where(f"vec_id % 2 = {i}"), test.where(f"vec_id % 2 = {i}")) for i, n in enumerate(("even", "odd"))}
-    return mo.transfer_matrix(halves, "logreg", maxIter=10)
+    return mo.transfer_matrix(halves, "logreg")
 
 
 QUERIES = {f.__name__: (f, None) for f in (knn_score, mahalanobis_score, pca_scores, rf_report, logreg_report, kshot_report, transfer_matrix)}

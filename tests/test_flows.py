@@ -243,3 +243,34 @@ def test_exclusive_sources_read_every_frame(spark):
     assert sole and {tuple(r) for r in labels.exclusive_sources_all(spark, d).collect()} == set(sole)
     rules = labels.derive_rules_all(spark, d).collect()
     assert sum(r.n_rows for r in rules) == sum(len(v) for v in sole.values())
+
+
+def test_full_queries_keep_what_the_operators_keep(spark):
+    from millrace.plans import corpus_tables as ct_
+
+    d = "/root/testdata/sf0.001"
+    text = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    long = max(text, key=lambda i: len(text[i]))
+    b = text[long]
+    got = {f.__name__: f(spark, d).where(F.col("doc_id") == long).first() for f in (ct_.hex_bigrams_full, ct_.byte_layout_full, ct_.unit_bytes_full, ct_.header_fields_full)}
+    assert got["hex_bigrams_full"].tokens.split() == [b[24 + i : 26 + i].hex() for i in range(127)]
+    assert (got["byte_layout_full"].header[40:56], got["byte_layout_full"].payload) == (b[:8].hex(), b[8:248].hex())
+    assert got["unit_bytes_full"].bytes == pytest.approx([x / 255 for x in b[:128]], abs=1e-6)
+    assert got["header_fields_full"].p5 == int.from_bytes(b[10:12], "big")
+
+
+def test_reports_use_the_listed_model_settings(spark, monkeypatch):
+    from millrace.plans import models
+
+    made = []
+    monkeypatch.setattr(models.mo, "fit", lambda train, kind, *a, **more: made.append((kind, more)))
+    monkeypatch.setattr(models.mo, "evaluate", lambda *a: None)
+    for q in (models.rf_report, models.logreg_report, models.kshot_report):
+        q(spark, "/root/testdata/sf0.001")
+    assert made == [("rf", {}), ("logreg", {}), ("logreg", {})]
+    more = {}
+    monkeypatch.setattr(models.mo, "transfer_matrix", lambda frames, kind, **m: more.update(m))
+    models.transfer_matrix(spark, "/root/testdata/sf0.001")
+    assert more == {}
+    rf = models.mo.classifier("rf", 4, 2)
+    assert (rf.getNumTrees(), rf.getMaxDepth(), models.mo.classifier("logreg", 4, 2).getMaxIter()) == (200, 30, 100)
