@@ -6,7 +6,9 @@ most are blocked are blocked seeds; trust runs along the links between hosts (pe
 against them, and a host is blocked if its distrust is over ``RATIO`` times its trust. DataFrame functions only.
 
 Mass is counted in whole units (10**15 for each kind), so the result doesn't depend on the order of sums. Mass that
-reaches a host without links is not handed on.
+reaches a host without links is not handed on. It starts at the restart share and so only grows; rounds go on until no
+host is new and none grows by over a millionth of its mass. ``OP9_SQL`` has ``ITERATIONS`` rounds and wants a scheme in
+links, so the two agree where no host links to another, as in the given pages.
 
 Defined results: a null url or one without ``://`` has an empty host and path, which no rule and no link concerns,
 and is allowed; repeated pages count as often as they stand; links of a host to itself and repeated links between
@@ -16,7 +18,7 @@ table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.llm.common import ascii_lower, bounded, cut
@@ -24,7 +26,10 @@ from millrace.llm.common import ascii_lower, bounded, cut
 #: (host, path, verdict) of the registered query.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 MASS = 10**15
+#: The rounds of ``OP9_SQL``.
 ITERATIONS = 8
+#: After 250 rounds under one of the 10**15 units is on the move, so this is not reached.
+MAX_ROUNDS = 400
 RATIO = 2
 
 
@@ -47,12 +52,12 @@ def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 
 def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst): distinct links between different hosts."""
-    targets = F.regexp_extract_all(F.col(html_col), F.lit(r"""(?i)href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""), F.lit(1))
+    targets = F.regexp_extract_all(F.col(html_col), F.lit(r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""), F.lit(1))
     links = pages.select(url_host(F.col(url_col)).alias("src"), F.explode(F.array_distinct(targets)).alias("to"))
     return links.select("src", ascii_lower(F.col("to")).alias("dst")).where("src <> dst AND src <> '' AND dst <> ''").distinct()
 
 
-def spread(links: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
+def spread(links: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(kind, host, mass) of the seeds (kind, host): kind ``trust`` runs along links, ``distrust`` against them."""
     forward = links.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"))
     edges = forward.union(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to")))
@@ -63,15 +68,20 @@ def spread(links: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS) ->
     restart = start.select("kind", "host", F.expr("mass * 15 div 100").alias("mass"))
     if not edges.limit(1).count():
         return restart
-    rank = start
-    for _ in range(iterations):
-        given = rank.join(degrees, ["kind", "host"]).select("kind", "host", F.expr("mass * 85 div 100 div degree").alias("mass"))
-        moved = edges.join(given, ["kind", "host"]).select("kind", F.col("to").alias("host"), "mass")
-        rank = cut(moved.union(restart).groupBy("kind", "host").agg(F.sum("mass").alias("mass")))
-    return rank
-
-
-def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url_col: str = "url", html_col: str = "html", iterations: int = ITERATIONS, ratio: int = RATIO) -> DataFrame:
+    rank = restart
+    for _ in range(max_rounds):
+        given = rank.join(degrees, ["kind", "host"]).select("kind", "host", F.expr("mass * 85 div 100 div degree").alias("mass")).where("mass > 0")
+        moved = edges.join(given, ["kind", "host"]).select("kind", F.col("to").alias("host"), "mass").union(restart)
+        both = moved.withColumn("old", F.lit(None).cast("long")).union(rank.select("kind", "host", F.lit(0).cast("long"), "mass"))
+        grown = both.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.max("old").alias("old"))
+        seen = Observation()
+        rank = cut(grown.observe(seen, F.count_if(F.expr("old IS NULL OR mass - old > old div 1000000 + 1")).alias("changed"))).select("kind", "host", "mass")
+        if not seen.get["changed"]:
+            return rank
+    raise RuntimeError(f"trust did not settle in {max_rounds} rounds")
+
+
+def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url_col: str = "url", html_col: str = "html", max_rounds: int = MAX_ROUNDS, ratio: int = RATIO) -> DataFrame:
     """(page id, host, path, rule, verdict, trust, distrust) of each page; ``rules`` has rule_host, rule_path, verdict."""
     urls = pages.select(F.col(page_id).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     hosts = urls.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
@@ -84,7 +94,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", ur
     votes = ruled(urls).where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("hit.verdict") == "allow").alias("allowed"), F.count_if(F.col("hit.verdict") == "block").alias("blocked"))
     kind = F.when(F.col("allowed") * 2 > F.col("n"), "trust").when(F.col("blocked") * 2 > F.col("n"), "distrust")
     seeds = cut(votes.select(kind.alias("kind"), "host").where("kind IS NOT NULL"))
-    rank = spread(host_links(pages, url_col, html_col), seeds, iterations)
+    rank = spread(host_links(pages, url_col, html_col), seeds, max_rounds)
     by_host = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("mass"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("mass"))).alias("distrust"))
     judged = ruled(urls).join(bounded(cut(by_host)), "host", "left").fillna(0, ["trust", "distrust"])
     own = F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow")

@@ -421,6 +421,17 @@ def test_url_filter_rules_and_trust(spark):
     assert url_filter.op9_url_filter(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_url_filter_spreads_until_it_settles(spark):
+    """A chain of 13 hosts to a blocked seed, its links without schemes, and a ring whose mass has a known limit."""
+    chain = [f"h{i}.org" for i in range(13)] + ["bad.net"]
+    pages = [(i, f"http://{a}/", f'<a href="//{b}/x">x</a>') for i, (a, b) in enumerate(zip(chain, chain[1:]))] + [(13, "http://bad.net/es/1", "")]
+    ring = ["good.com", "r1.org", "r2.org"]
+    pages += [(20 + i, f"http://{a}/", f"<a href=https://{ring[(i + 1) % 3]}/>x</a>") for i, a in enumerate(ring)]
+    got = {r.page_id: r for r in url_filter.op9_url_filter(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i].verdict == "block" and got[i].distrust == pytest.approx(url_filter.MASS * 0.15 * 0.85 ** (13 - i), rel=1e-5) for i in range(13))
+    assert [got[20 + i].trust for i in range(3)] == pytest.approx([url_filter.MASS * 0.15 * 0.85**i / (1 - 0.85**3) for i in range(3)], rel=1e-5)
+
+
 # ---------------------------------------------------------------- op10
 
 
