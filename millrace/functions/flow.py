@@ -234,6 +234,28 @@ def unit_bytes(packet: Column, length: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.coalesce(byte_at(b, i), F.lit(0)) / 255.0)
 
 
+def flow_bigrams(packets: Column, skip: int = 24, most: int = 127) -> Column:
+    """P18 of a flow: the first tokens over an array of its packets."""
+    return F.slice(F.flatten(F.transform(packets, lambda p: hex_bigrams(p, skip, most))), 1, most)
+
+
+def flow_layout(packets: Column, count: int = 5, header: int = 80, payload: int = 240) -> Column:
+    """P20 of a flow: header and payload slots of its first packets as hex, zero-filled for missing ones."""
+
+    def slots(p: Column) -> Column:
+        one = header_layout(p, header, payload)
+        return F.concat(one["header"], one["payload"])
+
+    size = 2 * count * (header + payload)
+    return F.rpad(F.array_join(F.transform(F.slice(packets, 1, count), slots), ""), size, "0")
+
+
+def flow_image(packets: Column, count: int = 32, length: int = 128) -> Column:
+    """The bytes of a flow's first packets, each cut or zero-filled to ``length``, as one binary: what ``embed`` takes."""
+    rows = F.transform(F.slice(packets, 1, count), lambda p: F.rpad(F.hex(F.substring(p, 1, length)), 2 * length, "0"))
+    return F.unhex(F.rpad(F.array_join(rows, ""), 2 * count * length, "0"))
+
+
 def unidirectional_rows(pkts_bwd: Column) -> Column:
     """P25: how many one-way flows a flow stands for."""
     return F.when(F.coalesce(pkts_bwd, F.lit(0)) > 0, 2).otherwise(1)

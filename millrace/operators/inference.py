@@ -79,14 +79,52 @@ def complete_blocks(scores: DataFrame, treatment: str = "tool", block: str = "bl
 
 
 def friedman(scores: DataFrame, treatment: str = "tool", block: str = "block", score: str = "score") -> DataFrame:
-    """Chi-square with tie correction, treatments and blocks, over complete blocks; higher scores rank first."""
+    """Chi-square with tie correction and its upper tail ``p``, treatments and blocks, over complete blocks; higher scores rank first."""
     full = complete_blocks(scores, treatment, block).withColumn("rank", average_rank(F.col(score), [block]))
     ties = full.groupBy(block, score).agg(F.count(F.lit(1)).alias("t")).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     sums = full.groupBy(treatment).agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n"))
     s = sums.agg(F.sum(F.col("r") * F.col("r")).alias("ssr"), F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).join(F.broadcast(ties), F.lit(True))
     k, n = F.col("k"), F.col("n")
     raw = 12 / (n * k * (k + 1)) * F.col("ssr") - 3 * n * (k + 1)
-    return s.select(k, n, (raw / (1 - F.col("ties") / (n * k * (k * k - 1)))).alias("chi_square"))
+    out = s.select(k, n, (raw / (1 - F.col("ties") / (n * k * (k * k - 1)))).alias("chi_square"))
+    return out.withColumn("p", F.udf(chi_square_tail, "double")("chi_square", (F.col("k") - 1).cast("int")))
+
+
+def chi_square_tail(x: float | None, df: int | None) -> float | None:
+    """Upper tail of chi-square with ``df`` degrees of freedom: an exponential or normal tail and a finite sum."""
+    if x is None or df is None or df < 1 or math.isnan(x):
+        return None
+    if x <= 0:
+        return 1.0
+    half, a = x / 2, 0.5 if df % 2 else 1.0
+    tail = math.erfc(math.sqrt(half)) if df % 2 else math.exp(-half)
+    while a < df / 2:
+        tail += math.exp(a * math.log(half) - half - math.lgamma(a + 1))
+        a += 1
+    return min(1.0, tail)
+
+
+def nemenyi_quantile(k: int | None, alpha: float = 0.05) -> float | None:
+    """The studentised range quantile over sqrt(2) for ``k`` treatments: the table's value, or found by bisection beyond it."""
+    if k is None or k < 2:
+        return None
+    return NEMENYI_Q.get(k) or studentised_range(k, alpha)
+
+
+def studentised_range(k: int, alpha: float = 0.05) -> float:
+    def above(q: float) -> float:
+        step, total = 0.02, 0.0
+        for i in range(-400, 401 + int(q / step)):
+            z = i * step
+            inside = max(0.0, 0.5 * (math.erf(z / math.sqrt(2)) - math.erf((z - q) / math.sqrt(2))))
+            total += step * math.exp(-z * z / 2) / math.sqrt(2 * math.pi) * inside ** (k - 1)
+        return 1 - k * total
+
+    lo, hi = 0.0, 20.0
+    while hi - lo > 1e-6:
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if above(mid) > alpha else (lo, mid)
+    return lo / math.sqrt(2)
 
 
 def mean_ranks(scores: DataFrame, treatment: str = "tool", block: str = "block", score: str = "score") -> DataFrame:
@@ -98,10 +136,10 @@ def nemenyi(scores: DataFrame, treatment: str = "tool", block: str = "block", sc
     """Rank gaps of all pairs of treatments (a few names) and whether they exceed the critical difference."""
     r = mean_ranks(scores, treatment, block, score)
     k = F.count(F.lit(1)).over(W.partitionBy())
-    q = F.try_element_at(F.create_map(*[F.lit(x) for kv in NEMENYI_Q.items() for x in kv]), F.col("k").cast("int"))
     r = r.withColumn("k", k)
     a, b = r.select(F.col(treatment).alias("a"), F.col("mean_rank").alias("ra"), "k", "n_blocks"), r.select(F.col(treatment).alias("b"), F.col("mean_rank").alias("rb"))
     pairs = a.join(F.broadcast(b), F.col("a") < F.col("b")).withColumn("gap", F.abs(F.col("ra") - F.col("rb")))
+    q = F.lit(nemenyi_quantile(r.count())).cast("double")
     cd = q * F.sqrt(F.col("k") * (F.col("k") + 1) / (6 * F.col("n_blocks")))
     return pairs.select("a", "b", "gap", cd.alias("critical"), (F.col("gap") > cd).alias("differs"))
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from millrace.functions.flow import FLAGS, endpoint_key
 
 KEY = ("capture", "key")
+#: The bytes kept of each packet of a sequence.
+PACKET_BYTES = 128
 
 
 def idle_sessions(packets: DataFrame, idle_us: int, keys: Sequence[str] = KEY, time: str = "ts_us", order: str = "frame_no") -> DataFrame:
@@ -54,7 +56,8 @@ def assemble(packets: DataFrame, idle_us: int, active_us: int | None = None, seq
 
     A flow ends after a gap over ``idle_us`` or when a packet comes more than ``active_us`` after its start. Its
     initiator is the sender of its first packet; times follow the order of frames. ``sequence`` keeps that many first
-    packets' directions, offsets and sizes; ``extra`` aggregates over the flow's packets (``fwd`` tells the direction).
+    packets' directions, offsets and sizes, and where there are ``ip_bytes`` the first 128 bytes of each as ``packet_bytes``
+    (``functions.flow`` has tokens, layout and image of these); ``extra`` aggregates over the flow's packets (``fwd`` tells the direction).
     """
     s = segmented(packets, idle_us, active_us)
     group = (*KEY, "session", "segment")
@@ -68,13 +71,16 @@ def assemble(packets: DataFrame, idle_us: int, active_us: int | None = None, seq
         F.count_if("fwd").alias("pkts_fwd"), F.count_if(~F.col("fwd")).alias("pkts_bwd"),
         F.coalesce(F.sum(F.when(F.col("fwd"), F.col("wire_len"))), F.lit(0)).alias("bytes_fwd"), F.coalesce(F.sum(F.when(~F.col("fwd"), F.col("wire_len"))), F.lit(0)).alias("bytes_bwd"),
     ]
+    kept = [("dir", "dirs"), ("t", "times"), ("size", "sizes")]
     if sequence:
+        content = [F.coalesce(F.substring("ip_bytes", 1, PACKET_BYTES), F.lit(b"")).alias("bytes")] if "ip_bytes" in packets.columns else []
+        kept += [("bytes", "packet_bytes")] if content else []
         s = s.withColumn("_rn", F.row_number().over(w))
-        item = F.struct("frame_no", F.when(F.col("fwd"), 0).otherwise(1).alias("dir"), F.round((F.col("ts_us") - F.col("_first.ts_us")) / 1e6, 6).alias("t"), F.col("wire_len").alias("size"))
+        item = F.struct("frame_no", F.when(F.col("fwd"), 0).otherwise(1).alias("dir"), F.round((F.col("ts_us") - F.col("_first.ts_us")) / 1e6, 6).alias("t"), F.col("wire_len").alias("size"), *content)
         aggs.append(F.array_sort(F.collect_list(F.when(F.col("_rn") <= sequence, item))).alias("_seq"))
     flows = s.groupBy(*group).agg(*aggs, *extra).select("*", "_e.*").drop("_e")
     if sequence:
-        flows = flows.select("*", *[F.col(f"_seq.{f}").alias(n) for f, n in (("dir", "dirs"), ("t", "times"), ("size", "sizes"))]).drop("_seq")
+        flows = flows.select("*", *[F.col(f"_seq.{f}").alias(n) for f, n in kept]).drop("_seq")
     return flows.withColumns({"t_start": F.col("t_start_us") / 1e6, "t_end": F.col("t_end_us") / 1e6, "duration": (F.col("t_end_us") - F.col("t_start_us")) / 1e6})
 
 

@@ -274,3 +274,26 @@ def test_reports_use_the_listed_model_settings(spark, monkeypatch):
     assert more == {}
     rf = models.mo.classifier("rf", 4, 2)
     assert (rf.getNumTrees(), rf.getMaxDepth(), models.mo.classifier("logreg", 4, 2).getMaxIter()) == (200, 30, 100)
+
+
+def test_flows_keep_packet_bytes(spark):
+    head = bytes.fromhex("450000280000000040110000") + bytes(8) + bytes(8)
+    rows = [("c", i, i * US, "1.1.1.1", 1, "2.2.2.2", 2, 17, 60, 0, bytearray(head + bytes(range(1, 201)))) for i in range(40)]
+    f = se.assemble(spark.createDataFrame(rows, PACKET + ", ip_bytes binary"), 120 * US, sequence=32)
+    got = f.select("packet_bytes", fn.flow_bigrams(F.col("packet_bytes")).alias("tokens"), fn.flow_layout(F.col("packet_bytes")).alias("layout"), fn.flow_image(F.col("packet_bytes")).alias("image")).first()
+    kept = head + bytes(range(1, 101))
+    assert [bytes(b) for b in got.packet_bytes] == [kept] * 32
+    body = kept[24:]
+    assert got.tokens == ([body[i : i + 2].hex() for i in range(len(body) - 1)] * 2)[:127]
+    assert bytes.fromhex(got.layout) == (kept[:28] + bytes(52) + kept[28:] + bytes(140)) * 5
+    assert bytes(got.image) == kept * 32
+
+
+def test_friedman_tail_and_wide_nemenyi(spark):
+    assert [inf.chi_square_tail(x, k) for x, k in ((3.841459, 1), (5.991465, 2), (7.814728, 3), (18.307038, 10))] == pytest.approx([0.05] * 4, rel=1e-5)
+    assert [inf.studentised_range(k) for k in (2, 5, 10)] == pytest.approx([inf.NEMENYI_Q[k] for k in (2, 5, 10)], abs=1e-3)
+    rows = [(f"t{i:02}", f"b{b}", float(i)) for i in range(12) for b in range(5)]
+    s = spark.createDataFrame(rows, "tool string, block string, score double")
+    assert inf.friedman(s).first().p == pytest.approx(inf.chi_square_tail(55.0, 11))
+    pairs = {(r.a, r.b): r.differs for r in inf.nemenyi(s).collect()}
+    assert len(pairs) == 66 and pairs["t00", "t11"] is True and pairs["t00", "t01"] is False
