@@ -1,17 +1,23 @@
 """Packet captures as a Spark source: ``spark.read.format("pcap").load(folder or file)``.
 
-One partition for each capture file. Classic pcap (micro- or nanoseconds, either byte order) and pcapng; VLAN tags are
+One partition for each 64 MB or so of a capture file that executors can open: a pass over the record headers finds where
+records start, and each task seeks and reads its range. Classic pcap (micro- or nanoseconds, either byte order) and pcapng; VLAN tags are
 taken off, IPv4 and IPv6 kept, other frames dropped but counted in ``frame_no``. A capture cut at its end gives its
-complete records. Files are read through Hadoop's file systems, by the ``binaryFile`` reader, in ``read_captures``;
-the data source reads paths that every executor can open.
+complete records; ``tails`` counts the dropped one. Files of other stores are read through Hadoop's file systems, by the
+``binaryFile`` reader, whole in one task and up to 2 GiB each.
 """
 
 from __future__ import annotations
 
 import glob
+import hashlib
+import io
+import itertools
+import json
 import os
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,37 +28,54 @@ SCHEMA = "capture string, frame_no bigint, ts_us bigint, src_ip string, src_port
 VLAN = {0x8100, 0x88A8, 0x9100}
 
 
-def records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(time in microseconds, length on the wire, frame) of every complete record; the end of a cut file is left out."""
-    magic = data[:4]
-    if magic == b"\x0a\x0d\x0d\x0a":
-        yield from _pcapng(data)
-        return
-    order = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}.get(magic)
-    if order is None:
-        raise ValueError("this file is no packet capture")
-    head, at = struct.Struct(order[0] + "IIII"), 24
-    while at + 16 <= len(data):
-        sec, frac, kept, wire = head.unpack_from(data, at)
-        if at + 16 + kept > len(data):
+ORDERS = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
+RANGE = 64 << 20
+
+
+def scan(f: BinaryIO, size: int, at: int = 0, stop: int | None = None, state: tuple | None = None, content: bool = True) -> Iterator[tuple]:
+    """(start, end, state before it, record) of every complete record or block from ``at`` up to ``stop``.
+
+    A record is (time in microseconds, length on the wire, frame), empty without ``content``, and None for blocks that
+    are no packets. ``state`` is the byte order and the units of time; with it a scan can begin at any start.
+    """
+    f.seek(at)
+    if state is None:
+        magic = f.read(4)
+        if magic == b"\x0a\x0d\x0d\x0a":
+            state = ("ng", "<", ())
+        elif magic in ORDERS:
+            state, at = ("classic", *ORDERS[magic]), 24
+        else:
+            raise ValueError("this file is no packet capture")
+    stop = size if stop is None else stop
+    yield from (_classic if state[0] == "classic" else _pcapng)(f, size, at, stop, state, content)
+
+
+def _classic(f: BinaryIO, size: int, at: int, stop: int, state: tuple, content: bool) -> Iterator[tuple]:
+    head = struct.Struct(state[1] + "IIII")
+    while at + 16 <= size and at < stop:
+        f.seek(at)
+        sec, frac, kept, wire = head.unpack(f.read(16))
+        end = at + 16 + kept
+        if end > size:
             return
-        yield sec * 1_000_000 + frac // order[1], wire, data[at + 16 : at + 16 + kept]
-        at += 16 + kept
-
-
-def _pcapng(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    at, end, units = 0, "<", []
-    while at + 12 <= len(data):
-        kind = data[at : at + 4]
-        if kind == b"\x0a\x0d\x0d\x0a":
-            end, units = ("<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"), []
-        size = struct.unpack_from(end + "I", data, at + 4)[0]
-        if size < 12 or at + size > len(data):
+        yield at, end, state, (sec * 1_000_000 + frac // state[2], wire, f.read(kept)) if content else ()
+        at = end
+
+
+def _pcapng(f: BinaryIO, size: int, at: int, stop: int, state: tuple, content: bool) -> Iterator[tuple]:
+    _, end, units = state
+    while at + 12 <= size and at < stop:
+        f.seek(at)
+        head, before, record = f.read(12), ("ng", end, units), None
+        if head[:4] == b"\x0a\x0d\x0d\x0a":
+            end, units = ("<" if head[8:12] == b"\x4d\x3c\x2b\x1a" else ">"), ()
+        block, length = struct.unpack(end + "II", head[:8])
+        if length < 12 or at + length > size:
             return
-        block = struct.unpack(end + "I", kind)[0]
         if block == 1:  # an interface: option 9 is the unit of its times
-            unit, o = 1_000_000, at + 16
-            while o + 4 <= at + size - 4:
+            data, unit, o = head + f.read(length - 12), 1_000_000, 16
+            while o + 4 <= length - 4:
                 code, n = struct.unpack_from(end + "HH", data, o)
                 if code == 9 and n:
                     v = data[o + 4]
@@ -60,12 +83,28 @@ def _pcapng(data: bytes) -> Iterator[tuple[int, int, bytes]]:
                 if code == 0:
                     break
                 o += 4 + (n + 3) // 4 * 4
-            units.append(unit)
+            units = (*units, unit)
         elif block == 6:
-            face, hi, lo, kept, wire = struct.unpack_from(end + "IIIII", data, at + 8)
-            ticks = (hi << 32) | lo
-            yield ticks * 1_000_000 // (units[face] if face < len(units) else 1_000_000), wire, data[at + 28 : at + 28 + kept]
-        at += size
+            record = ()
+            if content:
+                data = head + f.read(length - 12)
+                face, hi, lo, kept, wire = struct.unpack_from(end + "IIIII", data, 8)
+                record = ((hi << 32 | lo) * 1_000_000 // (units[face] if face < len(units) else 1_000_000), wire, data[28 : 28 + kept])
+        yield at, at + length, before, record
+        at += length
+
+
+def ranges(path: str, target: int = RANGE) -> tuple[list[tuple], int]:
+    """(start, stop, number of the first record, state) of each part of a file, and how many cut records end it (0 or 1)."""
+    size, found, number = os.path.getsize(path), [], 0
+    with open(path, "rb") as f:
+        last = 0 if f.read(4) == b"\x0a\x0d\x0d\x0a" else 24
+        for at, end, state, record in scan(f, size, content=False):
+            if not found or at - found[-1][0] >= target:
+                found.append((at, number, state))
+            number, last = number + (record is not None), end
+    stops = [x[0] for x in found[1:]] + [last]
+    return [(at, stop, no, state) for (at, no, state), stop in zip(found, stops, strict=bool(found))], int(size > last)
 
 
 def ip_packet(frame: bytes) -> tuple | None:
@@ -96,30 +135,37 @@ def _ipv6(b: bytes) -> str:
     return str(ipaddress.IPv6Address(b))
 
 
-def packet_rows(name: str, data: bytes) -> Iterator[tuple]:
-    for no, (ts, wire, frame) in enumerate(records(data)):
-        p = ip_packet(frame)
-        if p:
-            yield (name, no, ts, p[0], p[1], p[2], p[3], p[4], wire, p[5], bytes(p[6]))
+def packet_rows(name: str, f: BinaryIO, size: int, at: int = 0, stop: int | None = None, number: int = 0, state: tuple | None = None) -> Iterator[tuple]:
+    for _, _, _, record in scan(f, size, at, stop, state):
+        if record is not None:
+            p = ip_packet(record[2])
+            if p:
+                yield (name, number, record[0], p[0], p[1], p[2], p[3], p[4], record[1], p[5], bytes(p[6]))
+            number += 1
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def range_rows(name: str, path: str, at: int, stop: int, number: int, state: tuple) -> Iterator[tuple]:
+    with open(path, "rb") as f:
+        yield from packet_rows(name, f, os.path.getsize(path), at, stop, number, state)
+
+
+class _Range(InputPartition):
+    def __init__(self, path: str, part: tuple):
+        self.path, self.part = path, part
 
 
 class PcapReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root = options["path"]
+        self.root, self.options = options["path"], options
 
     def partitions(self) -> list[InputPartition]:
         files = sorted(glob.glob(os.path.join(self.root, "*.pcap*"))) if os.path.isdir(self.root) else [self.root]
-        return [_File(f) for f in files]
+        size = int(self.options.get("rangeBytes", RANGE))
+        return [_Range(f, part) for f in files for part in ranges(f, size)[0]]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def read(self, partition: _Range) -> Iterator[tuple]:
         name = os.path.basename(partition.path).split(".")[0]
-        with open(partition.path, "rb") as f:
-            yield from packet_rows(name, f.read())
+        yield from range_rows(name, partition.path, *partition.part)
 
 
 class PcapDataSource(DataSource):
@@ -138,24 +184,55 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PcapDataSource)
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Packets of capture files in any store that Spark reads; one task for each file."""
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.[^/]*)?$", 1).alias("capture"), "content")
+def _files(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """The ``binaryFile`` table and whether all its files lie on paths that executors open; its contents stay unread."""
+    files = spark.read.format("binaryFile").load(path)
+    return files, not files.where("NOT startswith(path, 'file:')").limit(1).count()
+
+
+def _local(path: str) -> str:
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    while part := list(itertools.islice(rows, 10_000)):
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in part], schema=_ARROW)
+
+
+def read_captures(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+    """Packets of capture files; one task reads about ``range_bytes``, or a file of a store that only Spark opens."""
+    files, local = _files(spark, path)
+    name = F.regexp_extract("path", r"([^/]+?)(\.[^/]*)?$", 1).alias("capture")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for capture, where in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                made = [json.dumps(part) for part in ranges(_local(where), range_bytes)[0]]
+                yield pa.RecordBatch.from_pydict({"capture": [capture] * len(made), "path": [where] * len(made), "part": made}, schema=pa.schema([("capture", pa.string()), ("path", pa.string()), ("part", pa.string())]))
+
+    def parse_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                yield from _batches(range_rows(r["capture"], _local(r["path"]), *json.loads(r["part"])))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                part: list[tuple] = []
-                for row in packet_rows(name, data.as_py()):
-                    part.append(row)
-                    if len(part) == 10_000:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in part], schema=_ARROW)
-                        part = []
-                if part:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in part], schema=_ARROW)
+            for capture, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                content = data.as_py()
+                yield from _batches(packet_rows(capture, io.BytesIO(content), len(content)))
+
+    if not local:
+        return files.select(name, "content").mapInArrow(parse, SCHEMA)
+    tasks = files.agg(F.sum(F.ceil(F.col("length") / range_bytes))).first()[0] or 1
+    found = files.select(name, "path").mapInArrow(parts, "capture string, path string, part string")
+    return found.repartition(tasks).mapInArrow(parse_parts, SCHEMA)
 
-    return files.mapInArrow(parse, SCHEMA)
+
+def tails(spark: SparkSession, path: str) -> DataFrame:
+    """(path, dropped): how many cut records, 0 or 1, end each file on a path that executors open."""
+    count = F.udf(lambda p: ranges(_local(p))[1], "int")
+    return spark.read.format("binaryFile").load(path).select("path", count("path").alias("dropped"))
 
 
 _ARROW = pa.schema([("capture", pa.string()), ("frame_no", pa.int64()), ("ts_us", pa.int64()), ("src_ip", pa.string()), ("src_port", pa.int32()), ("dst_ip", pa.string()), ("dst_port", pa.int32()), ("proto", pa.int32()), ("wire_len", pa.int32()), ("tcp_flags", pa.int32()), ("ip_bytes", pa.binary())])
@@ -163,7 +240,17 @@ _ARROW = pa.schema([("capture", pa.string()), ("frame_no", pa.int64()), ("ts_us"
 
 def fingerprints(spark: SparkSession, path: str, edge: int = 4 << 20) -> DataFrame:
     """K3: (path, fingerprint): SHA-256 over a file's name, size, first and last 4 MiB."""
-    files = spark.read.format("binaryFile").load(path)
+    files, local = _files(spark, path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
+    if local:
+
+        def edges(where: str, size: int) -> str:
+            with open(_local(where), "rb") as f:
+                digest = hashlib.sha256(f"{where.rsplit('/', 1)[-1]}|{size}".encode() + f.read(edge))
+                f.seek(max(size - edge, 0))
+                digest.update(f.read(edge))
+            return digest.hexdigest()
+
+        return files.select("path", "length", F.udf(edges, "string")("path", "length").alias("fingerprint"))
     head, tail = F.substring("content", 1, edge), F.substring("content", F.greatest(F.length("content") - edge, F.lit(0)) + 1, F.lit(edge))
     return files.select("path", "length", F.sha2(F.concat(F.concat_ws("|", name, F.col("length").cast("string")).cast("binary"), head, tail), 256).alias("fingerprint"))

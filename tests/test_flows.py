@@ -297,3 +297,25 @@ def test_friedman_tail_and_wide_nemenyi(spark):
     assert inf.friedman(s).first().p == pytest.approx(inf.chi_square_tail(55.0, 11))
     pairs = {(r.a, r.b): r.differs for r in inf.nemenyi(s).collect()}
     assert len(pairs) == 66 and pairs["t00", "t11"] is True and pairs["t00", "t01"] is False
+
+
+def test_captures_are_read_by_ranges(spark, tmp_path):
+    (tmp_path / "one.pcap").write_bytes(pcap_bytes())
+    (tmp_path / "two.pcap").write_bytes(pcap_bytes(cut=7))
+    frame = pcap_bytes()[40:94]
+    block = lambda kind, body: struct.pack("<II", kind, len(body) + 12) + body + struct.pack("<I", len(body) + 12)
+    packet = block(6, struct.pack("<IIIII", 0, 0, 5_000, len(frame), 60) + frame + bytes(-len(frame) % 4))
+    (tmp_path / "ng.pcap").write_bytes(block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack("<HHIHHB3xHH", 1, 0, 0, 9, 1, 3, 0, 0)) + packet * 3)
+    pcap.register(spark)
+    want = [("ng", 0), ("ng", 1), ("ng", 2), ("one", 0), ("one", 1), ("one", 3), ("two", 0), ("two", 1)]
+    for df in (spark.read.format("pcap").option("rangeBytes", 50).load(str(tmp_path)), pcap.read_captures(spark, str(tmp_path), 50)):
+        assert df.rdd.getNumPartitions() > 10
+        assert {r.ts_us for r in df.where("capture = 'ng'").collect()} == {5_000_000}
+        assert sorted((r.capture, r.frame_no) for r in df.collect()) == want
+    assert {r.path[-8:]: r.dropped for r in pcap.tails(spark, str(tmp_path)).collect()} == {"one.pcap": 0, "two.pcap": 1, "/ng.pcap": 0}
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 100)  # as for files over Spark's limit
+    try:
+        assert len(pcap.read_captures(spark, str(tmp_path)).collect()) == 8
+        assert len(pcap.fingerprints(spark, str(tmp_path), 64).collect()) == 3
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
