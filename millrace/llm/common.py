@@ -15,6 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows that a table may have at most to be broadcast: 2 million rows of a few longs, under 100 MB in memory.
 BROADCAST_ROWS = 2_000_000
+#: Bytes that a table of uneven rows may have at most to be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``, or where it is unset (tests) a new temporary one."""
+    """The folder that all executors see: ``spark.checkpoint.dir``; where it is unset a new temporary one, on a local master only."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
     return folder or sc._jsc.sc().getCheckpointDir().get()
 
@@ -48,6 +52,12 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def bounded_bytes(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Like ``bounded`` for rows of uneven size: ``size`` gives the bytes of a row."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -60,9 +70,14 @@ def unique_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def every(df: DataFrame) -> list[Column]:
     """All columns of ``df``, whatever signs their names have."""
-    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    return [column(c) for c in df.columns]
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
@@ -70,7 +85,3 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     names = [unique_name(df, f"column_{i}") if set(c) & set(".`") else c for i, c in enumerate(df.columns)]
     return df.toDF(*names).mapInArrow(function, schema)
 
-
-def sql_rows(ddl: str) -> str:
-    """Squeeze a multi-line schema string."""
-    return " ".join(ddl.split())

@@ -1,13 +1,15 @@
 """Line deduplication across documents: lines that many documents repeat are dropped (DataFrame functions only).
 
-Lines are exploded as hashes of their normalised form, distinct documents are counted per hash, frequent hashes
-are joined back, and each text is reassembled from its remaining lines in their order.
+Lines are exploded as (document, position, hash of the normalised form), distinct documents are counted per hash,
+frequent hashes are joined back, and each text is reassembled from the positions that stay, in their order.
 
 Defined results:
 * a null or empty text is one empty line; nothing is dropped from it;
 * a document is a ``doc_id``: rows that repeat one count once, and lose the same lines;
 * rows whose ``doc_id`` is null count for nothing and keep every line;
-* an empty table gives an empty table, and columns other than the id and the text pass through unchanged.
+* texts are read whole; a very long one costs time in proportion to its length, whatever number of its lines goes;
+* an empty table gives an empty table, and columns other than the id and the text pass through unchanged, whatever
+  signs their names have; new columns whose names clash get an underscore in front.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ascii_lower, bounded, cut, unique_name
+from millrace.llm.common import ascii_lower, bounded, bounded_bytes, column, cut, every, unique_name, written
 
 #: Characters stripped at both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -31,10 +33,18 @@ def line_hash(line: Column, min_chars: int) -> Column:
     return F.when(F.length(key) >= min_chars, F.unhex(F.md5(key)))
 
 
-def frequent_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
+def long_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(id, text_hash, pos, line_hash): every line that is long enough to count, by its position from 0.
+
+    Rows of equal id and text have the same lines, so the id and 64 bits of the text's hash stand for the row.
+    """
+    keyed = F.filter(F.transform(F.split(column(text_col), "\n"), lambda x, i: F.struct(i.alias("pos"), line_hash(x, min_chars).alias("line_hash"))), lambda x: x["line_hash"].isNotNull())
+    rows = docs.where(column(id_col).isNotNull()).select(column(id_col).alias("id"), F.xxhash64(column(text_col)).alias("text_hash"), F.explode(keyed).alias("line"))
+    return rows.select("id", "text_hash", "line.pos", "line.line_hash")
+
+
+def frequent_lines(lines: DataFrame, min_docs: int) -> DataFrame:
     """(line_hash, keeper): keys in at least ``min_docs`` documents, and the largest id that holds each."""
-    hashes = F.array_distinct(F.filter(F.transform(F.split(text_col, "\n"), lambda x: line_hash(x, min_chars)), lambda h: h.isNotNull()))
-    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(hashes).alias("line_hash"))
     # Distinct documents are counted by (hash, id) first, so a line in a third of all documents is spread over the ids.
     counted = lines.groupBy("line_hash").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper"))
     return counted.where(F.col("n") >= min_docs).select("line_hash", "keeper")
@@ -42,19 +52,26 @@ def frequent_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int,
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text``; the columns of ``docs`` stay as they are."""
+    lines = written(long_lines(docs, id_col, text_col, min_chars))  # no texts
     # Small next to the texts, and read by a join of its own, so Spark can split a line that stands in every document.
-    frequent = bounded(cut(frequent_lines(docs, id_col, text_col, min_chars, min_docs)))
-    hashes = F.array_distinct(F.filter(F.transform(F.split(text_col, "\n"), lambda x: line_hash(x, min_chars)), lambda h: h.isNotNull()))
-    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(hashes).alias("line_hash"))
+    frequent = bounded(cut(frequent_lines(lines, min_docs)), 400_000)
     hits = lines.join(frequent, "line_hash").where(F.col("id") != F.col("keeper"))
-    drop, key = unique_name(docs, "drop_hashes"), unique_name(docs, "drop_id")
-    drops = cut(hits.groupBy(F.col("id").alias(key)).agg(F.collect_set("line_hash").alias(drop)))
-    joined = docs.join(bounded(drops, 200_000), F.col(id_col) == F.col(key), "left").drop(key)
-    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    kept = F.when(F.col(drop).isNull(), parts).otherwise(F.filter(parts, lambda x: ~F.coalesce(F.array_contains(F.col(drop), line_hash(x, min_chars)), F.lit(False))))
+    drop, key, text_hash = (unique_name(docs, n) for n in ("drop_lines", "drop_id", "drop_hash"))
+    drops = cut(hits.groupBy(F.col("id").alias(key), F.col("text_hash").alias(text_hash)).agg(F.collect_set("pos").alias(drop)))
+    small = bounded_bytes(drops, F.size(drop) * 4 + 100)
+    joined = docs.join(small, (column(id_col) == F.col(key)) & (F.xxhash64(column(text_col)) == F.col(text_hash)), "left")
+    parts = F.split(F.coalesce(column(text_col), F.lit("")), "\n")
+
+    def reassembled(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
+        kept = F.when(F.col(drop).isNull(), lines).otherwise(F.transform(stay, lambda p: F.get(lines, p)))
+        return F.struct(F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
+
+    # The lines are split once, as the only element of an array.
     names = [unique_name(docs, n) for n in ("n_lines", "n_dropped", "kept_text")]
-    with_kept = joined.select(*[F.col(c) for c in docs.columns], F.size(parts).cast("long").alias(names[0]), kept.alias(drop))
-    return with_kept.select(*docs.columns, names[0], (F.col(names[0]) - F.size(drop)).alias(names[1]), F.array_join(drop, "\n").alias(names[2]))
+    done = joined.select(*every(docs), F.transform(F.array(parts), reassembled)[0].alias(drop))
+    n_lines, kept = F.col(drop)["n_lines"], F.col(drop)["kept"]
+    return done.select(*every(docs), n_lines.alias(names[0]), (n_lines - F.size(kept)).alias(names[1]), F.array_join(kept, "\n").alias(names[2]))
 
 
 def op6_line_dedup(docs: DataFrame) -> DataFrame:
