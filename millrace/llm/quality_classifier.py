@@ -3,11 +3,12 @@
 Seven labellers vote good (1), bad (-1) or nothing (0) on each document. All documents count: Spark counts the vote
 patterns, of which there are at most 3**7, and expectation-maximisation over that table estimates each labeller's
 accuracy in good and bad documents. A logistic scorer over hashed words and word shapes is fitted to the posteriors
-of a bounded sample (about ``FIT_ROWS`` documents by a hash of id and text; fewer rows: all) and scores every document.
+of a bounded sample and scores every document. The sample has the ``FIT_ROWS`` distinct rows (id and text) of the
+smallest hashes, or all if there are fewer, each weighted by how often it stands in the table.
 
 Defined results: a document without words has quality 0 and is not kept; null text counts as empty; repeated rows
-score equally; an empty table gives an empty table; columns of the documents pass through, new names that clash
-get an underscore in front.
+score equally; texts are read whole, and a very long one is worked on alone; an empty table gives an empty table;
+columns of the documents pass through, new names that clash get an underscore in front.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm import quality_rules as qr
 from millrace.llm import text as tx
-from millrace.llm.common import map_arrow, unique_name
+from millrace.llm.common import column, map_arrow, unique_name, written
 
-#: Documents in the sample that the scorer is fitted to, about.
+#: Distinct rows that the scorer is fitted to at most.
 FIT_ROWS = 10_000
 WORD_BUCKETS = 4096
 SHAPES = 1 << len(qr.CLASSES)
@@ -98,14 +99,13 @@ def features(chunk: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return docs, which, np.concatenate([share[doc], share[doc], repeated, again]), n
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, target: np.ndarray, steps: int = 200, rate: float = 0.5, ridge: float = 1e-4) -> np.ndarray:
-    """Logistic regression on sparse rows by Adagrad over all rows; the last weight is the bias."""
+def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, target: np.ndarray, times: np.ndarray, steps: int = 200, rate: float = 0.5, ridge: float = 1e-4) -> np.ndarray:
+    """Logistic regression on sparse rows, each counted ``times``, by Adagrad over all rows; the last weight is the bias."""
     w, seen = np.zeros(N_FEATURES + 1), np.full(N_FEATURES + 1, 1e-8)
-    n = max(1, len(target))
     for _ in range(steps):
-        z = np.bincount(rows, weights=w[cols] * values, minlength=n) + w[-1]
-        off = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - target
-        g = np.append(np.bincount(cols, weights=off[rows] * values, minlength=N_FEATURES), off.sum()) / n + ridge * np.append(w[:-1], 0)
+        z = np.bincount(rows, weights=w[cols] * values, minlength=len(target)) + w[-1]
+        off = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) * times
+        g = np.append(np.bincount(cols, weights=off[rows] * values, minlength=N_FEATURES), off.sum()) / times.sum() + ridge * np.append(w[:-1], 0)
         seen += g * g
         w -= rate * g / np.sqrt(seen)
     return w
@@ -113,35 +113,37 @@ def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, target: np.ndarr
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> np.ndarray:
     """Weights of the scorer, from the votes on all documents and the sample."""
-    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    m, names = qr.measured(slim)
-    seen = m.groupBy(*[v.alias(k) for v, k in zip(votes(names), LABELLERS, strict=True)]).agg(F.count(F.lit(1)).alias("n")).collect()  # 3**7 rows at most
+    slim = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
+    row_hash = F.xxhash64("doc_id", "text")
+    m, names = qr.measured(slim.withColumn("row_hash", row_hash))
+    voted = written(m.select("row_hash", *[v.alias(k) for v, k in zip(votes(names), LABELLERS, strict=True)]))  # no texts
+    seen = voted.groupBy(*LABELLERS).agg(F.count(F.lit(1)).alias("n")).collect()  # 3**7 rows at most
     if not seen:
         return np.zeros(N_FEATURES + 1)
     patterns, counts = np.array([r[:-1] for r in seen]), np.array([r[-1] for r in seen], dtype=float)
     posterior, _ = estimate(patterns, counts)
     truth = {tuple(p): float(x) for p, x in zip(patterns.tolist(), posterior, strict=True)}
 
-    part = min(1.0, fit_rows / counts.sum())
-    chosen = slim.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(part * (1 << 30)))
+    last = voted.select("row_hash").distinct().orderBy("row_hash").limit(fit_rows).agg(F.max("row_hash")).first()[0]
+    chosen = slim.where(row_hash <= last).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("times")).drop("doc_id")
     m, names = qr.measured(chosen)
-    labelled = m.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), *[v.alias(k) for v, k in zip(votes(names), LABELLERS, strict=True)])
+    labelled = m.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), "times", *[v.alias(k) for v, k in zip(votes(names), LABELLERS, strict=True)])
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            given = list(zip(*[b.column(i + 1).to_pylist() for i in range(len(LABELLERS))], strict=True))
+            given = list(zip(*[b.column(i + 2).to_pylist() for i in range(len(LABELLERS))], strict=True))
             for row, chunk in tx.chunks(b.column(0)):
                 d, which, value, _ = features(chunk)
                 key, at = np.unique(d * N_FEATURES + which, return_inverse=True)
                 total = np.bincount(at, weights=value)
                 begins = np.searchsorted(key // N_FEATURES, np.arange(len(chunk) + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(begins), pa.array(x)) for x in ((key % N_FEATURES).astype(np.int32), total.astype(np.float32))]
-                yield pa.RecordBatch.from_arrays([*lists, pa.array([truth[v] for v in given[row : row + len(chunk)]])], names=["cols", "vals", "p"])
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([truth[v] for v in given[row : row + len(chunk)]]), b.column(1).slice(row, len(chunk))], names=["cols", "vals", "p", "times"])
 
-    sample = labelled.mapInArrow(sparse, "cols array<int>, vals array<float>, p double").toArrow()
+    sample = labelled.mapInArrow(sparse, "cols array<int>, vals array<float>, p double, times long").toArrow()  # fit_rows rows at most
     cols, vals = (sample.column(k).combine_chunks() for k in ("cols", "vals"))
-    lengths = np.diff(np.concatenate([[0], np.cumsum([len(x) for x in cols])]))
-    return fit(np.repeat(np.arange(len(cols)), lengths), cols.flatten().to_numpy().astype(np.int64), vals.flatten().to_numpy().astype(float), sample.column("p").to_numpy())
+    lengths = np.array([len(x) for x in cols], dtype=np.int64)
+    return fit(np.repeat(np.arange(len(cols)), lengths), cols.flatten().to_numpy().astype(np.int64), vals.flatten().to_numpy().astype(float), sample.column("p").to_numpy(), sample.column("times").to_numpy().astype(float))
 
 
 def score_quality(docs: DataFrame, weights: np.ndarray, text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
