@@ -5,15 +5,17 @@ rule fits get their host's verdict: hosts of which most pages are allowed by rul
 most are blocked are blocked seeds; trust runs along the links between hosts (personalised PageRank), distrust runs
 against them, and a host is blocked if its distrust is over ``RATIO`` times its trust. DataFrame functions only.
 
-Mass is counted in whole units (10**15 for each kind), so the result doesn't depend on the order of sums. Mass that
-reaches a host without links is not handed on. It starts at the restart share and so only grows; rounds go on until no
-host is new and none grows by over a millionth of its mass. ``OP9_SQL`` has ``ITERATIONS`` rounds and wants a scheme in
-links, so the two agree where no host links to another, as in the given pages.
+A kind's mass is ``MASS`` in all. Mass that reaches a host without links is not handed on. Rounds start at the restart
+share, so masses only grow; they go on until no host is new and none grows by over a millionth of its mass, or until
+less than one unit moves in all: then what is still to come is under 0.85/0.15 units, of ``MASS``, over all hosts
+together. Verdicts compare the masses as they are, the columns have them rounded. ``OP9_SQL`` has ``ITERATIONS``
+rounds and wants a scheme in links, so the two agree where no host links to another, as in the given pages.
 
 Defined results: a null url or one without ``://`` has an empty host and path, which no rule and no link concerns,
 and is allowed; repeated pages count as often as they stand; links of a host to itself and repeated links between
-two hosts count once or not at all; null html has no links; a host without seeds around it is allowed; an empty table gives an empty
-table.
+two hosts count once or not at all; null html has no links; a host without seeds around it is allowed; urls and pages
+are read whole, however long; other columns of the pages, whatever their names, are not carried; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -21,15 +23,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ascii_lower, bounded, cut
+from millrace.llm.common import ascii_lower, bounded, column, cut
 
 #: (host, path, verdict) of the registered query.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 MASS = 10**15
 #: The rounds of ``OP9_SQL``.
 ITERATIONS = 8
-#: After 250 rounds under one of the 10**15 units is on the move, so this is not reached.
+#: After 213 rounds under one of the 10**15 units is on the move, so this is not reached.
 MAX_ROUNDS = 400
+#: A host is settled when a round adds less than this share to its mass.
+SETTLED = 1e-6
 RATIO = 2
 
 
@@ -63,27 +67,28 @@ def spread(links: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS) ->
     edges = forward.union(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to")))
     degrees = edges.groupBy("kind", "host").agg(F.count(F.lit(1)).alias("degree"))
     counts = seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    start = cut(seeds.join(F.broadcast(counts), "kind").select("kind", "host", F.expr(f"{MASS}L div n").alias("mass")))
-    edges, degrees = cut(edges), cut(degrees)
-    restart = start.select("kind", "host", F.expr("mass * 15 div 100").alias("mass"))
+    share = seeds.join(F.broadcast(counts), "kind").select("kind", "host", F.expr(f"{MASS}L div n * 15 div 100").cast("double").alias("mass"))
+    restart, edges, degrees = cut(share), cut(edges), cut(degrees)
     if not edges.limit(1).count():
         return restart
     rank = restart
     for _ in range(max_rounds):
-        given = rank.join(degrees, ["kind", "host"]).select("kind", "host", F.expr("mass * 85 div 100 div degree").alias("mass")).where("mass > 0")
+        given = rank.join(degrees, ["kind", "host"]).select("kind", "host", (F.col("mass") * 0.85 / F.col("degree")).alias("mass"))
         moved = edges.join(given, ["kind", "host"]).select("kind", F.col("to").alias("host"), "mass").union(restart)
-        both = moved.withColumn("old", F.lit(None).cast("long")).union(rank.select("kind", "host", F.lit(0).cast("long"), "mass"))
+        both = moved.withColumn("old", F.lit(None).cast("double")).union(rank.select("kind", "host", F.lit(0.0), "mass"))
         grown = both.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.max("old").alias("old"))
-        seen = Observation()
-        rank = cut(grown.observe(seen, F.count_if(F.expr("old IS NULL OR mass - old > old div 1000000 + 1")).alias("changed"))).select("kind", "host", "mass")
-        if not seen.get["changed"]:
+        seen, growth = Observation(), F.col("mass") - F.coalesce("old", F.lit(0.0))
+        new = F.col("old").isNull() | (growth > F.col("old") * SETTLED)
+        rank = cut(grown.observe(seen, F.count_if(new).alias("changed"), F.sum(growth).alias("moved"))).select("kind", "host", "mass")
+        if not seen.get["changed"] or (seen.get["moved"] or 0.0) < 1:
             return rank
     raise RuntimeError(f"trust did not settle in {max_rounds} rounds")
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url_col: str = "url", html_col: str = "html", max_rounds: int = MAX_ROUNDS, ratio: int = RATIO) -> DataFrame:
     """(page id, host, path, rule, verdict, trust, distrust) of each page; ``rules`` has rule_host, rule_path, verdict."""
-    urls = pages.select(F.col(page_id).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
+    pages = pages.select(column(page_id).alias("page_id"), column(url_col).alias("url"), column(html_col).alias("html"))
+    urls = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     hosts = urls.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     fits = cut(host_rules(hosts.where("host <> ''").select("host"), rules))
 
@@ -94,11 +99,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", ur
     votes = ruled(urls).where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("hit.verdict") == "allow").alias("allowed"), F.count_if(F.col("hit.verdict") == "block").alias("blocked"))
     kind = F.when(F.col("allowed") * 2 > F.col("n"), "trust").when(F.col("blocked") * 2 > F.col("n"), "distrust")
     seeds = cut(votes.select(kind.alias("kind"), "host").where("kind IS NOT NULL"))
-    rank = spread(host_links(pages, url_col, html_col), seeds, max_rounds)
+    rank = spread(host_links(pages), seeds, max_rounds)
     by_host = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("mass"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("mass"))).alias("distrust"))
-    judged = ruled(urls).join(bounded(cut(by_host)), "host", "left").fillna(0, ["trust", "distrust"])
+    judged = ruled(urls).join(bounded(cut(by_host)), "host", "left").fillna(0.0, ["trust", "distrust"])
     own = F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), own).alias("verdict"), "trust", "distrust")
+    return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), own).alias("verdict"), *[F.round(k).cast("long").alias(k) for k in ("trust", "distrust")])
 
 
 def rule_table(spark, rules=RULES) -> DataFrame:
