@@ -323,10 +323,74 @@ def test_pii_base_spans_equal_plain_patterns(spark, docs, odd, empty):
         assert {x for x in text.split(",") if x} <= set(g.spans.split(","))
         added += g.n_added
     assert added >= 2  # the spelt address and the local number with cues before them
+    assert all(g.n_spans == len([x for x in g.spans.split(",") if x]) for g in got)
     assert pii.op5_pii(empty).count() == 0
     assert "_pii" in pii.detect_pii(odd.withColumnRenamed("n_chars", "pii")).columns
 
 
+def planted_pii(n=600, seed=11):
+    """Documents with one planted span each (text, start, end), and clean ones with numbers that are none of it."""
+    r = random.Random(seed)
+
+    def num(k):
+        return "".join(r.choice("123456789") for _ in range(k))
+
+    def card():
+        body = "4" + num(14)
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    spelt = [lambda: f"{r.choice(('ann', 'bob.k', 'c_d'))} at mail{num(1)} dot com", lambda: f"{r.choice(('eve', 'joe.x'))} [at] host{num(1)} [dot] org", lambda: f"info(at)site{num(1)}(dot)de"]
+    phones = [lambda: f"({r.randrange(201, 990)}) 555-{num(4)}", lambda: f"{r.randrange(201, 990)}-555-{num(4)}", lambda: f"030 {num(4)} {num(4)}"]
+    secrets = [lambda: 'token = "' + hashlib.sha1(num(9).encode()).hexdigest(), lambda: "api_key: " + hashlib.md5(num(9).encode()).hexdigest() + "Z", lambda: "password=" + num(3) + "qWe" + num(3) + "rTzUiOp" + num(2)]
+    cards = [lambda: card() + " " + card()]
+    base = [lambda: f"ann.{num(2)}@mail{num(1)}.example.com", lambda: f"+1 ({num(3)}) 555-{num(4)}", lambda: f"{num(2)}.{num(2)}.{num(2)}.{num(1)}", card]
+    cues = {0: "please write to ", 1: "please call ", 2: "set ", 3: "pay by card ", 4: "see "}
+    clean = [lambda: f"order {num(9)}", lambda: f"version {num(1)}.{num(2)}.{num(1)}", lambda: f"in {num(4)} and {num(4)}", lambda: "he was at home by the dot com crash", lambda: "key = value", lambda: f"total: {num(3)}.{num(2)}", lambda: f"isbn {num(3)}-{num(1)}-{num(4)}", lambda: f"lines {num(3)}-{num(3)}"]
+    rows = []
+    for i in range(n):
+        before, after = rng_text(seed + i, r.randrange(3, 30)), rng_text(seed * 7 + i, r.randrange(3, 30))
+        if i % 2:
+            rows.append((i, f"{before} {r.choice(clean)()} {after}", None))
+        else:
+            k = r.randrange(5)
+            span = r.choice((spelt, phones, secrets, cards, base)[k])()
+            head = f"{before} {cues[k]}"
+            rows.append((i, f"{head}{span} {after}", (len(head), len(head) + len(span))))
+    return rows
+
+
+def test_pii_finds_planted_spans_and_leaves_clean_texts(spark):
+    rows = planted_pii()
+    got = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x] for r in pii.op5_pii(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")).collect()}
+    planted = [(got[i], span) for i, _, span in rows if span]
+    caught = sum(any(a < e and s < b for a, b in spans) for spans, (s, e) in planted)
+    exact = sum(sum(b - a for a, b in spans if s <= a and b <= e) >= 0.9 * (e - s) and all(s <= a and b <= e for a, b in spans) for spans, (s, e) in planted)
+    false = sum(bool(got[i]) for i, _, span in rows if not span)
+    assert caught >= 0.95 * len(planted) and exact >= 0.9 * len(planted), (caught, exact, len(planted))
+    assert false <= 0.02 * len(rows) / 2, false
+
+
+def test_pii_reliabilities_equal_a_plain_estimate():
+    r = random.Random(2)
+    seen = defaultdict(float)
+    for _ in range(3000):
+        true = r.random() < 0.4
+        seen[tuple(0 if r.random() < 0.2 else 1 if (r.random() < a) == true else -1 for a in (0.95, 0.9, 0.8, 0.7, 0.6))] += 1
+    patterns = sorted(seen.items())
+    p = {v: (sum(x > 0 for x in v) + 1) / (sum(x != 0 for x in v) + 2) for v in seen}
+    for _ in range(pii.ITERATIONS):
+        yes, no = sum(n * p[v] for v, n in seen.items()), sum(n * (1 - p[v]) for v, n in seen.items())
+        new = {}
+        for v in seen:
+            t, f = (yes + 1) / (yes + no + 2), (no + 1) / (yes + no + 2)
+            for j, x in enumerate(v):
+                t *= (sum(n * p[w] for w, n in seen.items() if w[j] == x) + 1) / (yes + 3)
+                f *= (sum(n * (1 - p[w]) for w, n in seen.items() if w[j] == x) + 1) / (no + 3)
+            new[v] = t / (t + f)
+        p = new
+    assert pii.estimate(patterns) == pytest.approx([p[v] for v, _ in patterns], rel=1e-9)
+
+
 # ---------------------------------------------------------------- op6
 
 
@@ -351,6 +415,12 @@ def test_line_dedup_equals_plain_version(spark, docs, odd, empty):
     assert sorted(got, key=str) == sorted(want, key=str)
     assert line_dedup.op6_line_dedup(empty).count() == 0
     assert {"n_lines", "_n_lines"} <= set(line_dedup.dedup_lines(odd.withColumnRenamed("n_chars", "n_lines")).columns)
+    # one long document of which many lines go, and rows of one id with different texts
+    lines = [f"{LINE} number {k}" for k in range(3000)]
+    many = [(i, "\n".join(lines)) for i in range(5)] + [(9, lines[7] + "\nx"), (9, "y\n" + lines[7] + "\n" + lines[7]), (10, lines[7])]
+    got = {(r.doc_id, r.n_lines): (r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(spark.createDataFrame(many, "doc_id long, text string")).collect()}
+    assert got[0, 3000] == (3000, "") and got[4, 3000] == (1, "\n".join(lines[:7] + lines[8:]))
+    assert got[9, 2] == (1, "x") and got[9, 3] == (2, "y") and got[10, 1] == (0, lines[7])
 
 
 # ---------------------------------------------------------------- op7
@@ -380,6 +450,73 @@ def test_classifier_on_labels_and_odd_rows(spark, odd, empty):
     assert quality_classifier.op7_quality_classifier(empty).count() == 0
 
 
+def plain_features(text):
+    """{feature: value} of one text: shares of hashed words and of word shapes, of repeated windows, of words that follow themselves."""
+    w, out = words(text), defaultdict(float)
+    classes = {**{c: 0 for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: 1 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: 2 for c in "0123456789"}, **{c: 4 for c in ".,;:"}, **{c: 6 for c in "#*$%&|<>"}}
+    for x in w:
+        out[int(tx.words(pa.array([x])).hashes[0] % np.uint64(quality_classifier.WORD_BUCKETS))] += 1 / len(w)
+        kinds = {8 if ord(c) > 127 else 7 if ord(c) < 32 or ord(c) == 127 else classes.get(c, 5) for c in x}
+        out[quality_classifier.WORD_BUCKETS + sum(1 << k for k in kinds)] += 1 / len(w)
+    if w:
+        out[quality_classifier.N_FEATURES - 2] = brute_quality(text)[4] / len(w)
+        out[quality_classifier.N_FEATURES - 1] = sum(low(a) == low(b) for a, b in zip(w, w[1:])) / len(w)
+    return out
+
+
+def plain_votes(text):
+    n_words, chars, n_symbols, dup, again, _ = brute_quality(text)
+    n, t = max(n_words, 1), text or ""
+    lower, upper = len(re.findall("[a-z]", t)), len(re.findall("[A-Z]", t))
+    common = 1 - sum(low(x) not in quality_rules.COMMON_WORDS for x in words(t)) / n
+    rules = (
+        (n_symbols > 0.1 * n, n_symbols <= 0.02 * n), (upper > 0.3 * max(lower + upper, 1), upper < 0.1 * max(lower + upper, 1)), (again > 0.4 * n, again < 0.15 * n), (common < 0.1, common > 0.2),
+        (not 2.5 <= chars / n <= 14, 3.5 <= chars / n <= 9), (dup > 0.03 * n, dup == 0), (n_words < 20, n_words > 100),
+    )
+    return tuple(-1 if bad else 1 if good else 0 for bad, good in rules)
+
+
+def test_classifier_equals_a_plain_version(spark, docs, odd):
+    rows = [(r.doc_id, r.text) for r in docs.union(odd).collect()]
+    votes = defaultdict(float)
+    for _, t in rows:
+        votes[plain_votes(t)] += 1
+    patterns = sorted(votes)
+    p, _ = quality_classifier.estimate(np.array(patterns), np.array([votes[v] for v in patterns]))
+    truth = dict(zip(patterns, p, strict=True))
+    distinct = defaultdict(int)
+    for r in rows:
+        distinct[r] += 1
+    x = np.zeros((len(distinct), quality_classifier.N_FEATURES + 1))
+    x[:, -1] = 1
+    for k, (_, t) in enumerate(distinct):
+        for f, v in plain_features(t).items():
+            x[k, f] = v
+    y, times = np.array([truth[plain_votes(t)] for _, t in distinct]), np.array(list(distinct.values()))
+    w, seen = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
+    for _ in range(200):
+        g = x.T @ ((1 / (1 + np.exp(-(x @ w))) - y) * times) / times.sum() + 1e-4 * np.append(w[:-1], 0)
+        seen += g * g
+        w -= 0.5 * g / np.sqrt(seen)
+    want = {i: (1 / (1 + np.exp(-(x[k] @ w))) if words(t) else 0.0) for k, (i, t) in enumerate(distinct)}
+    for r in quality_classifier.op7_quality_classifier(docs.union(odd)).collect():
+        if r.doc_id is None or r.doc_id >= 30:  # smaller ids stand in both tables
+            assert r.quality == pytest.approx(want[r.doc_id], abs=2e-3) and r.kept == (r.quality >= 0.5)
+
+
+def test_fit_sample_is_bounded_by_distinct_rows(spark, monkeypatch):
+    """Repeated rows neither swell the sample nor leave it empty."""
+    sizes = []
+    plain = quality_classifier.fit
+    monkeypatch.setattr(quality_classifier, "fit", lambda rows, cols, values, target, times: (sizes.append((len(target), int(times.sum()))), plain(rows, cols, values, target, times))[1])
+    same = spark.range(20_000).selectExpr("7L AS doc_id", f"'{rng_text(1, 60)}' AS text")
+    quality_classifier.train(same, fit_rows=100)
+    other = spark.range(300).selectExpr("id AS doc_id", "concat('some words of a text number ', id) AS text")
+    quality_classifier.train(same.union(other), fit_rows=100)
+    quality_classifier.train(spark.createDataFrame([(None, None), (None, "")], "doc_id long, text string"), fit_rows=100)
+    assert sizes[0] == (1, 20_000) and sizes[1][0] == 100 and sizes[2] == (2, 2)
+
+
 # ---------------------------------------------------------------- op8
 
 
@@ -432,6 +569,54 @@ def test_url_filter_spreads_until_it_settles(spark):
     assert [got[20 + i].trust for i in range(3)] == pytest.approx([url_filter.MASS * 0.15 * 0.85**i / (1 - 0.85**3) for i in range(3)], rel=1e-5)
 
 
+def plain_rank(links, seeds, total):
+    """Personalised PageRank by plain power iteration; hosts without links keep what reaches them."""
+    out = defaultdict(list)
+    for a, b in links:
+        out[a].append(b)
+    start = {h: total // len(seeds) * 15 // 100 for h in seeds}
+    rank = dict(start)
+    for _ in range(600):
+        new = defaultdict(float, start)
+        for h, m in rank.items():
+            for to in out[h]:
+                new[to] += m * 0.85 / len(out[h])
+        rank = new
+    return rank
+
+
+def test_url_filter_equals_plain_power_iteration(spark):
+    """Random links, a hub that a third of the hosts link to, dangling hosts, and chains of over 20 hosts to the seeds."""
+    r = random.Random(8)
+    hosts = [f"h{i}.org" for i in range(120)] + ["a.com", "b.com", "x.net", "y.net"]
+    links = {(r.choice(hosts), r.choice(hosts[:100])) for _ in range(240)} | {(h, "hub.org") for h in hosts[::3]} | {("hub.org", h) for h in hosts[:60:2]}
+    for seed in ("y.net", "b.com"):
+        chain = [f"{seed[0]}{i}.info" for i in range(25)]
+        links |= set(zip(chain, chain[1:])) | ({(chain[-1], seed)} if seed == "y.net" else {(seed, chain[0])})
+    links = {(a, b) for a, b in links if a != b}
+    every_host = sorted({h for x in links for h in x} | set(hosts))
+    path = {"x.net": "/es/1", "y.net": "/fr/"}
+    pages = [(k, f"http://{h}{path.get(h, '/')}", "".join(f'<a href="{"https:" if len(b) % 2 else ""}//{b}/z">z</a>' for a, b in sorted(links) if a == h)) for k, h in enumerate(every_host)]
+    trust = plain_rank(links, ["a.com", "b.com"], url_filter.MASS)
+    distrust = plain_rank({(b, a) for a, b in links}, ["x.net", "y.net"], url_filter.MASS)
+    got = url_filter.op9_url_filter(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()
+    assert len(got) == len(pages)
+    for g in got:
+        t, d = trust.get(g.host, 0.0), distrust.get(g.host, 0.0)
+        assert g.trust == pytest.approx(t, rel=2e-5, abs=2) and g.distrust == pytest.approx(d, rel=2e-5, abs=2), g.host
+        if g.rule is None and abs(d - 2 * t) > 1e-4 * d:
+            assert g.verdict == ("block" if d > 2 * t else "allow"), g.host
+    far = {g.host: g for g in got}
+    assert far["y0.info"].verdict == "block" and far["b24.info"].trust > 0
+
+
+def test_url_filter_takes_long_pages_and_clashing_names(spark):
+    long = "http://long.org/" + "p" * 300_000
+    rows = [(1, long, '<a href="http://bad.net/es/">x</a>' * 20_000, 5, "v"), (2, "http://bad.net/es/", "y" * 100_000, 6, "w"), (3, long, None, 7, None)]
+    got = {r.page_id: r for r in url_filter.op9_url_filter(spark.createDataFrame(rows, "page_id long, url string, html string, host long, verdict string")).collect()}
+    assert len(got[1].path) == 300_001 and got[1].verdict == got[3].verdict == "block" and got[2].rule == "net/es/"
+
+
 # ---------------------------------------------------------------- op10
 
 
@@ -519,6 +704,22 @@ def test_one_row_stays_of_each_id_and_group(spark, odd):
 def test_column_names_with_dots_pass_through(spark, odd):
     wide = odd.selectExpr("*", "doc_id AS `a.b`", "'x' AS copy", "1 AS n_words", "2 AS shard")
     bench = spark.createDataFrame([("i", "same words here now twice")], "item_id string, text string")
-    for out in (mixing.mix_sources(wide), decontamination.mark_contamination(wide, bench), decontamination.decontaminate(wide, bench), ngram_join.first_of_each(wide), quality_rules.keep_good(wide), quality_classifier.score_quality(wide, np.zeros(quality_classifier.N_FEATURES + 1)), sharding.hilbert_shards(wide, sharding.document_dims())):
+    wide_named = line_dedup.dedup_lines(wide.withColumnRenamed("text", "t.x").withColumnRenamed("doc_id", "i.d"), "i.d", "t.x")
+    assert wide_named.where("n_dropped > 0").count() == 5
+    pii_out = pii.detect_pii(wide)
+    assert pii_out.columns == [c for c in wide.columns if c != "text"] + ["pii"] and pii_out.count() == len(ODD)
+    for out in (line_dedup.dedup_lines(wide), mixing.mix_sources(wide), decontamination.mark_contamination(wide, bench), decontamination.decontaminate(wide, bench), ngram_join.first_of_each(wide), quality_rules.keep_good(wide), quality_classifier.score_quality(wide, np.zeros(quality_classifier.N_FEATURES + 1)), sharding.hilbert_shards(wide, sharding.document_dims())):
         assert out.columns[: len(wide.columns)] == wide.columns
         out.write.format("noop").mode("overwrite").save()
+
+
+def test_pipeline_takes_clashing_names_and_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").union(odd).selectExpr("*", "1 AS curve_index", "2 AS shard", "3 AS slot", "4 AS copy", "5 AS kept", "6 AS `a.b`", "7 AS n_words", "8 AS hit_spans")
+    for name, rows in (("full", docs), ("none", docs.limit(0))):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        out = cp.run(spark, str(tmp_path / name))
+        assert out.columns == [*docs.columns, "_curve_index", "_shard", "_slot"]
+        assert (out.count() > 0) == (name == "full")
