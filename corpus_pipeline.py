@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each one's result as Parquet into the
 shared folder and reads it back as the documents of the next. All but the last keep the columns of ``documents``.
+
+Defined results: a null, empty or blank text fails the quality rules, so later stages see words in every document;
+very long texts are read whole by each stage; of rows that share an id and of documents that are alike one stays, ties
+going to the smallest id (rows of one id: to the smallest hash of the text); rows with a null id pass the near-duplicate
+stage, each on its own; an empty table gives an empty table; further columns pass through, whatever their names, and
+the last stage's new columns get an underscore in front where they clash.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import every, shared_folder, table
+from millrace.llm.common import every, shared_folder, table, unique_name
 from millrace.llm.decontamination import decontaminate
 from millrace.llm.mixing import mix_sources
 from millrace.llm.ngram_join import first_of_each
@@ -45,7 +51,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in 16 shards along the Hilbert curve of language, source and size."""
     out = hilbert_shards(docs, document_dims(size=F.octet_length(F.coalesce("text", F.lit("")))))
-    return out.select(*every(docs), "curve_index", "shard", "slot")
+    return out.select(*every(docs), *[unique_name(docs, n) for n in ("curve_index", "shard", "slot")])
 
 
 STAGES: list[tuple[str, Stage]] = [
