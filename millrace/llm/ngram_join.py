@@ -9,34 +9,42 @@ of their sets is at least 0.8. The result is the component of each document, so
    all documents, so most of a corpus leaves after one narrow shuffle.
 3. The sets of the classes that stay are put into one global order, rarest shingle first, and stripped of shingles
    that only one class has. Linked sets share a shingle of their prefixes (all but the 80 % that they must share).
-4. Sets to be compared with the same probe are stored in a prefix tree (sorted, so that a set holds on to the
-   overlap of the part it shares with the set before) and traversed with bounds on what the remaining lengths can
-   still add; a subtree that can't reach the overlap it needs is left out.
+4. Sets to be compared are stored in a prefix tree whose nodes know the smallest size and the longest set below them.
+   A probe walks down with its overlap so far, shared by all sets below a node, and leaves out every subtree where
+   what remains can't reach the overlap that even the smallest set asks for.
 5. What is compared: in each list of a prefix shingle first everything with one leader, by rounds, as long as lists hold
    more unlinked pairs than rows; then, exactly, every pair of a list that no links connect yet. Pairs
-   that links already connect need no comparison, so a group of thousands of near copies costs about its rows.
+   that links already connect need no comparison, so a group of thousands of near copies costs about its rows. Lists
+   with the same members count as one.
+6. Of a list that is still longer than ``TREE_SETS``, the sets outside its largest component are compared with all,
+   in blocks of sets whose sizes may link (within a factor of 1.25); no block is larger than the trees.
+
+A shingle's list may hold a third of all classes: how often a shingle occurs is known from step 3, and lists are dealt
+to parts of about ``LIST_PART`` rows, so that no task gets a whole one.
 
 Defined results: words are compared with A-Z lower-cased; a text of fewer than five words is one shingle; a null or
 blank text has an empty set, links with nothing and is its own component; rows with a null id have a size but no
-component and take no part; repeated ids form one document for links as soon as one of their rows links; an empty table gives
-an empty table.
+component and take no part; rows that share an id are one document, which has the links of all of them; texts are
+read whole, a very long one alone; ids are whole numbers (others fail to cast); an empty table gives an empty table;
+other columns are not carried.
 
-Sets hold 64-bit hashes, and a class is known by 64 of the 128 bits of its set's digest: the chance that any two of
-n classes collide is about n*n/2**65.
+Sets hold 64-bit hashes of shingles; a class is known by the 128 bits of its set's digest.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm import text as tx
-from millrace.llm.common import bounded, cut, every, unique_name, written
+from millrace.llm.common import bounded, column, cut, every, unique_name, written
 from millrace.llm.components import components
 
 WIDTH = 5
@@ -44,13 +52,18 @@ WIDTH = 5
 NEED = 80
 #: The counted part of the hash space, in sixteenths.
 SLICE = 5
-#: Sets in one prefix tree.
+#: Sets in one prefix tree, about.
 TREE_SETS = 256
+#: Rows of a list that are worked on together, about.
+LIST_PART = 256
+#: Sets of which the sizes link are in the same class of sizes or in neighbouring ones; a little over 100 / NEED.
+SIZE_STEP = 1.26
 LEADER_ROUNDS = 4
 
 
-def class_key(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "big", signed=True)
+def class_key(shingles: np.ndarray) -> tuple[int, int]:
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -73,34 +86,34 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 5_000) -> Ite
 
 
 def class_members(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, cls) of (doc_id, text) rows."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64())])
+    """(doc_id, n_shingles, key, key2) of (doc_id, text) rows; the keys are null for an empty set."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_shingles", "key", "key2")])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batched(((i, len(s), class_key(s) if len(s) else None) for i, s in _sets(batches)), schema)
+        yield from _batched(((i, len(s), *(class_key(s) if len(s) else (None, None))) for i, s in _sets(batches)), schema)
 
-    return docs.mapInArrow(members, "doc_id long, n_shingles long, cls long")
+    return docs.mapInArrow(members, "doc_id long, n_shingles long, key long, key2 long")
 
 
 def sliced_shingles(docs: DataFrame, slice_: int = SLICE) -> DataFrame:
-    """(token, cls): the shingles of the counted slice, once for each class and partition."""
+    """(token, key): the shingles of the counted slice, once for each class and partition."""
     limit = np.uint64(slice_ << 60)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         parts, keys, size = [], [], 0
 
         def out() -> pa.RecordBatch:
             token = np.concatenate(parts).view(np.int64)
-            cls = np.repeat(np.array(keys, dtype=np.int64), [len(p) for p in parts])
-            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(cls)], names=["token", "cls"])
+            key = np.repeat(np.array(keys, dtype=np.int64), [len(p) for p in parts])
+            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(key)], names=["token", "key"])
 
         for _, s in _sets(batches):
             if not len(s) or (key := class_key(s)) in seen:
                 continue
             seen.add(key)
             parts.append(s[s < limit])  # sets are sorted; the hash is well mixed, so its low values are a sample of shingles
-            keys.append(key)
+            keys.append(key[0])
             size += len(parts[-1])
             if size > 100_000:
                 yield out()
@@ -108,36 +121,52 @@ def sliced_shingles(docs: DataFrame, slice_: int = SLICE) -> DataFrame:
         if parts:
             yield out()
 
-    return docs.mapInArrow(tokens, "token long, cls long")
+    return docs.mapInArrow(tokens, "token long, key long")
+
 
+def classes_of(members: DataFrame) -> DataFrame:
+    """(cls, key, key2, n, rep): a number for each class; ``rep`` is the smallest id of the class."""
+    grouped = members.where("key IS NOT NULL").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    return written(grouped.withColumn("cls", F.monotonically_increasing_id()))
 
-def surviving_classes(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cls, n, rep): classes that may have a partner; ``rep`` is the smallest id of the class."""
-    classes = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    owners = sliced_shingles(docs).groupBy("token").agg(F.min("cls").alias("cls"), F.max("cls").alias("other"))
-    alone = owners.where("cls = other").groupBy("cls").agg(F.count(F.lit(1)).alias("n_alone"))
+
+def surviving_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The classes that may have a partner."""
+    owners = sliced_shingles(docs).groupBy("token").agg(F.min("key").alias("key"), F.max("key").alias("other"))
+    alone = owners.where("key = other").groupBy("key").agg(F.count(F.lit(1)).alias("n_alone"))
+    # Classes that share half of their digest (next to never) can't be told apart here, so they all stay.
+    judged = classes.join(alone, "key", "left").withColumn("same_key", F.count(F.lit(1)).over(W.partitionBy("key")))
     slack = F.floor(F.col("n") * (100 - NEED) / 100)
-    return classes.join(alone, "cls", "left").where(F.coalesce("n_alone", F.lit(0)) <= slack).select("cls", "n", "rep")
+    return judged.where((F.coalesce("n_alone", F.lit(0)) <= slack) | (F.col("same_key") > 1)).select(classes.columns)
 
 
 def surviving_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(cls, tokens) of the classes' representatives."""
     schema = pa.schema([("cls", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-    texts = docs.join(bounded(cut(classes.select(F.col("rep").alias("doc_id")).distinct())), "doc_id", "left_semi")
+    texts = docs.join(bounded(classes.select(F.col("rep").alias("doc_id"), "cls", "key", "key2")), "doc_id").select("doc_id", "text", "cls", "key", "key2")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batched(((class_key(s), s.view(np.int64)) for _, s in _sets(batches) if len(s)), schema, 500)
+        def mine() -> Iterator[tuple]:
+            for b in batches:
+                wanted = list(zip(*[b.column(i).to_pylist() for i in (2, 3, 4)], strict=True))
+                for (cls, *key), (_, s) in zip(wanted, _sets(iter([b])), strict=True):
+                    if len(s) and class_key(s) == tuple(key):  # an id may stand with other texts too
+                        yield cls, s.view(np.int64)
+
+        yield from _batched(mine(), schema, 500)
 
     return texts.mapInArrow(tokens, "cls long, tokens array<long>")
 
 
 def ordered_sets(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, n, alone, tokens): shared shingles of each class, rarest first; ``alone`` counts the others."""
+    """(cls, n, alone, tokens, head): shared shingles of each class, rarest first; ``alone`` counts the others, ``head`` is the prefix with frequencies."""
     rows = sets.select("cls", F.explode("tokens").alias("token"))
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    kept = rows.join(shared, "token").groupBy("cls").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"])).alias("tokens"))
-    out = kept.join(classes.select("cls", "n"), "cls").withColumn("alone", F.col("n") - F.size("tokens"))
-    return out.where(F.col("alone") <= F.floor(F.col("n") * (100 - NEED) / 100)).select("cls", "n", "alone", "tokens")
+    kept = rows.join(shared, "token").groupBy("cls").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("pairs"))
+    out = kept.join(classes.select("cls", "n"), "cls").withColumn("alone", F.col("n") - F.size("pairs"))
+    slack = F.floor(F.col("n") * (100 - NEED) / 100)
+    head = F.slice("pairs", F.lit(1), (slack + 1 - F.col("alone")).cast("int"))
+    return out.where(F.col("alone") <= slack).select("cls", "n", "alone", F.transform("pairs", lambda x: x["token"]).alias("tokens"), head.alias("head"))
 
 
 def required_overlap(n_a: int, n_b: int) -> int:
@@ -151,40 +180,66 @@ def shared_head(a: np.ndarray, b: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else k
 
 
-def leaves(sets: list[tuple]) -> list[tuple]:
-    """Sets in the order of their prefix tree's leaves."""
-    return sorted(sets, key=lambda s: s[2].tobytes())
+@dataclass
+class Node:
+    """A node of the prefix tree: the tokens from its parent's end to its own, and what is known of the sets below."""
 
+    run: np.ndarray
+    least_n: int
+    most: int  # tokens of the longest set below, from the root
+    label: object  # the one label of all sets below, or None
+    ends: list[tuple]
+    children: list[Node]
 
-def tree_join(probe: np.ndarray, n_probe: int, sets: list[tuple[int, int, np.ndarray]], step: int = 64) -> list[int]:
-    """Keys of the ordered ``sets`` (key, full size, tokens) that link with the probe.
 
-    The sets in lexicographic order are the leaves of their prefix tree from left to right; ``hits`` holds the
-    overlap with the probe at each depth of the current path, and the next leaf keeps it down to where it branches off.
-    """
-    found: list[int] = []
+def grow(sets: list[tuple]) -> Node:
+    """The prefix tree of sets (key, full size, tokens, label)."""
+    ranked = sorted(sets, key=lambda s: s[2].tobytes())  # sets with equal heads stand together, the shortest first
+
+    def node(part: list[tuple], depth: int) -> Node:
+        end = depth + shared_head(part[0][2][depth:], part[-1][2][depth:])
+        ends = [s for s in part if len(s[2]) == end]
+        children, first = [], len(ends)
+        while first < len(part):
+            last = first + 1
+            while last < len(part) and part[last][2][end] == part[first][2][end]:
+                last += 1
+            children.append(node(part[first:last], end))
+            first = last
+        labels = {s[3] for s in part}
+        return Node(part[0][2][depth:end], min(s[1] for s in part), max(len(s[2]) for s in part), labels.pop() if len(labels) == 1 else None, ends, children)
+
+    return node(ranked, 0)
+
+
+def walk(tree: Node, probe: np.ndarray, n_probe: int, label: object = None, step: int = 64) -> Iterator[tuple]:
+    """The sets of a tree that link with the probe and have another label; ``probe`` holds its ordered tokens."""
     ranked = np.sort(probe)
-    path, hits = np.zeros(0, np.int64), [0]  # hits[d]: overlap of the first d tokens of the path
-    for key, n, tokens in leaves(sets):
-        depth = min(shared_head(path, tokens), len(hits) - 1)
-        del hits[depth + 1 :]
-        need = required_overlap(n_probe, n)
-        while depth < len(tokens):
-            rest = min(len(tokens) - depth, len(probe) - hits[depth])
-            if hits[depth] + rest < need:
-                break  # whatever stands below this node is too short to make up for it
-            part = tokens[depth : depth + step]
-            at = np.minimum(np.searchsorted(ranked, part), len(ranked) - 1)
-            hits.extend((hits[depth] + np.cumsum(ranked[at] == part)).tolist())
-            depth += len(part)
-        path = tokens
-        if depth == len(tokens) and hits[depth] >= need:
-            found.append(key)
-    return found
+    open_nodes = [(tree, 0, 0)]
+    while open_nodes:
+        node, depth, hits = open_nodes.pop()
+        if label is not None and node.label == label:
+            continue
+        need, at = required_overlap(n_probe, node.least_n), 0
+        while hits + min(node.most - depth, len(ranked) - hits) >= need:
+            if at == len(node.run):
+                yield from (s for s in node.ends if hits >= required_overlap(n_probe, s[1]) and (label is None or s[3] != label))
+                open_nodes += [(c, depth, hits) for c in node.children]
+                break
+            part = node.run[at : at + step]
+            place = np.minimum(np.searchsorted(ranked, part), len(ranked) - 1)
+            hits += int(np.count_nonzero(ranked[place] == part))
+            at, depth = at + len(part), depth + len(part)
+
+
+def tree_join(probe: np.ndarray, n_probe: int, sets: list[tuple[int, int, np.ndarray]]) -> list[int]:
+    """Keys of the ordered ``sets`` (key, full size, tokens) that link with the probe."""
+    return [s[0] for s in walk(grow([(*s, None) for s in sets]), probe, n_probe)]
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): the pairs (hub a, partner b) that link."""
+    sets = sets.select("cls", "n", "tokens")
     chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TREE_SETS).cast("int").alias("chunks"))
     dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
     hubs = chunks.join(sets, chunks["a"] == sets["cls"]).select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), "n", "tokens")
@@ -220,57 +275,71 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return grouped.mapInArrow(compare, "a long, b long")
 
 
-def _may_link():
+def _may_link() -> Column:
     """By the sizes na, nb and the largest overlaps ma, mb."""
     return F.least("ma", "mb") >= _required("na", "nb")
 
 
-def block_links(hot: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """(a, b): links between the components of sets that lists of more than ``TREE_SETS`` rows connect.
+def with_list(rows: DataFrame, lists: DataFrame, keys: tuple[str, ...] = ("token",)) -> DataFrame:
+    """``rows`` (token, part, ...) with the columns of their list; ``lists`` has ``parts``, the number of its parts."""
+    dealt = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return rows.join(dealt, [*keys, "part"])
+
+
+def block_links(rows: DataFrame, mains: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between components in long lists, from ``rows`` (token, part, parts, cls, n, comp).
 
-    Such a group is dealt to blocks of about ``TREE_SETS`` sets, and every pair of blocks is one small comparison of
-    the sets of one with the prefix tree of the other, so neither pairs nor the group come together anywhere.
+    ``mains`` has each list's largest component. In each list a set outside of it (left) is compared with every set
+    (right) whose size may link. Both are dealt to blocks of about ``TREE_SETS`` by class of sizes, and every pair of
+    a left and a right block is one small comparison of the left sets with the prefix tree of the right ones.
     """
-    to_first = hot.join(hot.groupBy("token").agg(F.min("cls").alias("a")), "token").select("a", F.col("cls").alias("b"))
-    groups = components(to_first.distinct()).select(F.col("id").alias("cls"), F.col("component").alias("grp"))
-    blocks = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / TREE_SETS).cast("int").alias("blocks"))
-    dealt = cut(groups.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")))
-    members = dealt.join(sets, "cls").join(comps, "cls")
-    copies = members.select("grp", "block", "cls", "n", "comp", "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    n = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = copies.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "n", "comp", "tokens")
-    grouped = keyed.repartition(n, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    sized = with_list(rows, mains).withColumn("size", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int")).withColumn("left", F.col("comp") != F.col("main"))
+    sized = cut(sized.select("token", "part", "parts", "cls", "n", "comp", "left", "size"))
+    sizes = sized.groupBy("token", "size").agg(F.max("parts").alias("parts"), F.ceil(F.count_if("left") / TREE_SETS).cast("int").alias("lefts"), F.ceil(F.count(F.lit(1)) / TREE_SETS).cast("int").alias("rights"))
+    around = sizes.select("token", F.explode(F.array(*[F.struct((F.col("size") - d).alias("size"), F.lit(d).alias("d"), F.col("lefts").alias("lefts"), F.col("rights").alias("rights")) for d in (-1, 0, 1)])).alias("x"))
+    near = around.groupBy("token", F.col("x.size").alias("size")).agg(F.collect_list(F.struct("x.d", "x.lefts", "x.rights")).alias("near"))
+    placed = with_list(sized, sizes.select("token", "size", "parts", "lefts", "rights").join(near, ["token", "size"]), ("token", "size"))
+
+    def tasks(x: Column) -> Column:
+        other, no = F.col("size") + x["d"], F.array().cast("array<int>")
+        lefts, rights = (F.when(x[k] > 0, F.sequence(F.lit(0), x[k] - 1)).otherwise(no) for k in ("lefts", "rights"))
+        as_left = F.transform(rights, lambda r: F.struct(F.col("size").alias("i_size"), other.alias("j_size"), F.pmod(F.xxhash64("cls"), F.greatest("lefts", F.lit(1))).cast("int").alias("i"), r.alias("j"), F.lit(True).alias("probe")))
+        as_right = F.transform(lefts, lambda l: F.struct(other.alias("i_size"), F.col("size").alias("j_size"), l.alias("i"), F.pmod(F.xxhash64("cls"), F.col("rights")).cast("int").alias("j"), F.lit(False).alias("probe")))
+        return F.concat(F.when(F.col("left"), as_left).otherwise(F.slice(as_left, 1, 0)), as_right)
+
+    keyed = placed.select("token", "cls", "comp", "left", F.explode(F.flatten(F.transform("near", tasks))).alias("t")).select("token", "t.*", "cls", "comp", "left")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["token", "i_size", "j_size", "i", "j"]
+    grouped = keyed.join(sets.select("cls", "n", "tokens"), "cls").select(*key, "probe", "cls", "n", "comp", "left", "tokens").repartition(n, *key).sortWithinPartitions(*key)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links() -> Iterator[tuple[int, int]]:
-            key, rows = None, []
+            here, group = None, ([], [])
             for batch in batches:
-                grp, i, j, block, cls, size, comp = (batch.column(k).to_pylist() for k in range(7))
-                tokens = batch.column(7)
+                keys = list(zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True))
+                probe, cls, size, comp, left = (batch.column(k).to_pylist() for k in range(5, 10))
+                tokens = batch.column(10)
                 values, at = tokens.values.to_numpy(), tokens.offsets.to_numpy()
                 for k in range(batch.num_rows):
-                    if (grp[k], i[k], j[k]) != key:
-                        yield from compare_blocks(rows, key)
-                        key, rows = (grp[k], i[k], j[k]), []
-                    rows.append((cls[k], size[k], values[at[k] : at[k + 1]].copy(), comp[k], block[k]))
-            yield from compare_blocks(rows, key)
+                    if keys[k] != here:
+                        yield from compare_blocks(*group)
+                        here, group = keys[k], ([], [])
+                    group[0 if probe[k] else 1].append((cls[k], size[k], values[at[k] : at[k + 1]].copy(), comp[k], left[k]))
+            yield from compare_blocks(*group)
 
         yield from _batched(links(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return grouped.mapInArrow(compare, "a long, b long")
 
 
-def compare_blocks(rows: list[tuple], key: tuple | None) -> Iterator[tuple[int, int]]:
-    """Links across components between the blocks i and j of the key (group, i, j); rows: id, size, tokens, component, block."""
-    if not rows:
+def compare_blocks(probes: list[tuple], others: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Links across components between the rows of two blocks (id, size, tokens, component, left)."""
+    if not probes or not others:
         return
-    tree = leaves([r for r in rows if r[4] == key[2]])
-    for probe in rows:
-        if probe[4] == key[1]:
-            most = len(probe[2])
-            others = [r[:3] for r in tree if r[3] != probe[3] and (key[1] != key[2] or r[0] < probe[0]) and min(most, len(r[2])) >= required_overlap(probe[1], r[1])]
-            if others:
-                yield from ((probe[0], x) for x in tree_join(probe[2], probe[1], others))
+    tree = grow(others)
+    for cls, n, tokens, comp, _ in probes:
+        # Two left sets meet twice; once is enough.
+        yield from ((cls, s[0]) for s in walk(tree, tokens, n, comp) if not s[4] or cls < s[0])
 
 
 def _after_prefix(n: str):
@@ -281,23 +350,31 @@ def _required(a: str, b: str):
     return F.ceil((F.col(a) + F.col(b)) * NEED / (100 + NEED))
 
 
+def open_lists(rows: DataFrame) -> DataFrame:
+    """(token, parts, least_n, weight) of the lists that hold several components; of lists with equal members one, with the weight of all."""
+    members = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
+    lists = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("least_n"), F.max("parts").alias("parts"), F.max("weight").alias("weight"), F.count(F.lit(1)).alias("size"), *members)
+    kept = lists.where("x <> y").groupBy("size", "h0", "h1").agg(F.min(F.struct("token", "parts", "least_n")).alias("l"), F.sum("weight").alias("weight"))
+    return kept.select("l.*", "weight")
+
+
 def linked_classes(sets: DataFrame) -> DataFrame:
     """(cls, component) of the classes that link with another, from ordered sets."""
-    prefix = F.floor(F.col("n") * (100 - NEED) / 100) + 1 - F.col("alone")
     # most: the overlap that a set can have at all
-    postings = sets.select("cls", "n", F.size("tokens").alias("most"), F.explode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("token"))
+    postings = sets.select("cls", "n", F.size("tokens").alias("most"), F.explode("head").alias("h"))
+    parts = F.ceil(F.col("h.df") / LIST_PART).cast("int")
+    postings = postings.select("cls", "n", "most", F.col("h.token").alias("token"), parts.alias("parts"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("part"), F.lit(1).cast("long").alias("weight"))
     comps = cut(sets.select("cls", F.col("cls").alias("comp")))
     done, before = None, None
     for turn in range(LEADER_ROUNDS + 1):
         # Lists within one component are done for good, and so is a set in a list where even the smallest set asks for too much.
         rows = cut(postings.join(comps, "cls"))
-        mixed = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("n").alias("least_n")).where("x <> y").select("token", "least_n")
-        rows = cut(rows.join(mixed, "token").where(_required("n", "least_n") <= F.col("most")).drop("least_n"))
+        rows = cut(with_list(rows.drop("weight"), open_lists(rows)).where(_required("n", "least_n") <= F.col("most")).drop("least_n"))
         postings = rows.drop("comp")
         # A pair across components has a member outside the list's main component.
-        parts = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
-        main = parts.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("rows"))
-        main = cut(main.select("token", F.col("main.comp").alias("main"), (F.col("rows") * (F.col("rows") - F.col("main.size"))).alias("open"), "rows"))
+        by_comp = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"), F.max("parts").alias("parts"))
+        main = by_comp.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("rows"), F.max("parts").alias("parts"))
+        main = cut(main.select("token", "parts", F.col("main.comp").alias("main"), (F.col("rows") * (F.col("rows") - F.col("main.size"))).alias("open"), "rows"))
         left = main.agg(F.sum("open").alias("open"), F.sum("rows").alias("rows")).first()
         if not left["rows"]:
             break
@@ -306,21 +383,21 @@ def linked_classes(sets: DataFrame) -> DataFrame:
         links = None
         if last:
             # A pair that shares a long list is compared in blocks; all lists of any other pair are short.
-            long_lists = cut(main.where(F.col("rows") > TREE_SETS).select("token"))
-            if long_lists.limit(1).count():
-                links = cut(block_links(cut(rows.join(long_lists, "token").select("token", "cls")), sets, comps))
-                rows = rows.join(long_lists, "token", "left_anti")
-            outside = rows.join(main.select("token", "main"), "token").where("comp <> main").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"), "main")
-            pairs = outside.join(rows.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb")), "token")
+            if main.where(F.col("rows") > TREE_SETS).limit(1).count():
+                long_rows = with_list(rows, main.where(F.col("rows") > TREE_SETS).select("token", "parts", F.lit(True).alias("long"))).drop("long")
+                links = cut(block_links(long_rows, main.where(F.col("rows") > TREE_SETS).select("token", "parts", "main"), sets))
+            rows = with_list(rows, main.where(F.col("rows") <= TREE_SETS).select("token", "parts", "main"))
+            outside = rows.where("comp <> main").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"), "main")
+            pairs = outside.join(rows.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb"), "weight"), "token")
             # Two members outside the main component meet twice; once is enough.
             pairs = pairs.where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
             # Main components differ from list to list, so the pair's order is fixed only now.
-            pairs = pairs.where(_may_link()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
+            pairs = pairs.where(_may_link()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"), "weight")
             # Of the set whose prefix ends first, all shared prefix shingles are counted here; the rest of it adds at most what follows.
-            pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") + F.greatest(_after_prefix("na"), _after_prefix("nb")) >= _required("na", "nb")).select("a", "b")
+            pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("weight").alias("shared")).where(F.col("shared") + F.greatest(_after_prefix("na"), _after_prefix("nb")) >= _required("na", "nb")).select("a", "b")
         else:
-            leader = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"))).alias("l")).select("token", "l.a", "l.na", "l.ma", "l.ca")
-            pairs = rows.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb")).join(leader, "token").where("ca <> cb")
+            leader = rows.groupBy("token").agg(F.max("parts").alias("parts"), F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"))).alias("l")).select("token", "parts", "l.a", "l.na", "l.ma", "l.ca")
+            pairs = with_list(rows.select("token", "part", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb")), leader).where("ca <> cb")
             pairs = pairs.where(_may_link()).select("a", "b").distinct()
         if done is not None:
             seen = done.union(done.select("b", "a")).toDF("a", "b")
@@ -338,20 +415,38 @@ def linked_classes(sets: DataFrame) -> DataFrame:
     return comps.withColumnRenamed("comp", "component")
 
 
+def joined_by_ids(members: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """``comps`` (cls, component) after the classes of rows that share an id are joined."""
+    key = F.struct("key", "key2")
+    several = cut(members.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("doc_id"))
+    if not several.limit(1).count():
+        return comps
+    shared = members.join(several, "doc_id").join(classes, ["key", "key2"]).select("doc_id", "cls").distinct()
+    shared = cut(shared.join(comps, "cls", "left").select("doc_id", "cls", F.coalesce("component", "cls").alias("component")))
+    least = shared.groupBy("doc_id").agg(F.min("component").alias("a"))
+    joined = components(shared.join(least, "doc_id").select("a", F.col("component").alias("b"))).withColumnRenamed("component", "to")
+    every_one = comps.union(shared.select("cls", "component")).distinct()
+    return every_one.join(joined, every_one["component"] == joined["id"], "left").select("cls", F.coalesce("to", "component").alias("component"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, cls) for each row; ``component_id`` is the smallest id that links reach."""
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    members = cut(class_members(slim))
-    known = slim.where("doc_id IS NOT NULL")
-    classes = cut(surviving_classes(members.where("doc_id IS NOT NULL"), known))
-    sets = written(ordered_sets(written(surviving_sets(known, classes)), classes))
-    comps = linked_classes(sets)
-    with_comp = members.join(comps, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    with_comp = cut(with_comp)
+    """(doc_id, n_shingles, component_id) for each row; ``component_id`` is the smallest id that links reach."""
+    slim = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
+    members = written(class_members(slim))
+    known, named = slim.where("doc_id IS NOT NULL"), members.where("doc_id IS NOT NULL AND key IS NOT NULL")
+    classes = classes_of(named)
+    alive = written(surviving_classes(classes, known))
+    sets = written(ordered_sets(written(surviving_sets(known, alive)), alive))
+    comps = joined_by_ids(named, classes, linked_classes(sets))
+    linked = cut(comps.join(classes.select("cls", "key", "key2"), "cls").select("key", "key2", "component"))
+    with_comp = members.join(bounded(linked), ["key", "key2"], "left")
+    # A class without links is its own component, known by its key.
+    group = {"linked": F.col("component").isNotNull(), "g": F.coalesce("component", "key"), "g2": F.when(F.col("component").isNull(), F.col("key2")).otherwise(0)}
+    with_comp = written(with_comp.select("doc_id", "n_shingles", *[c.alias(k) for k, c in group.items()]))
     # Written first, so that the join reads both sides from shuffles and Spark can split a component of very many documents.
-    smallest = cut(with_comp.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    out = with_comp.join(smallest, "component", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "cls")
+    smallest = cut(with_comp.where("g IS NOT NULL AND doc_id IS NOT NULL").groupBy(*group).agg(F.min("doc_id").alias("component_id")))
+    out = with_comp.join(smallest, list(group), "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
