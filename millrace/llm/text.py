@@ -6,6 +6,7 @@ working on UTF-8 bytes gives the same words as working on characters.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,9 @@ import pyarrow.compute as pc
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
 CHUNK_BYTES = 2 << 20
 
+#: Longer words are hashed from a digest: for polynomials modulo 2**64 long words that collide are known.
+LONG_WORD = 256
+
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 LOWERED = np.arange(256, dtype=np.uint8)
@@ -100,6 +104,9 @@ def words(column: pa.Array, lower: bool = True) -> Words:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
         h = (sums[ends] - sums[starts]) * _power(ROOT_INVERSE, len(raw) + 1)[starts]
         h = mix(h + (ends - starts).astype(np.uint64))
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        word = raw[starts[k] : ends[k]]
+        h[k] = int.from_bytes(hashlib.blake2b((LOWERED[word] if lower else word).tobytes(), digest_size=8).digest(), "little")
     return Words(h, np.searchsorted(starts, offsets))
 
 

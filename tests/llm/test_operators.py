@@ -162,6 +162,52 @@ def test_ngram_join_equals_all_pairs(spark, odd, empty, monkeypatch):
     assert ngram_join.op2_ngram_join(empty).count() == 0
 
 
+def test_ngram_join_of_long_lists_equals_all_pairs(spark):
+    """1,200 texts made of a few common passages, so that lists are far longer than a tree and mostly unlinked."""
+    r = random.Random(17)
+    passages = [[f"p{k}w{i}" for i in range(40)] for k in range(9)]
+    rows = []
+    for i in range(1200):
+        w = [x for k in sorted(r.sample(range(9), 3)) for x in passages[k]]
+        for _ in range(r.randrange(0, 5)):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w + [f"end{i}"] * r.randrange(2))))
+    bit, masks = {}, []
+    for _, t in rows:
+        w = t.split()
+        mask = 0
+        for g in {tuple(w[i : i + 5]) for i in range(len(w) - 4)}:
+            mask |= 1 << bit.setdefault(g, len(bit))
+        masks.append((mask, mask.bit_count()))
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, n) in enumerate(masks):
+        for j in range(i):
+            b, m = masks[j]
+            both = (a & b).bit_count()
+            if 100 * both >= 80 * (n + m - both):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    got = {d.doc_id: (d.n_shingles, d.component_id) for d in ngram_join.op2_ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (masks[i][1], find(i)) for i in range(len(rows))}
+
+
+def test_prefix_tree_leaves_out_subtrees():
+    """A subtree below a node that can't reach the overlap is not entered; labels leave out sets of the own component."""
+    sets = [(k, 10, np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 100 + k]), k % 2) for k in range(6)] + [(9, 10, np.arange(200, 210), 0), (10, 3, np.array([1, 2, 3]), 1)]
+    tree = ngram_join.grow(sets)
+    assert {c.run[0] for c in tree.children} == {1, 200} and tree.least_n == 3 and tree.most == 10
+    probe = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 77])
+    assert sorted(s[0] for s in ngram_join.walk(tree, probe, 10)) == list(range(6))
+    assert sorted(s[0] for s in ngram_join.walk(tree, probe, 10, 0)) == [1, 3, 5]
+    assert [s[0] for s in ngram_join.walk(tree, np.array([1, 2, 3]), 3)] == [10]
+
+
 def test_tree_join_finds_what_sets_share():
     r = random.Random(5)
     sets = []
@@ -657,6 +703,10 @@ def test_word_hashes_follow_words():
     assert [len(w.of(i)) for i in range(len(texts))] == [len(words(t)) for t in texts]
     assert len(set(w.of(0)[:3])) == 1 and len(set(w.of(3))) == 1
     assert len(set(tx.words(pa.array(texts), lower=False).of(0)[:3])) == 3
+    even, odd_ = "a", "b"  # Thue-Morse words of 2048 letters: polynomials modulo 2**64 can't tell them apart
+    for _ in range(11):
+        even, odd_ = even + odd_, odd_ + even
+    assert len({int(h) for h in tx.words(pa.array([f"{even} {odd_} {even.upper()}"])).hashes}) == 2
     parts = [len(c) for _, c in tx.chunks(pa.array(["x" * 10] * 10 + [None]), 25)]
     assert sum(parts) == 11 and max(parts) <= 3
 
