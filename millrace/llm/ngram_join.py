@@ -34,7 +34,7 @@ Sets hold 64-bit hashes of shingles; a class is known by the 128 bits of its set
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,7 +44,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm import text as tx
-from millrace.llm.common import bounded, column, cut, every, unique_name, written
+from millrace.llm.common import bounded, column, every, unique_name, written
 from millrace.llm.components import components
 
 WIDTH = 5
@@ -54,11 +54,13 @@ NEED = 80
 SLICE = 5
 #: Sets in one prefix tree, about.
 TREE_SETS = 256
+#: Partners that one probe is compared with in one task.
+PARTNERS = 64
 #: Rows of a list that are worked on together, about.
 LIST_PART = 256
 #: Sets of which the sizes link are in the same class of sizes or in neighbouring ones; a little over 100 / NEED.
 SIZE_STEP = 1.26
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 3
 
 
 def class_key(shingles: np.ndarray) -> tuple[int, int]:
@@ -212,18 +214,18 @@ def grow(sets: list[tuple]) -> Node:
     return node(ranked, 0)
 
 
-def walk(tree: Node, probe: np.ndarray, n_probe: int, label: object = None, step: int = 64) -> Iterator[tuple]:
-    """The sets of a tree that link with the probe and have another label; ``probe`` holds its ordered tokens."""
+def walk(tree: Node, probe: np.ndarray, n_probe: int, own: Callable[[object], bool] = lambda label: False, step: int = 64) -> Iterator[tuple]:
+    """The sets of a tree that link with the probe, but for those whose label is ``own``; ``probe`` holds its ordered tokens."""
     ranked = np.sort(probe)
     open_nodes = [(tree, 0, 0)]
     while open_nodes:
         node, depth, hits = open_nodes.pop()
-        if label is not None and node.label == label:
+        if node.label is not None and own(node.label):
             continue
         need, at = required_overlap(n_probe, node.least_n), 0
         while hits + min(node.most - depth, len(ranked) - hits) >= need:
             if at == len(node.run):
-                yield from (s for s in node.ends if hits >= required_overlap(n_probe, s[1]) and (label is None or s[3] != label))
+                yield from (s for s in node.ends if hits >= required_overlap(n_probe, s[1]) and not own(s[3]))
                 open_nodes += [(c, depth, hits) for c in node.children]
                 break
             part = node.run[at : at + step]
@@ -240,7 +242,7 @@ def tree_join(probe: np.ndarray, n_probe: int, sets: list[tuple[int, int, np.nda
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): the pairs (hub a, partner b) that link."""
     sets = sets.select("cls", "n", "tokens")
-    chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TREE_SETS).cast("int").alias("chunks"))
+    chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("chunks"))
     dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
     hubs = chunks.join(sets, chunks["a"] == sets["cls"]).select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), "n", "tokens")
     partners = dealt.join(sets, dealt["b"] == sets["cls"]).select("a", "chunk", "b", "n", "tokens")
@@ -294,7 +296,7 @@ def block_links(rows: DataFrame, mains: DataFrame, sets: DataFrame) -> DataFrame
     a left and a right block is one small comparison of the left sets with the prefix tree of the right ones.
     """
     sized = with_list(rows, mains).withColumn("size", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int")).withColumn("left", F.col("comp") != F.col("main"))
-    sized = cut(sized.select("token", "part", "parts", "cls", "n", "comp", "left", "size"))
+    sized = written(sized.select("token", "part", "parts", "cls", "n", "comp", "left", "size"))
     sizes = sized.groupBy("token", "size").agg(F.max("parts").alias("parts"), F.ceil(F.count_if("left") / TREE_SETS).cast("int").alias("lefts"), F.ceil(F.count(F.lit(1)) / TREE_SETS).cast("int").alias("rights"))
     around = sizes.select("token", F.explode(F.array(*[F.struct((F.col("size") - d).alias("size"), F.lit(d).alias("d"), F.col("lefts").alias("lefts"), F.col("rights").alias("rights")) for d in (-1, 0, 1)])).alias("x"))
     near = around.groupBy("token", F.col("x.size").alias("size")).agg(F.collect_list(F.struct("x.d", "x.lefts", "x.rights")).alias("near"))
@@ -333,13 +335,23 @@ def block_links(rows: DataFrame, mains: DataFrame, sets: DataFrame) -> DataFrame
 
 
 def compare_blocks(probes: list[tuple], others: list[tuple]) -> Iterator[tuple[int, int]]:
-    """Links across components between the rows of two blocks (id, size, tokens, component, left)."""
+    """Links across components between the rows of two blocks (id, size, tokens, component, left).
+
+    Components that a link has joined here are one from then on, so a block gives fewer links than it has sets.
+    """
     if not probes or not others:
         return
-    tree = grow(others)
+    tree, above = grow(others), {}
+
+    def root(comp: int) -> int:
+        while comp in above:
+            comp = above[comp]
+        return comp
+
     for cls, n, tokens, comp, _ in probes:
-        # Two left sets meet twice; once is enough.
-        yield from ((cls, s[0]) for s in walk(tree, tokens, n, comp) if not s[4] or cls < s[0])
+        for s in walk(tree, tokens, n, lambda label, mine=comp: root(label) == root(mine)):
+            yield cls, s[0]
+            above[root(s[3])] = root(comp)
 
 
 def _after_prefix(n: str):
@@ -364,18 +376,18 @@ def linked_classes(sets: DataFrame) -> DataFrame:
     postings = sets.select("cls", "n", F.size("tokens").alias("most"), F.explode("head").alias("h"))
     parts = F.ceil(F.col("h.df") / LIST_PART).cast("int")
     postings = postings.select("cls", "n", "most", F.col("h.token").alias("token"), parts.alias("parts"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("part"), F.lit(1).cast("long").alias("weight"))
-    comps = cut(sets.select("cls", F.col("cls").alias("comp")))
+    comps = written(sets.select("cls", F.col("cls").alias("comp")))
     done, before = None, None
     for turn in range(LEADER_ROUNDS + 1):
         # Lists within one component are done for good, and so is a set in a list where even the smallest set asks for too much.
-        rows = cut(postings.join(comps, "cls"))
-        rows = cut(with_list(rows.drop("weight"), open_lists(rows)).where(_required("n", "least_n") <= F.col("most")).drop("least_n"))
+        rows = written(postings.join(comps, "cls"))
+        rows = written(with_list(rows.drop("weight"), open_lists(rows)).where(_required("n", "least_n") <= F.col("most")).drop("least_n"))
         postings = rows.drop("comp")
         # A pair across components has a member outside the list's main component.
         by_comp = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"), F.max("parts").alias("parts"))
         main = by_comp.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("rows"), F.max("parts").alias("parts"))
-        main = cut(main.select("token", "parts", F.col("main.comp").alias("main"), (F.col("rows") * (F.col("rows") - F.col("main.size"))).alias("open"), "rows"))
-        left = main.agg(F.sum("open").alias("open"), F.sum("rows").alias("rows")).first()
+        main = written(main.select("token", "parts", F.col("main.comp").alias("main"), (F.col("rows") * (F.col("rows") - F.col("main.size"))).alias("open"), "rows"))
+        left = main.agg(F.sum("open").alias("open"), F.sum("rows").alias("rows"), F.max("rows").alias("longest")).first()
         if not left["rows"]:
             break
         last = turn == LEADER_ROUNDS or left["open"] <= 4 * left["rows"] or (before is not None and 2 * left["open"] > before)
@@ -383,9 +395,9 @@ def linked_classes(sets: DataFrame) -> DataFrame:
         links = None
         if last:
             # A pair that shares a long list is compared in blocks; all lists of any other pair are short.
-            if main.where(F.col("rows") > TREE_SETS).limit(1).count():
+            if left["longest"] > TREE_SETS:
                 long_rows = with_list(rows, main.where(F.col("rows") > TREE_SETS).select("token", "parts", F.lit(True).alias("long"))).drop("long")
-                links = cut(block_links(long_rows, main.where(F.col("rows") > TREE_SETS).select("token", "parts", "main"), sets))
+                links = written(block_links(long_rows, main.where(F.col("rows") > TREE_SETS).select("token", "parts", "main"), sets))
             rows = with_list(rows, main.where(F.col("rows") <= TREE_SETS).select("token", "parts", "main"))
             outside = rows.where("comp <> main").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"), "main")
             pairs = outside.join(rows.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb"), "weight"), "token")
@@ -402,14 +414,14 @@ def linked_classes(sets: DataFrame) -> DataFrame:
         if done is not None:
             seen = done.union(done.select("b", "a")).toDF("a", "b")
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+        pairs = written(pairs)
         done = pairs if done is None else done.union(pairs)
         links = verified(pairs, sets) if links is None else verified(pairs, sets).union(links)
         to = comps.select(F.col("cls").alias("a"), F.col("comp").alias("ca"))
         over = comps.select(F.col("cls").alias("b"), F.col("comp").alias("cb"))
-        between = links.join(to, "a").join(over, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        between = written(links).join(to, "a").join(over, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         joined = components(between)
-        comps = cut(comps.join(joined, comps["comp"] == joined["id"], "left").select("cls", F.coalesce("component", "comp").alias("comp")))
+        comps = written(comps.join(joined, comps["comp"] == joined["id"], "left").select("cls", F.coalesce("component", "comp").alias("comp")))
         if last:
             break
     return comps.withColumnRenamed("comp", "component")
@@ -418,11 +430,11 @@ def linked_classes(sets: DataFrame) -> DataFrame:
 def joined_by_ids(members: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
     """``comps`` (cls, component) after the classes of rows that share an id are joined."""
     key = F.struct("key", "key2")
-    several = cut(members.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("doc_id"))
+    several = members.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("doc_id")
     if not several.limit(1).count():
         return comps
     shared = members.join(several, "doc_id").join(classes, ["key", "key2"]).select("doc_id", "cls").distinct()
-    shared = cut(shared.join(comps, "cls", "left").select("doc_id", "cls", F.coalesce("component", "cls").alias("component")))
+    shared = written(shared.join(comps, "cls", "left").select("doc_id", "cls", F.coalesce("component", "cls").alias("component")))
     least = shared.groupBy("doc_id").agg(F.min("component").alias("a"))
     joined = components(shared.join(least, "doc_id").select("a", F.col("component").alias("b"))).withColumnRenamed("component", "to")
     every_one = comps.union(shared.select("cls", "component")).distinct()
@@ -438,13 +450,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     alive = written(surviving_classes(classes, known))
     sets = written(ordered_sets(written(surviving_sets(known, alive)), alive))
     comps = joined_by_ids(named, classes, linked_classes(sets))
-    linked = cut(comps.join(classes.select("cls", "key", "key2"), "cls").select("key", "key2", "component"))
+    linked = written(comps.join(classes.select("cls", "key", "key2"), "cls").select("key", "key2", "component"))
     with_comp = members.join(bounded(linked), ["key", "key2"], "left")
     # A class without links is its own component, known by its key.
     group = {"linked": F.col("component").isNotNull(), "g": F.coalesce("component", "key"), "g2": F.when(F.col("component").isNull(), F.col("key2")).otherwise(0)}
     with_comp = written(with_comp.select("doc_id", "n_shingles", *[c.alias(k) for k, c in group.items()]))
     # Written first, so that the join reads both sides from shuffles and Spark can split a component of very many documents.
-    smallest = cut(with_comp.where("g IS NOT NULL AND doc_id IS NOT NULL").groupBy(*group).agg(F.min("doc_id").alias("component_id")))
+    smallest = written(with_comp.where("g IS NOT NULL AND doc_id IS NOT NULL").groupBy(*group).agg(F.min("doc_id").alias("component_id")))
     out = with_comp.join(smallest, list(group), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
@@ -456,7 +468,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     comps = jaccard_components(docs, id_col, text_col).where("doc_id IS NOT NULL")
     ids = comps.groupBy(F.col("doc_id").alias(id_col)).agg(F.max(F.col("component_id") < F.col("doc_id")).alias("linked"), F.count(F.lit(1)).alias("rows"))
-    ids = cut(ids.where("linked OR rows > 1"))
+    ids = written(ids.where("linked OR rows > 1"))
     kept = docs.join(ids.where("linked").select(id_col), id_col, "left_anti").select(*every(docs))
     again = ids.where("NOT linked").select(id_col)
     if not again.limit(1).count():

@@ -204,7 +204,7 @@ def test_prefix_tree_leaves_out_subtrees():
     assert {c.run[0] for c in tree.children} == {1, 200} and tree.least_n == 3 and tree.most == 10
     probe = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 77])
     assert sorted(s[0] for s in ngram_join.walk(tree, probe, 10)) == list(range(6))
-    assert sorted(s[0] for s in ngram_join.walk(tree, probe, 10, 0)) == [1, 3, 5]
+    assert sorted(s[0] for s in ngram_join.walk(tree, probe, 10, lambda x: x == 0)) == [1, 3, 5]
     assert [s[0] for s in ngram_join.walk(tree, np.array([1, 2, 3]), 3)] == [10]
 
 
