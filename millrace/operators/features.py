@@ -12,8 +12,12 @@ from pyspark.sql import types as T
 from millrace.functions.flow import finite
 
 COMMON = ("duration", "pkts_fwd", "pkts_bwd", "bytes_fwd", "bytes_bwd")
-#: Native columns whose names look like identifiers, addresses, times or labels are no features.
-ID_LIKE = re.compile(r"(^|_)(id|uid|ip|addr|mac|port|time|ts|date|label|name|index|ind|first|last|seen)(_|$|\d)", re.I)
+#: Parts of names (between underscores, in any case) that mark identifiers, addresses, ports, times and labels.
+ID_WORDS = (
+    "ip ipv4 ipv6 addr mac oui host hostname port sport dport time first last start end stime ltime timestamp "
+    "id flowind flow_id uid vlan tunnel label src dst saddr daddr"
+).split()
+ID_LIKE = re.compile(f"(^|_)({'|'.join(ID_WORDS)})($|_)", re.I)
 
 
 def common_features(flows: DataFrame, keep: Sequence[str] = (), with_port: bool = False) -> DataFrame:
@@ -27,7 +31,7 @@ def common_features(flows: DataFrame, keep: Sequence[str] = (), with_port: bool
 
 
 def native_columns(flows: DataFrame, prefix: str = "tool_", least_numeric: float = 0.5) -> list[str]:
-    """Native columns that are numeric in half of the rows and not constant; one pass over all rows."""
+    """Native columns that are no identifiers, numeric in half of the rows and not constant; one pass over all rows."""
     names = [f.name for f in flows.schema if f.name.startswith(prefix) and not ID_LIKE.search(f.name[len(prefix) :]) and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
     if not names:
         return []

@@ -185,10 +185,26 @@ def robust_scale(spark, d):
     return out.select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in LINE_COLUMNS])
 
 
+#: Native names, and the expressions over ``lineitem`` they stand for, in Spark and in DuckDB alike.
+NATIVE = {
+    "tool_order_id": "l_orderkey", "tool_qty": "l_quantity", "tool_const": "1", "tool_mode": "l_linestatus", "tool_tax": "CAST(l_tax AS STRING)", "tool_flag": "l_returnflag",
+    "tool_src": "l_partkey", "tool_dport": "l_suppkey", "tool_Flow_Start": "l_discount", "tool_ts": "l_partkey % 7", "tool_name_len": "length(l_returnflag)", "tool_portal": "l_linenumber",
+    "tool_rare": "CASE WHEN l_linenumber = 1 THEN l_quantity END", "tool_half": "CASE WHEN l_linenumber < 5 THEN CAST(l_discount AS STRING) ELSE 'x' END",
+}
+
+
 def native_feature_filter(spark, d):
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("tool_order_id"), F.col("l_quantity").alias("tool_qty"), F.lit(1).alias("tool_const"), F.col("l_linestatus").alias("tool_mode"), F.col("l_tax").cast("string").alias("tool_tax"), F.col("l_returnflag").alias("tool_flag"))
+    """P15 over all rows of lineitem: (name, kept)."""
+    li = table(spark, d, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in NATIVE.items()])
     kept = fe.native_columns(li)
-    return li.agg(*[F.lit(c in kept).alias(c) for c in li.columns], F.count(F.lit(1)).alias("n"))
+    n = li.agg(F.count(F.lit(1)).alias("n"))
+    return n.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(c in kept).alias("kept")) for c in NATIVE])).alias("x"), "n").select("x.*", "n")
+
+
+_NATIVE_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS name, NOT regexp_matches('{c[5:]}', '{fe.ID_LIKE.pattern}', 'i') AND count(TRY_CAST(x AS DOUBLE)) >= 0.5 * count(*) AND coalesce(min(TRY_CAST(x AS DOUBLE)) <> max(TRY_CAST(x AS DOUBLE)), false) AS kept, count(*) AS n FROM (SELECT {e} AS x FROM lineitem)"
+    for c, e in NATIVE.items()
+)
 
 
 def transfer_summary(spark, d):
@@ -265,7 +281,7 @@ SELECT lang, round(sum(pos / nullif(ap, 0) * tp / k), 9) AS average_precision, r
     "temporal_split": (temporal_split, "SELECT CASE o_orderstatus WHEN 'O' THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY 1"),
     "aligned_pick": (aligned_pick, f"WITH {_E}, r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {_h(0)}) AS rn FROM e WHERE vec_id % 6 = 0) SELECT vec_id, label, v.view FROM r, (VALUES ('even'), ('third')) v(view) WHERE rn <= 4"),
     "robust_scale": (robust_scale, "WITH t AS (SELECT * FROM lineitem WHERE l_orderkey % 3 <> 0), " + ", ".join(f"q{i} AS (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.01) AS lo, quantile_cont(CAST({c} AS DOUBLE), 0.99) AS hi FROM t), m{i} AS (SELECT lo, hi, avg(least(greatest(CAST({c} AS DOUBLE), lo), hi)) AS m, stddev_pop(least(greatest(CAST({c} AS DOUBLE), lo), hi)) AS s FROM t, q{i} GROUP BY lo, hi)" for i, c in enumerate(LINE_COLUMNS)) + " SELECT l_orderkey, l_linenumber, " + ", ".join(f"round((least(greatest(CAST({c} AS DOUBLE), m{i}.lo), m{i}.hi) - m{i}.m) / m{i}.s, 6) AS {c}" for i, c in enumerate(LINE_COLUMNS)) + " FROM lineitem, " + ", ".join(f"m{i}" for i in range(len(LINE_COLUMNS)))),
-    "native_feature_filter": (native_feature_filter, "SELECT false AS tool_order_id, true AS tool_qty, false AS tool_const, false AS tool_mode, true AS tool_tax, false AS tool_flag, count(*) AS n FROM lineitem"),
+    "native_feature_filter": (native_feature_filter, _NATIVE_SQL),
     "transfer_summary": (transfer_summary, f"WITH {_C}, t AS (SELECT avg(score) FILTER (WHERE model[1] = '1') AS a, avg(score) FILTER (WHERE model[1] <> '1') AS b FROM cells) SELECT round(a, 4) AS diagonal, round(b, 4) AS off_diagonal, round(a - b, 4) AS \"drop\" FROM t"),
     "ablation_delta": (ablation_delta, f"WITH {_C} SELECT x.tool AS ablation, 'binary' AS task, 's' AS split, count(*) AS n, round(avg(x.score - y.score), 4) AS mean_delta, round(median(x.score - y.score), 4) AS median_delta FROM cells x JOIN cells y ON x.model = y.model AND x.seed = y.seed AND y.tool = 'BUILDING' WHERE x.tool <> 'BUILDING' GROUP BY x.tool"),
     "recall_pivot": (recall_pivot, f"WITH {_C} SELECT tool, " + ", ".join(f"round(avg(score) FILTER (WHERE model[1] = '{x}'), 4) AS class_{x}" for x in "123") + " FROM cells GROUP BY tool"),
