@@ -100,40 +100,39 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn_score(queries: DataFrame, reference: DataFrame, k: int = 5, block_rows: int = 5_000, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Mean distance to the k nearest reference vectors, exact.
+def packed(df: DataFrame, block_rows: int, name: str, *columns: Column) -> tuple[DataFrame, int]:
+    """(block, rows): the table dealt to blocks of about ``block_rows`` rows, each one row; and how many blocks there are."""
+    n = max(1, -(-df.count() // block_rows))
+    row = F.struct(*columns)
+    return df.groupBy(F.pmod(F.xxhash64(row), F.lit(n)).alias(name)).agg(F.collect_list(row).alias(f"{name}_rows")), n
 
-    The reference is taken in blocks of bounded size, broadcast one after another; each query keeps the k smallest
-    distances of each block.
+
+def knn_score(queries: DataFrame, reference: DataFrame, k: int = 5, block_rows: int = 2_000, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Mean distance to the k nearest reference vectors, exact; null where there is no reference.
+
+    Both sides are dealt to blocks; every query block meets every reference block in a task of its own, which keeps
+    the k smallest distances of each query, and these are merged by id. Repeated ids count as one query.
     """
-    spark = queries.sparkSession
-    width = len(reference.select(vector).first()[0]) if reference.limit(1).count() else 0
-    q = queries.select(id_col, F.col(vector).cast("array<double>").alias("_v"))
-    best, block = None, []
-
-    def scan(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(np.array(rows, dtype=np.float64).reshape(-1, width))
-
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            r = shared.value
-            norms = (r * r).sum(axis=1)
-            for b in batches:
-                v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                d2 = np.maximum((v * v).sum(axis=1)[:, None] + norms - 2 * v @ r.T, 0)
-                top = np.sort(np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, :k], axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sqrt(x) for x in top], pa.list_(pa.float64()))], names=[id_col, "_d"])
-
-        return q.mapInArrow(near, f"{id_col} bigint, _d array<double>")
-
-    for row in reference.select(vector).toLocalIterator():
-        block.append(row[0])
-        if len(block) == block_rows:
-            part, block = scan(block), []
-            best = part if best is None else best.union(part)
-    if block:
-        best = scan(block) if best is None else best.union(scan(block))
+    v = F.col(vector).cast("array<double>").alias("v")
+    q, _ = packed(queries.dropDuplicates([id_col]), block_rows, "q", F.col(id_col).cast("bigint").alias("id"), v)
+    r, n = packed(reference, block_rows, "r", v)
+    pairs = q.withColumn("r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))).join(r, "r").select("q_rows", "r_rows")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                mine, others = batch.column(0)[i].values, batch.column(1)[i].values
+                x, y = (a.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1) for a in (mine, others))
+                rough = (y * y).sum(axis=1) - 2 * x @ y.T
+                m = min(k, len(y))
+                at = np.argpartition(rough, m - 1, axis=1)[:, :m]
+                d = np.sqrt(((x[:, None, :] - y[at]) ** 2).sum(axis=2))
+                yield pa.RecordBatch.from_arrays([mine.field("id"), pa.array(list(np.sort(d, axis=1)), pa.list_(pa.float64()))], names=[id_col, "_d"])
+
+    best = pairs.mapInArrow(near, f"{id_col} bigint, _d array<double>")
     merged = best.groupBy(id_col).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_d"))), 1, k).alias("_d"))
-    return merged.select(id_col, (F.aggregate("_d", F.lit(0.0), lambda a, x: a + x) / F.size("_d")).alias("score"))
+    scored = merged.select(id_col, (F.aggregate("_d", F.lit(0.0), lambda a, x: a + x) / F.size("_d")).alias("score"))
+    return queries.select(F.col(id_col).cast("bigint").alias(id_col)).distinct().join(scored, id_col, "left")
 
 
 def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray, float]:

@@ -1,4 +1,4 @@
-"""Queries that fit and score models on the ``embeddings`` table; without SQL, the tests hold them against plain versions."""
+"""Queries that fit and score models on the ``embeddings`` table; ``tests/test_models.py`` holds the operators against plain versions."""
 
 from __future__ import annotations
 
@@ -55,4 +55,7 @@ def transfer_matrix(spark, d):
     return mo.transfer_matrix(halves, "logreg")
 
 
-QUERIES = {f.__name__: (f, None) for f in (knn_score, mahalanobis_score, pca_scores, rf_report, logreg_report, kshot_report, transfer_matrix)}
+_KNN = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (
+  SELECT q.vec_id, list_distance(q.v, r.v) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, r.v)) AS rn FROM e q, e r WHERE r.label = 0)
+SELECT vec_id, round(avg(d), 6) AS score FROM d WHERE rn <= 5 GROUP BY vec_id"""
+QUERIES = {"knn_score": (knn_score, _KNN)} | {f.__name__: (f, None) for f in (mahalanobis_score, pca_scores, rf_report, logreg_report, kshot_report, transfer_matrix)}
