@@ -16,10 +16,33 @@ def order_hash(id_col: str, seed: int) -> Column:
 
 
 def ranked(df: DataFrame, by: list[str], id_col: str, seed: int, name: str = "rn") -> DataFrame:
-    """Rows of a class numbered in hash order."""
+    """Rows of a class numbered in hash order; with a filter on small numbers Spark keeps only those of each partition before the shuffle."""
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(order_hash(id_col, seed), id_col)))
 
 
+def first_of_class(df: DataFrame, by: list[str], id_col: str, seed: int, quota: Column, name: str) -> DataFrame:
+    """``df`` with a boolean ``name``: is the row among the first ``quota`` rows of its class in hash order?
+
+    ``quota`` is an expression over the class's columns and ``_n``, its number of rows. Hashes are counted in 4,096
+    ranges; the ranges before a class's last one are in as a whole, and only rows of that one are numbered, so no task
+    sorts a class.
+    """
+    keyed = df.withColumn("_range", F.shiftright(order_hash(id_col, seed).cast("bigint"), 20))
+    counts = keyed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    so_far = counts.withColumn("_upto", F.sum("_rows").over(W.partitionBy(*by).orderBy("_range"))).withColumn("_n", F.sum("_rows").over(W.partitionBy(*by))).withColumn("_quota", quota)
+    inside = F.max(F.when(F.col("_upto") <= F.col("_quota"), F.col("_range")))
+    last = so_far.groupBy(*by, "_quota").agg(F.coalesce(inside, F.lit(-1)).alias("_in"), F.min(F.when(F.col("_upto") > F.col("_quota"), F.struct("_range", (F.col("_quota") - F.col("_upto") + F.col("_rows")).alias("room")))).alias("_edge"))
+    last = last.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_in", F.col("_edge._range").alias("_edge"), F.col("_edge.room").alias("_room"))
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    placed = keyed.join(last, on)
+    edge = F.col("_range") == F.col("_edge")
+    rest = placed.where(~F.coalesce(edge, F.lit(False))).withColumn(name, F.col("_range") <= F.col("_in"))
+    cut = placed.where(edge).withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(order_hash(id_col, seed), id_col)) <= F.col("_room"))
+    return rest.unionByName(cut).select(*df.columns, name)
+
+
 def temporal_split(df: DataFrame, captures: DataFrame) -> DataFrame:
     """Train or test by capture, from (capture, split); other captures drop out."""
     return df.join(F.broadcast(captures.select("capture", "split")), "capture")
@@ -27,16 +50,16 @@ def temporal_split(df: DataFrame, captures: DataFrame) -> DataFrame:
 
 def stratified_split(df: DataFrame, label: str, id_col: str, seed: int = 0, train: float = 0.7) -> DataFrame:
     """A share of each class to train; classes of one row go to train."""
-    n = F.count(F.lit(1)).over(W.partitionBy(label))
-    split = F.when((F.col("_n") < 2) | (F.col("_rn") <= F.round(train * F.col("_n"))), "train").otherwise("test")
-    return ranked(df, [label], id_col, seed, "_rn").withColumn("_n", n).withColumn("split", split).drop("_rn", "_n")
+    quota = F.when(F.col("_n") < 2, F.col("_n")).otherwise(F.round(train * F.col("_n")).cast("long"))
+    marked = first_of_class(df, [label], id_col, seed, quota, "_in_train")
+    return marked.withColumn("split", F.when(F.col("_in_train"), "train").otherwise("test")).drop("_in_train")
 
 
 def cap_rows(df: DataFrame, label: str, id_col: str, most: int, seed: int = 0) -> DataFrame:
     """At most about ``most`` rows, in proportion to classes; a class keeps one row at least."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    quota = sizes.withColumn("_quota", F.when(F.sum("_n").over(W.partitionBy()) <= most, F.col("_n")).otherwise(F.greatest(F.lit(1), F.floor(F.col("_n") * most / F.sum("_n").over(W.partitionBy())))))
-    return ranked(df, [label], id_col, seed, "_rn").join(quota, label).where("_rn <= _quota").drop("_rn", "_n", "_quota")
+    total = df.where(F.col(label).isNotNull()).count()
+    quota = F.col("_n") if total <= most else F.greatest(F.lit(1), F.floor(F.col("_n") * most / F.lit(total)))
+    return first_of_class(df.where(F.col(label).isNotNull()), [label], id_col, seed, quota.cast("long"), "_taken").where("_taken").drop("_taken")
 
 
 def down_sample(df: DataFrame, label: str, value: str, share: float, id_col: str, seed: int = 0) -> DataFrame:
@@ -47,7 +70,8 @@ def down_sample(df: DataFrame, label: str, value: str, share: float, id_col: str
 def class_caps(df: DataFrame, label: str, id_col: str, caps: Mapping[str, int], by: tuple[str, ...] = (), seed: int = 0) -> DataFrame:
     """At most ``caps[class]`` rows of a class in each group; classes without a cap stay whole."""
     cap = F.try_element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col(label).cast("string"))
-    return ranked(df, [*by, label], id_col, seed, "_rn").where(cap.isNull() | (F.col("_rn") <= cap)).drop("_rn")
+    taken = first_of_class(df.where(cap.isNotNull()), [*by, label], id_col, seed, cap.cast("long"), "_taken").where("_taken").drop("_taken")
+    return taken.unionByName(df.where(cap.isNull()))
 
 
 def k_shot(df: DataFrame, label: str, id_col: str, k: int, repeat: int = 0) -> DataFrame:
