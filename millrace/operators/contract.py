@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,8 +49,8 @@ def coerce(df: DataFrame) -> DataFrame:
     return df.select(*[cast(c, t) for c, t in CORE.items()], *tail)
 
 
-def problems(df: DataFrame) -> DataFrame:
-    """V1: (problem, n) for every rule of the contract that rows break, in one pass."""
+def row_rules() -> dict[str, Column]:
+    """V1: what a row may break; null counts as not broken."""
     total = F.coalesce("pkts_fwd", F.lit(0)) + F.coalesce("pkts_bwd", F.lit(0))
     rules = {
         "reversed time": F.col("t_end") < F.col("t_start"),
@@ -58,7 +58,13 @@ def problems(df: DataFrame) -> DataFrame:
         "no packets": total <= 0,
         "no address": F.col("src_ip").isNull() | F.col("dst_ip").isNull(),
     } | {f"negative {c}": F.col(c) < 0 for c in COUNTS}
-    counted = df.agg(*[F.count_if(F.coalesce(r, F.lit(False))).alias(k) for k, r in rules.items()])
+    return {k: F.coalesce(r, F.lit(False)) for k, r in rules.items()}
+
+
+def problems(df: DataFrame) -> DataFrame:
+    """V1: (problem, n) for every rule of the contract that rows break, in one pass."""
+    rules = row_rules()
+    counted = df.agg(*[F.count_if(r).alias(k) for k, r in rules.items()])
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("problem"), F.col(f"`{k}`").alias("n")) for k in rules]))
     return counted.select(rows.alias("r")).select("r.*").where("n > 0")
 

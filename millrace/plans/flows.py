@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import alignment as al
 from millrace.operators import profiling as pr
 from millrace.operators import sessions as se
-from millrace.plans.common import ACTIVE, IDLE, SECOND, active_sql, flows, flows_sql, packets, packets_sql, sessions_sql
+from millrace.plans.common import ACTIVE, IDLE, SECOND, active_sql, flows, flows_sql, packets, packets_sql, sessions_sql, stored
 
 FLOW_COLUMNS = ["row_id", "src_ip", "src_port", "dst_ip", "dst_port", "t_start_us", "t_end_us", "n_pkts", "n_bytes", "pkts_fwd", "pkts_bwd", "bytes_fwd", "bytes_bwd", "label"]
 MID, LONG = IDLE[2], IDLE[3]
@@ -71,7 +71,8 @@ def _tools(spark, d):
     for name, idle in TOOLS.items():
         f = flows(spark, d, idle).withColumn("tool", F.lit(name))
         out = f if out is None else out.unionByName(f)
-    return out.select("tool", "key", "row_id", "t_start_us", "t_end_us", "label", "n_pkts", "n_bytes", "pkts_bwd", "pkts_fwd", "bytes_fwd", "capture", (F.col("t_end_us") - F.col("t_start_us")).alias("duration_us"))
+    # Alignment reads the flows several times.
+    return stored(out.select("tool", "key", "row_id", "t_start_us", "t_end_us", "label", "n_pkts", "n_bytes", "pkts_bwd", "pkts_fwd", "bytes_fwd", "capture", (F.col("t_end_us") - F.col("t_start_us")).alias("duration_us")))
 
 
 def align_categories(spark, d):

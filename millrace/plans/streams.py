@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.common import IDLE, SECOND, packets_of, packets_sql, sessions_sql
+from millrace.plans.common import IDLE, SECOND, packets, packets_of, packets_sql, scratch, sessions_sql
 from millrace.streaming import flows as st
 
 
@@ -22,8 +19,7 @@ def _stream(spark, d) -> DataFrame:
 
 
 def _ran(spark, df: DataFrame, mode: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    path = f"{base}/streams/{uuid.uuid4().hex}"
+    path = scratch(spark, "streams")
     q = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/rows")
@@ -44,7 +40,29 @@ def stream_sessions(spark, d):
 _CLOSED = f"""WITH {packets_sql()}, {sessions_sql(IDLE[1])}, g AS (
   SELECT any_value(client) || ':' || any_value(cport) || '|192.168.10.50:443|6' AS key, min(ts_us) AS start_us, max(ts_us) AS e, count(*) AS n_pkts, CAST(sum(wire_len) AS BIGINT) AS n_bytes FROM s GROUP BY user_id, session)
 SELECT key, start_us, n_pkts, n_bytes FROM g WHERE e + {IDLE[1] * SECOND} <= (SELECT (max(ts_us) // 1000) * 1000 FROM pk)"""
+
+
+def stream_projection(spark, d):
+    """T4: streamed packets joined to static reference events within the tolerance."""
+    p = _stream(spark, d).select("frame_no", "src_ip", "src_port", "dst_ip", "dst_port", "proto", (F.col("ts_us") / 1e6).alias("t_start"), F.lit("BENIGN").alias("label"), F.lit("BENIGN").alias("binary_label"))
+    r = packets(spark, d).where("event_type = 'error'").select("src_ip", "src_port", "dst_ip", "dst_port", "proto", (F.col("ts_us") / 1e6).alias("t_start"))
+    out = st.projected_stream(p, r, "fault", 3600.0, ("src_ip", "src_port", "dst_ip", "dst_port", "proto"))
+    return _ran(spark, out, "append").select("frame_no", "label", "binary_label")
+
+
+def stream_counts(spark, d):
+    """T5: packets of each event type in windows of six hours; windows that the watermark has closed by the end."""
+    return _ran(spark, st.running_counts(_stream(spark, d), "event_type", window="6 hours", late="0 seconds"), "append").select(F.unix_micros("start").alias("start_us"), "event_type", "n")
+
+
+_NEAR = f"""WITH {packets_sql()} SELECT a.frame_no, CASE WHEN count(b.frame_no) > 0 THEN 'fault' ELSE 'BENIGN' END AS label, CASE WHEN count(b.frame_no) > 0 THEN 'ATTACK' ELSE 'BENIGN' END AS binary_label
+FROM pk a LEFT JOIN pk b ON a.user_id = b.user_id AND a.up = b.up AND b.event_type = 'error' AND abs(a.ts_us - b.ts_us) <= {3600 * SECOND} GROUP BY a.frame_no"""
+_SIX_HOURS = 6 * 3600 * SECOND
+_WINDOWS = f"""WITH {packets_sql()}, w AS (SELECT ts_us // {_SIX_HOURS} * {_SIX_HOURS} AS start_us, event_type FROM pk)
+SELECT start_us, event_type, count(*) AS n FROM w WHERE start_us + {_SIX_HOURS} <= (SELECT (max(ts_us) // 1000) * 1000 FROM pk) GROUP BY start_us, event_type"""
 QUERIES = {
+    "stream_projection": (stream_projection, _NEAR),
+    "stream_counts": (stream_counts, _WINDOWS),
     "stream_labels": (stream_labels, "SELECT event_id AS frame_no, CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'web' ELSE 'BENIGN' END AS label, CAST(CASE WHEN event_type IN ('view', 'click', 'signup') THEN 1 ELSE 0 END AS BIGINT) AS n_rule_matches FROM events"),
     "stream_sessions": (stream_sessions, _CLOSED),
 }

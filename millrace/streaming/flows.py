@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from millrace.functions.flow import text_key
-from millrace.operators.contract import coerce
+from millrace.operators.contract import coerce, row_rules
 from millrace.operators.labeling import label_flows
 
 
@@ -103,14 +103,17 @@ def running_counts(rows: DataFrame, by: str, time: str = "ts", window: str = "5
 
 
 def validated_stream(rows: DataFrame, good: str, bad: str, checkpoint: str) -> StreamingQuery:
-    """Canonical rows to one folder, rows that break the contract to another."""
+    """Canonical rows to one folder, rows that break a rule of V1 to another with the rules' names.
+
+    Each batch writes folders of its own (``batch=n``) and replaces what an earlier try has left there, so a batch
+    that runs again after a failure doubles no row.
+    """
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        flows = coerce(batch).persist()
-        broken = (F.col("t_end") < F.col("t_start")) | F.col("src_ip").isNull() | F.col("dst_ip").isNull() | (F.coalesce("pkts_fwd", F.lit(0)) + F.coalesce("pkts_bwd", F.lit(0)) <= 0)
-        broken = F.coalesce(broken, F.lit(False))
-        flows.where(~broken).write.mode("append").parquet(good)
-        flows.where(broken).write.mode("append").parquet(bad)
+        named = F.array_compact(F.array(*[F.when(r, F.lit(k)) for k, r in row_rules().items()]))
+        flows = coerce(batch).withColumn("problems", named).persist()
+        flows.where(F.size("problems") == 0).drop("problems").write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
+        flows.where(F.size("problems") > 0).write.mode("overwrite").parquet(f"{bad}/batch={batch_id}")
         flows.unpersist()
 
     return rows.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
