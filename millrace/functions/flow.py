@@ -82,7 +82,11 @@ def cidr_range(cidr: str) -> tuple[int, int]:
 
 
 def ipv6_hex(ip: Column) -> Column:
-    """An IPv6 address as 32 hex digits, ``::`` filled in; null if it is none."""
+    """An IPv6 address as 32 hex digits, ``::`` and a dotted tail filled in; null if it is none."""
+    tail = ipv4_number(F.regexp_extract(ip, r":([0-9.]+)$", 1))
+    dotted = F.contains(ip, F.lit(".")) & tail.isNotNull()
+    hex_tail = F.concat(F.lit(":"), F.hex(F.shiftright(tail, 16)), F.lit(":"), F.hex(tail.bitwiseAND(0xFFFF)))
+    ip = F.when(dotted, F.concat(F.regexp_replace(ip, r":[0-9.]+$", ""), hex_tail)).otherwise(ip)
     halves = F.split(ip, "::")
 
     def groups(c: Column) -> Column:
@@ -141,8 +145,8 @@ def shifted_epoch(c: Column, hours: Column) -> Column:
 
 
 def fold_benign(c: Column) -> Column:
-    """BENIGN and NORMAL in any case are BENIGN."""
-    return F.when(F.upper(F.trim(c)).isin("BENIGN", "NORMAL"), "BENIGN").otherwise(c)
+    """BENIGN and NORMAL in any case are BENIGN; other labels lose the blanks around them."""
+    return F.when(F.upper(F.trim(c)).isin("BENIGN", "NORMAL"), "BENIGN").otherwise(F.trim(c))
 
 
 def is_host(ip: Column) -> Column:

@@ -72,6 +72,17 @@ def rule_table(specs: DataFrame, default_zone: str = "UTC") -> DataFrame:
     return specs.select("rule_no", "name", "label", at("start").alias("t_start"), at("end").alias("t_end"), captures.alias("captures"), *[c for c in specs.columns if c not in ("rule_no", "name", "label", "date", "start", "end", "tz", "capture", "captures")])
 
 
+def rules_of(table: DataFrame) -> list[dict]:
+    """The rows of a rule table, by ``rule_no``, as the mappings that ``label_flows`` takes; a file of rules has a few."""
+    return [{k: v for k, v in r.asDict().items() if v is not None} for r in table.orderBy("rule_no").collect()]
+
+
+def label_by_specs(flows: DataFrame, specs: DataFrame, capture: str | None = None, default_zone: str = "UTC") -> DataFrame:
+    """Flows labelled by the rows of a rule file."""
+    rules = rules_of(rule_table(specs, default_zone))
+    return label_flows(flows, rules if capture is not None else [r | {"by_row": True} for r in rules], capture)
+
+
 def class_distribution(labeled: DataFrame) -> DataFrame:
     """Flows of each class and of each confidence, the largest class first."""
     kinds = ("exact", "window_edge", "benign", "projected")

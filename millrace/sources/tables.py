@@ -7,14 +7,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.contract import core_schema
+from millrace.operators.contract import coerce, core_schema
 
 METRICS_SCHEMA = "config struct<tool:string,regime:string,model:string,task:string,split:string,seed:int,dataset:string,n_features:int>, n_train bigint, n_test bigint, metrics struct<macro_f1:double,weighted_f1:double,balanced_accuracy:double,per_class:map<string,struct<precision:double,recall:double,`f1-score`:double,support:double>>,fpr:double,attack_recall:double,attack_precision:double,auc_pr:double,confusion_matrix:array<array<bigint>>,class_order:array<string>>, wall_seconds double"
 
 
 def read_flows(spark: SparkSession, path: str) -> DataFrame:
-    """Canonical flows; columns that files lack are null."""
-    return spark.read.option("mergeSchema", True).parquet(path)
+    """Canonical flows: columns that files lack are null, types are coerced, columns outside the contract are an error."""
+    return coerce(spark.read.option("mergeSchema", True).parquet(path))
 
 
 def read_core(spark: SparkSession, path: str) -> DataFrame:
@@ -23,7 +23,7 @@ def read_core(spark: SparkSession, path: str) -> DataFrame:
 
 def tool_flows(spark: SparkSession, path: str, tool: str, dataset: str, captures: Sequence[str] | None = None) -> DataFrame:
     """All captures of one tool, tagged ``_capture``; an error if there is none."""
-    df = read_flows(spark, path).where((F.col("tool") == tool) & (F.col("dataset") == dataset))
+    df = spark.read.option("mergeSchema", True).parquet(path).where((F.col("tool") == tool) & (F.col("dataset") == dataset))
     df = (df.where(F.col("capture").isin(list(captures))) if captures else df).withColumn("_capture", F.col("capture"))
     if df.limit(1).count() == 0:
         raise ValueError(f"no flows of {tool} in {dataset}")
@@ -36,15 +36,19 @@ def alignment_columns(flows: DataFrame) -> DataFrame:
 
 
 def read_assembled_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Assembled flows whose list cells are joined by blanks."""
+    """Assembled flows whose list cells are joined by blanks; packet bytes are blocks of hex digits."""
     df = spark.read.csv(path, header=True)
 
     def numbers(c: str, kind: str) -> Column:
         return F.when(F.trim(F.coalesce(c, F.lit(""))) == "", F.array().cast(f"array<{kind}>")).otherwise(F.transform(F.split(F.trim(c), r"\s+"), lambda x: x.try_cast(kind)))
 
     lists = {"dirs": "int", "times": "double", "sizes": "int"}
-    counts = {"src_port": "int", "dst_port": "int", "proto": "int", "n_pkts": "bigint", "n_bytes": "bigint", "t_start": "double", "t_end": "double"}
-    return df.select(*[numbers(c, lists[c]).alias(c) if c in lists else F.col(c).try_cast(counts[c]).alias(c) if c in counts else F.col(c) for c in df.columns])
+    counts = {"flow_id": "bigint", "src_port": "int", "dst_port": "int", "proto": "int"} | dict.fromkeys(("n_pkts", "n_bytes", "pkts_fwd", "pkts_bwd", "bytes_fwd", "bytes_bwd", "seq_len"), "bigint") | dict.fromkeys(("t_start", "t_end", "duration"), "double")
+
+    def blocks(c: str) -> Column:
+        return F.when(F.trim(F.coalesce(c, F.lit(""))) == "", F.array().cast("array<binary>")).otherwise(F.transform(F.split(F.trim(c), r"\s+"), lambda x: F.unhex(x)))
+
+    return df.select(*[blocks(c).alias(c) if c == "bytes" else numbers(c, lists[c]).alias(c) if c in lists else F.col(c).try_cast(counts[c]).alias(c) if c in counts else F.col(c) for c in df.columns])
 
 
 def read_labelled_csv(spark: SparkSession, path: str, header: bool, columns: Mapping[str, int], time_format: str = "dd/MM/yyyy hh:mm:ss a") -> DataFrame:
@@ -117,13 +121,17 @@ def write_metrics(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def write_sample(df: DataFrame, mask: Column, path: str) -> None:
-    """K7: the rows of a mask."""
-    df.where(mask).write.mode("overwrite").parquet(path)
+def write_sample(df: DataFrame, mask: Column, path: str, mask_path: str | None = None, keys: Sequence[str] = ("flow_id",)) -> None:
+    """K7: the rows of a mask, and with ``mask_path`` every row's key and whether it was taken."""
+    marked = df.withColumn("sampled", F.coalesce(mask, F.lit(False)))
+    if mask_path:
+        marked.select(*keys, "sampled").write.mode("overwrite").parquet(mask_path)
+    marked.where("sampled").drop("sampled").write.mode("overwrite").parquet(path)
 
 
 def write_embeddings(df: DataFrame, path: str, wall_s: float, vector: str = "embedding") -> DataFrame:
-    """K8: vectors, and their cost row: flows, seconds, dimension, whether any value is NaN."""
+    """K8: vectors, and their cost row: flows, seconds, dimension, whether any value is NaN, bytes stored."""
     df.write.mode("overwrite").parquet(path)
     back = df.sparkSession.read.parquet(path)
-    return back.agg(F.count(F.lit(1)).alias("flows"), F.lit(wall_s).alias("wall_s"), F.max(F.size(vector)).alias("dim"), F.max(F.exists(vector, lambda x: F.isnan(x))).alias("any_nan"))
+    stored = back.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).distinct().agg(F.sum("s")).first()[0] or 0
+    return back.agg(F.count(F.lit(1)).alias("flows"), F.lit(wall_s).alias("wall_s"), F.max(F.size(vector)).alias("dim"), F.max(F.exists(vector, lambda x: F.isnan(x))).alias("any_nan"), F.lit(stored).cast("bigint").alias("stored_bytes"))
