@@ -3,13 +3,16 @@
 Texts are lower-cased (A-Z) and read as words of digits, letters and non-ASCII characters. The patterns are all
 windows of ten words of each benchmark item (an item of fewer words is one pattern). Wu-Manber runs on words as its
 alphabet: a shift table over blocks of two words says how far the search may skip, a block that ends a pattern
-selects a bucket, the bucket is split by the pattern's first word, and direct comparison confirms. Patterns
+selects a bucket, buckets are split by the pattern's first word, and direct comparison confirms. Patterns
 shorter than ten words make a search of their own per length, as the shortest pattern bounds the skips.
 
-The pattern tables are broadcast in blocks of at most ``BLOCK_WINDOWS`` distinct windows; a benchmark of more makes
-further passes over the documents, each cut off from the one before, so no broadcast grows with the benchmark.
+Benchmark items are broadcast in blocks of at most ``BLOCK_WINDOWS`` windows, and a worker builds a block's tables
+once (about 100 MB for a full block); a benchmark of more makes further passes over the documents, each cut off from
+the one before, so neither broadcast nor tables grow with the benchmark. A single item of more windows than that is a
+block of its own.
 
-Defined results: a null or empty text has no words and is clean; an item without words matches nothing; an item
+Defined results: texts are read whole, a document's words are held for one document at a time; a null or empty text
+has no words and is clean; an item without words matches nothing; an item
 with a null id marks words but is in no list; equal items (or repeated item rows) each count by their id; an empty
 benchmark leaves every document clean; columns of the documents pass through unchanged.
 """
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import every, map_arrow, unique_name, written
 
 WINDOW = 10
-BLOCK_WINDOWS = 500_000
+BLOCK_WINDOWS = 200_000
 #: Lower-cases A-Z and turns all other ASCII characters but digits and letters into blanks.
 TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -54,7 +57,7 @@ class WuManber:
                 key = p[end - b : end]
                 if m - end < self.shift.get(key, self.skip):
                     self.shift[key] = m - end
-            self.buckets.setdefault(p[m - b :], {}).setdefault(p[0], []).append((p, ids))
+            self.buckets.setdefault((*p[m - b :], p[0]), []).append((p, ids))
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, list[str]]]:
         """(first word, item ids) of every occurrence."""
@@ -67,7 +70,7 @@ class WuManber:
                 at += by
                 continue
             first = at - m + 1
-            for pattern, ids in buckets[block].get(words[first], ()):
+            for pattern, ids in buckets.get((*block, words[first]), ()):
                 if tuple(words[first : at + 1]) == pattern:
                     yield first, ids
             at += 1
@@ -82,6 +85,17 @@ def build(rows: list[tuple[str | None, str | None]], width: int = WINDOW) -> lis
     return [WuManber(p) for p in by_length.values()]
 
 
+_built: tuple[list, list[WuManber]] = ([], [])
+
+
+def built(rows: list[tuple[str | None, str | None]]) -> list[WuManber]:
+    """The searchers of a broadcast block; a worker that runs several tasks builds them once."""
+    global _built
+    if _built[0] is not rows:
+        _built = (rows, build(rows))
+    return _built[1]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -116,7 +130,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         tables = spark.sparkContext.broadcast(rows)
 
         def scan(batches: Iterator[pa.RecordBatch], tables=tables, first=first) -> Iterator[pa.RecordBatch]:
-            searchers = build(tables.value)
+            searchers = built(tables.value)
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index(text_col))
                 ns, all_spans, all_items = [], [], []
