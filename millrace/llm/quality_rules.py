@@ -10,6 +10,7 @@ Defined results:
 * a null or empty text has no words, fails the base rules and is not kept;
 * a null language is a language of its own; one without references judges by the base rules alone;
 * lines count as equal only if equal as written; the first of them is no duplicate;
+* texts are read whole, a very long one is measured alone;
 * repeated rows are judged each on its own; an empty table gives an empty table; columns of the documents pass
   through, and new columns whose names clash get an underscore in front.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import text as tx
-from millrace.llm.common import bounded, cut, map_arrow, unique_name, written
+from millrace.llm.common import bounded, column, cut, every, map_arrow, unique_name, written
 
 SYMBOLS = b"#*$%&|<>"
 #: Length guard of the divergence rules.
@@ -117,7 +118,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[s
     """``docs`` with the counts and histograms, and what their columns are called."""
     names = {k: unique_name(docs, k) for k in (*COUNTS, *HISTOGRAMS)}
     columns = list(docs.columns)
-    schema = docs.select(*[F.col(f"`{c}`") for c in columns], *[F.lit(0).cast("long").alias(names[k]) for k in COUNTS], *[F.array(F.lit(0)).alias(names[k]) for k in HISTOGRAMS]).schema
+    schema = docs.select(*every(docs), *[F.lit(0).cast("long").alias(names[k]) for k in COUNTS], *[F.array(F.lit(0)).alias(names[k]) for k in HISTOGRAMS]).schema
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,14 +138,17 @@ def shares(counts: Column) -> Column:
     return F.transform(counts, lambda x: x / F.greatest(total, F.lit(1)))
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two arrays of shares, from 0 to 1."""
-
-    def term(a: Column, b: Column) -> Column:
-        return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
-
-    parts = F.zip_with(p, q, lambda a, b: term(a, b) + term(b, a))
-    return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
+def js_distance(counts: np.ndarray, refs: pa.Array) -> np.ndarray:
+    """Jensen-Shannon distance, from 0 to 1, of each row of counts to its row of reference shares; NaN where that is null."""
+    out = np.full(len(counts), np.nan)
+    known = np.asarray(refs.is_valid())
+    if known.any():
+        q = refs.flatten().to_numpy(zero_copy_only=False).reshape(int(known.sum()), -1)
+        p = counts[known] / np.maximum(counts[known].sum(axis=1, keepdims=True), 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            terms = np.where(p > 0, p * np.log2(2 * p / (p + q)), 0) + np.where(q > 0, q * np.log2(2 * q / (p + q)), 0)
+        out[known] = np.sqrt(np.maximum(terms.sum(axis=1) / 2, 0))
+    return out
 
 
 def language_references(m: DataFrame, names: dict[str, str], lang_col: str = "lang", min_words: int = MIN_WORDS) -> DataFrame:
@@ -160,39 +164,58 @@ def allowed(limit: tuple[float, float], n_words: Column) -> Column:
     return limit[0] + limit[1] / F.sqrt(F.greatest(n_words, F.lit(1)).cast("double"))
 
 
-def verdicts(m: DataFrame, names: dict[str, str], refs: DataFrame, columns: list[str], lang_col: str = "lang", min_words: int = MIN_WORDS, max_char_distance: tuple[float, float] = MAX_CHAR_DISTANCE, max_word_distance: tuple[float, float] = MAX_WORD_DISTANCE) -> DataFrame:
-    """``columns`` of measured documents and the counts, ``char_distance``, ``word_distance`` (null: not judged), ``base_failed`` and ``kept``."""
-    mine = {r: unique_name(m, r) for r in refs.columns}
+def verdicts(docs: DataFrame, refs: DataFrame, columns: list[str], lang_col: str = "lang", text_col: str = "text", names: dict[str, str] | None = None, min_words: int = MIN_WORDS, max_char_distance: tuple[float, float] = MAX_CHAR_DISTANCE, max_word_distance: tuple[float, float] = MAX_WORD_DISTANCE) -> DataFrame:
+    """``columns`` of the documents and the counts, ``char_distance``, ``word_distance`` (null: not judged), ``base_failed`` and ``kept``.
+
+    Documents that are measured already come with the ``names`` of their measures, others are measured on the way.
+    """
+    mine = {r: unique_name(docs, r) for r in refs.columns}
     refs = refs.select(*[F.col(r).alias(mine[r]) for r in refs.columns])
-    joined = m.join(bounded(refs, 10_000), F.col(f"`{lang_col}`").eqNullSafe(F.col(mine["ref_lang"])), "left")
-    n_words = F.col(names["n_words"])
-    cd, wd, bf, kept = (unique_name(m, c) for c in ("char_distance", "word_distance", "base_failed", "kept"))
-    out = joined.select(
-        *[F.col(f"`{c}`") for c in columns],
-        *[F.col(names[k]) for k in COUNTS],
-        F.when(n_words >= min_words, js_distance(shares(F.col(names["char_hist"])), F.col(mine["ref_chars"]))).alias(cd),
-        F.when(n_words >= min_words, js_distance(shares(F.col(names["word_hist"])), F.col(mine["ref_words"]))).alias(wd),
-        base_failed(n_words, F.col(names["n_repeat_words"])).alias(bf),
-    )
+    joined = docs.join(bounded(refs, 10_000), column(lang_col).eqNullSafe(F.col(mine["ref_lang"])), "left")
+    counts = {k: names[k] if names else unique_name(docs, k) for k in COUNTS}
+    taken = docs.drop(*names.values()) if names else docs
+    cd, wd, bf, kept = (unique_name(taken, c) for c in ("char_distance", "word_distance", "base_failed", "kept"))
+    read = [column(c) for c in columns] + [F.col(mine[r]) for r in ("ref_chars", "ref_words")] + ([F.col(n) for n in names.values()] if names else [column(text_col)])
+    given = [f"_{i}" for i in range(len(read))]
+    n_kept, n_all = len(columns), len(columns) + 2
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if names:
+                m = {k: b.column(n_all + i) for i, k in enumerate(names)}
+                m = {k: (v.flatten().to_numpy().reshape(len(v), -1) if k in HISTOGRAMS else v.to_numpy()) for k, v in m.items()}
+            else:
+                m = measure_texts(b.column(n_all))
+            short = m["n_words"] < min_words
+            far = [np.where(short, np.nan, js_distance(m[h], b.column(n_kept + i))) for i, h in enumerate(HISTOGRAMS)]
+            new = [pa.array(m[k], pa.int64()) for k in COUNTS] + [pa.array(d, pa.float64(), from_pandas=True) for d in far]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n_kept], *new], names=[*given[:n_kept], *COUNTS, "cd", "wd"])
+
+    flat = joined.select(*[c.alias(g) for c, g in zip(read, given, strict=True)])
+    schema = flat.select(*given[:n_kept], *[F.lit(0).cast("long").alias(k) for k in COUNTS], F.lit(0.0).alias("cd"), F.lit(0.0).alias("wd")).schema
+    for f in schema:
+        f.nullable = True
+    out = flat.mapInArrow(judge, schema).toDF(*columns, *counts.values(), cd, wd)
+    n_words = F.col(counts["n_words"])
     near = (F.coalesce(F.col(cd), F.lit(0.0)) <= allowed(max_char_distance, n_words)) & (F.coalesce(F.col(wd), F.lit(0.0)) <= allowed(max_word_distance, n_words))
-    return out.withColumn(kept, ~F.col(bf) & near)
+    failed = base_failed(n_words, F.col(counts["n_repeat_words"]))
+    return out.withColumn(bf, failed).withColumn(kept, ~failed & near)
 
 
 def judge_quality(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """``docs`` with the verdicts; texts are measured once for the references and once more on the way."""
-    m, names = measured(docs, text_col)
-    slim, slim_names = measured(docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")))
-    return verdicts(m, names, language_references(slim, slim_names), list(docs.columns), lang_col)
+    slim, slim_names = measured(docs.select(column(lang_col).alias("lang"), column(text_col).alias("text")))
+    return verdicts(docs, language_references(slim.drop("text"), slim_names), list(docs.columns), lang_col, text_col)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns of ``docs``."""
     kept = unique_name(docs, "kept")
-    return judge_quality(docs).where(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judge_quality(docs).where(F.col(kept)).select(*every(docs))
 
 
 def op4_quality_rules(docs: DataFrame) -> DataFrame:
     m, names = measured(docs.select("doc_id", "lang", "text"))
     m = written(m.drop("text"))  # narrow: read for the references and for the verdicts
-    judged = verdicts(m, names, language_references(m, names), ["doc_id"])
+    judged = verdicts(m, language_references(m, names), ["doc_id"], names=names)
     return judged.select("doc_id", *COUNTS, "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
