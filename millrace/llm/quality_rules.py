@@ -180,7 +180,8 @@ def verdicts(docs: DataFrame, refs: DataFrame, columns: list[str], lang_col: str
     n_kept, n_all = len(columns), len(columns) + 2
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        # Texts are measured a few megabytes at a time, so that memory doesn't follow the size of batches.
+        for b in batches if names else (b.slice(at, len(c)) for b in batches for at, c in tx.chunks(b.column(n_all))):
             if names:
                 m = {k: b.column(n_all + i) for i, k in enumerate(names)}
                 m = {k: (v.flatten().to_numpy().reshape(len(v), -1) if k in HISTOGRAMS else v.to_numpy()) for k, v in m.items()}
