@@ -2,29 +2,43 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.ranges import dealt, with_part
+
 CATEGORIES = ("1:1", "split", "merge", "unmatched")
+#: No interval is dealt to more than about so many time bins.
+MOST_BINS = 1_000
+
+
+def bin_length(a: DataFrame, b: DataFrame, start: str, end: str) -> int:
+    """The mean length of all intervals, so that bins at most treble the rows; longer where the longest needs over ``MOST_BINS``."""
+    lengths = [t.select(F.greatest(F.col(end) - F.col(start), F.lit(0)).alias("x")) for t in (a, b)]
+    r = lengths[0].union(lengths[1]).agg(F.avg("x").alias("mean"), F.max("x").alias("most")).first()
+    return max(1, math.ceil(r.mean or 0), math.ceil((r.most or 0) / MOST_BINS))
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, key: str = "key", start: str = "t_start_us", end: str = "t_end_us", bin_us: int | None = None, tie: tuple[str, ...] = ()) -> DataFrame:
     """(ia, ib) of flows with equal keys (and ``tie`` columns) whose closed intervals overlap.
 
-    With ``bin_us`` intervals are dealt to time bins and joined on (key, bin), so a key of very many flows is split;
-    a pair counts only in the first bin that both touch.
+    Intervals are dealt to time bins and joined on (key, bin), so a key of very many flows is split; a pair counts only
+    in the first bin that both touch. ``bin_us`` is the bins' length, measured (``bin_length``) unless given.
     """
     on = [key, *tie]
     left = a.select(*on, F.col("row_id").alias("ia"), F.col(start).alias("sa"), F.col(end).alias("ea"))
     right = b.select(*on, F.col("row_id").alias("ib"), F.col(start).alias("sb"), F.col(end).alias("eb"))
     meets = (F.col("sa") <= F.col("eb")) & (F.col("sb") <= F.col("ea"))
-    if bin_us:
-        def bins(s: str, e: str) -> Column:
-            return F.explode(F.sequence(F.floor(F.col(s) / bin_us), F.floor(F.col(e) / bin_us)))
+    bin_us = bin_us or bin_length(a, b, start, end)
+
+    def bins(s: str, e: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(s) / bin_us), F.floor(F.col(e) / bin_us)))
 
-        left, right, on = left.withColumn("_bin", bins("sa", "ea")), right.withColumn("_bin", bins("sb", "eb")), [*on, "_bin"]
-        meets = meets & (F.col("_bin") == F.greatest(F.floor(F.col("sa") / bin_us), F.floor(F.col("sb") / bin_us)))
+    left, right, on = left.withColumn("_bin", bins("sa", "ea")), right.withColumn("_bin", bins("sb", "eb")), [*on, "_bin"]
+    meets = meets & (F.col("_bin") == F.greatest(F.floor(F.col("sa") / bin_us), F.floor(F.col("sb") / bin_us)))
     return left.join(right, on).where(meets).select(*tie, "ia", "ib")
 
 
@@ -79,6 +93,7 @@ def align_all(flows: DataFrame, bin_us: int | None = None) -> DataFrame:
     pairs = ordered_pairs(flows)
     left = flows.join(F.broadcast(pairs), flows["tool"] == pairs["tool_a"]).drop("tool")
     right = flows.withColumnRenamed("tool", "tool_b").join(F.broadcast(pairs), "tool_b")
+    bin_us = bin_us or bin_length(flows, flows.limit(0), "t_start_us", "t_end_us")
     tie = ("tool_a", "tool_b")
     return categories(left, overlap_pairs(left, right, bin_us=bin_us, tie=tie), tie)
 
@@ -86,14 +101,20 @@ def align_all(flows: DataFrame, bin_us: int | None = None) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, key: str, time: str, payload: list[str]) -> DataFrame:
     """For each left row the right row of its key nearest in time (smaller id on ties); null without a partner.
 
-    Both sides are sorted together once: the rows before and after a left row's time are the only ones in question.
+    Both sides are sorted together in ranges of key and time: the rows before and after a left row's time are the only
+    ones in question, and a range takes the nearest ones of a key from the ranges around it, so a key is not one task.
     """
     row = F.struct(F.col(time).alias("t"), F.col("row_id").alias("id"), *[F.col(c) for c in payload])
     l = left.select(F.col(key), F.col(time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(row.alias("r")).schema["r"].dataType).alias("_r"), F.struct(*left.columns).alias("_l"))  # noqa: E741
     r = right.groupBy(key, F.col(time).alias("_t")).agg(F.min(row).alias("_r")).select(key, "_t", F.lit(0).alias("_side"), "_r", F.lit(None).cast(l.schema["_l"].dataType).alias("_l"))
-    both = r.unionByName(l)
-    up, down = W.partitionBy(key).orderBy("_t", "_side"), W.partitionBy(key).orderBy(F.desc("_t"), "_side")
-    found = both.withColumn("_before", F.last("_r", True).over(up.rowsBetween(W.unboundedPreceding, 0))).withColumn("_after", F.last("_r", True).over(down.rowsBetween(W.unboundedPreceding, 0)))
+    both = dealt(r.unionByName(l), [key, "_t", "_side"])
+    edges = both.groupBy(key, "_part").agg(F.max("_r").alias("_last"), F.min("_r").alias("_first"))  # by time first
+    over = W.partitionBy(key).orderBy("_part")
+    around = edges.select(key, "_part", F.last("_last", True).over(over.rowsBetween(W.unboundedPreceding, -1)).alias("_earlier"), F.first("_first", True).over(over.rowsBetween(1, W.unboundedFollowing)).alias("_later"))
+    up, down = W.partitionBy(key, "_part").orderBy("_t", "_side"), W.partitionBy(key, "_part").orderBy(F.desc("_t"), "_side")
+    before, after = F.last("_r", True).over(up.rowsBetween(W.unboundedPreceding, 0)), F.last("_r", True).over(down.rowsBetween(W.unboundedPreceding, 0))
+    found = with_part(both.withColumn("_before", before).withColumn("_after", after), around, [key])
+    found = found.withColumn("_before", F.coalesce("_before", "_earlier")).withColumn("_after", F.coalesce("_after", "_later"))
     gap_b, gap_a = F.col("_t") - F.col("_before.t"), F.col("_after.t") - F.col("_t")
     best = F.when(F.col("_before").isNull(), F.col("_after")).when(F.col("_after").isNull(), F.col("_before")).when((gap_b < gap_a) | ((gap_b == gap_a) & (F.col("_before.id") <= F.col("_after.id"))), F.col("_before")).otherwise(F.col("_after"))
     return found.where("_side = 1").withColumn("_best", best).select("_l.*", F.col("_best.id").alias("near_id"), F.col("_best.t").alias("near_t"), *[F.col(f"_best.{c}").alias(f"near_{c}") for c in payload])

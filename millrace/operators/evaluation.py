@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.ranges import running_sums
+
 UNSEEN = "<unseen>"
 
 
@@ -48,12 +49,11 @@ def binary_rates(rows: DataFrame, truth: str = "truth", predicted: str = "predic
 def ranking_metrics(scored: DataFrame, group: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """Average precision (steps at distinct scores) and ROC area (ties count half) of label 1 by group.
 
-    Rows are counted by score first; windows run over the distinct scores.
+    Rows are counted by score, then summed over sorted ranges, so a group is not one task. Rows without score come last.
     """
     counts = scored.groupBy(*group, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    down = W.partitionBy(*group).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*group)
-    runs = counts.select(*group, "pos", "n", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("k"), F.sum("pos").over(whole).alias("all_pos"), F.sum("n").over(whole).alias("all_n"))
+    up = running_sums(counts, group, [score], ["pos", "n"])
+    runs = up.select(*group, "pos", "n", (F.col("all_pos") - F.col("run_pos") + F.col("pos")).alias("tp"), (F.col("all_n") - F.col("run_n") + F.col("n")).alias("k"), "all_pos", "all_n")
     neg_here, neg_above = F.col("n") - F.col("pos"), (F.col("k") - F.col("n")) - (F.col("tp") - F.col("pos"))
     below = (F.col("all_n") - F.col("all_pos")) - neg_above - neg_here
     return runs.groupBy(*group).agg(

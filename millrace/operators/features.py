@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.flow import finite
+from millrace.operators.ranges import exact_quantiles
 
 COMMON = ("duration", "pkts_fwd", "pkts_bwd", "bytes_fwd", "bytes_bwd")
 #: Parts of names (between underscores, in any case) that mark identifiers, addresses, ports, times and labels.
@@ -59,8 +60,9 @@ def preprocessing(train: DataFrame, columns: Sequence[str], low: float = 0.01, h
     finite value are left out.
     """
     clean = train.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns])
-    p = clean.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(0.5), F.lit(high))).alias(c) for c in columns]).first()
-    some = {c: p[c] for c in columns if p[c] is not None}
+    long = clean.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("x")) for i, c in enumerate(columns)])).alias("v")).select("v.*") if columns else None
+    at = {r.i: r.quantiles for r in exact_quantiles(long, ["i"], "x", [low, 0.5, high]).collect()} if columns else {}  # a row for each column
+    some = {c: at[i] for i, c in enumerate(columns) if i in at}
     if not some:
         return {}
     filled = clean.select(*[F.least(F.greatest(F.coalesce(c, F.lit(v[1])), F.lit(v[0])), F.lit(v[2])).alias(c) for c, v in some.items()])

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.flow import finite, relative_error, unidirectional_rows
+from millrace.operators.ranges import exact_quantiles, running_sums, stored
 
 
 def flow_counts(flows: DataFrame, tools: list[str], reference: str) -> DataFrame:
@@ -51,25 +51,25 @@ def ablation_delta(runs: DataFrame, baseline: DataFrame, score: str = "macro_f1"
 
 
 def ks_statistic(values: DataFrame, group: list[str], value: str = "value", side: str = "side") -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance of ``side`` a and b by group.
+    """Two-sample Kolmogorov-Smirnov distance of ``side`` a and b by group; null where one side has no finite value.
 
-    Values are counted before they are sorted, so the window runs over distinct values.
+    Values are counted, then summed over sorted ranges, so a group is not one task.
     """
     clean = values.withColumn(value, finite(F.col(value).cast("double"))).where(F.col(value).isNotNull())
     counts = clean.groupBy(*group, value).agg(F.count_if(F.col(side) == "a").alias("na"), F.count_if(F.col(side) == "b").alias("nb"))
-    w = W.partitionBy(*group)
-    run = w.orderBy(value).rangeBetween(W.unboundedPreceding, 0)
-    gap = F.abs(F.sum("na").over(run) / F.sum("na").over(w) - F.sum("nb").over(run) / F.sum("nb").over(w))
-    return counts.withColumn("_gap", gap).groupBy(*group).agg(F.max("_gap").alias("ks"))
+    runs = running_sums(counts, group, [value], ["na", "nb"])
+    gap = F.abs(F.col("run_na") / F.nullif("all_na", F.lit(0)) - F.col("run_nb") / F.nullif("all_nb", F.lit(0)))
+    return runs.groupBy(*group).agg(F.max(gap).alias("ks"))
 
 
 def feature_divergence(pairs: DataFrame, features: list[str]) -> DataFrame:
     """For matched pairs with a_x and b_x of each feature: pairs, median and mean error, share within 5 %, KS distance."""
     long = pairs.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"a_{f}").cast("double").alias("a"), F.col(f"b_{f}").cast("double").alias("b")) for f in features])).alias("r")).select("r.*")
-    ok = long.withColumn("err", relative_error(F.col("a"), F.col("b"))).where("err IS NOT NULL")
-    stats = ok.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.median("err").alias("median_err"), F.avg(F.abs("err")).alias("mean_abs_err"), F.avg((F.abs("err") < 0.05).cast("double")).alias("within_5"))
+    ok = stored(long.withColumn("err", relative_error(F.col("a"), F.col("b"))).where("err IS NOT NULL"))
+    stats = ok.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("err")).alias("mean_abs_err"), F.avg((F.abs("err") < 0.05).cast("double")).alias("within_5"))
+    middle = exact_quantiles(ok, ["feature"], "err", [0.5]).select("feature", F.col("quantiles")[0].alias("median_err"))
     sides = ok.select("feature", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("value")), F.struct(F.lit("b").alias("side"), F.col("b").alias("value")))).alias("v")).select("feature", "v.*")
-    return stats.join(ks_statistic(sides, ["feature"]), "feature")
+    return stats.join(middle, "feature").join(ks_statistic(sides, ["feature"]), "feature").select("feature", "n", "median_err", "mean_abs_err", "within_5", "ks")
 
 
 def generalisation_gap(runs: DataFrame) -> DataFrame:

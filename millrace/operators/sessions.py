@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.flow import FLAGS, endpoint_key
+from millrace.operators.ranges import running_sums
 
 KEY = ("capture", "key")
 #: The bytes kept of each packet of a sequence.
@@ -104,8 +105,9 @@ def aggregate_by_spec(packets: DataFrame, spec: dict) -> DataFrame:
 
 
 def number_flows(flows: DataFrame) -> DataFrame:
-    """``flow_no`` by start and key in each capture."""
-    return flows.withColumn("flow_no", F.row_number().over(W.partitionBy("capture").orderBy("t_start_us", "key", "session", "segment")))
+    """``flow_no`` from 1 by start and key in each capture, counted over sorted ranges."""
+    numbered = running_sums(flows.withColumn("_one", F.lit(1).cast("long")), ["capture"], ["t_start_us", "key", "session", "segment"], ["_one"])
+    return numbered.withColumnRenamed("run__one", "flow_no").drop("_one", "all__one")
 
 
 def gap_windows(events: DataFrame, keys: Sequence[str], time: str, gap: float, pad: float = 0.0, clamp: bool = False) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,21 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, kind: str) -> str:
-    """A new path in the folder that all executors see (``spark.checkpoint.dir``); on a local master without it a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-    return f"{base or tempfile.mkdtemp(prefix='millrace-')}/{kind}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """A table that several parts of a plan read: written once, read back."""
-    path = scratch(df.sparkSession, "tables")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One packet for each event, between the user's address and one server; some event types go up, the others down."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")  # times without zone are UTC

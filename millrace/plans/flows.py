@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from millrace.operators import alignment as al
 from millrace.operators import profiling as pr
 from millrace.operators import sessions as se
-from millrace.plans.common import ACTIVE, IDLE, SECOND, active_sql, flows, flows_sql, packets, packets_sql, sessions_sql, stored
+from millrace.operators.ranges import stored
+from millrace.plans.common import ACTIVE, IDLE, SECOND, active_sql, flows, flows_sql, packets, packets_sql, sessions_sql
 
 FLOW_COLUMNS = ["row_id", "src_ip", "src_port", "dst_ip", "dst_port", "t_start_us", "t_end_us", "n_pkts", "n_bytes", "pkts_fwd", "pkts_bwd", "bytes_fwd", "bytes_bwd", "label"]
 MID, LONG = IDLE[2], IDLE[3]
@@ -78,7 +79,7 @@ def _tools(spark, d):
 def align_categories(spark, d):
     f = _tools(spark, d)
     a, b = f.where("tool = 't60'"), f.where("tool = 't120'")
-    return al.categories(a, al.overlap_pairs(a, b, bin_us=30 * 86400 * SECOND)).select("row_id", "category")
+    return al.categories(a, al.overlap_pairs(a, b)).select("row_id", "category")
 
 
 def align_pairs_11(spark, d):

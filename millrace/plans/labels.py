@@ -74,16 +74,17 @@ def derive_rules_all(spark, d):
     return out.select("capture", "stage", "window_no", "t_start", "t_end", F.array_join("attackers", ",").alias("attackers"), F.array_join(F.col("dst_ports").cast("array<string>"), ",").alias("dst_ports"), "n_rows")
 
 
+def _sensors(spark, d):
+    """All events, dealt to 40 sensors; each sensor's day is a capture of its own."""
+    return _stages(spark, d).withColumn("capture", F.concat("capture", F.lit("s"), (F.col("frame_no") % 40).cast("string")))
+
+
 def exclusive_sources(spark, d):
-    """Every 40th frame, as its SQL fixes it; ``exclusive_sources_all`` reads all."""
-    e = _stages(spark, d).where("frame_no % 40 = 0")
-    return lb.exclusive_endpoints(e)
+    return lb.exclusive_endpoints(_sensors(spark, d))
 
 
 def derive_rules(spark, d):
-    """Every 40th frame, as its SQL fixes it; ``derive_rules_all`` reads all."""
-    e = _stages(spark, d).where("frame_no % 40 = 0")
-    out = lb.derive_rules(e, gap=86_400.0, pad=30.0)
+    out = lb.derive_rules(_sensors(spark, d), gap=86_400.0, pad=30.0)
     return out.select("capture", "stage", "window_no", "t_start", "t_end", F.array_join("attackers", ",").alias("attackers"), F.array_join(F.col("dst_ports").cast("array<string>"), ",").alias("dst_ports"), "n_rows")
 
 
@@ -165,7 +166,7 @@ _L = f"""{_F}, hit AS ({_rule_sql()}), lab AS (
 _ST = f"""{packets_sql()}, st AS (
   SELECT 'd' || ((ts_us // {86_400 * SECOND}) % 4) AS capture, CASE WHEN event_type = 'error' THEN 'recon' WHEN event_type = 'signup' AND user_id % 3 = 0 THEN 'exfil' ELSE 'BENIGN' END AS stage,
     client AS src_ip, frame_no % 15 AS dst_port, ts_us / 1e6 AS t, frame_no FROM pk)"""
-_SOLE = "few AS (SELECT * FROM st WHERE frame_no % 40 = 0), sole AS (SELECT DISTINCT capture, src_ip FROM few WHERE stage <> 'BENIGN' EXCEPT SELECT capture, src_ip FROM few WHERE stage = 'BENIGN')"
+_SOLE = "sensor AS (SELECT * EXCLUDE (capture), capture || 's' || (frame_no % 40) AS capture FROM st), sole AS (SELECT DISTINCT capture, src_ip FROM sensor WHERE stage <> 'BENIGN' EXCEPT SELECT capture, src_ip FROM sensor WHERE stage = 'BENIGN')"
 _ALL = f"""{packets_sql()}, every AS (
   SELECT 'd' || ((ts_us // {86_400 * SECOND}) % 4) AS capture, CASE event_type WHEN 'error' THEN 'recon' WHEN 'click' THEN 'probe' WHEN 'view' THEN 'BENIGN' ELSE 'exfil' END AS stage, client AS src_ip, frame_no % 15 AS dst_port, ts_us / 1e6 AS t FROM pk
 ), sole AS (SELECT DISTINCT capture, src_ip FROM every WHERE stage <> 'BENIGN' EXCEPT SELECT capture, src_ip FROM every WHERE stage = 'BENIGN')"""
@@ -179,7 +180,7 @@ QUERIES = {
     "project_nearest": (project_nearest, f"""WITH {_L}, h AS (SELECT DISTINCT row_id FROM lab JOIN pk ON event_type = 'purchase' AND lab.dst_ip = pk.client AND lab.dst_port = pk.cport AND abs(lab.t_start_us / 1e6 - pk.ts_us / 1e6) <= 1800.0 WHERE binary_label = 'BENIGN')
 SELECT row_id, CASE WHEN h.row_id IS NULL THEN label ELSE 'bought' END AS label, CASE WHEN h.row_id IS NULL THEN binary_label ELSE 'ATTACK' END AS binary_label, CASE WHEN h.row_id IS NULL THEN label_confidence ELSE 'projected' END AS label_confidence FROM lab LEFT JOIN h USING (row_id)"""),
     "exclusive_sources": (exclusive_sources, f"WITH {_ST}, {_SOLE} SELECT * FROM sole"),
-    "derive_rules": (derive_rules, f"""WITH {_ST}, {_SOLE}, a AS (SELECT few.* FROM few JOIN sole USING (capture, src_ip) WHERE stage <> 'BENIGN'
+    "derive_rules": (derive_rules, f"""WITH {_ST}, {_SOLE}, a AS (SELECT sensor.* FROM sensor JOIN sole USING (capture, src_ip) WHERE stage <> 'BENIGN'
 ), g AS (SELECT *, CASE WHEN t - lag(t) OVER w > 86400.0 THEN 1 ELSE 0 END AS new FROM a WINDOW w AS (PARTITION BY capture, stage ORDER BY t)
 ), r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY capture, stage ORDER BY t) AS BIGINT) AS window_no FROM g)
 SELECT capture, stage, window_no, min(t) - 30.0 AS t_start, max(t) + 30.0 AS t_end, array_to_string(list_sort(list(DISTINCT src_ip)), ',') AS attackers,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.common import IDLE, SECOND, packets, packets_of, packets_sql, scratch, sessions_sql
+from millrace.operators.ranges import scratch
+from millrace.plans.common import IDLE, SECOND, packets, packets_of, packets_sql, sessions_sql
 from millrace.streaming import flows as st
 
 
