@@ -9,9 +9,10 @@ probability above 1 - 0.64**24 = 0.99997. DataFrame functions only.
 Only windows near an anchor are hashed. A template's anchors are words such that fewer than 80 % of its shingles
 are without any of them: a text without anchors can't hold the template, so no case is lost.
 
-Defined results: words are runs of letters and digits, lower-cased; null, empty and wordless texts hold nothing;
-the matches of rows that share an id come together under it, and each such row gets them; rows with a null id hold nothing; an empty
-table gives an empty table.
+Defined results: words are runs of letters and digits, lower-cased; null, empty and wordless texts hold nothing; very
+long texts are scanned whole; the matches of rows that share an id come together under it, and each such row gets them;
+rows with a null id are told apart by ``text_sha256``, which is null for all others; further columns are not read,
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, written
+from millrace.llm.common import bounded_bytes, column, cut, written
 
 WIDTH = 5
 CONTAINED = 80
@@ -74,7 +75,7 @@ def word_array(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def shingle_array(words: Column, width: int) -> Column:
+def shingle_array(words: Column, width: Column) -> Column:
     runs = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))
     return F.when(F.size(words) >= width, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
@@ -89,8 +90,12 @@ def bands(shingles: Column) -> Column:
     return F.transform(F.array(rows), banded)[0]
 
 
+def text_key(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, template, word, containment): each template that a document holds, the first word of its first window, and the share of shingles found."""
+    """(doc_id, text_sha256, template, word, containment): each template that a document holds, the first word of its first window, and the share of shingles found."""
     spark = docs.sparkSession
     words = {name: w for name, text in templates.items() if (w := template_words(text))}
     marks = anchors(list(words.values()))
@@ -101,30 +106,36 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_
             hit = hit | F.contains(low, F.lit(a))
         return hit
 
-    # The text is lowered once, as the only element of an array; what is left is a small part of the corpus, read once for each length.
+    # The text is lowered once, as the only element of an array; what is left is a small part of the corpus.
     some = F.exists(F.array(F.lower(F.col("text"))), marked)
-    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(F.col("doc_id").isNotNull() & F.coalesce(some, F.lit(False)))
-    slim = written(slim.select("doc_id", word_array(F.col("text")).alias("words")))
-    found = None
-    for length in sorted({len(w) for w in words.values()}):
-        mine = [(name, template_shingles(w)) for name, w in words.items() if len(w) == length]
-        width, stride = min(WIDTH, length), max(1, length // 8)
-        table = spark.createDataFrame(mine, "template string, wanted array<string>")
-        table = table.select("template", "wanted", F.explode(bands(F.col("wanted"))).alias("band"))
-        near = F.array_distinct(F.flatten(F.transform(F.filter(F.transform("words", lambda w, i: F.when(w.isin(marks), i)), lambda i: i.isNotNull()), lambda i: F.filter(F.transform(F.sequence(F.floor((i - length - stride) / stride), F.floor(i / stride)), lambda s: (s * stride + 1).cast("int")), lambda s: s >= 1))))
-        window = F.transform(near, lambda s: F.struct(s.alias("word"), F.slice("words", s, length).alias("body"), F.slice("words", F.greatest(s - stride, F.lit(1)), length + 2 * stride).alias("around")))
-        rows = slim.select("doc_id", F.explode(window).alias("w")).select("doc_id", "w.word", shingle_array(F.col("w.body"), width).alias("body"), shingle_array(F.col("w.around"), width).alias("around"))
-        banded = rows.where(F.size("body") > 0).select("doc_id", "word", "around", F.explode(bands(F.col("body"))).alias("band"))
-        hits = banded.join(F.broadcast(table), "band")  # the templates are a fixed list of a few dozen notices
-        share = F.size(F.array_intersect("around", "wanted")) / F.size("wanted")
-        hits = hits.select("doc_id", "template", "word", share.alias("containment")).where(F.col("containment") * 100 >= CONTAINED)
-        found = hits if found is None else found.union(hits)
-    return found.groupBy("doc_id", "template").agg(F.min("word").alias("word"), F.max("containment").alias("containment"))
+    slim = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")).where(F.coalesce(some, F.lit(False)))
+    slim = slim.select("doc_id", F.when(F.col("doc_id").isNull(), text_key(F.col("text"))).alias("text_sha256"), word_array(F.col("text")).alias("words"))
+    slim = written(slim.withColumn("at", F.filter(F.transform("words", lambda w, i: F.when(w.isin(marks), i)), lambda i: i.isNotNull())).where(F.size("at") > 0))
+
+    table = spark.createDataFrame([(name, len(w), template_shingles(w)) for name, w in words.items()], "template string, length int, wanted array<string>")
+    table = table.select("template", "length", "wanted", F.explode(bands(F.col("wanted"))).alias("band"))
+    kinds = [F.struct(F.lit(n).alias("length"), F.lit(max(1, n // 8)).alias("stride"), F.lit(min(WIDTH, n)).alias("width")) for n in sorted({len(w) for w in words.values()})]
+    each = slim.select("doc_id", "text_sha256", "words", "at", F.explode(F.array(*kinds)).alias("kind")).select("*", "kind.*")
+    length, stride = F.col("length"), F.col("stride")
+    places = F.transform("at", lambda i: F.transform(F.sequence(F.greatest(F.floor((i - length - stride) / stride), F.lit(0)), F.floor(i / stride)), lambda s: (s * stride + 1).cast("int")))
+    window = F.transform(F.array_distinct(F.flatten(places)), lambda s: F.struct(s.alias("word"), F.slice("words", s, length).alias("body"), F.slice("words", F.greatest(s - stride, F.lit(1)), length + 2 * stride).alias("around")))
+    rows = each.select("doc_id", "text_sha256", "length", "width", F.explode(window).alias("w"))
+    rows = rows.select("doc_id", "text_sha256", "length", "w.word", shingle_array(F.col("w.body"), F.col("width")).alias("body"), shingle_array(F.col("w.around"), F.col("width")).alias("around"))
+    banded = rows.where(F.size("body") > 0).select("doc_id", "text_sha256", "length", "word", "around", F.explode(bands(F.col("body"))).alias("band"))
+    hits = banded.join(bounded_bytes(table, 48 * F.size("wanted")), ["length", "band"])
+    share = F.size(F.array_intersect("around", "wanted")) / F.size("wanted")
+    hits = hits.select("doc_id", "text_sha256", "template", "word", share.alias("containment")).where(F.col("containment") * 100 >= CONTAINED)
+    return hits.groupBy("doc_id", "text_sha256", "template").agg(F.min("word").alias("word"), F.max("containment").alias("containment"))
 
 
 def op8_license_scan(docs: DataFrame) -> DataFrame:
-    found = cut(scan_licenses(docs)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_licenses"), F.array_join(F.array_sort(F.collect_set("template")), ",").alias("licenses"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n_licenses", F.lit(0)).cast("long").alias("n_licenses"), F.coalesce("licenses", F.lit("")).alias("licenses"))
+    found = cut(scan_licenses(docs)).groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n_licenses"), F.array_join(F.array_sort(F.collect_set("template")), ",").alias("licenses"))
+    known, nameless = F.col("doc_id").isNotNull(), F.col("doc_id").isNull()
+    by_id = docs.where(known).select("doc_id").join(found.where(known).drop("text_sha256"), "doc_id", "left")
+    # The text is read once more only where there is no id.
+    by_text = docs.where(nameless).select("doc_id", text_key(F.col("text")).alias("text_sha256")).join(found.where(nameless).drop("doc_id"), "text_sha256", "left")
+    out = by_id.unionByName(by_text.drop("text_sha256"))
+    return out.select("doc_id", F.coalesce("n_licenses", F.lit(0)).cast("long").alias("n_licenses"), F.coalesce("licenses", F.lit("")).alias("licenses"))
 
 
 def _sql() -> str:
@@ -136,7 +147,7 @@ def _sql() -> str:
     return f"""
 WITH t(template, shingle, total, len_t, width, stride) AS (VALUES {", ".join(rows)}
 ), d AS (
-  SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+  SELECT coalesce(CAST(doc_id AS VARCHAR), sha256(text)) AS doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL
 ), x AS (
   SELECT doc_id, width, p, array_to_string(w[p : p + width - 1], ' ') AS shingle
   FROM d, (SELECT DISTINCT width FROM t), LATERAL (SELECT unnest(range(1, greatest(0, len(w) - width + 1) + 1)) AS p)
@@ -150,7 +161,7 @@ WITH t(template, shingle, total, len_t, width, stride) AS (VALUES {", ".join(row
   SELECT doc_id, count(*) AS n, string_agg(template, ',' ORDER BY template) AS names
   FROM (SELECT DISTINCT doc_id, template FROM within WHERE 100 * n >= {CONTAINED} * total) GROUP BY doc_id
 )
-SELECT doc_id, coalesce(n, 0) AS n_licenses, coalesce(names, '') AS licenses FROM documents LEFT JOIN found USING (doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_licenses, coalesce(names, '') AS licenses FROM (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), sha256(text)) AS k FROM documents) LEFT JOIN (SELECT doc_id AS k, n, names FROM found) USING (k)
 """
 
 

@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 from itertools import product
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -570,16 +571,30 @@ def test_license_scan_finds_templates_in_context(spark, odd, empty):
     around = rng_text(4, 40)
     rows = [(i, f"{around}\n{t.upper()}. {around}") for i, t in enumerate(license_scan.TEMPLATES.values())]
     mit = license_scan.TEMPLATES["MIT-text"].split()
-    rows += [(100, " ".join(mit[:10] + ["changed"] + mit[11:])), (101, " ".join(mit[:9])), (102, "under license"), (103, None), (104, ""), (None, "Released under the MIT License")]
+    rows += [(100, " ".join(mit[:10] + ["changed"] + mit[11:])), (101, " ".join(mit[:9])), (102, "under license"), (103, None), (104, "")]
+    rows += [(105, "word " * 200_000 + license_scan.TEMPLATES["ISC-text"] + " word" * 1000)]
     both = spark.createDataFrame(rows, "doc_id long, text string").union(odd.selectExpr("doc_id + 1000", "text"))
     got = {r.doc_id: r.licenses for r in license_scan.op8_license_scan(both).collect()}
     for i, name in enumerate(license_scan.TEMPLATES):
         assert name in got[i].split(","), name
-    assert got[101] == got[102] == got[103] == got[104] == got[None] == ""
+    assert got[101] == got[102] == got[103] == got[104] == "" and got[105] == "ISC-text"
     assert not any(v for i, v in got.items() if i is not None and i >= 1000)
     assert license_scan.op8_license_scan(empty).count() == 0
 
 
+def test_license_scan_of_null_ids_clashing_names_and_repeated_rows_equals_its_sql(spark):
+    notice = list(license_scan.TEMPLATES.values())
+    names = "doc_id long, text string, template string, words string, `a.b` string, length string, key string"
+    rows = [(None, f"x {notice[5]} y"), (None, f"{notice[6]} and {notice[7]}"), (None, None), (None, "plain words"), (1, f"a {notice[0]}"), (1, f"b {notice[9]} b"), (2, notice[15]), (2, notice[15]), (3, "all rights are reserved")]
+    docs = spark.createDataFrame([(*r, "t", "w", "d", "l", "k") for r in rows], names)
+    got = sorted(map(repr, (tuple(r[c] for c in ("doc_id", "n_licenses", "licenses")) for r in license_scan.op8_license_scan(docs).collect())))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert got == sorted(map(repr, con.execute(f"SELECT doc_id, n_licenses, licenses FROM ({license_scan.OP8_SQL})").fetchall()))
+    assert "(None, 1, 'MIT')" in got and "(None, 2, 'BSD-text,MIT-text')" in got and got.count("(1, 2, 'Apache-2.0,ISC-text')") == 2
+
+
 # ---------------------------------------------------------------- op9
 
 
