@@ -23,7 +23,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_bytes, column, cut, written
+from millrace.llm.common import bounded_bytes, column, cut
 
 WIDTH = 5
 CONTAINED = 80
@@ -76,8 +76,8 @@ def word_array(text: Column) -> Column:
 
 
 def shingle_array(words: Column, width: Column) -> Column:
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))
-    return F.when(F.size(words) >= width, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    """Distinct shingles of at least ``width`` words."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, width), " ")))
 
 
 def bands(shingles: Column) -> Column:
@@ -110,7 +110,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_
     some = F.exists(F.array(F.lower(F.col("text"))), marked)
     slim = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")).where(F.coalesce(some, F.lit(False)))
     slim = slim.select("doc_id", F.when(F.col("doc_id").isNull(), text_key(F.col("text"))).alias("text_sha256"), word_array(F.col("text")).alias("words"))
-    slim = written(slim.withColumn("at", F.filter(F.transform("words", lambda w, i: F.when(w.isin(marks), i)), lambda i: i.isNotNull())).where(F.size("at") > 0))
+    slim = slim.withColumn("at", F.filter(F.transform("words", lambda w, i: F.when(w.isin(marks), i)), lambda i: i.isNotNull()))
 
     table = spark.createDataFrame([(name, len(w), template_shingles(w)) for name, w in words.items()], "template string, length int, wanted array<string>")
     table = table.select("template", "length", "wanted", F.explode(bands(F.col("wanted"))).alias("band"))
@@ -119,9 +119,9 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_
     length, stride = F.col("length"), F.col("stride")
     places = F.transform("at", lambda i: F.transform(F.sequence(F.greatest(F.floor((i - length - stride) / stride), F.lit(0)), F.floor(i / stride)), lambda s: (s * stride + 1).cast("int")))
     window = F.transform(F.array_distinct(F.flatten(places)), lambda s: F.struct(s.alias("word"), F.slice("words", s, length).alias("body"), F.slice("words", F.greatest(s - stride, F.lit(1)), length + 2 * stride).alias("around")))
-    rows = each.select("doc_id", "text_sha256", "length", "width", F.explode(window).alias("w"))
+    rows = each.select("doc_id", "text_sha256", "length", "width", F.explode(window).alias("w")).where(F.size("w.body") >= F.col("width"))
     rows = rows.select("doc_id", "text_sha256", "length", "w.word", shingle_array(F.col("w.body"), F.col("width")).alias("body"), shingle_array(F.col("w.around"), F.col("width")).alias("around"))
-    banded = rows.where(F.size("body") > 0).select("doc_id", "text_sha256", "length", "word", "around", F.explode(bands(F.col("body"))).alias("band"))
+    banded = rows.select("doc_id", "text_sha256", "length", "word", "around", F.explode(bands(F.col("body"))).alias("band"))
     hits = banded.join(bounded_bytes(table, 48 * F.size("wanted")), ["length", "band"])
     share = F.size(F.array_intersect("around", "wanted")) / F.size("wanted")
     hits = hits.select("doc_id", "text_sha256", "template", "word", share.alias("containment")).where(F.col("containment") * 100 >= CONTAINED)
