@@ -220,3 +220,57 @@ def op4_quality_rules(docs: DataFrame) -> DataFrame:
     m = written(m.drop("text"))  # narrow: read for the references and for the verdicts
     judged = verdicts(m, language_references(m, names), ["doc_id"], names=names)
     return judged.select("doc_id", *COUNTS, "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
+def _sql() -> str:
+    """The counts from word and line lists; the histograms as rows of (document, bucket, count)."""
+    word = r"[^\x20\x09-\x0D]+"
+    classes = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "blank": r"[\x20\x09-\x0D]", "stop": "[.,;:]", "symbol": r"[#*$%&|<>]", "control": r"[\x00-\x08\x0E-\x1F\x7F]", "beyond": r"[^\x00-\x7F]"}
+    counted = ", ".join(f"len(t) - len(regexp_replace(t, '{c}', '', 'g')) AS {k}" for k, c in classes.items())
+    marks = f"len(t) - {' - '.join(classes)}"
+    char_rows = " UNION ALL ".join(f"SELECT i, lang, 'char' AS kind, '{k}' AS bucket, {marks if k == 'mark' else k} AS n FROM chars" for k in CLASSES)
+    vocabulary = ", ".join(f"'{w}'" for w in dict.fromkeys(COMMON_WORDS))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    most = {k: f"{a} + {b} / sqrt(n_words)" for k, (a, b) in (("char", MAX_CHAR_DISTANCE), ("word", MAX_WORD_DISTANCE))}
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS i, doc_id, lang, coalesce(text, '') AS t FROM documents
+), w AS MATERIALIZED (SELECT i, lang, regexp_extract_all(t, '{word}') AS w FROM d
+), triples AS (
+  SELECT i, p, count(*) OVER (PARTITION BY i, a, b, c) AS times
+  FROM (SELECT i, p, w[p] AS a, w[p + 1] AS b, w[p + 2] AS c FROM w, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS p))
+), repeats AS (
+  SELECT i, count(DISTINCT p + k) AS n FROM triples, (SELECT unnest([0, 1, 2]) AS k) WHERE times > 1 GROUP BY i
+), lines AS (
+  SELECT i, count(*) - count(DISTINCT line) AS n FROM (SELECT i, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{word}') GROUP BY i
+), chars AS (SELECT i, lang, t, {counted} FROM d
+), base AS MATERIALIZED (
+  SELECT d.i, d.doc_id, d.lang, len(w.w) AS n_words, len(c.t) - c.blank AS word_chars, c.symbol AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+    len(w.w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w.w) AS base_failed
+  FROM d JOIN w USING (i) JOIN chars c USING (i) LEFT JOIN lines l USING (i) LEFT JOIN repeats r USING (i)
+), hist AS MATERIALIZED (
+  {char_rows}
+  UNION ALL SELECT i, lang, 'word' AS kind, CASE WHEN x IN ({vocabulary}) THEN x ELSE '' END AS bucket, count(*) AS n
+  FROM (SELECT i, lang, translate(unnest(w), '{upper}', '{lower}') AS x FROM w) GROUP BY ALL
+), refs AS (
+  SELECT lang, kind, bucket, q FROM (
+    SELECT h.lang, kind, bucket, sum(h.n) / sum(sum(h.n)) OVER (PARTITION BY h.lang, kind) AS q
+    FROM hist h JOIN base USING (i) WHERE NOT base_failed AND n_words >= {MIN_WORDS} GROUP BY h.lang, kind, bucket) WHERE q > 0
+), wholes AS (SELECT i, kind, sum(n) AS whole FROM hist GROUP BY i, kind
+), shares AS (
+  SELECT h.i, h.lang, h.kind, h.bucket, n / whole AS p FROM hist h JOIN wholes USING (i, kind) JOIN base USING (i) WHERE n > 0 AND n_words >= {MIN_WORDS}
+), judged AS (SELECT i, kind FROM base JOIN (SELECT DISTINCT lang, kind FROM refs) r ON base.lang IS NOT DISTINCT FROM r.lang WHERE n_words >= {MIN_WORDS}
+), terms AS (
+  SELECT i, s.kind, sum(CASE WHEN q IS NULL THEN p ELSE p * log2(2 * p / (p + q)) + q * log2(2 * q / (p + q)) - q END) AS x
+  FROM shares s LEFT JOIN refs r ON s.lang IS NOT DISTINCT FROM r.lang AND s.kind = r.kind AND s.bucket = r.bucket GROUP BY i, s.kind
+), distances AS (  -- buckets that only the reference has give its share, so all references start at 1
+  SELECT i, kind, sqrt(greatest((1 + x) / 2, 0)) AS far FROM terms JOIN judged USING (i, kind)
+), beside AS (
+  SELECT base.*, c.far AS cd, w.far AS wd FROM base LEFT JOIN distances c ON base.i = c.i AND c.kind = 'char' LEFT JOIN distances w ON base.i = w.i AND w.kind = 'word'
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance,
+  NOT base_failed AND coalesce(cd <= {most["char"]}, true) AND coalesce(wd <= {most["word"]}, true) AS kept
+FROM beside
+"""
+
+
+OP4_SQL = _sql()

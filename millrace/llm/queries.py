@@ -28,4 +28,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": mixing.OP1_SQL, "op2_ngram_join": ngram_join.OP2_SQL, "op3_decontamination": decontamination.OP3_SQL, "op6_line_dedup": line_dedup.OP6_SQL, "op8_license_scan": license_scan.OP8_SQL, "op9_url_filter": url_filter.OP9_SQL}
+    return {"op1_mix": mixing.OP1_SQL, "op2_ngram_join": ngram_join.OP2_SQL, "op3_decontamination": decontamination.OP3_SQL, "op4_quality_rules": quality_rules.OP4_SQL, "op6_line_dedup": line_dedup.OP6_SQL, "op8_license_scan": license_scan.OP8_SQL, "op9_url_filter": url_filter.OP9_SQL, "op10_sharding": sharding.OP10_SQL}

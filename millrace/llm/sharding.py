@@ -115,3 +115,42 @@ def op10_sharding(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     out = hilbert_shards(slim, document_dims(size=F.col("size")), tie=F.col("text_crc32"), keep=cut)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_index")
+
+
+def _sql(n_shards: int = 16, bits: int = BITS) -> str:
+    """Checksums byte by byte over a table made by rule; the curve's steps one subquery each."""
+    byte_list = "list_transform(regexp_extract_all(hex({}), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    crc = "xor(4294967295, list_reduce(list_prepend(4294967295, {}), lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1])))"
+    axes = [f"x{j}" for j in range(3)]
+    step = "axes"
+    for b in range(bits - 1, 0, -1):
+        q, low = 1 << b, (1 << b) - 1
+        step = f"(SELECT * REPLACE (CASE WHEN x0 & {q} <> 0 THEN xor(x0, {low}) ELSE x0 END AS x0) FROM {step})"
+        for x in axes[1:]:
+            swapped = f"CASE WHEN {x} & {q} <> 0 THEN 0 ELSE xor(x0, {x}) & {low} END"
+            step = f"(SELECT * REPLACE (CASE WHEN {x} & {q} <> 0 THEN xor(x0, {low}) ELSE xor(x0, {swapped}) END AS x0, xor({x}, {swapped}) AS {x}) FROM {step})"
+    for before, x in zip(axes, axes[1:]):
+        step = f"(SELECT * REPLACE (xor({before}, {x}) AS {x}) FROM {step})"
+    carry = "0"
+    for b in range(bits - 1, 0, -1):
+        carry = f"xor({carry}, CASE WHEN {axes[-1]} & {1 << b} <> 0 THEN {(1 << b) - 1} ELSE 0 END)"
+    index = " + ".join(f"(((xor({x}, carry) >> {b}) & 1) << {b * len(axes) + len(axes) - 1 - j})" for b in range(bits) for j, x in enumerate(axes))
+    return f"""
+WITH crc_table AS MATERIALIZED (
+  SELECT k, list_reduce(list_prepend(k, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS k)
+), d AS (
+  SELECT doc_id, {byte_list.format("encode(coalesce(text, ''))")} AS bytes, {byte_list.format("encode(lang)")} AS lang, {byte_list.format("encode(source)")} AS source, steps FROM documents, (SELECT list(v ORDER BY k) AS steps FROM crc_table)
+), sums AS (
+  SELECT doc_id, len(bytes) + 1 AS size, {crc.format("bytes")} AS text_crc32, coalesce({crc.format("lang")} % {1 << bits}, 0) AS x0, coalesce({crc.format("source")} % {1 << bits}, 0) AS x1 FROM d
+), axes AS (SELECT *, least(CAST(floor(2 * (ln(size) / ln(2))) AS BIGINT), {(1 << bits) - 1}) AS x2 FROM sums
+), carried AS (SELECT *, {carry} AS carry FROM {step}
+), points AS (SELECT doc_id, size, text_crc32, CAST({index} AS BIGINT) AS curve_index FROM carried
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY curve_index, text_crc32, doc_id NULLS FIRST) - 1 AS row_no, greatest(count(*) OVER (), 1) AS n FROM points
+), placed AS (SELECT *, row_no * {n_shards} // n AS shard FROM numbered)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(row_no - (shard * n + {n_shards - 1}) // {n_shards} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, curve_index
+FROM placed
+"""
+
+
+OP10_SQL = _sql()
