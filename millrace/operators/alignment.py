@@ -120,13 +120,23 @@ def nearest(left: DataFrame, right: DataFrame, key: str, time: str, payload: lis
     return found.where("_side = 1").withColumn("_best", best).select("_l.*", F.col("_best.id").alias("near_id"), F.col("_best.t").alias("near_t"), *[F.col(f"_best.{c}").alias(f"near_{c}") for c in payload])
 
 
-def set_difference(a: DataFrame, b: DataFrame, keys: list[str], compare: list[str]) -> DataFrame:
-    """One row: rows in both, only in one, and in both with equal ``compare`` columns."""
+def matched(a: DataFrame, b: DataFrame, keys: list[str], compare: list[str]) -> DataFrame:
+    """Keys of both sides with ``a_x`` and ``b_x`` of each column x of ``compare`` (of rows of one key the least), ``in_a``, ``in_b`` and ``same``."""
     left = a.groupBy(*keys).agg(*[F.min(c).alias(f"a_{c}") for c in compare]).withColumn("in_a", F.lit(True))
     right = b.groupBy(*keys).agg(*[F.min(c).alias(f"b_{c}") for c in compare]).withColumn("in_b", F.lit(True))
-    joined = left.join(right, keys, "full_outer")
     same = F.lit(True)
     for c in compare:
         same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
+    return left.join(right, keys, "full_outer").withColumn("same", same)
+
+
+def set_difference(a: DataFrame, b: DataFrame, keys: list[str], compare: list[str]) -> DataFrame:
+    """One row: rows in both, only in one, in both with equal ``compare`` columns (numbers or bytes), and the latter's share of the former."""
     both = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
-    return joined.agg(F.count_if(both).alias("n_both"), F.count_if(F.col("in_b").isNull()).alias("only_a"), F.count_if(F.col("in_a").isNull()).alias("only_b"), F.count_if(both & same).alias("n_equal"))
+    counts = matched(a, b, keys, compare).agg(F.count_if(both).alias("n_both"), F.count_if(F.col("in_b").isNull()).alias("only_a"), F.count_if(F.col("in_a").isNull()).alias("only_b"), F.count_if(both & F.col("same")).alias("n_equal"))
+    return counts.withColumn("match_rate", F.col("n_equal") / F.nullif(F.col("n_both"), F.lit(0)))
+
+
+def mismatches(a: DataFrame, b: DataFrame, keys: list[str], compare: list[str], n: int = 10) -> DataFrame:
+    """The first ``n`` keys, by their order, that both sides have and whose ``compare`` columns differ."""
+    return matched(a, b, keys, compare).where("in_a AND in_b AND NOT same").drop("in_a", "in_b", "same").orderBy(*keys).limit(n)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -186,20 +187,42 @@ def kendall_summary(taus: DataFrame) -> DataFrame:
     return taus.agg(F.avg("tau").alias("mean_tau"), F.min("tau").alias("min_tau"))
 
 
-def variance_shares(cells: DataFrame, factors: list[str], score: str = "score") -> DataFrame:
-    """Sum of squares of each factor of a balanced design, of the residual, and percent of their sum.
+def variance_shares(cells: DataFrame, factors: list[str], score: str = "score", most_pairs: int = 1_000_000) -> DataFrame:
+    """Type-II sum of squares of each factor, of the residual, and percent of their sum.
 
-    For cells of equal size the type-II sum of a factor is the weighted square of its level means' distances. Factors
-    of one level are left out; fewer than ten rows give no result.
+    A factor's sum is what the residual of the fit to all factors grows by without it; cells may be of any size. Only
+    counts and sums of levels and of pairs of levels come to the driver, ``most_pairs`` of them or an error. Factors of
+    one level are left out; fewer than ten scores give no result, null scores don't count.
     """
-    total = cells.agg(F.avg(score).alias("grand"), F.count(F.lit(1)).alias("rows"), F.sum(F.col(score) * F.col(score)).alias("ss"))
-    parts = None
-    for f in factors:
-        levels = cells.groupBy(f).agg(F.avg(score).alias("m"), F.count(F.lit(1)).alias("n")).join(F.broadcast(total), F.lit(True))
-        part = levels.agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("grand"), F.lit(2))).alias("sum_sq"), F.count(F.lit(1)).alias("levels")).where("levels > 1").select(F.lit(f).alias("factor"), "sum_sq")
-        parts = part if parts is None else parts.union(part)
-    whole = total.where("rows >= 10").select((F.col("ss") - F.col("rows") * F.col("grand") * F.col("grand")).alias("whole"))
-    known = parts.agg(F.sum("sum_sq").alias("known"))
-    rest = whole.join(F.broadcast(known), F.lit(True)).select(F.lit("residual").alias("factor"), (F.col("whole") - F.col("known")).alias("sum_sq"))
-    everything = parts.join(F.broadcast(whole), F.lit(True), "left_semi").union(rest)
-    return everything.withColumn("percent", 100 * F.col("sum_sq") / F.sum("sum_sq").over(W.partitionBy()))
+    scored = cells.where(F.col(score).isNotNull())
+    grand = scored.agg(F.avg(F.col(score).cast("double"))).first()[0] or 0.0
+    level = [F.col(f).cast("string") for f in factors]
+    pairs = [F.struct(F.lit(i).alias("i"), level[i].alias("a"), F.lit(j).alias("j"), level[j].alias("b")) for i in range(len(factors)) for j in range(i, len(factors))]
+    d = scored.select((F.col(score).cast("double") - F.lit(grand)).alias("d"), F.explode(F.array(*pairs)).alias("p"))
+    sums = d.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("ss")).limit(most_pairs + 1).collect()
+    if len(sums) > most_pairs:
+        raise ValueError(f"more than {most_pairs} pairs of levels")
+    own = [r for r in sums if r["p"]["i"] == r["p"]["j"]]
+    first = [r for r in own if r["p"]["i"] == 0]
+    rows = sum(r["n"] for r in first)
+    at = {(r["p"]["i"], r["p"]["a"]): k for k, r in enumerate(sorted(own, key=lambda r: (r["p"]["i"], r["p"]["a"] or "")), 1)}
+    normal, right = np.zeros((len(at) + 1, len(at) + 1)), np.zeros(len(at) + 1)
+    normal[0, 0], right[0] = rows, sum(r["s"] for r in first)
+    for r in sums:
+        x, y = at[r["p"]["i"], r["p"]["a"]], at[r["p"]["j"], r["p"]["b"]]
+        normal[x, y] = normal[y, x] = r["n"]
+        if x == y:
+            normal[0, x] = normal[x, 0] = r["n"]
+            right[x] = r["s"]
+    used = [i for i in range(len(factors)) if sum(k == i for k, _ in at) > 1]
+
+    def residual(chosen: list[int]) -> float:
+        c = [0] + [k for (i, _), k in at.items() if i in chosen]
+        return sum(r["ss"] for r in first) - float(right[c] @ np.linalg.lstsq(normal[np.ix_(c, c)], right[c], rcond=None)[0])
+
+    out = []
+    if rows >= 10:
+        rest = max(0.0, residual(used))
+        out = [(factors[i], max(0.0, residual([k for k in used if k != i]) - rest)) for i in used] + [("residual", rest)]
+    whole = sum(x for _, x in out)
+    return cells.sparkSession.createDataFrame([(f, x, 100 * x / whole if whole else None) for f, x in out], "factor string, sum_sq double, percent double")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.flow import in_cidrs, is_host
+from millrace.operators.ranges import dealt, with_part
 
 BENIGN, ATTACK = "BENIGN", "ATTACK"
 
@@ -116,22 +117,43 @@ def exclusive_endpoints(events: DataFrame, capture: str = "capture", endpoint: s
     return bad.join(events.where(F.col(stage) == BENIGN).select(capture, endpoint).distinct(), [capture, endpoint], "left_anti")
 
 
+def numbered_windows(rows: DataFrame, gap: float) -> DataFrame:
+    """``rows`` (capture, stage, t) with ``window_no``, from 0 in each capture and stage: a gap of over ``gap`` seconds begins the next."""
+    group = ["capture", "stage"]
+    table = dealt(rows, [*group, "t"])
+    earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    edges = table.groupBy(*group, "_part").agg(F.max("t").alias("_last")).select(*group, "_part", F.max("_last").over(earlier).alias("_before"))
+    here = W.partitionBy(*group, "_part").orderBy("t")
+    step = F.col("t") - F.coalesce(F.lag("t").over(here), "_before")
+    flagged = with_part(table, edges, group).withColumn("_new", F.when(step > gap, 1).otherwise(0))
+    flagged = flagged.withColumn("_run", F.sum("_new").over(here.rowsBetween(W.unboundedPreceding, 0)))
+    begun = flagged.groupBy(*group, "_part").agg(F.sum("_new").alias("_begun")).select(*group, "_part", F.coalesce(F.sum("_begun").over(earlier), F.lit(0)).alias("_offset"))
+    return with_part(flagged, begun, group).withColumn("window_no", F.col("_offset") + F.col("_run")).drop("_part", "_before", "_new", "_run", "_offset")
+
+
 def derive_rules(events: DataFrame, gap: float = 600, pad: float = 30, most_ports: int = 12) -> DataFrame:
     """Attack rows (capture, stage, src_ip, dst_ip, dst_port, proto, t) to rules of each gap window.
 
-    Attackers are endpoints without benign rows; port lists of more than ``most_ports`` are left open.
+    Attackers are endpoints without benign rows; port lists of more than ``most_ports`` are left open. Rows are sorted in
+    ranges, so the rows of a stage are not one task.
     """
     attacks = events.where((F.col("stage") != BENIGN) & is_host(F.col("src_ip")) & is_host(F.col("dst_ip")))
     sole = exclusive_endpoints(events)
     attacks = attacks.join(sole, ["capture", "src_ip"], "left_semi")
-    w = W.partitionBy("capture", "stage").orderBy("t")
-    lagged = attacks.withColumn("_new", F.when(F.col("t") - F.lag("t").over(w) > gap, 1).otherwise(0))
-    runs = lagged.withColumn("window_no", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    runs = numbered_windows(attacks, gap)
     ports = F.sort_array(F.collect_set("dst_port"))
     out = runs.groupBy("capture", "stage", "window_no").agg((F.min("t") - pad).alias("t_start"), (F.max("t") + pad).alias("t_end"), F.sort_array(F.collect_set("src_ip")).alias("attackers"), F.sort_array(F.collect_set("dst_ip")).alias("victims"), ports.alias("_ports"), F.sort_array(F.collect_set("proto")).alias("protos"), F.count(F.lit(1)).alias("n_rows"))
     return out.withColumn("dst_ports", F.when(F.size("_ports") <= most_ports, F.col("_ports")).otherwise(F.array().cast(out.schema["_ports"].dataType))).drop("_ports")
 
 
+def rule_coverage(events: DataFrame, rules: DataFrame) -> DataFrame:
+    """A23's log: for each capture and stage its attack rows, its rules, the rows they came from and the rows' share."""
+    seen = events.where(F.col("stage") != BENIGN).groupBy("capture", "stage").agg(F.count(F.lit(1)).alias("n_attack"))
+    ruled = rules.groupBy("capture", "stage").agg(F.count(F.lit(1)).alias("n_rules"), F.sum("n_rows").alias("n_ruled"))
+    both = seen.join(ruled, ["capture", "stage"], "left").na.fill(0, ["n_rules", "n_ruled"])
+    return both.withColumn("share", F.col("n_ruled") / F.col("n_attack"))
+
+
 def clock_offset(packets: DataFrame, local: DataFrame, most_spread: float = 0.05) -> DataFrame:
     """Hours between first packet and first local time: rounded half-even mean over captures, spread, and whether it is steady."""
     a = packets.groupBy("capture").agg(F.min("t").alias("t"))

@@ -145,9 +145,17 @@ def asof_nearest(spark, d):
     return out.select("row_id", "near_id", "near_t")
 
 
-def dataset_diff(spark, d):
+def _diff_sides(spark, d):
     f = _tools(spark, d).withColumn("t5", F.round(F.col("t_start_us") / 1e6, 5))
-    return al.set_difference(f.where("tool = 't60'"), f.where("tool = 't120'"), ["key", "t5"], ["n_pkts"])
+    return f.where("tool = 't60'"), f.where("tool = 't120'"), ["key", "t5"], ["n_pkts"]
+
+
+def dataset_diff(spark, d):
+    return al.set_difference(*_diff_sides(spark, d)).drop("match_rate")
+
+
+def dataset_mismatches(spark, d):
+    return al.mismatches(*_diff_sides(spark, d))
 
 
 def flow_numbers(spark, d):
@@ -234,5 +242,7 @@ SELECT e.feature, count(*) AS n, round(median(err), 6) AS median_err, round(avg(
   FROM pk e LEFT JOIN pk p ON p.user_id = e.user_id AND p.event_type = 'purchase' WHERE e.event_type = 'error') SELECT row_id, near_id, near_t FROM r WHERE rn = 1"""),
     "dataset_diff": (dataset_diff, f"""WITH {_FLOWS3}, a AS (SELECT key, round(t_start_us / 1e6, 5) AS t5, min(n_pkts) AS n FROM ft60 GROUP BY ALL), b AS (SELECT key, round(t_start_us / 1e6, 5) AS t5, min(n_pkts) AS n FROM ft120 GROUP BY ALL)
 SELECT count(*) FILTER (WHERE a.n IS NOT NULL AND b.n IS NOT NULL) AS n_both, count(*) FILTER (WHERE b.n IS NULL) AS only_a, count(*) FILTER (WHERE a.n IS NULL) AS only_b, count(*) FILTER (WHERE a.n = b.n) AS n_equal FROM a FULL JOIN b USING (key, t5)"""),
+    "dataset_mismatches": (dataset_mismatches, f"""WITH {_FLOWS3}, a AS (SELECT key, round(t_start_us / 1e6, 5) AS t5, min(n_pkts) AS a_n_pkts FROM ft60 GROUP BY ALL), b AS (SELECT key, round(t_start_us / 1e6, 5) AS t5, min(n_pkts) AS b_n_pkts FROM ft120 GROUP BY ALL)
+SELECT key, t5, a_n_pkts, b_n_pkts FROM a JOIN b USING (key, t5) WHERE a_n_pkts <> b_n_pkts ORDER BY key, t5 LIMIT 10"""),
     "flow_numbers": (flow_numbers, f"WITH {_PK}, {sessions_sql(LONG)}, {flows_sql()} SELECT row_id, row_number() OVER (ORDER BY t_start_us, least(src_ip, dst_ip), session) AS flow_no FROM f"),
 }

@@ -88,6 +88,11 @@ def derive_rules(spark, d):
     return out.select("capture", "stage", "window_no", "t_start", "t_end", F.array_join("attackers", ",").alias("attackers"), F.array_join(F.col("dst_ports").cast("array<string>"), ",").alias("dst_ports"), "n_rows")
 
 
+def rule_coverage(spark, d):
+    e = _sensors(spark, d)
+    return lb.rule_coverage(e, lb.derive_rules(e, gap=86_400.0)).withColumn("share", F.round("share", 6))
+
+
 def fidelity(spark, d):
     e = _stages(spark, d)
     predicted = F.when(F.col("frame_no") % 5 == 0, "BENIGN").when(F.col("frame_no") % 7 == 0, "exfil").otherwise(F.col("stage"))
@@ -191,6 +196,11 @@ SELECT capture, stage, window_no, min(t) - 30.0 AS t_start, max(t) + 30.0 AS t_e
 ), r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY capture, stage ORDER BY t) AS BIGINT) AS window_no FROM g)
 SELECT capture, stage, window_no, min(t) - 30.0 AS t_start, max(t) + 30.0 AS t_end, array_to_string(list_sort(list(DISTINCT src_ip)), ',') AS attackers,
   CASE WHEN count(DISTINCT dst_port) <= 12 THEN array_to_string(list_sort(list(DISTINCT dst_port)), ',') ELSE '' END AS dst_ports, count(*) AS n_rows FROM r GROUP BY capture, stage, window_no"""),
+    "rule_coverage": (rule_coverage, f"""WITH {_ST}, {_SOLE}, a AS (SELECT sensor.* FROM sensor JOIN sole USING (capture, src_ip) WHERE stage <> 'BENIGN'
+), g AS (SELECT capture, stage, CASE WHEN t - lag(t) OVER (PARTITION BY capture, stage ORDER BY t) > 86400.0 THEN 1 ELSE 0 END AS new FROM a
+), r AS (SELECT capture, stage, CAST(1 + sum(new) AS BIGINT) AS n_rules, count(*) AS n_ruled FROM g GROUP BY capture, stage
+), s AS (SELECT capture, stage, count(*) AS n_attack FROM sensor WHERE stage <> 'BENIGN' GROUP BY capture, stage)
+SELECT capture, stage, n_attack, coalesce(n_rules, 0) AS n_rules, coalesce(n_ruled, 0) AS n_ruled, round(coalesce(n_ruled, 0) / n_attack, 6) AS share FROM s LEFT JOIN r USING (capture, stage)"""),
     "fidelity": (fidelity, f"""WITH {_ST}, p AS (SELECT stage AS t, CASE WHEN frame_no % 5 = 0 THEN 'BENIGN' WHEN frame_no % 7 = 0 THEN 'exfil' ELSE stage END AS p FROM st
 ), b AS (SELECT t, p FROM p UNION ALL SELECT CASE WHEN t = 'BENIGN' THEN t ELSE 'ATTACK' END, CASE WHEN p = 'BENIGN' THEN p ELSE 'ATTACK' END FROM p
 ), s AS (SELECT DISTINCT t AS stage FROM b WHERE t <> 'BENIGN' UNION SELECT DISTINCT p FROM b WHERE p <> 'BENIGN'

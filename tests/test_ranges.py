@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from millrace.operators import alignment as al
 from millrace.operators import evaluation as ev
 from millrace.operators import features as fe
+from millrace.operators import inference as inf
+from millrace.operators import labeling as lb
 from millrace.operators import profiling as pr
 from millrace.operators import ranges as ra
 from millrace.operators import sessions as se
@@ -105,3 +107,40 @@ def test_bins_are_bounded_by_the_rows_and_the_longest(spark):
     one = spark.createDataFrame([(0, 0)] * 99_999 + [(0, 10**9)], "s long, e long")
     assert al.bin_length(one, one.limit(0), "s", "e") == 10**9 // al.MOST_BINS
     assert al.bin_length(t.limit(0), t.limit(0), "s", "e") == 1
+
+
+def test_windows_of_a_hot_stage_are_numbered_over_ranges(spark):
+    r = random.Random(8)
+    rows = [("c0", "scan", float(r.randrange(3000) * 7)) for _ in range(2000)] + [("c0", "scan", 90_000.0)] * 3 + [("c1", None, 5.0), ("c1", None, 500.0)]
+    got = [tuple(x) for x in lb.numbered_windows(spark.createDataFrame(rows, "capture string, stage string, t double"), 20.0).select("capture", "stage", "t", "window_no").collect()]
+    want, last, number = [], {}, {}
+    for c, s, t in sorted(rows, key=lambda x: (x[0], x[2])):
+        if (c, s) in last and t - last[c, s] > 20.0:
+            number[c, s] = number.get((c, s), 0) + 1
+        last[c, s] = t
+        want.append((c, s, t, number.get((c, s), 0)))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_variance_shares_of_unequal_cells(spark):
+    r = random.Random(9)
+    rows = [(f"t{a}", f"m{b}", "one", 3.0 * a - b + r.random()) for a in range(3) for b in range(4) for _ in range(1 + (a * b) % 4)]
+    got = {x.factor: x.sum_sq for x in inf.variance_shares(spark.createDataFrame(rows, "tool string, model string, day string, score double"), ["tool", "model", "day"]).collect()}
+
+    def sse(*at):
+        levels = [sorted({x[k] for x in rows}) for k in at]
+        x = np.array([[1.0] + [float(row[k] == v) for k, vs in zip(at, levels, strict=True) for v in vs] for row in rows])
+        y = np.array([row[3] for row in rows])
+        return float(((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum())
+
+    assert set(got) == {"tool", "model", "residual"}
+    assert got["tool"] == pytest.approx(sse(1) - sse(0, 1)) and got["model"] == pytest.approx(sse(0) - sse(0, 1)) and got["residual"] == pytest.approx(sse(0, 1))
+    assert inf.variance_shares(spark.createDataFrame(rows[:9], "tool string, model string, day string, score double"), ["tool"]).count() == 0
+
+
+def test_mismatches_of_numbers_and_bytes(spark):
+    a = spark.createDataFrame([(k, k * 2, bytearray([k])) for k in range(30)], "k int, n int, b binary")
+    b = spark.createDataFrame([(k, k * 2 + (k == 7), bytearray([k if k != 9 else 0])) for k in range(5, 40)], "k int, n int, b binary")
+    assert [x.k for x in al.mismatches(a, b, ["k"], ["n", "b"]).collect()] == [7, 9]
+    d = al.set_difference(a, b, ["k"], ["n", "b"]).first()
+    assert (d.n_both, d.only_a, d.only_b, d.n_equal) == (25, 5, 10, 23) and d.match_rate == 23 / 25
