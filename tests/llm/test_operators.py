@@ -582,6 +582,28 @@ def test_license_scan_finds_templates_in_context(spark, odd, empty):
     assert license_scan.op8_license_scan(empty).count() == 0
 
 
+def test_license_scan_recalls_damaged_texts_among_long_ones(spark):
+    r = random.Random(12)
+    rows, want = [], {}
+    for name, text in license_scan.TEMPLATES.items():
+        w = license_scan.template_words(text)
+        for share in (0.03, 0.12):  # a changed word costs up to five shingles
+            body = list(w)
+            for at in sorted(r.sample(range(len(w)), int(share * len(w) / 3))):
+                body[at] = "altered"
+            have = set(license_scan.template_shingles(body))
+            wanted = license_scan.template_shingles(w)
+            if 100 * sum(s in have for s in wanted) >= license_scan.CONTAINED * len(wanted):
+                want[len(rows)] = name
+            rows.append((len(rows), f"{rng_text(len(rows), 300)} {' '.join(body)}\n{rng_text(len(rows) + 1, 200)}"))
+    got = {x.doc_id: x.licenses.split(",") for x in license_scan.op8_license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > len(license_scan.TEMPLATES) and all(name in got[i] for i, name in want.items())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert {i: x.split(",") for i, _, x in con.execute(f"SELECT doc_id, n_licenses, licenses FROM ({license_scan.OP8_SQL})").fetchall()} == got
+
+
 def test_license_scan_of_null_ids_clashing_names_and_repeated_rows_equals_its_sql(spark):
     notice = list(license_scan.TEMPLATES.values())
     names = "doc_id long, text string, template string, words string, `a.b` string, length string, key string"
