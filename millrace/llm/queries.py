@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontamination, license_scan, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, token_alignment, url_filter
+from millrace.llm import decontamination, license_scan, line_dedup, mixing, ngram_join, periodic_runs, pii, quality_classifier, quality_rules, sharding, token_alignment, toxicity, url_filter
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,8 @@ def queries() -> dict[str, Query]:
         "op8_license_scan": lambda s, d: license_scan.op8_license_scan(table(s, d, "documents")),
         "op9_url_filter": lambda s, d: url_filter.op9_url_filter(table(s, d, "pages")),
         "op10_sharding": lambda s, d: sharding.op10_sharding(table(s, d, "documents")),
+        "op11_periodic_runs": lambda s, d: periodic_runs.op11_periodic_runs(table(s, d, "documents")),
+        "op12_toxicity": lambda s, d: toxicity.op12_toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op13_token_alignment": lambda s, d: token_alignment.op13_token_alignment(table(s, d, "documents")),
     }
 
