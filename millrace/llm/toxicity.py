@@ -37,6 +37,8 @@ FIT_ROWS = 5_000
 #: Features that have a weight at most, and rows of the sample in which one of them stands at least.
 FEATURES = 1_024
 MIN_ROWS = 3
+#: Gain in log likelihood that a feature's presence gives at least: chance gives that to one feature in 15,000.
+MIN_GAIN = 8.0
 TOXIC_FROM = 0.5
 #: Words whose weight a worker remembers at most before it starts anew.
 REMEMBERED = 1 << 20
@@ -80,16 +82,16 @@ def noisy_or(z: np.ndarray, doc: np.ndarray, times: np.ndarray, docs: int) -> tu
     return -np.bincount(doc, weights=times * np.logaddexp(0, z), minlength=docs), 1 / (1 + np.exp(-z))
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, doc: np.ndarray, blank: np.ndarray, toxic: np.ndarray, weight: np.ndarray, n_features: int, steps: int = 400, rate: float = 0.3, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(rows: np.ndarray, cols: np.ndarray, doc: np.ndarray, blank: np.ndarray, toxic: np.ndarray, weight: np.ndarray, start: np.ndarray, steps: int = 400, rate: float = 0.3, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the largest penalised likelihood, by Adagrad over the whole sample.
 
     ``rows``, ``cols``: features of sentences; ``doc``: the document of each sentence with features; ``blank``: each
-    document's number of sentences without; ``weight``: how much a document counts.
+    document's number of sentences without; ``weight``: how much a document counts; ``start``: the weights to begin with.
     """
-    docs, sentences = len(toxic), len(doc)
+    docs, sentences, n_features = len(toxic), len(doc), len(start)
     owner = np.concatenate([doc, np.arange(docs)])  # a document's blank sentences are one that counts so many times
     times = np.concatenate([np.ones(sentences), blank])
-    w, bias, seen = np.zeros(n_features), -3.0, np.full(n_features + 1, 1e-8)
+    w, bias, seen = start.copy(), -6.0, np.full(n_features + 1, 1e-8)
     for _ in range(steps):
         z = np.concatenate([np.bincount(rows, weights=w[cols], minlength=sentences), np.zeros(docs)]) + bias
         log_clean, p = noisy_or(z, owner, times, docs)
@@ -97,7 +99,7 @@ def fit(rows: np.ndarray, cols: np.ndarray, doc: np.ndarray, blank: np.ndarray,
         # The slope of the loss by z: p for a clean document, -p * clean / (1 - clean) for a toxic one.
         slope = np.where(toxic, -clean / np.maximum(1 - clean, 1e-12), 1.0) * weight
         g = slope[owner] * p * times / weight.sum()
-        step = np.append(np.bincount(cols, weights=g[:sentences][rows], minlength=n_features) + ridge * w, g.sum())
+        step = np.append(np.bincount(cols, weights=g[:sentences][rows], minlength=n_features) + ridge * (w - start), g.sum())
         seen += step * step
         move = rate * step / np.sqrt(seen)
         w, bias = w - move[:-1], bias - move[-1]
@@ -120,8 +122,8 @@ def sampled(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[DataFram
     return written(docs.withColumn("row", row).join(F.broadcast(chosen), "row").dropDuplicates(["row"]).select("text", "toxic")), counts
 
 
-def informative(sample: DataFrame, sizes: dict[int, int], features: int, min_rows: int) -> list[str]:
-    """The features whose presence tells most about the label, by the likelihood ratio of their table with it."""
+def informative(sample: DataFrame, sizes: dict[int, int], features: int, min_rows: int, min_gain: float = MIN_GAIN) -> dict[str, float]:
+    """The features whose presence tells most about the label, by the likelihood ratio of their table with it, and their log odds."""
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,7 +142,9 @@ def informative(sample: DataFrame, sizes: dict[int, int], features: int, min_row
     n0, n1 = F.col("n0"), F.col("n1")
     here, away = n0 + n1, total - n0 - n1
     gain = cell(n0, sizes[0], here) + cell(n1, sizes[1], here) + cell(sizes[0] - n0, sizes[0], away) + cell(sizes[1] - n1, sizes[1], away)
-    return [r["feature"] for r in counts.where(here >= min_rows).orderBy(F.round(gain, 9).desc(), "feature").limit(features).select("feature").collect()]
+    odds = F.log((n1 + 0.5) / (sizes[1] + 1.0)) - F.log((n0 + 0.5) / (sizes[0] + 1.0))
+    chosen = counts.withColumn("gain", F.round(gain, 9)).where((here >= min_rows) & (F.col("gain") >= min_gain))
+    return {r["feature"]: r["odds"] for r in chosen.orderBy(F.desc("gain"), "feature").limit(features).select("feature", odds.alias("odds")).collect()}
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, features: int = FEATURES, min_rows: int = MIN_ROWS) -> Model:
@@ -149,7 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not counts.get(0) or not counts.get(1):
         return Model({}, -50.0)
     sizes = {t: min(fit_rows, n) for t, n in counts.items()}
-    place = {f: i for i, f in enumerate(informative(sample, sizes, features, min_rows))}
+    odds = informative(sample, sizes, features, min_rows)
+    place = {f: i for i, f in enumerate(odds)}
+    share = 1 / len(word_features("sixsix"))  # a word's features begin with about the odds of one of them
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     doc, rows = (np.repeat(np.arange(len(x)), pc.list_value_length(x).to_numpy()) for x in (per_doc, sentences))
     cols = sentences.flatten().to_numpy().astype(np.int64)
     weight = np.where(toxic, counts[1] / sizes[1], counts[0] / sizes[0])
-    w, bias = fit(rows, cols, doc, got.column("blank").to_numpy().astype(float), toxic, weight, len(place))
+    w, bias = fit(rows, cols, doc, got.column("blank").to_numpy().astype(float), toxic, weight, share * np.array(list(odds.values()), dtype=float))
     return Model({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-6}, float(bias))
 
 

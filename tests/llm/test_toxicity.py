@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm import toxicity as tox
 from tests.llm.test_operators import DOCS, ODD
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 BAD = ["vilgar", "vilgaro", "vilgarest", "snorp", "snorpy"]
 LABELS = "doc_id long, toxic int"
 
@@ -43,7 +43,7 @@ def test_held_out_documents_of_the_table(spark):
         if r["held_out"] and r["doc_id"] in truth:
             right[truth[r["doc_id"]]].append(r["predicted"] == truth[r["doc_id"]])
     assert min(map(len, right.values())) >= 5
-    assert np.mean(right[0]) >= 0.98 and np.mean(right[1]) >= 0.8
+    assert np.mean(right[0]) >= 0.99 and np.mean(right[1]) >= 0.85  # some toxic rows hold no word that tells
 
 
 def test_sentences_that_offend_are_located(spark):
@@ -77,14 +77,15 @@ def test_likelihood_slopes_and_optimum():
     r = np.random.default_rng(3)
     rows, cols = np.repeat(np.arange(12), 2), r.integers(0, 4, 24)
     doc, blank = np.sort(r.integers(0, 5, 12)), np.array([0.0, 2, 1, 0, 3])
+    start = np.array([0.5, 0.0, -1.0, 2.0])
     toxic, weight = np.array([True, False, True, False, False]), np.array([1.0, 2, 1, 1, 3])
 
     def loss(x):
         z = np.concatenate([np.bincount(rows, weights=x[:4][cols], minlength=12), np.zeros(5)]) + x[4]
         log_clean, _ = tox.noisy_or(z, np.concatenate([doc, np.arange(5)]), np.concatenate([np.ones(12), blank]), 5)
-        return -(weight * np.where(toxic, np.log(-np.expm1(log_clean)), log_clean)).sum() / weight.sum() + 0.01 / 2 * (x[:4] ** 2).sum()
+        return -(weight * np.where(toxic, np.log(-np.expm1(log_clean)), log_clean)).sum() / weight.sum() + 0.01 / 2 * ((x[:4] - start) ** 2).sum()
 
-    w, bias = tox.fit(rows, cols, doc, blank, toxic, weight, 4, steps=6000, ridge=0.01)
+    w, bias = tox.fit(rows, cols, doc, blank, toxic, weight, start, steps=6000, ridge=0.01)
     best = np.append(w, bias)
     for k in range(5):
         for step in (-1e-3, 1e-3):
