@@ -1,4 +1,4 @@
-"""Tables written for reuse, and running sums and exact quantiles over sorted ranges, so that no group is one task."""
+"""Tables written for reuse, and scans, running sums and exact quantiles over sorted ranges, so that no group is one task."""
 
 from __future__ import annotations
 
@@ -41,6 +41,34 @@ def with_part(rows: DataFrame, parts: DataFrame, group: Sequence[str]) -> DataFr
     return rows.join(side, on).drop("_p", *[f"_g{i}" for i in range(len(group))])
 
 
+#: What a scan gives a row: the row before's value; the sum up to the row; the largest value before it; the group's first value.
+SCANS = {
+    "previous": (lambda c, here: F.lag(c).over(here), lambda c, order: F.max_by(c, order), lambda c, before: F.last(c, ignorenulls=True).over(before), lambda own, carry: F.coalesce(own, carry)),
+    "sum": (lambda c, here: F.sum(c).over(here.rowsBetween(W.unboundedPreceding, 0)), lambda c, order: F.sum(c), lambda c, before: F.sum(c).over(before), lambda own, carry: own + F.coalesce(carry, F.lit(0))),
+    "largest_before": (lambda c, here: F.max(c).over(here.rowsBetween(W.unboundedPreceding, -1)), lambda c, order: F.max(c), lambda c, before: F.max(c).over(before), lambda own, carry: F.greatest(own, carry)),
+    "first": (lambda c, here: F.first(c).over(here), lambda c, order: F.min_by(c, order), lambda c, before: F.first(c, ignorenulls=True).over(before), lambda own, carry: F.coalesce(carry, own)),
+}
+
+
+def scanned(table: DataFrame, group: Sequence[str], order: Sequence[str], scans: dict[str, tuple[str, Column]]) -> DataFrame:
+    """``table`` (from ``dealt``, in whose order the groups are stretches) with a column for each scan (kind, value not null).
+
+    Each range is scanned by itself and then takes over what the group's ranges before it give. Ranges are sorted, so only
+    a group that reaches over a range's edge stands in two; what is carried is two rows a range at most, and broadcast.
+    """
+    by = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    parts = table.groupBy(*group, "_part").agg(*[SCANS[k][1](c, by).alias(n) for n, (k, c) in scans.items()])
+    before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    carried = parts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), F.count(F.lit(1)).over(before).alias("_k"), *[SCANS[k][2](F.col(n), before).alias(f"_carry_{n}") for n, (k, _) in scans.items()])
+    on: Column = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    here = W.partitionBy(*group, "_part").orderBy(*order)
+    own = table.withColumns({n: SCANS[k][0](c, here) for n, (k, c) in scans.items()})
+    joined = own.join(F.broadcast(carried.where("_k > 0")), on, "left")
+    return joined.withColumns({n: SCANS[k][3](F.col(n), F.col(f"_carry_{n}")) for n, (k, _) in scans.items()}).drop("_p", "_k", *[f"_g{i}" for i in range(len(group))], *[f"_carry_{n}" for n in scans])
+
+
 def running_sums(rows: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """``rows`` with ``run_x``, the sum of x over the group's rows up to this one in ``order``, and ``all_x``, over the group.
 

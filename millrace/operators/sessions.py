@@ -9,47 +9,86 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.flow import FLAGS, endpoint_key
-from millrace.operators.ranges import running_sums
+from millrace.operators.ranges import dealt, running_sums, scanned, stored
 
 KEY = ("capture", "key")
 #: The bytes kept of each packet of a sequence.
 PACKET_BYTES = 128
 
 
-def idle_sessions(packets: DataFrame, idle_us: int, keys: Sequence[str] = KEY, time: str = "ts_us", order: str = "frame_no") -> DataFrame:
-    """``session`` numbers the runs of a key whose gaps are at most ``idle_us``."""
-    w = W.partitionBy(*keys).orderBy(order)
-    gap = F.col(time) - F.lag(time).over(w)
-    marked = packets.withColumn("_new", F.when(gap > idle_us, 1).otherwise(0))
-    return marked.withColumn("session", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+def _in_ranges(packets: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    return packets if "_part" in packets.columns else dealt(packets, [*keys, order])
 
 
-def active_segments(packets: DataFrame, active_us: int, keys: Sequence[str] = (*KEY, "session"), time: str = "ts_us", order: str = "frame_no") -> DataFrame:
-    """``segment`` restarts a session at the first packet more than ``active_us`` after its segment's start.
+def idle_sessions(packets: DataFrame, idle_us: int, keys: Sequence[str] = KEY, time: str = "ts_us", order: str = "frame_no", ranges: bool = False) -> DataFrame:
+    """``session`` numbers the runs of a key whose gaps are at most ``idle_us``.
+
+    Packets are sorted into ranges, and a range takes over the last time and the number of gaps of the key's ranges
+    before it, so a key may have any number of packets. ``ranges`` keeps the number of the range, ``_part``.
+    """
+    table = _in_ranges(packets, keys, order)
+    timed = scanned(table, keys, [order], {"_before": ("previous", F.col(time))})
+    new = F.when(F.col(time) - F.col("_before") > idle_us, 1).otherwise(0).cast("long")
+    out = scanned(timed.withColumn("_new", new), keys, [order], {"session": ("sum", F.col("_new"))}).drop("_before", "_new")
+    return out if ranges else out.drop("_part")
+
+
+def pointed(records: DataFrame, keys: Sequence[str], reach: int) -> DataFrame:
+    """(keys, t, to): for each record's time the key's first later record over ``reach`` after it; none: no row.
+
+    Times and times plus ``reach`` are sorted together, backwards, and each of the latter takes the record before it.
+    """
+    none = F.lit(None).cast("long")
 
-    Only sessions longer than the timeout are touched; of those only times are gathered, 16 bytes a packet.
+    def mark(at: Column, kind: int, record: Column, origin: Column) -> Column:
+        return F.struct(at.alias("_at"), F.lit(kind).alias("_kind"), record.alias("_record"), origin.alias("_from"))
+
+    marks = F.explode(F.array(mark(-F.col("t") - reach, 0, none, F.col("t")), mark(-F.col("t"), 1, F.col("t"), none))).alias("m")
+    table = dealt(records.select(*keys, marks).select(*keys, "m.*"), [*keys, "_at", "_kind"])
+    # Records come latest first, so the record that a query has passed last is the smallest so far.
+    found = scanned(table, keys, ["_at", "_kind"], {"_to": ("largest_before", -F.col("_record"))})
+    return found.where(F.col("_from").isNotNull() & F.col("_to").isNotNull()).select(*keys, F.col("_from").alias("t"), (-F.col("_to")).alias("to"))
+
+
+def restarts(records: DataFrame, keys: Sequence[str], reach: int) -> DataFrame:
+    """(keys, t): the times reached from each key's first one by going to the first over ``reach`` later, again and again.
+
+    Pointer doubling: a round follows the pointers of all times known and replaces every pointer by where two of it lead,
+    so n restarts take log2(n) rounds; pointers that lead beyond the end go.
     """
-    span = W.partitionBy(*keys)
-    long = (F.max(time).over(span) - F.min(time).over(span)) > active_us
-    marked = packets.withColumn("_long", long)
-    start = F.struct(F.lit(None).cast("long").alias("from"), F.array().cast(f"array<struct<{order}:bigint>>").alias("starts"))
+    jumps = stored(pointed(records, keys, reach))
+    known = stored(records.groupBy(*keys).agg(F.min("t").alias("t")))
+    while not jumps.isEmpty():
+        ahead = known.join(jumps, [*keys, "t"]).select(*keys, F.col("to").alias("t"))
+        known = stored(known.union(ahead))
+        second = jumps.select(*keys, F.col("t").alias("to"), F.col("to").alias("_further"))
+        jumps = stored(jumps.join(second, [*keys, "to"]).select(*keys, "t", F.col("_further").alias("to")))
+    return known
 
-    def step(s: Column, p: Column) -> Column:
-        again = s["from"].isNull() | (p["t"] - s["from"] > active_us)
-        return F.struct(F.when(again, p["t"]).otherwise(s["from"]).alias("from"), F.when(again, F.concat(s["starts"], F.array(F.struct(p["o"].alias(order))))).otherwise(s["starts"]).alias("starts"))
 
-    times = marked.where("_long").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(time).alias("t")))).alias("ts"))
-    starts = times.select(*keys, F.explode(F.aggregate("ts", start, step)["starts"]).alias("s")).select(*keys, f"s.{order}", F.lit(1).alias("_start"))
-    joined = marked.drop("_long").join(starts, [*keys, order], "left")
-    running = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    seg = F.greatest(F.coalesce(F.sum("_start").over(running), F.lit(1)) - 1, F.lit(0))
-    return joined.withColumn("segment", seg).drop("_start")
+def active_segments(packets: DataFrame, active_us: int, keys: Sequence[str] = (*KEY, "session"), time: str = "ts_us", order: str = "frame_no", ranges: bool = False) -> DataFrame:
+    """``segment`` restarts a session at the first packet more than ``active_us`` after its segment's start.
+
+    A restart is later than all packets before it, so only such packets (records) of sessions longer than the timeout
+    are looked at. No session is gathered anywhere.
+    """
+    table = scanned(_in_ranges(packets, keys, order), keys, [order], {"_most": ("largest_before", F.col(time))})
+    fresh = F.col("_most").isNull() | (F.col(time) > F.col("_most"))
+    whole = F.struct(*keys)  # nulls in a key equal each other within a struct
+    long = table.groupBy(whole.alias("_key")).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi")).where(F.col("_hi") - F.col("_lo") > active_us).select("_key")
+    records = table.where(fresh).select(whole.alias("_key"), F.col(time).alias("t")).join(long, "_key", "left_semi")
+    starts = restarts(stored(records), ["_key"], active_us).withColumnRenamed("t", "_t")
+    # A restart's time is new in its session, so the first packet of that time is the restart.
+    again = F.when(fresh & F.col("_t").isNotNull() & F.col("_most").isNotNull(), 1).otherwise(0).cast("long")
+    joined = table.join(starts, (whole == F.col("_key")) & (F.col(time) == F.col("_t")), "left").withColumn("_start", again).drop("_t", "_most", "_key")
+    out = scanned(joined, keys, [order], {"segment": ("sum", F.col("_start"))}).drop("_start")
+    return out if ranges else out.drop("_part")
 
 
 def segmented(packets: DataFrame, idle_us: int, active_us: int | None = None) -> DataFrame:
-    keyed = packets.withColumn("key", endpoint_key())
-    sessions = idle_sessions(keyed, idle_us)
-    return active_segments(sessions, active_us) if active_us is not None else sessions.withColumn("segment", F.lit(0).cast("long"))
+    """Packets with key, session, segment and the number of their range, ``_part``."""
+    sessions = idle_sessions(packets.withColumn("key", endpoint_key()), idle_us, ranges=True)
+    return active_segments(sessions, active_us, ranges=True) if active_us is not None else sessions.withColumn("segment", F.lit(0).cast("long"))
 
 
 def assemble(packets: DataFrame, idle_us: int, active_us: int | None = None, sequence: int = 0, extra: Sequence[Column] = ()) -> DataFrame:
@@ -62,9 +101,8 @@ def assemble(packets: DataFrame, idle_us: int, active_us: int | None = None, seq
     """
     s = segmented(packets, idle_us, active_us)
     group = (*KEY, "session", "segment")
-    w = W.partitionBy(*group).orderBy("frame_no")
-    first = F.first(F.struct("src_ip", "src_port", "dst_ip", "dst_port", "ts_us")).over(w)
-    s = s.withColumn("_first", first).withColumn("fwd", (F.col("src_ip") == F.col("_first.src_ip")) & F.col("src_port").eqNullSafe(F.col("_first.src_port")))
+    scans = {"_first": ("first", F.struct("src_ip", "src_port", "dst_ip", "dst_port", "ts_us")), "_rn": ("sum", F.lit(1).cast("long"))}
+    s = scanned(s, group, ["frame_no"], scans).withColumn("fwd", (F.col("src_ip") == F.col("_first.src_ip")) & F.col("src_port").eqNullSafe(F.col("_first.src_port")))
     aggs = [
         F.min_by(F.struct("src_ip", "src_port", "dst_ip", "dst_port", "proto"), "frame_no").alias("_e"),
         F.min_by("ts_us", "frame_no").alias("t_start_us"), F.max_by("ts_us", "frame_no").alias("t_end_us"),
@@ -76,7 +114,6 @@ def assemble(packets: DataFrame, idle_us: int, active_us: int | None = None, seq
     if sequence:
         content = [F.coalesce(F.substring("ip_bytes", 1, PACKET_BYTES), F.lit(b"")).alias("bytes")] if "ip_bytes" in packets.columns else []
         kept += [("bytes", "packet_bytes")] if content else []
-        s = s.withColumn("_rn", F.row_number().over(w))
         item = F.struct("frame_no", F.when(F.col("fwd"), 0).otherwise(1).alias("dir"), F.round((F.col("ts_us") - F.col("_first.ts_us")) / 1e6, 6).alias("t"), F.col("wire_len").alias("size"), *content)
         aggs.append(F.array_sort(F.collect_list(F.when(F.col("_rn") <= sequence, item))).alias("_seq"))
     flows = s.groupBy(*group).agg(*aggs, *extra).select("*", "_e.*").drop("_e")
@@ -96,7 +133,7 @@ def aggregate_by_spec(packets: DataFrame, spec: dict) -> DataFrame:
     if spec.get("bidirectional", True):
         packets, keys = packets.withColumn("key", endpoint_key()), ["key"]
     group = ["capture", *keys]
-    s = idle_sessions(packets, int(spec["idle"] * 1e6), group)
+    s = idle_sessions(packets, int(spec["idle"] * 1e6), group, ranges=True)
     if spec.get("active"):
         s = active_segments(s, int(spec["active"] * 1e6), (*group, "session"))
     else:
@@ -112,9 +149,9 @@ def number_flows(flows: DataFrame) -> DataFrame:
 
 def gap_windows(events: DataFrame, keys: Sequence[str], time: str, gap: float, pad: float = 0.0, clamp: bool = False) -> DataFrame:
     """Windows of a key's times without gaps over ``gap`` seconds, padded; ``clamp`` cuts at the start's UTC midnight."""
-    w = W.partitionBy(*keys).orderBy(time)
-    new = F.when(F.col(time) - F.lag(time).over(w) > gap, 1).otherwise(0)
-    runs = events.withColumn("_new", new).withColumn("window_no", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    timed = scanned(dealt(events, [*keys, time]), keys, [time], {"_before": ("previous", F.col(time))})
+    new = F.when(F.col(time) - F.col("_before") > gap, 1).otherwise(0).cast("long")
+    runs = scanned(timed.withColumn("_new", new), keys, [time], {"window_no": ("sum", F.col("_new"))})
     out = runs.groupBy(*keys, "window_no").agg((F.min(time) - pad).alias("w_start"), (F.max(time) + pad).alias("w_end"), F.count(F.lit(1)).alias("n"))
     return out.withColumn("w_end", F.least("w_end", (F.floor(F.col("w_start") / 86400) + 1) * 86400 - 1)) if clamp else out
 
@@ -124,10 +161,13 @@ def bursts(packets: DataFrame, keys: Sequence[str], direction: str, order: str,
 
     Gives direction, bytes, packets and the gap in milliseconds to the burst before.
     """
-    w = W.partitionBy(*keys).orderBy(order)
-    turned = F.when(F.col(direction) != F.lag(direction).over(w), 1).otherwise(0)
-    runs = packets.withColumn("_turn", turned).withColumn("_run", F.sum("_turn").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    part = F.floor((F.row_number().over(W.partitionBy(*keys, "_run").orderBy(order)) - 1) / most_packets)
+    table = scanned(_in_ranges(packets, keys, order), keys, [order], {"_before": ("previous", F.col(direction))})
+    turned = F.when(F.col(direction) != F.col("_before"), 1).otherwise(0).cast("long")
+    runs = scanned(table.withColumn("_turn", turned), keys, [order], {"_run": ("sum", F.col("_turn"))})
+    placed = scanned(runs, [*keys, "_run"], [order], {"_at": ("sum", F.lit(1).cast("long"))})
+    # The first bursts lie in the first runs, so a flow keeps a bounded number of packets for what follows.
+    runs = placed.where((F.col("_run") < most_bursts) & (F.col("_at") <= most_bursts * most_packets)).drop("_part")
+    part = F.floor((F.col("_at") - 1) / most_packets)
     grouped = runs.withColumn("_part", part).groupBy(*keys, "_run", "_part").agg(F.min(direction).alias("direction"), F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("packets"), F.min(time).alias("first_us"), F.max(time).alias("last_us"))
     by = W.partitionBy(*keys).orderBy("_run", "_part")
     out = grouped.withColumn("burst", F.row_number().over(by)).withColumn("gap_ms", F.coalesce((F.col("first_us") - F.lag("last_us").over(by)) / 1e3, F.lit(0.0)))

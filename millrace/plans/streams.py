@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.ranges import scratch
-from millrace.plans.common import IDLE, SECOND, packets, packets_of, packets_sql, sessions_sql
+from millrace.plans.common import ACTIVE, IDLE, SECOND, active_sql, packets, packets_of, packets_sql, sessions_sql
 from millrace.streaming import flows as st
 
 
@@ -43,6 +43,22 @@ _CLOSED = f"""WITH {packets_sql()}, {sessions_sql(IDLE[1])}, g AS (
 SELECT key, start_us, n_pkts, n_bytes FROM g WHERE e + {IDLE[1] * SECOND} <= (SELECT (max(ts_us) // 1000) * 1000 FROM pk)"""
 
 
+def stream_assembly(spark, d):
+    """Flows by both timeouts that are closed by the end of the stream."""
+    name, own = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, own)
+    try:
+        return _ran(spark, st.assembled_flows(_stream(spark, d), IDLE[2] * SECOND, ACTIVE * SECOND, "0 seconds"), "append")
+    finally:
+        spark.conf.set(name, before)
+
+
+_ASSEMBLED = f"""WITH RECURSIVE {packets_sql()}, {sessions_sql(IDLE[2])}, {active_sql(ACTIVE)}, f AS (
+  SELECT any_value(client) || ':' || any_value(cport) || '|192.168.10.50:443|6' AS key, min(ts_us) AS t_start_us, max(ts_us) AS t_end_us, count(*) AS n_pkts, CAST(sum(wire_len) AS BIGINT) AS n_bytes FROM g GROUP BY user_id, session, segment)
+SELECT * FROM f WHERE least(t_end_us + {IDLE[2] * SECOND}, t_start_us + {ACTIVE * SECOND}) < (SELECT (max(ts_us) // 1000) * 1000 FROM pk)"""
+
+
 def stream_projection(spark, d):
     """T4: streamed packets joined to static reference events within the tolerance."""
     p = _stream(spark, d).select("frame_no", "src_ip", "src_port", "dst_ip", "dst_port", "proto", (F.col("ts_us") / 1e6).alias("t_start"), F.lit("BENIGN").alias("label"), F.lit("BENIGN").alias("binary_label"))
@@ -62,6 +78,7 @@ _SIX_HOURS = 6 * 3600 * SECOND
 _WINDOWS = f"""WITH {packets_sql()}, w AS (SELECT ts_us // {_SIX_HOURS} * {_SIX_HOURS} AS start_us, event_type FROM pk)
 SELECT start_us, event_type, count(*) AS n FROM w WHERE start_us + {_SIX_HOURS} <= (SELECT (max(ts_us) // 1000) * 1000 FROM pk) GROUP BY start_us, event_type"""
 QUERIES = {
+    "stream_assembly": (stream_assembly, _ASSEMBLED),
     "stream_projection": (stream_projection, _NEAR),
     "stream_counts": (stream_counts, _WINDOWS),
     "stream_labels": (stream_labels, "SELECT event_id AS frame_no, CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'web' ELSE 'BENIGN' END AS label, CAST(CASE WHEN event_type IN ('view', 'click', 'signup') THEN 1 ELSE 0 END AS BIGINT) AS n_rule_matches FROM events"),

@@ -22,60 +22,87 @@ def idle_flows(packets: DataFrame, idle: str, late: str = "10 minutes") -> DataF
 
 
 FLOW = "key string, t_start_us bigint, t_end_us bigint, n_pkts bigint, n_bytes bigint"
+FLOW_COLUMNS = [c.split()[0] for c in FLOW.split(", ")]
 
 
 class OpenFlows(StatefulProcessor):
-    """One open flow for each key; a flow is handed out when a packet or a timer ends it."""
+    """One open flow for each key, and the packets that the watermark hasn't passed yet.
+
+    Packets wait until the watermark is beyond them, so they are taken in order of time whatever batches they came in; a
+    flow is handed out when no packet that may still come can belong to it. A key has one timer, at the earliest time at
+    which one of both is due. A key's state is its open flow and its packets of the watermark's delay.
+    """
 
     def __init__(self, idle_us: int, active_us: int):
         self.idle, self.active = idle_us, active_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.flow = handle.getValueState("flow", "t_start bigint, t_end bigint, n bigint, bytes bigint, timer bigint")
-
-    def _row(self, key: str, f: Sequence[int]) -> tuple:
-        return (key, f[0], f[1], f[2], f[3])
-
-    def _deadline(self, f: Sequence[int]) -> int:
-        # A packet exactly at the deadline still belongs to the flow, so the timer waits a millisecond more.
-        return min(f[1] + self.idle, f[0] + self.active) // 1000 + 1
-
-    def _keep(self, f: list[int]) -> None:
-        if f[4]:
-            self.handle.deleteTimer(f[4])
-        f[4] = self._deadline(f)
-        self.handle.registerTimer(f[4])
-        self.flow.update(tuple(f))
+        self.flow = handle.getValueState("flow", "t_start bigint, t_end bigint, n bigint, bytes bigint")
+        self.timer = handle.getValueState("timer", "at bigint")
+        self.waiting = handle.getListState("waiting", "ts_us bigint, frame_no bigint, wire_len bigint")
+
+    def _wake(self, first: int | None, flow: tuple | None) -> None:
+        """Set the timer; packets and deadlines of a millisecond are due when the watermark is beyond it."""
+        due = ([first] if first is not None else []) + ([min(flow[1] + self.idle, flow[0] + self.active)] if flow else [])
+        at = min(due) // 1000 + 1 if due else None
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if at == before:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+            self.timer.clear()
+        if at is not None:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        f, done = (list(self.flow.get()) if self.flow.exists() else None), []
-        batch = pd.concat(list(rows)).sort_values(["ts_us", "frame_no"])
-        for ts, size in zip(batch["ts_us"].tolist(), batch["wire_len"].tolist(), strict=True):
-            if f is not None and (ts - f[1] > self.idle or ts - f[0] > self.active):
-                done.append(self._row(key[0], f))
-                f = [ts, ts, 0, 0, f[4]]
-            f = f or [ts, ts, 0, 0, 0]
-            f[1], f[2], f[3] = ts, f[2] + 1, f[3] + size
-        if f is not None:
-            self._keep(f)
-        yield pd.DataFrame(done, columns=[c.split()[0] for c in FLOW.split(", ")])
+        batch = pd.concat(list(rows))
+        first = int(batch["ts_us"].min())
+        self.waiting.appendList(list(zip(*(batch[c].astype("int64").tolist() for c in ("ts_us", "frame_no", "wire_len")), strict=True)))
+        flow = tuple(self.flow.get()) if self.flow.exists() else None
+        if self.timer.exists():
+            first = min(first, (self.timer.get()[0] - 1) * 1000)  # packets that wait already are not looked at
+        self._wake(first, flow)
+        yield pd.DataFrame([], columns=FLOW_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out = []
-        if self.flow.exists():
-            out.append(self._row(key[0], list(self.flow.get())))
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        self.timer.clear()
+        waiting = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        flow, done = (tuple(self.flow.get()) if self.flow.exists() else None), []
+        k = 0
+        while k < len(waiting) and waiting[k][0] < passed:
+            ts, _, size = waiting[k]
+            if flow and (ts - flow[1] > self.idle or ts - flow[0] > self.active):
+                done.append((key[0], *flow))
+                flow = None
+            flow = (flow[0], ts, flow[2] + 1, flow[3] + size) if flow else (ts, ts, 1, size)
+            k += 1
+        if flow and min(flow[1] + self.idle, flow[0] + self.active) < passed:
+            done.append((key[0], *flow))
+            flow = None
+        rest = waiting[k:]
+        if k:
+            self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+        if flow:
+            self.flow.update(flow)
+        elif self.flow.exists():
             self.flow.clear()
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FLOW.split(", ")])
+        self._wake(rest[0][0] if rest else None, flow)
+        yield pd.DataFrame(done, columns=FLOW_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
 def assembled_flows(packets: DataFrame, idle_us: int, active_us: int, late: str = "10 minutes") -> DataFrame:
-    """Flows by idle and active timeouts, handed out as they end; needs the RocksDB state store.
+    """Flows by idle and active timeouts in order of (time, frame), handed out as they end; needs the RocksDB state store.
 
-    Rows later than the watermark are dropped, earlier ones are taken in order of time within each batch.
+    How the packets were cut into batches makes no difference, as long as none is later than the watermark; Spark drops
+    those that are and counts them in the query's progress.
     """
     p = packets.withColumn("key", text_key()).withWatermark("ts", late).select("key", "ts", "ts_us", "frame_no", F.col("wire_len").cast("bigint"))
     return p.groupBy("key").transformWithStateInPandas(statefulProcessor=OpenFlows(idle_us, active_us), outputStructType=FLOW, outputMode="Append", timeMode="EventTime")

@@ -1,5 +1,6 @@
 """Flow operators on hand-made rows: assembly, contract, alignment, labels, keys, addresses, statistics."""
 
+import random
 import struct
 
 import pytest
@@ -227,20 +228,97 @@ def test_log_adapters(spark, tmp_path):
     assert len(a) == 1 and (a[0].t_end, a[0].duration) == (12.0, 2.0)
 
 
-def test_stateful_stream_splits_like_the_batch(spark, tmp_path):
+def streamed(spark, tmp_path, name, rows, files, idle, active, late):
+    """Flows of packets that come in that many files, a file a batch, the last packet in the last file."""
     from millrace.streaming import flows as st
 
-    times = [0, 50, 100, 400, 1000, 1001, 9000]
+    folder = tmp_path / name
+    for i in range(files):
+        spark.createDataFrame(rows[:-1][i::files] + (rows[-1:] if i == files - 1 else []), PACKET).coalesce(1).write.mode("append").parquet(str(folder))
+    s = spark.readStream.schema(spark.read.parquet(str(folder)).schema).option("maxFilesPerTrigger", 1).parquet(str(folder)).withColumn("ts", F.timestamp_micros("ts_us"))
+    q = st.assembled_flows(s, idle * US, active * US, late).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}_state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return sorted((r.key, r.t_start_us, r.t_end_us, r.n_pkts, r.n_bytes) for r in spark.table(name).collect())
+
+
+def test_stream_gives_equal_flows_however_batches_are_cut(spark, tmp_path):
     base = 1_700_000_000  # a packet at time 0 would be late from the start
+    made = random.Random(4)
+    times = [0, 50, 100, 400, 1000, 1001, 1090, 1000 + 200, 100 + 1000, 150 + 1000, 205 + 1000] + [made.uniform(1300, 4000) for _ in range(60)]
+    rows = [("c", i, int((base + t) * US), "1.1.1.1", 1 + i % 2, "2.2.2.2", 2, 6, 60 + i, 0) for i, t in enumerate(times)]
+    rows.append(("c", 999, (base + 90_000) * US, "1.1.1.1", 9, "2.2.2.2", 2, 6, 60, 0))  # takes the watermark past all others
+    got = [streamed(spark, tmp_path, f"cut{files}", rows, files, 120, 800, "20 hours") for files in (1, 2, 5)]
+    assert got[0] == got[1] == got[2]
+    want = []
+    for port in (1, 2):
+        flow = None
+        for _, t, frame, size in sorted((r[4], r[2], r[1], r[8]) for r in rows if r[4] == port):
+            if flow and t - flow[1] <= 120 * US and t - flow[0] <= 800 * US:
+                flow = [flow[0], t, flow[2] + 1, flow[3] + size]
+            else:
+                want += [flow] if flow else []
+                flow = [t, t, 1, size]
+        want.append(flow)
+    closed = [f for f in want if min(f[1] + 120 * US, f[0] + 800 * US) < (base + 90_000 - 72_000) * US]
+    assert len(closed) == len(want) and sorted(g[1:] for g in got[0]) == sorted(map(tuple, want))
+
+
+def test_stream_of_ordered_packets_equals_the_batch(spark, tmp_path):
+    base = 1_700_000_000
+    times = [0, 50, 100, 400, 1000, 1001, 9000, 90_000]
     rows = [("c", i, (base + t) * US, "1.1.1.1", 1, "2.2.2.2", 2, 6, 60, 0) for i, t in enumerate(times)]
-    p = spark.createDataFrame(rows, PACKET)
-    p.coalesce(1).write.parquet(str(tmp_path / "in"))
-    s = spark.readStream.schema(p.schema).parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_micros("ts_us"))
-    q = st.assembled_flows(s, 120 * US, 80 * US, "0 seconds").writeStream.format("memory").queryName("made").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = sorted((r.t_start_us // US - base, r.n_pkts) for r in spark.table("made").collect())
-    want = sorted((f.t_start_us // US - base, f.n_pkts) for f in se.assemble(p, 120 * US, 80 * US).collect())
-    assert [x for x in want if x in got] == got and len(got) >= len(want) - 1  # the last flow may still be open
+    got = [(g[1] // US - base, g[3]) for g in streamed(spark, tmp_path, "ordered", rows, 1, 120, 80, "0 seconds")]
+    want = sorted((f.t_start_us // US - base, f.n_pkts) for f in se.assemble(spark.createDataFrame(rows, PACKET), 120 * US, 80 * US).collect())
+    assert got == want[:-1]  # the last packet's flow stays open
+
+
+def plain_segments(packets, idle, active):
+    """(frame, session, segment) of one key's (frame, time) rows, one after the other."""
+    out, session, segment, start, last = [], 0, 0, None, None
+    for frame, t in sorted(packets):
+        if last is not None and t - last > idle:
+            session, segment, start = session + 1, 0, t
+        elif start is not None and t - start > active:
+            segment, start = segment + 1, t
+        start = t if start is None else start
+        out.append((frame, session, segment))
+        last = t
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sessions_and_segments_over_ranges(spark, seed):
+    """Keys that reach over many ranges, times out of order, ties and null addresses."""
+    r = random.Random(seed)
+    rows, want = [], []
+    for host in (None, "1.1.1.1", "3.3.3.3"):
+        t, own = 0, []
+        for i in range(r.choice([300, 900])):
+            t += r.choice([0, 1, 3, 9, 40]) * US
+            own.append((i, t + r.choice([0, 0, 0, -15, 30]) * US))
+        rows += [("c", f, x, host, 5, "9.9.9.9", 7, 6, 60, 0) for f, x in own]
+        want += [(host, *x) for x in plain_segments(own, 35 * US, 100 * US)]
+    out = se.segmented(spark.createDataFrame(r.sample(rows, len(rows)), PACKET), 35 * US, 100 * US)
+    got = [(x.src_ip, x.frame_no, x.session, x.segment) for x in out.collect()]
+    key = lambda x: (x[0] or "", *x[1:])
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert out.groupBy("src_ip").agg(F.count_distinct("_part").alias("n")).where("n > 1").count() >= 1
+
+
+def test_one_key_of_a_million_packets(spark):
+    """No array a session, no task with the whole key: a keep-alive every second for eleven days."""
+    n, parts = 1_000_000, spark.conf.get("spark.sql.shuffle.partitions")
+    p = spark.range(n).select(F.lit("c").alias("capture"), F.col("id").alias("frame_no"), (F.col("id") * US).alias("ts_us"), F.lit("1.1.1.1").alias("src_ip"), F.lit(1).alias("src_port"), F.lit("2.2.2.2").alias("dst_ip"), F.lit(2).alias("dst_port"), F.lit(6).alias("proto"), F.lit(60).alias("wire_len"), F.lit(0).alias("tcp_flags"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        flows = se.assemble(p, 120 * US, 1800 * US, 3)
+        plan = flows._jdf.queryExecution().executedPlan().toString()
+        rows = flows.orderBy("segment").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert plan.count("collect_list") <= 4  # of the three packets of a sequence alone
+    assert [(f.t_start_us // US, f.n_pkts) for f in rows] == [(1801 * k, min(1801, n - 1801 * k)) for k in range(-(-n // 1801))]
+    assert all(f.pkts_fwd == f.n_pkts and list(f.times) == [0.0, 1.0, 2.0] for f in rows)
 
 
 def test_exclusive_sources_read_every_frame(spark):
