@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from millrace.functions import flow as fn
 from millrace.operators import contract as ct
 from millrace.operators import labeling as lb
+from millrace.operators import rule_index as ri
+from millrace.operators.ranges import stored
 from millrace.plans.common import IDLE, SECOND, flows, flows_sql, packets, packets_sql, sessions_sql
 
 DAY0 = 1_704_067_200  # 2024-01-01 UTC
@@ -62,7 +64,25 @@ def _every_stage(spark, d):
     stage = F.when(F.col("event_type") == "error", "recon").when(F.col("event_type") == "click", "probe").when(F.col("event_type") != "view", "exfil").otherwise("BENIGN")
     client = F.when(F.col("src_port") == 443, F.col("dst_ip")).otherwise(F.col("src_ip"))
     day = (F.floor(F.col("ts_us") / (86_400 * SECOND)) % 4).cast("string")
-    return packets(spark, d).select(F.concat(F.lit("d"), day).alias("capture"), stage.alias("stage"), client.alias("src_ip"), F.lit("192.168.10.50").alias("dst_ip"), (F.col("frame_no") % 15).cast("int").alias("dst_port"), F.lit(6).alias("proto"), (F.col("ts_us") / 1e6).alias("t"))
+    return packets(spark, d).select(F.concat(F.lit("d"), day).alias("capture"), stage.alias("stage"), client.alias("src_ip"), F.lit("192.168.10.50").alias("dst_ip"), (F.col("frame_no") % 15).cast("int").alias("dst_port"), F.lit(6).alias("proto"), (F.col("ts_us") / 1e6).alias("t"), F.lit(1).alias("src_port"), F.col("frame_no"))
+
+
+def _by_derived_rules(spark, d):
+    """Rules derived from all stage events, put on the same events, which last ten seconds for each port number."""
+    e = _every_stage(spark, d)
+    rules = ri.numbered_rules(lb.derive_rules(e, gap=1800.0, pad=30.0))
+    rows = e.select("frame_no", "capture", "stage", "src_ip", "src_port", "dst_ip", "dst_port", "proto", F.col("t").alias("t_start"), (F.col("t") + 10 * F.col("dst_port")).alias("t_end"))
+    return ri.label_by_table(stored(rows), rules, "frame_no", "capture")
+
+
+def rule_label_many(spark, d):
+    return _by_derived_rules(spark, d).select("frame_no", "label", "binary_label", "label_confidence", "n_rule_matches")
+
+
+def fidelity_derived(spark, d):
+    """What the derived rules give on the events that they were made from."""
+    out = lb.fidelity(_by_derived_rules(spark, d))
+    return out.select("stage", "tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 def exclusive_sources_all(spark, d):
@@ -173,10 +193,30 @@ _ST = f"""{packets_sql()}, st AS (
     client AS src_ip, frame_no % 15 AS dst_port, ts_us / 1e6 AS t, frame_no FROM pk)"""
 _SOLE = "sensor AS (SELECT * EXCLUDE (capture), capture || 's' || (frame_no % 40) AS capture FROM st), sole AS (SELECT DISTINCT capture, src_ip FROM sensor WHERE stage <> 'BENIGN' EXCEPT SELECT capture, src_ip FROM sensor WHERE stage = 'BENIGN')"
 _ALL = f"""{packets_sql()}, every AS (
-  SELECT 'd' || ((ts_us // {86_400 * SECOND}) % 4) AS capture, CASE event_type WHEN 'error' THEN 'recon' WHEN 'click' THEN 'probe' WHEN 'view' THEN 'BENIGN' ELSE 'exfil' END AS stage, client AS src_ip, frame_no % 15 AS dst_port, ts_us / 1e6 AS t FROM pk
+  SELECT 'd' || ((ts_us // {86_400 * SECOND}) % 4) AS capture, CASE event_type WHEN 'error' THEN 'recon' WHEN 'click' THEN 'probe' WHEN 'view' THEN 'BENIGN' ELSE 'exfil' END AS stage, client AS src_ip, frame_no % 15 AS dst_port, ts_us / 1e6 AS t, frame_no FROM pk
 ), sole AS (SELECT DISTINCT capture, src_ip FROM every WHERE stage <> 'BENIGN' EXCEPT SELECT capture, src_ip FROM every WHERE stage = 'BENIGN')"""
+_MANY = f"""{_ALL}, a AS (SELECT every.* FROM every JOIN sole USING (capture, src_ip) WHERE stage <> 'BENIGN'
+), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY capture, stage ORDER BY t) > 1800.0 THEN 1 ELSE 0 END AS new FROM a
+), r AS (SELECT *, sum(new) OVER (PARTITION BY capture, stage ORDER BY t) AS window_no FROM g
+), rules AS (
+  SELECT capture, stage AS label, row_number() OVER (ORDER BY capture, stage, window_no) AS rule_no, min(t) - 30.0 AS r_start, max(t) + 30.0 AS r_end, list(DISTINCT src_ip) AS attackers,
+    CASE WHEN count(DISTINCT dst_port) <= 12 THEN list(DISTINCT dst_port) ELSE [] END AS ports FROM r GROUP BY capture, stage, window_no
+), hits AS (
+  SELECT frame_no, rule_no, label, t >= r_start AND t + 10 * dst_port <= r_end AS inside FROM every JOIN rules USING (capture)
+  WHERE t <= r_end AND t + 10 * dst_port >= r_start AND list_contains(attackers, src_ip) AND (len(ports) = 0 OR list_contains(ports, dst_port))
+), first AS (SELECT frame_no, arg_min(label, rule_no) AS label, arg_min(inside, rule_no) AS inside, count(*) AS n FROM hits GROUP BY frame_no
+), many AS (
+  SELECT e.frame_no, e.stage, coalesce(f.label, 'BENIGN') AS label, CASE WHEN f.label IS NULL THEN 'BENIGN' ELSE 'ATTACK' END AS binary_label,
+    CASE WHEN f.label IS NULL THEN 'benign' WHEN f.inside THEN 'exact' ELSE 'window_edge' END AS label_confidence, coalesce(f.n, 0) AS n_rule_matches
+  FROM every e LEFT JOIN first f USING (frame_no))"""
+_FIDELITY = """b AS (SELECT t, p FROM p UNION ALL SELECT CASE WHEN t = 'BENIGN' THEN t ELSE 'ATTACK' END, CASE WHEN p = 'BENIGN' THEN p ELSE 'ATTACK' END FROM p
+), s AS (SELECT DISTINCT t AS stage FROM b WHERE t <> 'BENIGN' UNION SELECT DISTINCT p FROM b WHERE p <> 'BENIGN'
+), c AS (SELECT stage, count(*) FILTER (WHERE t = stage AND p = stage) AS tp, count(*) FILTER (WHERE t <> stage AND p = stage) AS fp, count(*) FILTER (WHERE t = stage AND p <> stage) AS fn FROM s JOIN b ON t = stage OR p = stage GROUP BY stage)
+SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM c"""
 
 QUERIES = {
+    "rule_label_many": (rule_label_many, f"WITH {_MANY} SELECT frame_no, label, binary_label, label_confidence, n_rule_matches FROM many"),
+    "fidelity_derived": (fidelity_derived, f"WITH {_MANY}, p AS (SELECT stage AS t, label AS p FROM many), {_FIDELITY}"),
     "rule_label": (rule_label, f"WITH {_L} SELECT row_id, label, binary_label, label_confidence, n_rule_matches FROM lab"),
     "class_distribution": (class_distribution, f"WITH {_L} SELECT label, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE label_confidence = '{k}') AS {k}" for k in ("exact", "window_edge", "benign", "projected")) + " FROM lab GROUP BY label"),
     "rule_label_counts": (rule_label_counts, f"WITH {_L} SELECT count(*) AS n, count(*) FILTER (WHERE binary_label = 'ATTACK') AS n_attack, count(*) FILTER (WHERE n_rule_matches > 1) AS n_multi FROM lab"),
@@ -201,11 +241,7 @@ SELECT capture, stage, window_no, min(t) - 30.0 AS t_start, max(t) + 30.0 AS t_e
 ), r AS (SELECT capture, stage, CAST(1 + sum(new) AS BIGINT) AS n_rules, count(*) AS n_ruled FROM g GROUP BY capture, stage
 ), s AS (SELECT capture, stage, count(*) AS n_attack FROM sensor WHERE stage <> 'BENIGN' GROUP BY capture, stage)
 SELECT capture, stage, n_attack, coalesce(n_rules, 0) AS n_rules, coalesce(n_ruled, 0) AS n_ruled, round(coalesce(n_ruled, 0) / n_attack, 6) AS share FROM s LEFT JOIN r USING (capture, stage)"""),
-    "fidelity": (fidelity, f"""WITH {_ST}, p AS (SELECT stage AS t, CASE WHEN frame_no % 5 = 0 THEN 'BENIGN' WHEN frame_no % 7 = 0 THEN 'exfil' ELSE stage END AS p FROM st
-), b AS (SELECT t, p FROM p UNION ALL SELECT CASE WHEN t = 'BENIGN' THEN t ELSE 'ATTACK' END, CASE WHEN p = 'BENIGN' THEN p ELSE 'ATTACK' END FROM p
-), s AS (SELECT DISTINCT t AS stage FROM b WHERE t <> 'BENIGN' UNION SELECT DISTINCT p FROM b WHERE p <> 'BENIGN'
-), c AS (SELECT stage, count(*) FILTER (WHERE t = stage AND p = stage) AS tp, count(*) FILTER (WHERE t <> stage AND p = stage) AS fp, count(*) FILTER (WHERE t = stage AND p <> stage) AS fn FROM s JOIN b ON t = stage OR p = stage GROUP BY stage)
-SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM c"""),
+    "fidelity": (fidelity, f"WITH {_ST}, p AS (SELECT stage AS t, CASE WHEN frame_no % 5 = 0 THEN 'BENIGN' WHEN frame_no % 7 = 0 THEN 'exfil' ELSE stage END AS p FROM st), {_FIDELITY}"),
     "clock_offset": (clock_offset, f"""WITH {_ST}, a AS (SELECT capture, min(t) AS t FROM st GROUP BY capture), h AS (SELECT (t - (t - 3 * 3600 - length(capture))) / 3600 AS h FROM a)
 SELECT round_even(avg(h), 0) AS offset_hours, round(max(h) - min(h), 6) AS spread, max(h) - min(h) < 0.05 AS steady FROM h"""),
     "stage_events": (stage_events, f"WITH {_ST} SELECT capture, count(*) AS n, min(t) AS first_t FROM st WHERE stage = 'recon' GROUP BY capture"),
