@@ -2,8 +2,8 @@
 
 Base spans of four kinds (email, ip, card, phone) come from patterns with a validity test and always stay. Further
 candidates come from looser patterns: an address spelt with "at" and "dot", a phone number without country code, a
-card number inside a longer run of digits or one that fails its checksum, and secrets (a fifth kind: a long value
-that is assigned to a name such as token, key or password). Five labelers vote on every candidate, base spans
+card number inside a longer run of digits or one that fails its checksum, and secrets (a fifth kind: a value of twelve
+signs or more that is assigned to a name such as token, key or password, or one in the shape of a known kind of key). Five labelers vote on every candidate, base spans
 included, with 1, -1 or 0: the pattern and its test, the layout of the span, a gazetteer (top-level domains, country
 codes, card issuers, private networks, shapes of keys), cue words before the span, and cue words against it.
 Expectation-maximisation estimates each labeler's reliability by kind from the counts of vote patterns, of which
@@ -36,15 +36,19 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-#: Looser patterns; lengths are bounded, so that a match costs little from any start.
-SPELT_EMAIL = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{2,40}(?: ?[\[({<] ?(?:at|@) ?[\])}>] ?| at |@)[a-z0-9-]{2,40}(?:(?: ?[\[({<] ?(?:dot|\.) ?[\])}>] ?| dot |\.)[a-z0-9-]{2,20}){1,4}(?![a-z])"
+#: Looser patterns: runs are possessive and open-ended, so a span reaches to the end of its value.
+SPELT_EMAIL = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{2,}+(?: ?[\[({<] ?(?:at|@) ?[\])}>] ?| at |@)[a-z0-9-]{2,}+(?:(?: ?[\[({<] ?(?:dot|\.) ?[\])}>] ?| dot |\.)[a-z0-9-]{2,}+)++"
 LOCAL_PHONE = r"(?<![0-9+(.-])(?:\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}|\(?0[0-9]{1,5}\)?[ ./-]?[0-9]{3,4}(?:[ .-]?[0-9]{2,4}){1,2}|00[1-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){3,5})(?![0-9.-])"
 INNER_CARD = r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{14,16})(?![0-9])"
-NAMED_SECRET = r"(?i)(?:api[_ -]?key|access[_ -]?key|secret|token|passw(?:or)?d|passwort|bearer|auth|key|pwd)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?[A-Za-z0-9_/+.=-]{12,200}"
-#: Cheap tests of whole texts: where one fails, its pattern has no match.
+NAMED_SECRET = r"(?i)(?:api[_ -]?key|access[_ -]?key|secret|token|passw(?:or)?d|passwort|bearer|auth|key|pwd)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?[A-Za-z0-9_/+.=-]{12,}+"
+#: Keys that their shape gives away without a name: fixed beginnings of common providers' keys, and signed web tokens.
+BARE_KEY = r"(?<![A-Za-z0-9_/+=-])(?:A(?:KI|SI)A[0-9A-Z]{16,}+|gh[pousr]_[A-Za-z0-9]{20,}+|glpat-[A-Za-z0-9_-]{16,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{30,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"
+#: Cheap tests of whole texts: each asks for a part of its pattern, so where one fails, its pattern has no match.
 GATES = {
-    EMAIL: "@", IP: r"[0-9]\.[0-9]", CARD: r"[0-9](?:[ -]?[0-9]){13}", PHONE: r"\+[0-9]", SPELT_EMAIL: r"(?i)[@ (\[{<](?:at|@)?[ )\]}>].{1,60}(?:dot|\.)",
+    EMAIL: "@", IP: r"[0-9]\.[0-9]", CARD: r"[0-9](?:[ -]?[0-9]){13}", PHONE: r"\+[0-9]",
+    SPELT_EMAIL: r"(?i)@|[\[({< ]at[ \])}>]{1,3}[a-z0-9-]{2,}+(?: dot |\.[a-z0-9-]| ?[\[({<])",
     LOCAL_PHONE: r"[0-9]{2}(?:[^0-9]{0,2}[0-9]){5}", INNER_CARD: r"[0-9](?:[ -]?[0-9]){13}", NAMED_SECRET: r"[:=][ ]{0,2}[\"']?[A-Za-z0-9_/+.=-]{12}",
+    BARE_KEY: r"A(?:KI|SI)A[0-9A-Z]|gh[pousr]_|glpat-|sk-[A-Za-z0-9_-]{20}|xox[abprs]-|AIza|eyJ[A-Za-z0-9_-]{8}",
 }
 
 #: Fixed values of the gazetteers and cue words: top-level domains, country calling codes.
@@ -132,7 +136,7 @@ def _candidate(kind: str, base: Column, passed: Column, s: Column, text: Column)
         "ip": (~hit.rlike(r"^(0|127|255)\."), hit.rlike(r"^(0|127|255)\.")),
         "card": (number.rlike(r"^(4|5[1-5]|2[2-7]|3[0-9]|6)"), number.rlike(r"^(0|1|7|8|9)")),
         "phone": (F.when(F.startswith(hit, F.lit("+")), number.rlike(f"^({'|'.join(COUNTRY_CODES.split())})")).otherwise(number.rlike(f"^(00({'|'.join(COUNTRY_CODES.split())})|0[1-9]|[2-9][0-9]{{2}}[2-9])")), number.rlike(r"^(0{3}|1{4}|123456)")),
-        "secret": (hit.rlike(r"[A-Fa-f0-9]{32,}|(AKIA|ghp_|sk-|xox)[A-Za-z0-9_-]{10,}|[A-Za-z0-9_/+=-]{24,}"), hit.rlike(r"(?i)(example|xxxx|your|changeme|placeholder)")),
+        "secret": (hit.rlike(r"[A-Fa-f0-9]{32,}|(AKIA|ASIA|gh[pousr]_|glpat-|sk-|xox|AIza|eyJ)[A-Za-z0-9_-]{10,}|[A-Za-z0-9_/+=-]{24,}"), hit.rlike(r"(?i)(example|xxxx|your|changeme|placeholder)")),
     }[kind]
     votes = {
         "by_pattern": F.when(base | passed, 1).otherwise(-1),
@@ -168,8 +172,8 @@ def candidates(text: Column) -> Column:
         if kind == "card":  # shorter runs of digits are no candidates at all
             found = F.filter(found, lambda s: F.length(digits(s["text"])).between(14, 19))
         parts.append(F.transform(found, _voted(kind, text, lambda hit, k=kind: base_ok(k, hit))))
-    own_test = {"email": lambda hit: ~F.contains(hit, F.lit("@")), "phone": lambda hit: F.length(digits(hit)).between(10, 15), "card": lambda hit: luhn_ok(digits(hit)), SECRET: lambda hit: hit.rlike(r"[:=][ \"']*[A-Za-z0-9_/+.=-]{16,}$")}
-    for kind, pattern in (("email", SPELT_EMAIL), ("phone", LOCAL_PHONE), ("card", INNER_CARD), (SECRET, NAMED_SECRET)):
+    own_test = {"email": lambda hit: hit.rlike(r"[\[({< ]"), "phone": lambda hit: F.length(digits(hit)).between(10, 15), "card": lambda hit: luhn_ok(digits(hit)), SECRET: lambda hit: hit.rlike(r"[:=][ \"']*[A-Za-z0-9_/+.=-]{16,}$") | ~hit.rlike("[:=]")}
+    for kind, pattern in (("email", SPELT_EMAIL), ("phone", LOCAL_PHONE), ("card", INNER_CARD), (SECRET, NAMED_SECRET), (SECRET, BARE_KEY)):
         parts.append(F.transform(matches(text, pattern), _voted(kind, text, no, own_test[kind])))
     return F.concat(*parts)
 
