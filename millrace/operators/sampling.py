@@ -9,10 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Hashes lie from 0 to this, exclusive.
+HASHES = 1 << 32
+
 
 def order_hash(id_col: str, seed: int) -> Column:
-    """An arithmetic hash of an id, the same in any SQL engine."""
-    return ((F.col(id_col) + seed) * 2654435761) % 4294967296
+    """A hash of an id of any type that any SQL engine can make: the first 32 bits of the MD5 of ``seed:id`` as text; null ids count as empty."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
 def ranked(df: DataFrame, by: list[str], id_col: str, seed: int, name: str = "rn") -> DataFrame:
@@ -27,7 +31,7 @@ def first_of_class(df: DataFrame, by: list[str], id_col: str, seed: int, quota:
     ranges; the ranges before a class's last one are in as a whole, and only rows of that one are numbered, so no task
     sorts a class.
     """
-    keyed = df.withColumn("_range", F.shiftright(order_hash(id_col, seed).cast("bigint"), 20))
+    keyed = df.withColumn("_range", F.shiftright(order_hash(id_col, seed), 20))
     counts = keyed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows"))
     so_far = counts.withColumn("_upto", F.sum("_rows").over(W.partitionBy(*by).orderBy("_range"))).withColumn("_n", F.sum("_rows").over(W.partitionBy(*by))).withColumn("_quota", quota)
     inside = F.max(F.when(F.col("_upto") <= F.col("_quota"), F.col("_range")))
@@ -64,7 +68,7 @@ def cap_rows(df: DataFrame, label: str, id_col: str, most: int, seed: int = 0) -
 
 def down_sample(df: DataFrame, label: str, value: str, share: float, id_col: str, seed: int = 0) -> DataFrame:
     """Keep a share of the rows of one class and all of the others."""
-    return df.where((F.col(label) != value) | (order_hash(id_col, seed) < int(share * 4294967296)))
+    return df.where((F.col(label) != value) | (order_hash(id_col, seed) < int(share * HASHES)))
 
 
 def class_caps(df: DataFrame, label: str, id_col: str, caps: Mapping[str, int], by: tuple[str, ...] = (), seed: int = 0) -> DataFrame:

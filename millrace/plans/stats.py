@@ -245,7 +245,12 @@ _E = "e AS (SELECT vec_id, label, vec_id % 2 AS half FROM embeddings)"
 
 
 def _h(seed: int, c: str = "vec_id") -> str:
-    return f"((({c} + {seed}) * 2654435761) % 4294967296), {c}"
+    """The order of sampling: the first 32 bits of the MD5 of seed and id, then the id."""
+    return f"{_bits(seed, c)}, {c}"
+
+
+def _bits(seed: int, c: str) -> str:
+    return f"CAST('0x' || substr(md5('{seed}:' || CAST({c} AS VARCHAR)), 1, 8) AS BIGINT)"
 
 
 _P = "pt AS (SELECT p_brand AS extractor, count(*) AS flows, CAST(sum(p_size) AS DOUBLE) AS wall_s, CAST(sum(p_size) AS DOUBLE) AS storage_mb, CAST(max(p_size) AS DOUBLE) AS memory_gb, round(avg(p_retailprice), 2) AS quality FROM part GROUP BY 1)"
@@ -276,7 +281,7 @@ SELECT lang, round(sum(pos / nullif(ap, 0) * tp / k), 9) AS average_precision, r
     "class_cap": (class_cap, f"WITH {_E}, r AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, half, row_number() OVER (PARTITION BY half, label ORDER BY {_h(0)}) AS rn FROM e) SELECT vec_id, label, half FROM r WHERE (label <> '0' OR rn <= 5) AND (label <> '3' OR rn <= 7)"),
     "proportional_cap": (proportional_cap, f"WITH {_E}, n AS (SELECT label, count(*) AS n FROM e GROUP BY label), q AS (SELECT label, CASE WHEN (SELECT sum(n) FROM n) <= 60 THEN n ELSE greatest(1, floor(n * 60 / (SELECT sum(n) FROM n))) END AS quota FROM n), r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {_h(0)}) AS rn FROM e) SELECT vec_id, label FROM r JOIN q USING (label) WHERE rn <= quota"),
     "k_shot": (k_shot, f"WITH {_E}, r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {_h(5002)}) AS rn FROM e) SELECT vec_id, label FROM r WHERE rn <= 5"),
-    "down_sample": (down_sample, f"WITH {_E} SELECT vec_id, CAST(label AS VARCHAR) AS label FROM e WHERE label <> 0 OR (vec_id * 2654435761) % 4294967296 < 1073741824"),
+    "down_sample": (down_sample, f"WITH {_E} SELECT vec_id, CAST(label AS VARCHAR) AS label FROM e WHERE label <> 0 OR {_bits(0, 'vec_id')} < 1073741824"),
     "uniform_cap": (uniform_cap, f"SELECT o_orderkey, o_orderstatus FROM orders ORDER BY {_h(0, 'o_orderkey')} LIMIT 100"),
     "temporal_split": (temporal_split, "SELECT CASE o_orderstatus WHEN 'O' THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY 1"),
     "aligned_pick": (aligned_pick, f"WITH {_E}, r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {_h(0)}) AS rn FROM e WHERE vec_id % 6 = 0) SELECT vec_id, label, v.view FROM r, (VALUES ('even'), ('third')) v(view) WHERE rn <= 4"),

@@ -1,5 +1,6 @@
 """Models and novelty scores against plain numpy versions."""
 
+import hashlib
 import math
 from itertools import product
 
@@ -172,7 +173,7 @@ def test_samples_equal_plain_ranks(spark, seed):
     df = spark.createDataFrame(rows, "id long, label string, half int")
 
     def order(i):
-        return ((i + seed) * 2654435761) % 4294967296, i
+        return int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:8], 16), i
 
     def ranks(keys):
         by = {}
@@ -188,3 +189,21 @@ def test_samples_equal_plain_ranks(spark, seed):
     assert {r.id for r in sa.cap_rows(df, "label", "id", 100, seed).collect()} == want
     want = {i for k, ids in ranks([2, 1]).items() for i in (ids[:30] if k[1] == "a" else ids[:7] if k[1] == "b" else ids)}
     assert {r.id for r in sa.class_caps(df, "label", "id", {"a": 30, "b": 7}, ("half",), seed).collect()} == want
+
+
+@pytest.mark.parametrize("kind", ["large", "negative", "text", "generated"])
+def test_samples_of_any_id(spark, kind):
+    """W6, X2 to X8 on ids beyond 32 bits, below zero and of text: right shares, the same rows in any partitioning."""
+    n = 2000
+    base = spark.range(n).select({"large": F.lit(10**12) + F.col("id"), "negative": -5 - F.col("id"), "text": F.concat(F.lit("flow-"), F.col("id").cast("string")), "generated": F.monotonically_increasing_id() + 2**40}[kind].alias("id"), F.when(F.col("id") % 4 == 0, "rare").otherwise("often").alias("label"))
+    df = spark.createDataFrame(base.collect(), base.schema)
+    split = sa.stratified_split(df, "label", "id").groupBy("label", "split").count().collect()
+    assert {(r.label, r.split): r["count"] for r in split} == {("rare", "train"): 350, ("rare", "test"): 150, ("often", "train"): 1050, ("often", "test"): 450}
+    kept = sa.down_sample(df, "label", "often", 0.1, "id").groupBy("label").count().collect()
+    kept = {r.label: r["count"] for r in kept}
+    assert kept["rare"] == 500 and 110 <= kept["often"] <= 190
+    assert sa.cap_rows(df, "label", "id", 200).count() == 200 and sa.uniform_cap(df, "id", 30).count() == 30
+    assert sa.class_caps(df, "label", "id", {"often": 9}).count() == 509 and sa.k_shot(df, "label", "id", 5).count() == 10
+    picked = sa.aligned_pick({"a": df, "b": df.repartition(5)}, "label", "id", 3)
+    assert sorted(map(tuple, picked["a"].collect())) == sorted(map(tuple, picked["b"].collect())) and picked["a"].count() == 6
+    assert {r.id for r in sa.k_shot(df.repartition(7), "label", "id", 5).collect()} == {r.id for r in sa.k_shot(df, "label", "id", 5).collect()}
