@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -15,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators import evaluation as ev
+from millrace.operators import neighbours as nb
+from millrace.operators.ranges import stored
 
 
 def classifier(kind: str, n_features: int, n_classes: int, seed: int = 0, **more):
@@ -100,66 +104,86 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def packed(df: DataFrame, block_rows: int, name: str, *columns: Column) -> tuple[DataFrame, int]:
-    """(block, rows): the table dealt to blocks of about ``block_rows`` rows, each one row; and how many blocks there are."""
-    n = max(1, -(-df.count() // block_rows))
-    row = F.struct(*columns)
-    return df.groupBy(F.pmod(F.xxhash64(row), F.lit(n)).alias(name)).agg(F.collect_list(row).alias(f"{name}_rows")), n
+def knn_score(queries: DataFrame, reference: DataFrame, k: int = 5, block_rows: int = nb.BLOCK_ROWS, id_col: str = "vec_id", vector: str = "embedding", approximate: bool = False) -> DataFrame:
+    """Mean distance to the k nearest reference vectors; null where there is no reference.
 
-
-def knn_score(queries: DataFrame, reference: DataFrame, k: int = 5, block_rows: int = 2_000, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Mean distance to the k nearest reference vectors, exact; null where there is no reference.
-
-    Both sides are dealt to blocks; every query block meets every reference block in a task of its own, which keeps
-    the k smallest distances of each query, and these are merged by id. Repeated ids count as one query.
+    Exact by the index of ``neighbours``; ``approximate`` takes the nearest among rows that share a hash bucket. Rows
+    without a vector have no score and are no reference. Repeated ids count as one query.
     """
     v = F.col(vector).cast("array<double>").alias("v")
-    q, _ = packed(queries.dropDuplicates([id_col]), block_rows, "q", F.col(id_col).cast("bigint").alias("id"), v)
-    r, n = packed(reference, block_rows, "r", v)
-    pairs = q.withColumn("r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))).join(r, "r").select("q_rows", "r_rows")
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                mine, others = batch.column(0)[i].values, batch.column(1)[i].values
-                x, y = (a.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1) for a in (mine, others))
-                rough = (y * y).sum(axis=1) - 2 * x @ y.T
-                m = min(k, len(y))
-                at = np.argpartition(rough, m - 1, axis=1)[:, :m]
-                d = np.sqrt(((x[:, None, :] - y[at]) ** 2).sum(axis=2))
-                yield pa.RecordBatch.from_arrays([mine.field("id"), pa.array(list(np.sort(d, axis=1)), pa.list_(pa.float64()))], names=[id_col, "_d"])
-
-    best = pairs.mapInArrow(near, f"{id_col} bigint, _d array<double>")
-    merged = best.groupBy(id_col).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_d"))), 1, k).alias("_d"))
-    scored = merged.select(id_col, (F.aggregate("_d", F.lit(0.0), lambda a, x: a + x) / F.size("_d")).alias("score"))
-    return queries.select(F.col(id_col).cast("bigint").alias(id_col)).distinct().join(scored, id_col, "left")
+    q = queries.dropDuplicates([id_col]).select(F.col(id_col).cast("bigint").alias("id"), v).where("v is not null")
+    r = reference.select(v).where("v is not null")
+    ids = queries.select(F.col(id_col).cast("bigint").alias(id_col)).distinct()
+    if r.isEmpty():
+        return ids.withColumn("score", F.lit(None).cast("double"))
+    near = nb.nearest_by_hashing(q, r, k) if approximate else nb.nearest(q, r, k, block_rows)[0]
+    scored = near.select(F.col("id").alias(id_col), (F.aggregate("near", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("near"), F.lit(0))).alias("score"))
+    return ids.join(scored, id_col, "left")
+
+
+@dataclass
+class Moments:
+    """Rows, mean, scatter matrix about the mean; two of them merge into that of all their rows."""
+
+    n: int
+    mean: np.ndarray
+    scatter: np.ndarray
+
+    @staticmethod
+    def of(v: np.ndarray) -> "Moments":
+        mean = v.mean(axis=0)
+        return Moments(len(v), mean, (v - mean).T @ (v - mean))
+
+    def merged(self, other: "Moments") -> "Moments":
+        n, apart = self.n + other.n, other.mean - self.mean
+        return Moments(n, self.mean + apart * (other.n / n), self.scatter + other.scatter + np.outer(apart, apart) * (self.n * other.n / n))
+
+
+#: States that one task merges in a round.
+MERGED = 8
 
 
 def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray, float]:
-    """Rows, mean, scatter matrix about the mean and the sum of fourth powers of centred lengths, of bounded vectors.
+    """Rows, mean, scatter matrix about the mean and the sum of fourth powers of centred lengths.
 
-    Every partition gives one row of sums, so what comes together doesn't grow with the rows.
+    Every partition gives a state of its rows about their own mean, so far-off means cost no digits; states are merged in
+    tasks, ``MERGED`` at a time, until one is left, which goes to the driver. Rows without a vector don't count.
     """
+    kind = "part long, n long, mean array<double>, scatter array<double>"
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s, g = 0, None, None
+    def row(m: Moments, part: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([m.n]), pa.array([m.mean.tolist()]), pa.array([m.scatter.ravel().tolist()])], names=["part", "n", "mean", "scatter"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            v = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            n, s, g = n + len(v), v.sum(axis=0) + (0 if s is None else s), v.T @ v + (0 if g is None else g)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()]), pa.array([g.ravel().tolist()])], names=["n", "s", "g"])
-
-    x = df.select(F.col(vector).cast("array<double>"))
-    parts = x.mapInArrow(sums, "n bigint, s array<double>, g array<double>").collect()  # one row for each partition
-    n = sum(p["n"] for p in parts)
-    mean = np.sum([p["s"] for p in parts], axis=0) / n
-    d = len(mean)
-    scatter = np.sum([p["g"] for p in parts], axis=0).reshape(d, d) - n * np.outer(mean, mean)
+            if b.num_rows:
+                m = Moments.of(b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+                whole = whole.merged(m) if whole else m
+        if whole:
+            yield row(whole, TaskContext.get().partitionId())
+
+    def merge(states: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, part = None, 0
+        for b in states:
+            for i in range(b.num_rows):
+                mean = b.column(2)[i].values.to_numpy()
+                m = Moments(b.column(1)[i].as_py(), mean, b.column(3)[i].values.to_numpy().reshape(len(mean), -1))
+                whole, part = whole.merged(m) if whole else m, b.column(0)[i].as_py() // MERGED
+        if whole:
+            yield row(whole, part)
+
+    x = df.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    states = stored(x.mapInArrow(own, kind))
+    left = (states.agg(F.max("part")).first()[0] or 0) + 1
+    while left > 1:
+        left = -(-left // MERGED)
+        states = stored(states.groupBy(F.floor(F.col("part") / MERGED).alias("to")).applyInArrow(lambda t: pa.Table.from_batches(merge(iter(t.sort_by("part").to_batches()))), kind))
+    (one,) = states.collect()  # a single state
+    mean = np.array(one["mean"])
     centre = F.array(*[F.lit(float(m)) for m in mean])
-    fourth = x.select(squared_distance(F.col(x.columns[0]), centre).alias("q")).agg(F.sum(F.col("q") * F.col("q"))).first()[0]
-    return n, mean, scatter, float(fourth)
+    fourth = x.select(squared_distance(F.col("v"), centre).alias("q")).agg(F.sum(F.col("q") * F.col("q"))).first()[0]
+    return one["n"], mean, np.array(one["scatter"]).reshape(len(mean), -1), float(fourth)
 
 
 def mahalanobis(df: DataFrame, train: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:

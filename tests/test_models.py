@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import models as mo
+from millrace.operators import neighbours as nb
+from millrace.operators import preprocessing as pp
 from millrace.operators import sampling as sa
 
 VECTORS = "vec_id long, embedding array<double>, label string"
@@ -207,3 +209,135 @@ def test_samples_of_any_id(spark, kind):
     picked = sa.aligned_pick({"a": df, "b": df.repartition(5)}, "label", "id", 3)
     assert sorted(map(tuple, picked["a"].collect())) == sorted(map(tuple, picked["b"].collect())) and picked["a"].count() == 6
     assert {r.id for r in sa.k_shot(df.repartition(7), "label", "id", 5).collect()} == {r.id for r in sa.k_shot(df, "label", "id", 5).collect()}
+
+
+def clustered(n, d, seed, centres=12, apart=40.0):
+    """Rows around far centres, one of which has a third of all, and copies of single rows."""
+    r = np.random.default_rng(seed)
+    at = r.normal(size=(centres, d)) * apart
+    x = at[np.where(r.random(n) < 0.33, 0, r.integers(0, centres, n))] + r.normal(size=(n, d))
+    x[: n // 10] = x[0]
+    return x
+
+
+def vectors_of(spark, x, first=0):
+    return spark.createDataFrame([(first + i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>")
+
+
+@pytest.mark.parametrize(("n", "block", "k", "most"), [(1500, 50, 5, 0.35), (40, 7, 3, 1.1), (3, 2, 5, 1.1)])
+def test_metric_index_is_exact_and_visits_few_blocks(spark, n, block, k, most):
+    x, q = clustered(n, 8, 1), clustered(90, 8, 1)[::-1] + 0.1
+    near, compared = nb.nearest(vectors_of(spark, q), vectors_of(spark, x), k, block_rows=block)
+    got = {r["id"]: r["near"] for r in near.collect()}
+    for i, row in enumerate(q):
+        assert got[i] == pytest.approx(np.sort(np.sqrt(((x - row) ** 2).sum(axis=1)))[:k].tolist(), rel=1e-9, abs=1e-9)
+    share = sum(r["compared"] for r in compared.collect()) / (len(q) * n)
+    assert share <= most, share
+
+
+def test_metric_index_without_structure_is_still_exact(spark):
+    r = np.random.default_rng(5)
+    x, q = r.normal(size=(700, 30)) + 1000, r.normal(size=(40, 30)) + 1000
+    near, _ = nb.nearest(vectors_of(spark, q), vectors_of(spark, x), 4, block_rows=60)
+    for row in near.collect():
+        assert row["near"] == pytest.approx(np.sort(np.sqrt(((x - q[row["id"]]) ** 2).sum(axis=1)))[:4].tolist(), rel=1e-9)
+
+
+def test_neighbours_by_hashing_reach_their_recall(spark):
+    x, q = clustered(1200, 8, 2), clustered(60, 8, 2)[::-1] + 0.05
+    got = {r["id"]: r["near"] for r in nb.nearest_by_hashing(vectors_of(spark, q), vectors_of(spark, x), 5).collect()}
+    hits = total = 0
+    for i, row in enumerate(q):
+        want = np.sort(np.sqrt(((x - row) ** 2).sum(axis=1)))[:5]
+        hits += sum(any(abs(w - g) < 1e-9 for g in (got[i] or [])) for w in want)
+        total += 5
+    assert hits / total >= 0.9, hits / total
+    scores = mo.knn_score(vectors_of(spark, q), vectors_of(spark, x), 5, id_col="id", vector="v", approximate=True)
+    assert scores.count() == 60 and scores.where("score is null").count() <= 6
+
+
+def test_moments_of_far_means_merge_without_loss(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(900, 4)) * [1, 2, 0.5, 3] + [1e6, -1e6, 3e6, 0]
+    df = spark.createDataFrame([(row.tolist(),) for row in x] + [(None,)], "v array<double>").repartition(23)
+    n, mean, scatter, fourth = mo.moments(df, "v")
+    centred = x - x.mean(axis=0)
+    assert n == 900 and mean == pytest.approx(x.mean(axis=0), rel=1e-12)
+    assert scatter == pytest.approx(centred.T @ centred, rel=1e-8, abs=1e-4)
+    assert fourth == pytest.approx(((centred**2).sum(axis=1) ** 2).sum(), rel=1e-8)
+    whole = mo.Moments.of(x[:1])
+    for row in x[1:]:
+        whole = whole.merged(mo.Moments.of(row[None, :]))
+    assert whole.scatter == pytest.approx(centred.T @ centred, rel=1e-8, abs=1e-4)
+
+
+def test_novelty_chain_equals_numpy(spark):
+    """The whole chain on the smallest table: split, standardise, components, both detectors, both areas."""
+    from millrace.plans import models
+
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").collect()
+    x, y, ids = np.array([r["embedding"] for r in rows], dtype=float), np.array([r["label"] for r in rows]), [r["vec_id"] for r in rows]
+    test = np.zeros(len(rows), bool)
+    for label in set(y):
+        mine = sorted(np.flatnonzero(y == label), key=lambda i: int(hashlib.md5(f"999:{ids[i]}".encode()).hexdigest()[:8], 16))
+        test[mine[len(mine) if len(mine) < 2 else math.floor(0.7 * len(mine) + 0.5) :]] = True
+    benign = (y == 0) & ~test
+    mean, std = x[benign].mean(axis=0), x[benign].std(axis=0)
+    z = (x - mean) / std
+    _, basis = np.linalg.eigh(z[benign].T @ z[benign])
+    z = z @ basis[:, ::-1][:, :32]
+    a, b = z[benign], z[test]
+    knn = np.sort(np.sqrt(((b[:, None, :] - a[None]) ** 2).sum(axis=2)), axis=1)[:, :5].mean(axis=1)
+    centred = a - a.mean(axis=0)
+    n, k = a.shape
+    cov = centred.T @ centred / n
+    mu = np.trace(cov) / k
+    delta = ((cov - mu * np.eye(k)) ** 2).sum() / k
+    beta = min(delta, sum(((np.outer(v, v) - cov) ** 2).sum() for v in centred) / n**2 / k)
+    inverse = np.linalg.inv((1 - beta / delta) * cov + beta / delta * mu * np.eye(k))
+    far = np.einsum("ij,jk,ik->i", b - a.mean(axis=0), inverse, b - a.mean(axis=0))
+    truth = y[test] != 0
+    for r in models.novelty_report(spark, d).collect():
+        score = {"knn": knn, "mahalanobis": far}[r["detector"]]
+        order = np.argsort(-score)
+        hit = truth[order]
+        precision = np.cumsum(hit) / np.arange(1, len(hit) + 1)
+        assert r["auc_pr"] == pytest.approx(precision[hit].mean(), abs=2e-5)
+        area = (score[truth][:, None] > score[~truth][None]).mean() + (score[truth][:, None] == score[~truth][None]).mean() / 2
+        assert r["auc_roc"] == pytest.approx(area, abs=2e-5)
+
+
+def test_quantile_clipper_is_a_stage(spark, tmp_path):
+    """Equal to ``preprocess``; in a pipeline, saved and loaded, copied with other parameters."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    from millrace.operators import features as fe
+
+    r = np.random.default_rng(3)
+    rows = [(i, float(a), None if i % 7 == 0 else float(b), float("nan") if i % 5 == 0 else 3.0, None, float(2 * a + i % 3)) for i, (a, b) in enumerate(r.lognormal(size=(200, 2)))]
+    df = spark.createDataFrame(rows, "id long, a double, `b.x` double, c double, none double, y double")
+    plain = df.withColumnRenamed("b.x", "b")
+    est = pp.QuantileClipper(inputCols=["a", "b", "c"], outputCols=["ca", "cb", "cc"], low=0.05, high=0.9, standardise=True)
+    model = est.fit(plain)
+    want = {x["id"]: x for x in fe.preprocess(plain, fe.preprocessing(plain, ["a", "b", "c"], 0.05, 0.9), ["id"]).collect()}
+    for x in model.transform(plain).collect():
+        assert (x["ca"], x["cb"], x["cc"]) == pytest.approx((want[x["id"]]["a"], want[x["id"]]["b"], want[x["id"]]["c"])) and x["a"] is not None
+    pipe = Pipeline(stages=[est, VectorAssembler(inputCols=["ca", "cb"], outputCol="features"), LinearRegression(labelCol="y")])
+    fitted = pipe.fit(plain)
+    fitted.write().overwrite().save(str(tmp_path / "model"))
+    pipe.write().overwrite().save(str(tmp_path / "pipe"))
+    again = PipelineModel.load(str(tmp_path / "model"))
+    assert [x["prediction"] for x in again.transform(plain).orderBy("id").collect()] == [x["prediction"] for x in fitted.transform(plain).orderBy("id").collect()]
+    assert Pipeline.load(str(tmp_path / "pipe")).getStages()[0].getOrDefault("low") == 0.05
+    clip = pp.QuantileClipper(inputCols=["a", "none"])
+    assert clip.fit(df, {clip.low: 0.4, clip.high: 0.6}).transform(df).agg(F.count_distinct("a"), F.max("none")).first()[1] == 0.0
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().addGrid(est.high, [0.5, 0.99]).build(), evaluator=RegressionEvaluator(labelCol="y"), numFolds=2, seed=1)
+    best = cv.fit(plain)
+    assert len(best.avgMetrics) == 2 and best.avgMetrics[1] < best.avgMetrics[0]
+    with pytest.raises(ValueError):
+        pp.QuantileClipper(inputCols=["a"], low=0.9, high=0.1).fit(plain)
