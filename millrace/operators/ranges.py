@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -55,18 +55,42 @@ def scanned(table: DataFrame, group: Sequence[str], order: Sequence[str], scans:
 
     Each range is scanned by itself and then takes over what the group's ranges before it give. Ranges are sorted, so only
     a group that reaches over a range's edge stands in two; what is carried is two rows a range at most, and broadcast.
+    ``table`` is read twice, so it should be a written one or cheap to make from one.
     """
     by = F.struct(*order) if len(order) > 1 else F.col(order[0])
     parts = table.groupBy(*group, "_part").agg(*[SCANS[k][1](c, by).alias(n) for n, (k, c) in scans.items()])
     before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     carried = parts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), F.count(F.lit(1)).over(before).alias("_k"), *[SCANS[k][2](F.col(n), before).alias(f"_carry_{n}") for n, (k, _) in scans.items()])
+    here = W.partitionBy(*group, "_part").orderBy(*order)
+    own = table.withColumns({n: SCANS[k][0](c, here) for n, (k, c) in scans.items()})
+    joined = _beside(own, carried.where("_k > 0"), group)
+    return joined.withColumns({n: SCANS[k][3](F.col(n), F.col(f"_carry_{n}")) for n, (k, _) in scans.items()}).drop("_k", *[f"_carry_{n}" for n in scans])
+
+
+def _beside(rows: DataFrame, carried: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``rows`` beside what is carried into their group and range (``_g0``, ..., ``_p``), if anything."""
     on: Column = F.col("_part") == F.col("_p")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return rows.join(F.broadcast(carried), on, "left").drop("_p", *[f"_g{i}" for i in range(len(group))])
+
+
+def numbered_runs(table: DataFrame, group: Sequence[str], order: Sequence[str], value: str, breaks: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """``table`` (from ``dealt``) with ``name``: from 0 on in each group, one more wherever ``breaks(value before, value)`` holds.
+
+    Each range is numbered by itself and written; a group's later ranges add the numbers begun before them, and one if the
+    break falls on their edge.
+    """
     here = W.partitionBy(*group, "_part").orderBy(*order)
-    own = table.withColumns({n: SCANS[k][0](c, here) for n, (k, c) in scans.items()})
-    joined = own.join(F.broadcast(carried.where("_k > 0")), on, "left")
-    return joined.withColumns({n: SCANS[k][3](F.col(n), F.col(f"_carry_{n}")) for n, (k, _) in scans.items()}).drop("_p", "_k", *[f"_g{i}" for i in range(len(group))], *[f"_carry_{n}" for n in scans])
+    new = F.when(breaks(F.lag(value).over(here), F.col(value)), 1).otherwise(0).cast("long")
+    own = stored(table.withColumn("_new", new).withColumn(name, F.sum("_new").over(here.rowsBetween(W.unboundedPreceding, 0))).drop("_new"))
+    by = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    parts = own.groupBy(*group, "_part").agg(F.min_by(value, by).alias("_first"), F.max_by(value, by).alias("_last"), F.max(name).alias("_begun"))
+    up = W.partitionBy(*group).orderBy("_part")
+    edges = parts.withColumn("_edge", F.when(breaks(F.lag("_last").over(up), F.col("_first")), 1).otherwise(0)).withColumn("_at", F.row_number().over(up))
+    offset = F.sum("_edge").over(up.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce(F.sum("_begun").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    carried = edges.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), offset.alias("_offset"), "_at").where("_at > 1").drop("_at")
+    return _beside(own, carried, group).withColumn(name, F.col(name) + F.coalesce("_offset", F.lit(0))).drop("_offset")
 
 
 def running_sums(rows: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.flow import FLAGS, endpoint_key
-from millrace.operators.ranges import dealt, running_sums, scanned, stored
+from millrace.operators.ranges import dealt, numbered_runs, running_sums, scanned, stored
 
 KEY = ("capture", "key")
 #: The bytes kept of each packet of a sequence.
@@ -26,10 +26,7 @@ def idle_sessions(packets: DataFrame, idle_us: int, keys: Sequence[str] = KEY, t
     Packets are sorted into ranges, and a range takes over the last time and the number of gaps of the key's ranges
     before it, so a key may have any number of packets. ``ranges`` keeps the number of the range, ``_part``.
     """
-    table = _in_ranges(packets, keys, order)
-    timed = scanned(table, keys, [order], {"_before": ("previous", F.col(time))})
-    new = F.when(F.col(time) - F.col("_before") > idle_us, 1).otherwise(0).cast("long")
-    out = scanned(timed.withColumn("_new", new), keys, [order], {"session": ("sum", F.col("_new"))}).drop("_before", "_new")
+    out = numbered_runs(_in_ranges(packets, keys, order), keys, [order], time, lambda before, now: now - before > idle_us, "session")
     return out if ranges else out.drop("_part")
 
 
@@ -72,7 +69,7 @@ def active_segments(packets: DataFrame, active_us: int, keys: Sequence[str] = (*
     A restart is later than all packets before it, so only such packets (records) of sessions longer than the timeout
     are looked at. No session is gathered anywhere.
     """
-    table = scanned(_in_ranges(packets, keys, order), keys, [order], {"_most": ("largest_before", F.col(time))})
+    table = stored(scanned(_in_ranges(packets, keys, order), keys, [order], {"_most": ("largest_before", F.col(time))}))
     fresh = F.col("_most").isNull() | (F.col(time) > F.col("_most"))
     whole = F.struct(*keys)  # nulls in a key equal each other within a struct
     long = table.groupBy(whole.alias("_key")).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi")).where(F.col("_hi") - F.col("_lo") > active_us).select("_key")
@@ -149,9 +146,7 @@ def number_flows(flows: DataFrame) -> DataFrame:
 
 def gap_windows(events: DataFrame, keys: Sequence[str], time: str, gap: float, pad: float = 0.0, clamp: bool = False) -> DataFrame:
     """Windows of a key's times without gaps over ``gap`` seconds, padded; ``clamp`` cuts at the start's UTC midnight."""
-    timed = scanned(dealt(events, [*keys, time]), keys, [time], {"_before": ("previous", F.col(time))})
-    new = F.when(F.col(time) - F.col("_before") > gap, 1).otherwise(0).cast("long")
-    runs = scanned(timed.withColumn("_new", new), keys, [time], {"window_no": ("sum", F.col("_new"))})
+    runs = numbered_runs(dealt(events, [*keys, time]), keys, [time], time, lambda before, now: now - before > gap, "window_no")
     out = runs.groupBy(*keys, "window_no").agg((F.min(time) - pad).alias("w_start"), (F.max(time) + pad).alias("w_end"), F.count(F.lit(1)).alias("n"))
     return out.withColumn("w_end", F.least("w_end", (F.floor(F.col("w_start") / 86400) + 1) * 86400 - 1)) if clamp else out
 
@@ -161,9 +156,7 @@ def bursts(packets: DataFrame, keys: Sequence[str], direction: str, order: str,
 
     Gives direction, bytes, packets and the gap in milliseconds to the burst before.
     """
-    table = scanned(_in_ranges(packets, keys, order), keys, [order], {"_before": ("previous", F.col(direction))})
-    turned = F.when(F.col(direction) != F.col("_before"), 1).otherwise(0).cast("long")
-    runs = scanned(table.withColumn("_turn", turned), keys, [order], {"_run": ("sum", F.col("_turn"))})
+    runs = numbered_runs(_in_ranges(packets, keys, order), keys, [order], direction, lambda before, now: before != now, "_run")
     placed = scanned(runs, [*keys, "_run"], [order], {"_at": ("sum", F.lit(1).cast("long"))})
     # The first bursts lie in the first runs, so a flow keeps a bounded number of packets for what follows.
     runs = placed.where((F.col("_run") < most_bursts) & (F.col("_at") <= most_bursts * most_packets)).drop("_part")
