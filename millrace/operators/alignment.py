@@ -103,7 +103,9 @@ def nearest(left: DataFrame, right: DataFrame, key: str, time: str, payload: lis
 
     Both sides are sorted together in ranges of key and time: the rows before and after a left row's time are the only
     ones in question, and a range takes the nearest ones of a key from the ranges around it, so a key is not one task.
+    A left row without time or key has no partner, and a right row without time or key is none.
     """
+    right = right.where(F.col(key).isNotNull() & F.col(time).isNotNull())
     row = F.struct(F.col(time).alias("t"), F.col("row_id").alias("id"), *[F.col(c) for c in payload])
     l = left.select(F.col(key), F.col(time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(row.alias("r")).schema["r"].dataType).alias("_r"), F.struct(*left.columns).alias("_l"))  # noqa: E741
     r = right.groupBy(key, F.col(time).alias("_t")).agg(F.min(row).alias("_r")).select(key, "_t", F.lit(0).alias("_side"), "_r", F.lit(None).cast(l.schema["_l"].dataType).alias("_l"))
@@ -116,7 +118,7 @@ def nearest(left: DataFrame, right: DataFrame, key: str, time: str, payload: lis
     found = with_part(both.withColumn("_before", before).withColumn("_after", after), around, [key])
     found = found.withColumn("_before", F.coalesce("_before", "_earlier")).withColumn("_after", F.coalesce("_after", "_later"))
     gap_b, gap_a = F.col("_t") - F.col("_before.t"), F.col("_after.t") - F.col("_t")
-    best = F.when(F.col("_before").isNull(), F.col("_after")).when(F.col("_after").isNull(), F.col("_before")).when((gap_b < gap_a) | ((gap_b == gap_a) & (F.col("_before.id") <= F.col("_after.id"))), F.col("_before")).otherwise(F.col("_after"))
+    best = F.when(F.col("_t").isNotNull(), F.when(F.col("_before").isNull(), F.col("_after")).when(F.col("_after").isNull(), F.col("_before")).when((gap_b < gap_a) | ((gap_b == gap_a) & (F.col("_before.id") <= F.col("_after.id"))), F.col("_before")).otherwise(F.col("_after")))
     return found.where("_side = 1").withColumn("_best", best).select("_l.*", F.col("_best.id").alias("near_id"), F.col("_best.t").alias("near_t"), *[F.col(f"_best.{c}").alias(f"near_{c}") for c in payload])
 
 

@@ -321,6 +321,22 @@ def test_one_key_of_a_million_packets(spark):
     assert all(f.pkts_fwd == f.n_pkts and list(f.times) == [0.0, 1.0, 2.0] for f in rows)
 
 
+def test_nearest_takes_no_row_without_time_or_key(spark):
+    left = spark.createDataFrame([(1, "k", 5.0), (2, "k", None), (3, None, 5.0), (4, "other", 5.0)], "row_id long, k string, t double")
+    right = spark.createDataFrame([(10, "k", None, "x"), (11, "k", 9.0, "y"), (12, None, 5.0, "z")], "row_id long, k string, t double, what string")
+    got = {r.row_id: (r.near_id, r.near_what) for r in al.nearest(left, right, "k", "t", ["what"]).collect()}
+    assert got == {1: (11, "y"), 2: (None, None), 3: (None, None), 4: (None, None)}
+    assert all(r.near_id is None for r in al.nearest(left, right.where("t is null"), "k", "t", ["what"]).collect())
+
+
+def test_directed_key(spark):
+    """The tuple as the initiator sees it, its reverse for the other side."""
+    row = spark.createDataFrame([("1.1.1.1", 5, "2.2.2.2", 80, 6, 1_700_000_000.25)], "src_ip string, src_port int, dst_ip string, dst_port int, proto int, t double")
+    assert tuple(row.select(fn.directed_key().alias("k")).first().k) == ("1.1.1.1", 5, "2.2.2.2", 80, 6)
+    back = row.toDF("dst_ip", "dst_port", "src_ip", "src_port", "proto", "t")
+    assert tuple(back.select(fn.directed_key().alias("k")).first().k) == ("2.2.2.2", 80, "1.1.1.1", 5, 6)
+
+
 def test_exclusive_sources_read_every_frame(spark):
     """A benign row in any frame, not only in every 40th, ends a source's exclusiveness."""
     from millrace.plans import labels
