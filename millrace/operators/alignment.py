@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.operators.ranges import dealt, with_part
+from millrace.operators.ranges import dealt, stored, with_part
 
 CATEGORIES = ("1:1", "split", "merge", "unmatched")
 #: No interval is dealt to more than about so many time bins.
@@ -89,13 +89,31 @@ def ordered_pairs(tools: DataFrame, name: str = "tool") -> DataFrame:
 
 
 def align_all(flows: DataFrame, bin_us: int | None = None) -> DataFrame:
-    """J2, J3 for all ordered pairs of tools in one job: flows (tool, key, row_id, start, end, label) with tool_b and category."""
-    pairs = ordered_pairs(flows)
-    left = flows.join(F.broadcast(pairs), flows["tool"] == pairs["tool_a"]).drop("tool")
-    right = flows.withColumnRenamed("tool", "tool_b").join(F.broadcast(pairs), "tool_b")
+    """J2, J3 for all ordered pairs of tools in one job: flows (tool, key, row_id, start, end, label) with tool_b and category.
+
+    Flows are dealt to bins once and meet in one self-join, each two tools in one order; both directions come from these
+    pairs. A flow's partners are counted for each other tool, and a flow with one partner looks up how many that one has.
+    Flows take their categories as one map, so they are shuffled once whatever the number of tools.
+    """
     bin_us = bin_us or bin_length(flows, flows.limit(0), "t_start_us", "t_end_us")
-    tie = ("tool_a", "tool_b")
-    return categories(left, overlap_pairs(left, right, bin_us=bin_us, tie=tie), tie)
+    span = F.sequence(F.floor(F.col("t_start_us") / bin_us), F.floor(F.col("t_end_us") / bin_us))
+    dealt_flows = flows.select("key", F.explode(span).alias("_bin"), F.struct(F.col("tool"), F.col("row_id").alias("id"), F.col("t_start_us").alias("s"), F.col("t_end_us").alias("e")).alias("f"))
+    a, b = (dealt_flows.select("key", "_bin", F.col("f").alias(side)) for side in ("a", "b"))
+    meets = (F.col("a.tool") < F.col("b.tool")) & (F.col("a.s") <= F.col("b.e")) & (F.col("b.s") <= F.col("a.e"))
+    first = F.col("_bin") == F.greatest(F.floor(F.col("a.s") / bin_us), F.floor(F.col("b.s") / bin_us))
+
+    def way(x: str, y: str) -> Column:
+        return F.struct(F.col(f"{x}.tool").alias("tool"), F.col(f"{x}.id").alias("row_id"), F.col(f"{y}.tool").alias("other"), F.col(f"{y}.id").alias("partner"))
+
+    both = a.join(b, ["key", "_bin"]).where(meets & first).select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("w")).select("w.*")
+    per = stored(both.groupBy("tool", "row_id", "other").agg(F.count(F.lit(1)).alias("n"), F.min("partner").alias("partner")))
+    backs = per.select(F.col("other").alias("tool"), F.col("row_id").alias("partner"), F.col("tool").alias("other"), F.col("n").alias("n_back"))
+    kinds = per.withColumn("partner", F.when(F.col("n") == 1, F.col("partner"))).join(backs, ["tool", "partner", "other"], "left")
+    kind = F.when(F.col("n") > 1, "split").when(F.col("n_back") == 1, "1:1").otherwise("merge")
+    maps = kinds.groupBy("tool", "row_id").agg(F.map_from_entries(F.collect_list(F.struct("other", kind.alias("kind")))).alias("_kinds"))  # an entry a tool
+    others = ordered_pairs(flows).groupBy(F.col("tool_a").alias("tool")).agg(F.collect_list("tool_b").alias("_others"))
+    out = flows.join(maps, ["tool", "row_id"], "left").join(F.broadcast(others), "tool").withColumn("tool_b", F.explode("_others"))
+    return out.withColumn("category", F.coalesce(F.try_element_at("_kinds", F.col("tool_b")), F.lit("unmatched"))).withColumnRenamed("tool", "tool_a").drop("_kinds", "_others")
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, time: str, payload: list[str]) -> DataFrame:

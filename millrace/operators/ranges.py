@@ -55,8 +55,12 @@ def scanned(table: DataFrame, group: Sequence[str], order: Sequence[str], scans:
 
     Each range is scanned by itself and then takes over what the group's ranges before it give. Ranges are sorted, so only
     a group that reaches over a range's edge stands in two; what is carried is two rows a range at most, and broadcast.
-    ``table`` is read twice, so it should be a written one or cheap to make from one.
+    ``table`` is read twice, so it should be a written one or cheap to make from one. A table without ``_part`` is one
+    range, whose groups are sorted each in a task.
     """
+    if "_part" not in table.columns:
+        whole = W.partitionBy(*group).orderBy(*order)
+        return table.withColumns({n: SCANS[k][0](c, whole) for n, (k, c) in scans.items()})
     by = F.struct(*order) if len(order) > 1 else F.col(order[0])
     parts = table.groupBy(*group, "_part").agg(*[SCANS[k][1](c, by).alias(n) for n, (k, c) in scans.items()])
     before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
@@ -79,8 +83,12 @@ def numbered_runs(table: DataFrame, group: Sequence[str], order: Sequence[str],
     """``table`` (from ``dealt``) with ``name``: from 0 on in each group, one more wherever ``breaks(value before, value)`` holds.
 
     Each range is numbered by itself and written; a group's later ranges add the numbers begun before them, and one if the
-    break falls on their edge.
+    break falls on their edge. A table without ``_part`` is one range.
     """
+    if "_part" not in table.columns:
+        whole = W.partitionBy(*group).orderBy(*order)
+        new = F.when(breaks(F.lag(value).over(whole), F.col(value)), 1).otherwise(0).cast("long")
+        return table.withColumn("_new", new).withColumn(name, F.sum("_new").over(whole.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
     here = W.partitionBy(*group, "_part").orderBy(*order)
     new = F.when(breaks(F.lag(value).over(here), F.col(value)), 1).otherwise(0).cast("long")
     own = stored(table.withColumn("_new", new).withColumn(name, F.sum("_new").over(here.rowsBetween(W.unboundedPreceding, 0))).drop("_new"))

@@ -12,19 +12,25 @@ from millrace.functions.flow import FLAGS, endpoint_key
 from millrace.operators.ranges import dealt, numbered_runs, running_sums, scanned, stored
 
 KEY = ("capture", "key")
+#: Packets of a key that are sorted in one task; where a key has more, all packets are sorted into ranges.
+HOT_KEY = 200_000
 #: The bytes kept of each packet of a sequence.
 PACKET_BYTES = 128
 
 
 def _in_ranges(packets: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    return packets if "_part" in packets.columns else dealt(packets, [*keys, order])
+    """Packets in sorted ranges where a key has more than ``HOT_KEY`` of them, by a count; else as they are, a task for each key."""
+    if "_part" in packets.columns:
+        return packets
+    most = packets.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return dealt(packets, [*keys, order]) if most > HOT_KEY else packets
 
 
 def idle_sessions(packets: DataFrame, idle_us: int, keys: Sequence[str] = KEY, time: str = "ts_us", order: str = "frame_no", ranges: bool = False) -> DataFrame:
     """``session`` numbers the runs of a key whose gaps are at most ``idle_us``.
 
-    Packets are sorted into ranges, and a range takes over the last time and the number of gaps of the key's ranges
-    before it, so a key may have any number of packets. ``ranges`` keeps the number of the range, ``_part``.
+    Where keys are hot, packets are sorted into ranges, and a range takes over the last time and the number of gaps of the
+    key's ranges before it, so a key may have any number of packets. ``ranges`` keeps the number of the range, ``_part``.
     """
     out = numbered_runs(_in_ranges(packets, keys, order), keys, [order], time, lambda before, now: now - before > idle_us, "session")
     return out if ranges else out.drop("_part")
@@ -146,7 +152,7 @@ def number_flows(flows: DataFrame) -> DataFrame:
 
 def gap_windows(events: DataFrame, keys: Sequence[str], time: str, gap: float, pad: float = 0.0, clamp: bool = False) -> DataFrame:
     """Windows of a key's times without gaps over ``gap`` seconds, padded; ``clamp`` cuts at the start's UTC midnight."""
-    runs = numbered_runs(dealt(events, [*keys, time]), keys, [time], time, lambda before, now: now - before > gap, "window_no")
+    runs = numbered_runs(_in_ranges(events, keys, time), keys, [time], time, lambda before, now: now - before > gap, "window_no")
     out = runs.groupBy(*keys, "window_no").agg((F.min(time) - pad).alias("w_start"), (F.max(time) + pad).alias("w_end"), F.count(F.lit(1)).alias("n"))
     return out.withColumn("w_end", F.least("w_end", (F.floor(F.col("w_start") / 86400) + 1) * 86400 - 1)) if clamp else out
 

@@ -286,9 +286,10 @@ def plain_segments(packets, idle, active):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_sessions_and_segments_over_ranges(spark, seed):
-    """Keys that reach over many ranges, times out of order, ties and null addresses."""
+@pytest.mark.parametrize(("seed", "hot"), [(0, 50), (1, 50), (2, 10_000)])
+def test_sessions_and_segments_over_ranges(spark, monkeypatch, seed, hot):
+    """Keys that reach over many ranges, times out of order, ties and null addresses; without hot keys the same."""
+    monkeypatch.setattr(se, "HOT_KEY", hot)
     r = random.Random(seed)
     rows, want = [], []
     for host in (None, "1.1.1.1", "3.3.3.3"):
@@ -302,7 +303,13 @@ def test_sessions_and_segments_over_ranges(spark, seed):
     got = [(x.src_ip, x.frame_no, x.session, x.segment) for x in out.collect()]
     key = lambda x: (x[0] or "", *x[1:])
     assert sorted(got, key=key) == sorted(want, key=key)
-    assert out.groupBy("src_ip").agg(F.count_distinct("_part").alias("n")).where("n > 1").count() >= 1
+    if hot == 50:
+        assert out.groupBy("src_ip").agg(F.count_distinct("_part").alias("n")).where("n > 1").count() >= 1
+    packets = spark.createDataFrame(rows, PACKET)
+    by_key = se.gap_windows(packets.where("src_ip is not null").withColumn("t", F.col("ts_us") / US), ["src_ip"], "t", 60.0)
+    for host in ("1.1.1.1", "3.3.3.3"):
+        times = sorted(x[2] / US for x in rows if x[3] == host)
+        assert by_key.where(F.col("src_ip") == host).count() == 1 + sum(b - a > 60 for a, b in zip(times, times[1:], strict=False))
 
 
 def test_one_key_of_a_million_packets(spark):
