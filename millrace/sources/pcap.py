@@ -1,10 +1,14 @@
 """Packet captures as a Spark source: ``spark.read.format("pcap").load(folder or file)``.
 
-One partition for each 64 MB or so of a capture file that executors can open: a pass over the record headers finds where
-records start, and each task seeks and reads its range. Classic pcap (micro- or nanoseconds, either byte order) and pcapng; VLAN tags are
-taken off, IPv4 and IPv6 kept, other frames dropped but counted in ``frame_no``. A capture cut at its end gives its
-complete records; ``tails`` counts the dropped one. Files of other stores are read through Hadoop's file systems, by the
-``binaryFile`` reader, whole in one task and up to 2 GiB each.
+Classic pcap (micro- or nanoseconds, either byte order) and pcapng; VLAN tags are taken off, IPv4 and IPv6 kept, other
+frames dropped but counted in ``frame_no``. A capture cut at its end gives its complete records; ``tails`` counts the
+dropped one.
+
+``read_captures`` cuts a file into equal splits, on any store that ``pyarrow`` opens. The task of a split guesses where its
+first record begins from a chain of plausible headers and follows the headers to the split's end; the guess holds if the
+split before ends there, else the split is followed again from that end. Then each task parses its split, so a file is
+read twice, and no task reads one whole. Files of other stores go through ``binaryFile``, whole in one task and up to
+2 GiB each. ``format("pcap")`` reads local files in ranges that the driver finds by one pass over the headers.
 """
 
 from __future__ import annotations
@@ -13,17 +17,22 @@ import glob
 import hashlib
 import io
 import itertools
-import json
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import BinaryIO
+from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from millrace.operators.ranges import stored
+
 SCHEMA = "capture string, frame_no bigint, ts_us bigint, src_ip string, src_port int, dst_ip string, dst_port int, proto int, wire_len int, tcp_flags int, ip_bytes binary"
 VLAN = {0x8100, 0x88A8, 0x9100}
 
@@ -38,17 +47,22 @@ def scan(f: BinaryIO, size: int, at: int = 0, stop: int | None = None, state: tu
     A record is (time in microseconds, length on the wire, frame), empty without ``content``, and None for blocks that
     are no packets. ``state`` is the byte order and the units of time; with it a scan can begin at any start.
     """
-    f.seek(at)
     if state is None:
-        magic = f.read(4)
-        if magic == b"\x0a\x0d\x0d\x0a":
-            state = ("ng", "<", ())
-        elif magic in ORDERS:
-            state, at = ("classic", *ORDERS[magic]), 24
-        else:
-            raise ValueError("this file is no packet capture")
+        state = first_state(f)
+        at = 24 if state[0] == "classic" else 0
     stop = size if stop is None else stop
-    yield from (_classic if state[0] == "classic" else _pcapng)(f, size, at, stop, state, content)
+    return (yield from (_classic if state[0] == "classic" else _pcapng)(f, size, at, stop, state, content))
+
+
+def first_state(f: BinaryIO) -> tuple:
+    """What a file's first bytes say of its kind, byte order and units."""
+    f.seek(0)
+    magic = f.read(4)
+    if magic == b"\x0a\x0d\x0d\x0a":
+        return ("ng", "<", ())
+    if magic in ORDERS:
+        return ("classic", *ORDERS[magic])
+    raise ValueError("this file is no packet capture")
 
 
 def _classic(f: BinaryIO, size: int, at: int, stop: int, state: tuple, content: bool) -> Iterator[tuple]:
@@ -58,9 +72,10 @@ def _classic(f: BinaryIO, size: int, at: int, stop: int, state: tuple, content:
         sec, frac, kept, wire = head.unpack(f.read(16))
         end = at + 16 + kept
         if end > size:
-            return
+            break
         yield at, end, state, (sec * 1_000_000 + frac // state[2], wire, f.read(kept)) if content else ()
         at = end
+    return state
 
 
 def _pcapng(f: BinaryIO, size: int, at: int, stop: int, state: tuple, content: bool) -> Iterator[tuple]:
@@ -72,7 +87,7 @@ def _pcapng(f: BinaryIO, size: int, at: int, stop: int, state: tuple, content: b
             end, units = ("<" if head[8:12] == b"\x4d\x3c\x2b\x1a" else ">"), ()
         block, length = struct.unpack(end + "II", head[:8])
         if length < 12 or at + length > size:
-            return
+            break
         if block == 1:  # an interface: option 9 is the unit of its times
             data, unit, o = head + f.read(length - 12), 1_000_000, 16
             while o + 4 <= length - 4:
@@ -92,6 +107,7 @@ def _pcapng(f: BinaryIO, size: int, at: int, stop: int, state: tuple, content: b
                 record = ((hi << 32 | lo) * 1_000_000 // (units[face] if face < len(units) else 1_000_000), wire, data[28 : 28 + kept])
         yield at, at + length, before, record
         at += length
+    return ("ng", end, units)
 
 
 def ranges(path: str, target: int = RANGE) -> tuple[list[tuple], int]:
@@ -184,14 +200,144 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PcapDataSource)
 
 
+#: Schemes whose files ``pyarrow`` opens at any place; others are read whole by ``binaryFile``.
+SEEKABLE = ("file", "s3", "s3a", "gs", "gcs", "abfs", "abfss", "hdfs", "viewfs")
+BUFFER = 1 << 20
+#: What a guess takes for a record: at most this long, and this many in a row; how many guesses a split is worth.
+LARGEST, CHAIN, TRIES = 1 << 18, 6, 20
+
+
 def _files(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
-    """The ``binaryFile`` table and whether all its files lie on paths that executors open; its contents stay unread."""
+    """The ``binaryFile`` table and whether tasks can open all its files at any place; its contents stay unread."""
     files = spark.read.format("binaryFile").load(path)
-    return files, not files.where("NOT startswith(path, 'file:')").limit(1).count()
-
+    return files, not files.where(~F.substring_index("path", ":", 1).isin(*SEEKABLE)).limit(1).count()
+
+
+def open_uri(uri: str) -> tuple[BinaryIO, int]:
+    """A file of any store that ``pyarrow`` knows, buffered, and its size."""
+    scheme, _, rest = uri.partition(":")
+    where, path = (fs.LocalFileSystem(), "/" + unquote(rest).lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri("s3:" + rest if scheme == "s3a" else uri)
+    f = where.open_input_file(path)
+    return io.BufferedReader(f, BUFFER), f.size()  # type: ignore[arg-type]
+
+
+def _numbers(data: bytes, order: str) -> np.ndarray:
+    """The 32-bit number that begins at each byte."""
+    b = np.frombuffer(data, np.uint8).astype(np.int64)
+    parts = (b[:-3], b[1:-2], b[2:-1], b[3:])
+    return sum(x << (8 * i) for i, x in enumerate(parts if order == "<" else parts[::-1]))
+
+
+def guess_start(f: BinaryIO, size: int, lo: int, hi: int, state: tuple) -> tuple[int, str] | None:
+    """Where a chain of plausible records begins in [lo, hi), and their byte order; only a guess."""
+    f.seek(lo)
+    data = f.read(BUFFER)
+    whole = lo + len(data) >= size
+    for order in ("<", ">") if state[0] == "ng" else (state[1],):
+        v = _numbers(data, order) if len(data) >= 16 else np.empty(0, np.int64)
+        n = max(len(v) - 12, 0)
+        if state[0] == "classic":
+            kept = v[8 : 8 + n]
+            step, ok = kept + 16, (v[4 : 4 + n] < 1_000_000 * state[2]) & (kept > 0) & (kept <= LARGEST) & (v[12 : 12 + n] >= kept)
+        else:  # a block's length stands at both its ends
+            step, at = v[4 : 4 + n], np.arange(n)
+            again = at + step - 4
+            ok = (v[:n] > 0) & (v[:n] <= 6) & (step >= 12) & (step % 4 == 0) & (step <= LARGEST) & ((at + lo) % 4 == 0)
+            ok &= (again >= len(v)) | (v[np.minimum(again, len(v) - 1)] == step) if n else ok
+        for first in np.flatnonzero(ok[: hi - lo]).tolist():
+            place, links = first, 0
+            while links < CHAIN and place < n and ok[place]:
+                place, links = place + int(step[place]), links + 1
+            if links == CHAIN or (links and (lo + place == size if whole else place >= n)):
+                return lo + first, order
+    return None
+
+
+def scan_split(f: BinaryIO, size: int, lo: int, hi: int, start: int | None = None, order: str | None = None) -> dict:
+    """What the records that begin in [lo, hi) come to: their start and end, their number, the interfaces they declare.
+
+    Without ``start`` it is guessed, -1 if nothing looks like a record. A start outside [lo, hi) means that no record
+    begins there. ``reset`` says that a section began, which forgets the interfaces before it.
+    """
+    state, at = first_state(f), lo
+    if start is not None or not lo:
+        return _follow(f, size, lo, hi, (24 if state[0] == "classic" else 0) if start is None else start, order, state)
+    for _ in range(TRIES):
+        guess = guess_start(f, size, at, hi, state)
+        if guess is None:
+            break
+        found = _follow(f, size, lo, hi, *guess, state)
+        if found["end"] >= min(hi, size - 16):
+            return found
+        at = max(found["end"], guess[0] + 1)  # the chain breaks off: it was no chain of records, or the file is cut
+    return _follow(f, size, lo, hi, -1, None, state)
+
+
+def _follow(f: BinaryIO, size: int, lo: int, hi: int, start: int, order: str | None, state: tuple) -> dict:
+    order = state[1] if state[0] == "classic" else order or "<"
+    out = {"start": start, "end": start, "records": 0, "order_before": order, "order": order, "units": [], "reset": False}
+    if not lo <= start < hi:
+        return out
+    records = scan(f, size, start, hi, state if state[0] == "classic" else ("ng", order, (-1,)), content=False)
+    while True:
+        try:
+            _, out["end"], _, record = next(records)
+        except StopIteration as done:
+            after = done.value
+            break
+        out["records"] += record is not None
+    if after[0] == "ng":  # -1 stands for the interfaces before the split
+        out |= {"order": after[1], "reset": after[2][:1] != (-1,), "units": [u for u in after[2] if u != -1]}
+    return out
+
+
+_PLACE = "path string, capture string, length bigint, split bigint"
+_FOUND = "start bigint, end bigint, records bigint, order_before string, order string, units array<bigint>, reset boolean"
+_FOUND_ARROW = pa.schema([("path", pa.string()), ("capture", pa.string()), ("length", pa.int64()), ("split", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("records", pa.int64()), ("order_before", pa.string()), ("order", pa.string()), ("units", pa.list_(pa.int64())), ("reset", pa.bool_())])
+
+
+def capture_splits(files: DataFrame, range_bytes: int = RANGE, open_file: Callable[[str], tuple[BinaryIO, int]] = open_uri) -> DataFrame:
+    """The splits of capture files (path, length), each with start, end, number of records and state before it.
+
+    Guessed starts are held against the end of the split before until all agree, so the result is that of one pass over
+    each file. Splits that one long record covers, or that lie behind a broken record, are settled together.
+    """
+    name = F.regexp_extract("path", r"([^/]+?)(\.[^/]*)?$", 1).alias("capture")
+    splits = files.select("path", name, "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("length") / range_bytes) - 1, F.lit(0)).cast("bigint"))).alias("split"))
 
-def _local(path: str) -> str:
-    return "/" + path.removeprefix("file:").lstrip("/")
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                f, size = open_file(r["path"])
+                with f:
+                    found = scan_split(f, size, r["split"] * range_bytes, (r["split"] + 1) * range_bytes, r.get("want"), r.get("want_order"))
+                yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("path", "capture", "length", "split")} | found], schema=_FOUND_ARROW)
+
+    def spread(rows: DataFrame, number: int) -> DataFrame:
+        return rows.repartition(max(number, 1)).mapInArrow(look, f"{_PLACE}, {_FOUND}")
+
+    found = stored(spread(splits, splits.count()))
+    by = W.partitionBy("path").orderBy("split")
+    odd = (F.col("split") > 0) & ((F.col("start") != F.col("want")) | (F.col("end") > F.col("start")) & (F.col("order_before") != F.col("want_order")))
+    every = W.partitionBy("path")
+    while True:
+        checked = found.withColumns({"want": F.lag("end").over(by), "want_order": F.lag("order").over(by)}).withColumn("odd", odd)
+        number = checked.where("odd").count()
+        if not number:
+            break
+        first = checked.withColumn("at", F.min(F.when(F.col("odd"), F.col("split"))).over(every))
+        first = first.withColumns({"to": F.max(F.when(F.col("split") == F.col("at"), F.col("want"))).over(every), "to_order": F.max(F.when(F.col("split") == F.col("at"), F.col("want_order"))).over(every)})
+        bare = F.coalesce((F.col("split") >= F.col("at")) & ((F.col("to") < F.col("at") * range_bytes) | (F.col("to") >= (F.col("split") + 1) * range_bytes)), F.lit(False))
+        marked = stored(first.withColumn("todo", F.when(bare, "bare").when(F.col("odd") & (F.col("want") >= 0), "again").otherwise("keep")))
+        columns = found.columns
+        empty = {"start": F.col("to"), "end": F.col("to"), "records": F.lit(0).cast("bigint"), "order_before": F.col("to_order"), "order": F.col("to_order"), "units": F.array().cast("array<bigint>"), "reset": F.lit(False)}
+        parts = marked.where("todo = 'keep'").select(columns).unionByName(marked.where("todo = 'bare'").withColumns(empty).select(columns))
+        again = marked.where("todo = 'again'").select(*columns[:4], "want", "want_order")
+        found = stored(parts.unionByName(spread(again, number)))
+    before = by.rowsBetween(W.unboundedPreceding, -1)
+    told = F.collect_list(F.when(F.col("reset") | (F.size("units") > 0), F.struct("reset", "units"))).over(before)  # few splits declare interfaces
+    known = F.aggregate(told, F.array().cast("array<bigint>"), lambda have, x: F.when(x["reset"], x["units"]).otherwise(F.concat(have, x["units"])))
+    return found.select("path", "capture", "length", "split", "start", "end", "records", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("number"), F.col("order_before").alias("order"), known.alias("units"))
 
 
 def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
@@ -200,21 +346,18 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in part], schema=_ARROW)
 
 
-def read_captures(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+def read_captures(spark: SparkSession, path: str, range_bytes: int = RANGE, open_file: Callable[[str], tuple[BinaryIO, int]] = open_uri) -> DataFrame:
     """Packets of capture files; one task reads about ``range_bytes``, or a file of a store that only Spark opens."""
-    files, local = _files(spark, path)
-    name = F.regexp_extract("path", r"([^/]+?)(\.[^/]*)?$", 1).alias("capture")
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for capture, where in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                made = [json.dumps(part) for part in ranges(_local(where), range_bytes)[0]]
-                yield pa.RecordBatch.from_pydict({"capture": [capture] * len(made), "path": [where] * len(made), "part": made}, schema=pa.schema([("capture", pa.string()), ("path", pa.string()), ("part", pa.string())]))
+    files, seekable = _files(spark, path)
 
-    def parse_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                yield from _batches(range_rows(r["capture"], _local(r["path"]), *json.loads(r["part"])))
+                f, size = open_file(r["path"])
+                with f:
+                    state = first_state(f)
+                    state = state if state[0] == "classic" else ("ng", r["order"], tuple(r["units"]))
+                    yield from _batches(packet_rows(r["capture"], f, size, r["start"], r["end"], r["number"], state))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,30 +365,33 @@ def read_captures(spark: SparkSession, path: str, range_bytes: int = RANGE) -> D
                 content = data.as_py()
                 yield from _batches(packet_rows(capture, io.BytesIO(content), len(content)))
 
-    if not local:
-        return files.select(name, "content").mapInArrow(parse, SCHEMA)
-    tasks = files.agg(F.sum(F.ceil(F.col("length") / range_bytes))).first()[0] or 1
-    found = files.select(name, "path").mapInArrow(parts, "capture string, path string, part string")
-    return found.repartition(tasks).mapInArrow(parse_parts, SCHEMA)
+    if not seekable:
+        return files.select(F.regexp_extract("path", r"([^/]+?)(\.[^/]*)?$", 1).alias("capture"), "content").mapInArrow(parse, SCHEMA)
+    splits = stored(capture_splits(files.select("path", "length"), range_bytes, open_file).where("records > 0"))
+    return splits.repartition(max(splits.count(), 1)).mapInArrow(parse_splits, SCHEMA)
 
 
-def tails(spark: SparkSession, path: str) -> DataFrame:
-    """(path, dropped): how many cut records, 0 or 1, end each file on a path that executors open."""
-    count = F.udf(lambda p: ranges(_local(p))[1], "int")
-    return spark.read.format("binaryFile").load(path).select("path", count("path").alias("dropped"))
+def tails(spark: SparkSession, path: str, range_bytes: int = RANGE, open_file: Callable[[str], tuple[BinaryIO, int]] = open_uri) -> DataFrame:
+    """(path, dropped): how many cut records, 0 or 1, end each file; files of other stores are an error."""
+    files, seekable = _files(spark, path)
+    if not seekable:
+        raise ValueError("tails reads files only where pyarrow opens them")
+    splits = capture_splits(files.select("path", "length"), range_bytes, open_file)
+    return splits.groupBy("path").agg((F.max("end") < F.max("length")).cast("int").alias("dropped"))
 
 
 _ARROW = pa.schema([("capture", pa.string()), ("frame_no", pa.int64()), ("ts_us", pa.int64()), ("src_ip", pa.string()), ("src_port", pa.int32()), ("dst_ip", pa.string()), ("dst_port", pa.int32()), ("proto", pa.int32()), ("wire_len", pa.int32()), ("tcp_flags", pa.int32()), ("ip_bytes", pa.binary())])
 
 
-def fingerprints(spark: SparkSession, path: str, edge: int = 4 << 20) -> DataFrame:
+def fingerprints(spark: SparkSession, path: str, edge: int = 4 << 20, open_file: Callable[[str], tuple[BinaryIO, int]] = open_uri) -> DataFrame:
     """K3: (path, fingerprint): SHA-256 over a file's name, size, first and last 4 MiB."""
-    files, local = _files(spark, path)
+    files, seekable = _files(spark, path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    if local:
+    if seekable:
 
         def edges(where: str, size: int) -> str:
-            with open(_local(where), "rb") as f:
+            f, _ = open_file(where)
+            with f:
                 digest = hashlib.sha256(f"{where.rsplit('/', 1)[-1]}|{size}".encode() + f.read(edge))
                 f.seek(max(size - edge, 0))
                 digest.update(f.read(edge))
