@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators import evaluation as ev
 from millrace.operators import neighbours as nb
+from millrace.operators import sampling
 from millrace.operators.ranges import stored
 
 
@@ -84,6 +89,59 @@ def grid(frames: Mapping[str, DataFrame], kinds: Sequence[str], tasks: Sequence[
             yield combo, run(tool, frame, *combo[1:])
 
 
+def _run_id(keys: Mapping[str, object]) -> str:
+    return hashlib.sha256(json.dumps(keys, sort_keys=True, default=str).encode()).hexdigest()[:24]
+
+
+def recorded(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """M7, K5: the records of finished runs below ``path``; what an ended run left half written isn't among them."""
+    try:
+        return spark.read.schema(f"{columns}, run string").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{columns}, run string")
+
+
+def run_grid(spark: SparkSession, configurations: Sequence[Mapping[str, object]], run: Callable[[Mapping], DataFrame], path: str, columns: str, at_once: int = 4) -> DataFrame:
+    """M7, K5, K6: ``run(configuration)`` for every configuration without a record; all records, also those of earlier calls.
+
+    ``run`` returns the metrics of one run; the configuration is put beside them, under ``columns`` (names and types of
+    both). A run is recorded when it is done, each in a folder of its own (``run=...``), so concurrent commits don't meet
+    and a call after a stop goes on with what is missing. At most ``at_once`` runs at a time, each in a pool of its own
+    where the scheduler is fair. A run that fails doesn't stop the others; the first failure is raised at the end.
+    """
+    names = [f.name for f in recorded(spark, path, columns).schema if f.name != "run"]
+    done = {r.run for r in recorded(spark, path, columns).select("run").distinct().collect()}  # a row for each run
+    todo = {i: c for c in configurations if (i := _run_id(c)) not in done}
+
+    def one(item: tuple[str, Mapping]) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", item[0])
+        made = run(item[1]).withColumns({k: F.lit(v) for k, v in item[1].items()})
+        typed = spark.createDataFrame([], columns).schema
+        made.select(*[F.col(f"`{c}`").cast(typed[c].dataType).alias(c) for c in names]).coalesce(1).write.mode("overwrite").parquet(f"{path}/run={item[0]}")
+
+    with ThreadPoolExecutor(max(at_once, 1)) as pool:
+        waits = [pool.submit(inheritable_thread_target(spark)(one), item) for item in todo.items()]
+    for w in waits:
+        w.result()
+    return recorded(spark, path, columns).drop("run")
+
+
+def k_shot_grid(train: DataFrame, test: DataFrame, path: str, shots: Sequence[int] = (1, 5, 10, 50, 100), repeats: int = 5, label: str = "label", id_col: str = "vec_id", at_once: int = 4) -> DataFrame:
+    """Macro-F1 over the union of classes of a logistic head on k rows of each class, for every k and repeat, on one test set.
+
+    ``train`` and ``test`` should be written tables: each run reads them.
+    """
+
+    def run(c: Mapping) -> DataFrame:
+        few = stored(sampling.k_shot(train, label, id_col, c["k"], c["repeat"]))
+        return evaluate(fit(few, "logreg", label), test, "union", label).withColumn("n_train", F.lit(few.count()))
+
+    runs = [{"k": k, "repeat": r} for k in shots for r in range(repeats)]
+    return run_grid(train.sparkSession, runs, run, path, "k int, repeat int, n_train bigint, macro_f1 double, weighted_f1 double, balanced_accuracy double", at_once)
+
+
 def transfer_matrix(frames: Mapping[str, tuple[DataFrame, DataFrame]], kind: str, label: str = "label", **more) -> DataFrame:
     """M8: macro-F1 over the union of classes of each source's model on every target's test rows, one pass for each source."""
     targets = None

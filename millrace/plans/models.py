@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import evaluation as ev
 from millrace.operators import models as mo
 from millrace.operators import sampling as sa
-from millrace.operators.ranges import stored
+from millrace.operators.ranges import scratch, stored
 from millrace.plans.common import table
 
 
@@ -62,6 +62,13 @@ def kshot_report(spark, d):
     return mo.evaluate(mo.fit(sa.k_shot(train, "label", "vec_id", 5), "logreg"), test, "union")
 
 
+def kshot_grid(spark, d):
+    """The same for k of 1, 5, 10, 50 and 100 and five repeats each: mean and deviation of macro-F1."""
+    train, test = (stored(x) for x in _split(spark, d))
+    runs = mo.k_shot_grid(train, test, scratch(spark, "runs"))
+    return runs.groupBy("k").agg(F.count(F.lit(1)).alias("n_runs"), F.avg("macro_f1").alias("mean"), F.stddev_samp("macro_f1").alias("std"))
+
+
 def transfer_matrix(spark, d):
     train, test = _split(spark, d)
     halves = {n: (train.where(f"vec_id % 2 = {i}"), test.where(f"vec_id % 2 = {i}")) for i, n in enumerate(("even", "odd"))}
@@ -71,4 +78,4 @@ def transfer_matrix(spark, d):
 _KNN = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (
   SELECT q.vec_id, list_distance(q.v, r.v) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, r.v)) AS rn FROM e q, e r WHERE r.label = 0)
 SELECT vec_id, round(avg(d), 6) AS score FROM d WHERE rn <= 5 GROUP BY vec_id"""
-QUERIES = {"knn_score": (knn_score, _KNN)} | {f.__name__: (f, None) for f in (mahalanobis_score, pca_scores, novelty_report, rf_report, logreg_report, kshot_report, transfer_matrix)}
+QUERIES = {"knn_score": (knn_score, _KNN)} | {f.__name__: (f, None) for f in (mahalanobis_score, pca_scores, novelty_report, rf_report, logreg_report, kshot_report, kshot_grid, transfer_matrix)}

@@ -367,8 +367,8 @@ def read_captures(spark: SparkSession, path: str, range_bytes: int = RANGE, open
 
     if not seekable:
         return files.select(F.regexp_extract("path", r"([^/]+?)(\.[^/]*)?$", 1).alias("capture"), "content").mapInArrow(parse, SCHEMA)
-    splits = stored(capture_splits(files.select("path", "length"), range_bytes, open_file).where("records > 0"))
-    return splits.repartition(max(splits.count(), 1)).mapInArrow(parse_splits, SCHEMA)
+    splits = stored(capture_splits(files.select("path", "length"), range_bytes, open_file))
+    return splits.where("records > 0").repartition(max(splits.count(), 1)).mapInArrow(parse_splits, SCHEMA)
 
 
 def tails(spark: SparkSession, path: str, range_bytes: int = RANGE, open_file: Callable[[str], tuple[BinaryIO, int]] = open_uri) -> DataFrame:

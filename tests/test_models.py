@@ -341,3 +341,38 @@ def test_quantile_clipper_is_a_stage(spark, tmp_path):
     assert len(best.avgMetrics) == 2 and best.avgMetrics[1] < best.avgMetrics[0]
     with pytest.raises(ValueError):
         pp.QuantileClipper(inputCols=["a"], low=0.9, high=0.1).fit(plain)
+
+
+def test_grid_goes_on_where_it_stopped(spark, tmp_path):
+    """M7, K5: what a stopped call recorded isn't run again; half-written runs are; failures don't stop the others."""
+    path, ran = str(tmp_path / "runs"), []
+    configurations = [{"tool": t, "seed": s} for t in ("a", "b") for s in range(3)]
+
+    def run(c, broken=()):
+        ran.append((c["tool"], c["seed"]))
+        if (c["tool"], c["seed"]) in broken:
+            raise RuntimeError("stopped")
+        return spark.createDataFrame([(c["seed"] / 10, 5)], "score double, n_test long")
+
+    columns = "tool string, seed int, score double, n_test bigint"
+    with pytest.raises(RuntimeError, match="stopped"):
+        mo.run_grid(spark, configurations, lambda c: run(c, {("a", 1), ("b", 2)}), path, columns, 2)
+    assert len(ran) == 6 and mo.recorded(spark, path, columns).count() == 4
+    (tmp_path / "runs" / "run=half" / "_temporary").mkdir(parents=True)
+    ran.clear()
+    out = mo.run_grid(spark, configurations, run, path, columns)
+    assert sorted(ran) == [("a", 1), ("b", 2)]
+    assert sorted((r.tool, r.seed, r.score, r.n_test) for r in out.collect()) == [(t, s, s / 10, 5) for t in "ab" for s in range(3)]
+    mo.run_grid(spark, configurations, run, path, columns)
+    assert len(ran) == 2
+
+
+def test_k_shot_over_shots_and_repeats(spark, points, tmp_path):
+    """One record for each k and repeat, on classes that may be smaller than k; equal to one run alone."""
+    x, y = points[:2]
+    e = mo.with_features(spark.createDataFrame([(i, v.tolist(), str(c)) for i, (v, c) in enumerate(zip(x, y, strict=True))], VECTORS), None, "embedding")
+    train, test = e.where("vec_id % 3 > 0").cache(), e.where("vec_id % 3 = 0").cache()
+    got = {(r.k, r.repeat): r for r in mo.k_shot_grid(train, test, str(tmp_path / "k"), (2, 60), 2).collect()}
+    assert {k: r.n_train for k, r in got.items()} == {(2, 0): 6, (2, 1): 6, (60, 0): train.where("label = '0'").limit(60).count() + train.where("label <> '0'").count(), (60, 1): 60 + train.where("label <> '0'").count()}
+    alone = mo.evaluate(mo.fit(sa.k_shot(train, "label", "vec_id", 2, 1), "logreg"), test, "union").first()
+    assert got[2, 1].macro_f1 == pytest.approx(alone.macro_f1) and got[60, 0].macro_f1 > 0.6
