@@ -15,9 +15,9 @@ from millrace.operators.ranges import exact_quantiles
 COMMON = ("duration", "pkts_fwd", "pkts_bwd", "bytes_fwd", "bytes_bwd")
 #: Parts of names (between underscores, in any case) that mark identifiers, addresses, ports, times and labels.
 ID_WORDS = (
-    "ip ipv4 ipv6 addr mac oui host hostname port sport dport time first last start end stime ltime timestamp "
-    "id flowind flow_id uid vlan tunnel label src dst saddr daddr"
-).split()
+    "ip", "ipv4", "ipv6", "addr", "mac", "oui", "host", "hostname", "port", "sport", "dport", "time", "first", "last", "start", "end", "stime", "ltime", "timestamp",
+    "id", "flowind", "flow_id", "uid", "vlan", "tunnel", "label", "src", "dst", "saddr", "daddr",
+)
 ID_LIKE = re.compile(f"(^|_)({'|'.join(ID_WORDS)})($|_)", re.I)
 
 

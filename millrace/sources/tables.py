@@ -129,9 +129,9 @@ def write_sample(df: DataFrame, mask: Column, path: str, mask_path: str | None =
     marked.where("sampled").drop("sampled").write.mode("overwrite").parquet(path)
 
 
-def write_embeddings(df: DataFrame, path: str, wall_s: float, vector: str = "embedding") -> DataFrame:
-    """K8: vectors, and their cost row: flows, seconds, dimension, whether any value is NaN, bytes stored."""
+def write_embeddings(df: DataFrame, path: str, wall_s: float, vector: str = "embedding", memory_gb: float | None = None) -> DataFrame:
+    """K8: vectors, and their cost row: flows, seconds, dimension, whether any value is NaN, bytes stored, peak memory as measured by the caller."""
     df.write.mode("overwrite").parquet(path)
     back = df.sparkSession.read.parquet(path)
     stored = back.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).distinct().agg(F.sum("s")).first()[0] or 0
-    return back.agg(F.count(F.lit(1)).alias("flows"), F.lit(wall_s).alias("wall_s"), F.max(F.size(vector)).alias("dim"), F.max(F.exists(vector, lambda x: F.isnan(x))).alias("any_nan"), F.lit(stored).cast("bigint").alias("stored_bytes"))
+    return back.agg(F.count(F.lit(1)).alias("flows"), F.lit(wall_s).alias("wall_s"), F.max(F.size(vector)).alias("dim"), F.max(F.exists(vector, lambda x: F.isnan(x))).alias("any_nan"), F.lit(stored).cast("bigint").alias("stored_bytes"), F.lit(memory_gb).cast("double").alias("memory_gb"))
