@@ -3,8 +3,9 @@
 Each dimension is quantised to a few bits, the point's index on the Hilbert curve is the sort key, and the sorted
 rows are cut into runs of equal length, so that a reader that wants a box of the metadata space opens few shards.
 
-The sort is a range shuffle on (curve index, hash of the text, id): equal texts of one cell stand together, and no
-key is so frequent that it can't be split. Row numbers are exact: the position inside a sorted partition plus the
+The sort is a range shuffle on (curve index, hash of the text, id): equal texts of one cell stand together, and a
+frequent text is split by its ids. Only rows equal in all three, as replication makes them, stay in one range; they
+are as many as one document's repetitions. Row numbers are exact: the position inside a sorted partition plus the
 rows of all partitions before it; only one count per partition comes together, never rows.
 
 Law ``rows``: shard sizes differ by at most one row. Defined results: a null text is empty, a null dimension is
