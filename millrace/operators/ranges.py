@@ -26,9 +26,9 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dealt(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``rows`` in ranges of ``order``, with the range's number ``_part``; written, so that a lost task meets the same ranges."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def dealt(rows: DataFrame, order: Sequence[str], least: int = 1) -> DataFrame:
+    """``rows`` in ``least`` ranges of ``order`` or more, with the range's number ``_part``; written, so that a lost task meets the same ranges."""
+    n = max(least, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return stored(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
 
 

@@ -14,16 +14,27 @@ from millrace.operators.ranges import dealt, numbered_runs, running_sums, scanne
 KEY = ("capture", "key")
 #: Packets of a key that are sorted in one task; where a key has more, all packets are sorted into ranges.
 HOT_KEY = 200_000
+#: Packets of a task on average; more of them take more tasks, whatever the number of shuffle partitions.
+TASK_ROWS = 200_000
 #: The bytes kept of each packet of a sequence.
 PACKET_BYTES = 128
 
 
 def _in_ranges(packets: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Packets in sorted ranges where a key has more than ``HOT_KEY`` of them, by a count; else as they are, a task for each key."""
+    """Packets in sorted ranges where a key has more than ``HOT_KEY`` of them, by a count; else each key in one task.
+
+    Tasks or ranges hold ``TASK_ROWS`` packets on average at most, so what a task sorts doesn't grow with the table.
+    """
     if "_part" in packets.columns:
         return packets
-    most = packets.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    return dealt(packets, [*keys, order]) if most > HOT_KEY else packets
+    varies = [(F.min(F.xxhash64(k)) != F.max(F.xxhash64(k))).alias(f"_varies{i}") for i, k in enumerate(keys)]
+    sizes = packets.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("rows"), *varies).first()
+    tasks = -(-(sizes["rows"] or 0) // TASK_ROWS)
+    if (sizes["most"] or 0) > HOT_KEY:
+        return dealt(packets, [*keys, order], tasks)
+    # Windows leave out columns that are literals, and would shuffle anew what is dealt by these too.
+    by = [k for i, k in enumerate(keys) if sizes[f"_varies{i}"]] or list(keys)
+    return packets.repartition(tasks, *by) if tasks > int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions")) else packets
 
 
 def idle_sessions(packets: DataFrame, idle_us: int, keys: Sequence[str] = KEY, time: str = "ts_us", order: str = "frame_no", ranges: bool = False) -> DataFrame:
