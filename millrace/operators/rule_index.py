@@ -9,6 +9,10 @@ a rule either begins within the rule's window or the rule begins within the flow
 
 Scales are powers of four seconds, so either has at most two bins and long windows or flows are not multiplied. Keys that
 meet give candidates, which are held against the whole rule. The plan has the same size for any number of rules.
+
+An index row holds the sets of its rule that are short (``INLINE``). Whether an address is in a longer set is looked up by
+equality in the set's keys, so a rule of many addresses isn't copied whole to the row of each of them. Flows look only at
+the scales that their key has.
 """
 
 from __future__ import annotations
@@ -24,8 +28,12 @@ from millrace.operators.ranges import running_sums, stored
 
 #: Rows that the index or the labels found may have at most to be broadcast; beyond that both sides are shuffled.
 BROADCAST_ROWS = 500_000
+#: Entries of a set that every index row of its rule holds; longer sets are looked up.
+INLINE = 16
 #: Set columns of a rule table and their types; a column that is not there, null or empty doesn't constrain.
 SETS = {"attackers": "string", "victims": "string", "attacker_cidrs": "string", "victim_cidrs": "string", "dst_ports": "int", "protos": "int", "captures": "string"}
+#: The columns of a rule's attackers and victims.
+ENDS = {"a": ("attackers", "attacker_cidrs", "nets_a"), "v": ("victims", "victim_cidrs", "nets_v")}
 #: Scales of time in powers of four seconds: from one second to some 140 years.
 SCALES = 17
 
@@ -101,6 +109,19 @@ def flow_keys(kinds: Sequence[str]) -> Column:
     return F.array_distinct(F.array_compact(F.array(*out)))
 
 
+def _end_keys(e: str, kinds: Sequence[str]) -> Column:
+    """The keys of one end's address, among ``kinds``."""
+    out = [F.concat(F.lit("h:"), F.col(f"{e}_ip"))]
+    for kind in (k for k in kinds if ":" in k):
+        width, bits = map(int, kind.split(":"))
+        out.append(F.when(F.length(f"_{e}_digits") == width, F.concat(F.lit(f"{kind}:"), prefix(F.col(f"_{e}_digits"), F.lit(bits)))))
+    return F.array_distinct(F.array_compact(F.array(*out)))
+
+
+def _at_end(e: str) -> Column:
+    return F.transform(f"_{e}_keys", lambda x: F.struct(F.lit(e).alias("end"), x.alias("key")))
+
+
 def _kind(key: Column) -> Column:
     return F.when(key.startswith("h:"), "h").when(key.startswith("p:"), "p").when(key == "*", "*").otherwise(F.regexp_extract(key, "^([0-9]+:[0-9]+):", 1))
 
@@ -115,10 +136,11 @@ def _bin(t: Column, scale: Column) -> Column:
     return F.floor(F.greatest(F.lit(-1e11), F.least(F.lit(1e11), t)) / F.pow(F.lit(4.0), scale))
 
 
-def _slots(start: Column, end: Column, own: Column, mine: int, other: int, scales: Sequence[int]) -> Column:
+def _slots(start: Column, end: Column, own: Column, mine: int, other: int, scales: Sequence[int] | Column) -> Column:
     """(case, scale, bin): at the own scale all bins of the time (case ``mine``), at each of ``scales`` that of the start."""
     whole = F.transform(F.sequence(_bin(start, own), F.greatest(_bin(end, own), _bin(start, own))), lambda b: F.struct(F.lit(mine).alias("case"), own.alias("scale"), b.alias("bin")))
-    return F.concat(whole, F.array(*[F.struct(F.lit(other).alias("case"), F.lit(k).alias("scale"), _bin(start, F.lit(k)).alias("bin")) for k in scales])) if scales else whole
+    scales = scales if isinstance(scales, Column) else F.array(*map(F.lit, scales)).cast("array<int>")
+    return F.concat(whole, F.transform(scales, lambda k: F.struct(F.lit(other).alias("case"), k.alias("scale"), _bin(start, k).alias("bin"))))
 
 
 def _in_set(ip: str, digits: str, ips: str, cidrs: str, nets: str, any_net: bool) -> Column:
@@ -131,11 +153,16 @@ def _in_set(ip: str, digits: str, ips: str, cidrs: str, nets: str, any_net: bool
 def fits(capture: str | None, any_net: bool = True) -> Column:
     """Whether a flow and a rule that stand in one row fit; ``capture`` names the flows' column of captures."""
     end = {(e, s): F.coalesce(_in_set(f"{e}_ip", f"_{e}_digits", *cols, any_net), F.lit(False)) for e in ("src", "dst") for s, cols in (("a", ("attackers", "attacker_cidrs", "nets_a")), ("v", ("victims", "victim_cidrs", "nets_v")))}
+    return (F.col("t_start") <= F.col("r_end")) & (F.col("t_end") >= F.col("r_start")) & _fits(end, capture)
+
+
+def _fits(end: dict, capture: str | None) -> Column:
+    """``fits`` but for times, from whether each end of the flow is in the attackers and in the victims."""
     ports = {e: F.coalesce(F.array_contains("dst_ports", F.col(f"{e}_port")), F.lit(False)) for e in ("src", "dst")}
     ways = (end["src", "a"] & end["dst", "v"]) | (~F.col("directional") & end["dst", "a"] & end["src", "v"])
     port = (F.size("dst_ports") == 0) | ports["dst"] | (~F.col("directional") & ports["src"])
     proto = (F.size("protos") == 0) | F.coalesce(F.array_contains("protos", F.col("proto").cast("int")), F.lit(False))
-    out = (F.col("t_start") <= F.col("r_end")) & (F.col("t_end") >= F.col("r_start")) & ways & port & proto
+    out = ways & port & proto
     return out & ((F.size("captures") == 0) | F.coalesce(F.array_contains("captures", F.col(capture)), F.lit(False))) if capture else out
 
 
@@ -161,20 +188,41 @@ def rule_hits(flows: DataFrame, rules: DataFrame, row_id: str = "row_id", captur
     frequent = slim.select(F.explode(flow_keys(kinds)).alias("key")).join(_few(found.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     priced = found.join(frequent, "key", "left").groupBy("rule_no", "side").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
     chosen = priced.groupBy("rule_no").agg(F.min_by("side", F.struct("n", "side")).alias("side"))
-    keyed = found.join(chosen, ["rule_no", "side"]).select("rule_no", "key")
+    keyed = stored(found.join(chosen, ["rule_no", "side"]).select("rule_no", "key"))
+    probed = sorted(r[0] for r in keyed.select(_kind(F.col("key"))).distinct().collect())
 
     length = F.greatest(F.col("r_end") - F.col("r_start"), F.lit(0.0))
     rule_rows = normal.withColumn("_scale", _scale(length))
     flow_rows = slim.withColumn("_scale", _scale(F.greatest(F.col("t_end") - F.col("t_start"), F.lit(0.0))))
-    rule_scales = sorted(r[0] for r in rule_rows.select("_scale").distinct().collect())  # SCALES at most
     flow_scales = sorted(r[0] for r in flow_rows.select("_scale").distinct().collect())
 
-    index = stored(keyed.join(rule_rows, "rule_no").withColumn("_slot", F.explode(_slots(F.col("r_start"), F.col("r_end"), F.col("_scale"), 1, 2, flow_scales))).drop("_scale").select("*", "_slot.*").drop("_slot"))
-    probes = flow_rows.withColumn("key", F.explode(flow_keys(kinds))).withColumn("_slot", F.explode(_slots(F.col("t_start"), F.col("t_end"), F.col("_scale"), 2, 1, rule_scales))).drop("_scale").select("*", "_slot.*").drop("_slot")
+    slotted = rule_rows.select("rule_no", F.explode(_slots(F.col("r_start"), F.col("r_end"), F.col("_scale"), 1, 2, flow_scales)).alias("_slot")).select("rule_no", "_slot.*")
+    long = F.greatest(*[F.size(c) for c in (*ENDS["a"], *ENDS["v"])]) > INLINE
+    lean = {c: F.when(~long, F.col(c)) for c in (*ENDS["a"], *ENDS["v"])}
+    slim_rules = rule_rows.withColumn("long", long).withColumns(lean).drop("_scale")
+    index = stored(keyed.join(slotted, "rule_no").join(slim_rules, "rule_no"))
+    scales = index.where("case = 1").groupBy("key").agg(F.sort_array(F.collect_set("scale")).alias("_scales"))  # SCALES a key at most
+    met_keys = flow_rows.withColumn("key", F.explode(flow_keys(probed))).join(_few(scales), "key")
+    probes = met_keys.withColumn("_slot", F.explode(_slots(F.col("t_start"), F.col("t_end"), F.col("_scale"), 2, 1, F.col("_scales")))).drop("_scale", "_scales").select("*", "_slot.*").drop("_slot")
     begins = (F.col("case") == 1) == (F.col("t_start") >= F.col("r_start"))  # each pair in one of the two cases only
+    during = (F.col("t_start") <= F.col("r_end")) & (F.col("t_end") >= F.col("r_start"))
     inside = (F.col("t_start") >= F.col("r_start")) & (F.col("t_end") <= F.col("r_end"))
-    met = probes.join(_few(index), ["key", "case", "scale", "bin"]).where(begins & fits(capture, v4 or v6))
-    return met.select(F.col("_row").alias(row_id), "rule_no", "rule_label", inside.alias("inside")).distinct()
+    met = probes.join(_few(index), ["key", "case", "scale", "bin"]).where(begins & during)
+    shown = ("_row", "rule_no", "rule_label", inside.alias("inside"))
+    short = met.where(~F.col("long") & fits(capture, v4 or v6)).select(*shown)
+    if normal.where(long).isEmpty():
+        return short.distinct().withColumnRenamed("_row", row_id)
+    open_ends = {s: (F.size(ENDS[s][0]) == 0) & (F.size(ENDS[s][1]) == 0) for s in "av"}
+    asked = met.where("long").dropDuplicates(["_row", "rule_no"]).withColumns({f"_{e}_keys": _end_keys(e, kinds) for e in ("src", "dst")})
+    asked = asked.select(*shown, "directional", "src_port", "dst_port", "proto", "dst_ports", "protos", "captures", *([capture] if capture else []), F.explode(F.concat(*[_at_end(e) for e in ("src", "dst")], F.array(F.struct(F.lit("none").alias("end"), F.lit("").alias("key"))))).alias("_k"))
+    members = found.where("side IN ('attackers', 'victims')").join(normal.where(long).select("rule_no"), "rule_no", "left_semi").groupBy("rule_no", "key").agg(F.collect_set("side").alias("_sides"))
+    held = asked.select("*", "_k.*").drop("_k").join(_few(members), ["rule_no", "key"], "left")
+    has = {(e, s): F.coalesce(F.bool_or((F.col("end") == e) & F.array_contains("_sides", side)), F.lit(False)).alias(f"_{e}_{s}") for e in ("src", "dst") for s, side in (("a", "attackers"), ("v", "victims"))}
+    rest = ["rule_label", "inside", "directional", "src_port", "dst_port", "proto", "dst_ports", "protos", "captures", *([capture] if capture else [])]
+    each = held.groupBy("_row", "rule_no").agg(*has.values(), *[F.first(c).alias(c) for c in rest])
+    each = each.join(normal.where(long).select("rule_no", *[x.alias(f"_open_{s}") for s, x in open_ends.items()]), "rule_no")
+    ends = {(e, s): F.col(f"_{e}_{s}") | F.col(f"_open_{s}") for e, s in has}
+    return short.union(each.where(_fits(ends, capture)).select("_row", "rule_no", "rule_label", "inside")).distinct().withColumnRenamed("_row", row_id)
 
 
 def label_by_table(flows: DataFrame, rules: DataFrame, row_id: str = "row_id", capture: str | None = None) -> DataFrame:
