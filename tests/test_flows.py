@@ -279,6 +279,34 @@ def test_stream_of_ordered_packets_equals_the_batch(spark, tmp_path):
     assert got == want[:-1]  # the last packet's flow stays open
 
 
+def test_streams_of_many_keys_share_few_states(spark, tmp_path):
+    """Flows of each key, also of null addresses, equal plain steps; the state's rows grow with the buckets, not with keys or packets."""
+    from millrace.streaming import flows as st
+
+    base, r, idle, active = 1_700_000_000, random.Random(9), 100, 250
+    rows = [("c", i, (base + r.randrange(3000)) * US + r.randrange(US), r.choice([None, f"1.1.{i % 10}.{i % 7}"]) if i % 9 == 0 else f"1.1.{i % 10}.{i % 7}", i % 3, "2.2.2.2", 2, 6, r.randrange(900), 0) for i in range(4000)]
+    (tmp_path / "in").mkdir()
+    for part in (rows[0::2], rows[1::2]):
+        spark.createDataFrame(part, PACKET).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = spark.readStream.schema(PACKET).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_micros("ts_us"))
+    q = st.assembled_flows(read, idle * US, active * US, "20 minutes", 4).writeStream.format("memory").queryName("many").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    passed, want, flows = max(x[2] for x in rows) // 1000 * 1000 - 1200 * US, [], {}
+    keyed = spark.createDataFrame(rows, PACKET).select(fn.text_key().alias("key"), "ts_us", "wire_len").collect()
+    assert len({x.key for x in keyed}) > 150
+    for x in sorted(keyed, key=lambda x: x.ts_us):
+        f = flows.get(x.key)
+        if f and x.ts_us - f[2] <= idle * US and x.ts_us - f[1] <= active * US:
+            f[2:] = [x.ts_us, f[3] + 1, f[4] + x.wire_len]
+        else:
+            flows[x.key] = [x.key, x.ts_us, x.ts_us, 1, x.wire_len]
+            want.append(flows[x.key])
+    closed = [f for f in want if min(f[2] + idle * US, f[1] + active * US) < passed]
+    assert 0 < len(closed) < len(want)
+    assert sorted(map(repr, map(tuple, spark.table("many").collect()))) == sorted(map(repr, map(tuple, closed)))
+    assert 0 < max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) <= 4 * 8
+
+
 def plain_segments(packets, idle, active):
     """(frame, session, segment) of one key's (frame, time) rows, one after the other."""
     out, session, segment, start, last = [], 0, 0, None, None
