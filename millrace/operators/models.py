@@ -12,17 +12,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext, inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import DenseVector
-from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators import evaluation as ev
+from millrace.operators import forest as fo
 from millrace.operators import neighbours as nb
 from millrace.operators import sampling
 from millrace.operators.ranges import stored
@@ -67,78 +66,10 @@ def fit(train: DataFrame, kind: str, label: str = "label", seed: int = 0, **more
     if isinstance(model, OneVsRest):
         model.setFeaturesCol("features")
     if kind == "rf":
-        return PipelineModel([indexer, grown(model, indexer.transform(train))])
+        return PipelineModel([indexer, fo.fitted(model, indexer.transform(train), len(indexer.labels) + 1)])
     return Pipeline(stages=[indexer, model]).fit(train)
 
 
-#: Trees that are grown together, and training rows of a partition.
-TREES_AT_ONCE, TREE_ROWS = 16, 200_000
-
-
-class ForestModel(Model, MLWritable, MLReadable):
-    """A forest in parts, each a forest of Spark's: a row's votes are the sum of theirs."""
-
-    def __init__(self, parts: Sequence[RandomForestClassificationModel] = ()) -> None:
-        super().__init__()
-        self.parts = list(parts)
-
-    @property
-    def featureImportances(self) -> DenseVector:  # noqa: N802, as Spark's forests have it
-        shares = sum(p.getNumTrees * p.featureImportances.toArray() for p in self.parts)
-        return DenseVector(shares / (shares.sum() or 1.0))
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        out, names = dataset, [f"_votes{i}" for i in range(len(self.parts))]
-        for p, name in zip(self.parts, names, strict=True):
-            out = p.copy({p.rawPredictionCol: name, p.probabilityCol: "", p.predictionCol: ""}).transform(out)
-        votes = F.array(*[sum(vector_to_array(n)[i] for n in names) for i in range(self.parts[0].numClasses)])
-        out = out.withColumn("_votes", votes).drop(*names)
-        whole = F.aggregate("_votes", F.lit(0.0), lambda a, x: a + x)
-        return out.withColumns({"rawPrediction": array_to_vector("_votes"), "probability": array_to_vector(F.transform("_votes", lambda x: x / whole)), "prediction": (F.array_position("_votes", F.array_max("_votes")) - 1).cast("double")}).drop("_votes")
-
-    def write(self) -> MLWriter:
-        return _ForestWriter(self)
-
-    @classmethod
-    def read(cls) -> MLReader:
-        return _ForestReader()
-
-
-class _ForestWriter(MLWriter):
-    def __init__(self, forest: ForestModel) -> None:
-        super().__init__()
-        self.forest = forest
-
-    def saveImpl(self, path: str) -> None:  # noqa: N802
-        DefaultParamsWriter.saveMetadata(self.forest, path, self.sparkSession, {"parts": len(self.forest.parts)})
-        for i, p in enumerate(self.forest.parts):
-            p.write().save(f"{path}/part{i}")
-
-
-class _ForestReader(MLReader):
-    def load(self, path: str) -> ForestModel:
-        found = DefaultParamsReader.loadMetadata(path, self.sparkSession)
-        out = ForestModel([RandomForestClassificationModel.load(f"{path}/part{i}") for i in range(found["parts"])])
-        return out._resetUid(found["uid"])
-
-
-def grown(forest: RandomForestClassifier, train: DataFrame) -> ForestModel:
-    """``forest`` fitted in groups of ``TREES_AT_ONCE`` trees side by side, each on few partitions of the same rows.
-
-    Every partition holds and shuffles the counts of every node of a level, some 20 kB a node, so for deep trees the cost
-    grows with nodes times partitions. Trees don't depend on each other: each group has a seed of its own.
-    """
-    rows = stored(train.select(forest.getFeaturesCol(), forest.getLabelCol(), forest.getWeightCol()))
-    few = rows.coalesce(1 + rows.count() // TREE_ROWS)
-    sizes = [min(TREES_AT_ONCE, forest.getNumTrees() - at) for at in range(0, forest.getNumTrees(), TREES_AT_ONCE)]
-
-    def group(i: int) -> RandomForestClassificationModel:
-        return forest.copy({forest.numTrees: sizes[i], forest.seed: forest.getSeed() + i * 1_000_003}).fit(few)
-
-    with ThreadPoolExecutor(len(sizes)) as pool:
-        return ForestModel(list(pool.map(inheritable_thread_target(train.sparkSession)(group), range(len(sizes)))))
-
-
 def predict(model: PipelineModel, rows: DataFrame, label: str = "label") -> DataFrame:
     """``rows`` with ``truth`` and ``predicted`` as text."""
     names = F.array(*[F.lit(x) for x in model.stages[0].labels])
